@@ -21,12 +21,43 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import STATS, judge
+
+    return judge(documents(spark, sf_dir)).select("doc_id", *STATS, "base_failed", "kept", "posterior")
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge_urls
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES = {
+    "op3_url_filter": op3_url_filter,
+    "op10_quality_rules": op10_quality_rules,
     "op2_mixing": op2_mixing,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op3_url_filter": """
+        WITH urls AS (
+            SELECT page_id,
+                   translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path
+            FROM pages),
+        rules(rule_host, rule_path, action) AS (VALUES
+            ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+        judged AS (
+            SELECT page_id, host, path,
+                   (SELECT struct_pack(l := length(rule_host || rule_path), r := rule_host || rule_path, a := action) FROM rules
+                    WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+                    ORDER BY 1 DESC LIMIT 1) AS best
+            FROM urls)
+        SELECT page_id, host, path, best.r AS rule, coalesce(best.a, 'allow') AS verdict FROM judged
+    """,
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
