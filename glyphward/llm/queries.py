@@ -34,7 +34,28 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import classify
+
+    return classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import digest
+
+    return digest(documents(spark, sf_dir))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op5_packing": op5_packing,
+    "op1_secret_scan": op1_secret_scan,
+    "op6_quality_classifier": op6_quality_classifier,
     "op3_url_filter": op3_url_filter,
     "op10_quality_rules": op10_quality_rules,
     "op2_mixing": op2_mixing,
