@@ -52,7 +52,14 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import substring_dedup
+
+    return substring_dedup(documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op7_substring_dedup": op7_substring_dedup,
     "op5_packing": op5_packing,
     "op1_secret_scan": op1_secret_scan,
     "op6_quality_classifier": op6_quality_classifier,

@@ -69,3 +69,12 @@ def word_count(text: str = "text"):
 def as_text(column: str):
     """The column as bytes for Arrow: white-space splitting of bytes is exactly the contracts' class."""
     return F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps whose results have been written: it does so once the driver's
+    JVM has collected what refers to them."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
