@@ -58,7 +58,14 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import similar
+
+    return similar(documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op4_ngram_join": op4_ngram_join,
     "op7_substring_dedup": op7_substring_dedup,
     "op5_packing": op5_packing,
     "op1_secret_scan": op1_secret_scan,

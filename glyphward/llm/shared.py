@@ -71,6 +71,13 @@ def as_text(column: str):
     return F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")
 
 
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, data, d1, d2, r): the text's bytes, 128 bits of hashes of it, and a hash of id and text."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), as_text(text_col).alias("data"))
+    rows = rows.withColumns({"d1": F.xxhash64(F.lit(1), "data"), "d2": F.xxhash64(F.lit(2), F.length("data"), "data")})
+    return rows.withColumn("r", F.xxhash64("id", "d1", "d2"))
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of steps whose results have been written: it does so once the driver's
     JVM has collected what refers to them."""

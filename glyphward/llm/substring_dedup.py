@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rolling import WordHashes, leftmost_minimum, mixed, windows
-from .shared import as_text, release, shared_dir, written
+from .shared import keyed, release, shared_dir, written
 
 WINDOW = 35
 ANCHOR = 12
@@ -43,13 +43,6 @@ def anchors(hashes: np.ndarray, window: int, anchor: int, cell_bits: int) -> tup
     return leftmost_minimum(runs, window - anchor + 1), (mixed(runs) >> np.uint64(64 - cell_bits)).astype(np.int64)
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, data, d1, d2, r): two hashes of the text, and one of id and text."""
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), as_text(text_col).alias("data"))
-    rows = rows.withColumns({"d1": F.xxhash64(F.lit(1), "data"), "d2": F.xxhash64(F.lit(2), F.length("data"), "data")})
-    return rows.withColumn("r", F.xxhash64("id", "d1", "d2"))
-
-
 def _sketch(window: int, anchor: int, cell_bits: int):
     """(r, data) to the sparse sketch (cell, n, r)."""
 
@@ -168,7 +161,7 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _affected(docs: DataFrame, id_col: str, text_col: str, window: int, anchor: int, cell_bits: int) -> DataFrame:
     """(d1, d2, n_removed, sha) of the texts that lose words."""
     spark = docs.sparkSession
-    rows = _keyed(docs, id_col, text_col)
+    rows = keyed(docs, id_col, text_col)
     sketch = rows.select("r", "data").mapInArrow(_sketch(window, anchor, cell_bits), "cell bigint, n bigint, r bigint")
     once = sketch.groupBy("cell").agg(F.sum("n").alias("n"), F.min("r").alias("r")).filter("n = 1")
     singles = written(once.groupBy("r").agg(F.collect_list("cell").alias("singles")), "cells")  # a document's own cells
@@ -194,7 +187,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared_dir(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     lost = _affected(docs, id_col, text_col, window, min(anchor, window), cell_bits)
-    whole = _keyed(docs, id_col, text_col).select("id", "d1", "d2", "data").mapInArrow(_whole, f"id {kind}, d1 bigint, d2 bigint, n_words bigint, whole string")
+    whole = keyed(docs, id_col, text_col).select("id", "d1", "d2", "data").mapInArrow(_whole, f"id {kind}, d1 bigint, d2 bigint, n_words bigint, whole string")
     joined = whole.join(lost, ["d1", "d2"], "left")
     return joined.select(
         F.col("id").alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("sha", "whole").alias("kept_sha256"))
