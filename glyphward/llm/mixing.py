@@ -62,7 +62,8 @@ def plan_copies(docs: DataFrame, source_col: str = "source", text_col: str = "te
     size_class = F.when(F.col("size") <= 0, F.lit(0)).otherwise(F.floor(F.log2("size") * 4) + 1).cast("int")
     rows = docs.select(
         *[F.col(f"`{c}`") for c in keep],
-        F.col(f"`{source_col}`").alias("_source"),
+        # Never null, in the order of the sources with null last: plain keys keep one partitioning for join and window.
+        F.coalesce(F.concat(F.lit("a"), F.col(f"`{source_col}`").cast("string")), F.lit("b")).alias("_source"),
         word_count(f"`{text_col}`").alias("size"),
         F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in docs.columns if docs.schema[c].dataType.typeName() in ("long", "integer", "string")]).alias("_h"),
     ).select("*", size_class.alias("_class"), F.pmod(F.shiftright("_h", 20), F.lit(buckets)).cast("int").alias("_bucket"))
@@ -75,15 +76,15 @@ def plan_copies(docs: DataFrame, source_col: str = "source", text_col: str = "te
     classes = classes.withColumn("_class_before", F.coalesce(F.sum("rows").over(running), F.lit(0)))
     inner = Window.partitionBy("_source", "_class").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = groups.withColumn("_bucket_before", F.coalesce(F.sum("rows").over(inner), F.lit(0)))
-    rated = classes.join(targets, classes["_source"].eqNullSafe(targets["source"])).select(
+    rated = classes.join(targets, classes["_source"] == targets["source"]).select(
         F.col("_source").alias("_s"), F.col("_class").alias("_c"), "_class_before", "source_size", "target", "rate")
-    starts = starts.join(rated, starts["_source"].eqNullSafe(rated["_s"]) & (starts["_class"] == rated["_c"])).select(
+    starts = starts.join(rated, (starts["_source"] == rated["_s"]) & (starts["_class"] == rated["_c"])).select(
         F.col("_source").alias("_s"), F.col("_class").alias("_c"), F.col("_bucket").alias("_b"),
         (F.col("_class_before") + F.col("_bucket_before")).alias("_before"), "source_size", "target", "rate")
-    on = rows["_source"].eqNullSafe(starts["_s"]) & (rows["_class"] == starts["_c"]) & (rows["_bucket"] == starts["_b"])
+    on = (rows["_source"] == starts["_s"]) & (rows["_class"] == starts["_c"]) & (rows["_bucket"] == starts["_b"])
     in_bucket = Window.partitionBy("_source", "_class", "_bucket").orderBy("_h")
     # An offset on a grid, so that whole rates cross whole numbers of integers.
-    offset = (F.pmod(F.xxhash64(F.lit(seed), F.lit("offset"), F.coalesce("_source", F.lit("\x00null"))), F.lit(4096)) + F.lit(0.5)) / 4096
+    offset = (F.pmod(F.xxhash64(F.lit(seed), F.lit("offset"), F.col("_source")), F.lit(4096)) + F.lit(0.5)) / 4096
     at = F.col("_before") + F.row_number().over(in_bucket)
     crossed = F.floor(at * F.col("rate") + offset) - F.floor((at - 1) * F.col("rate") + offset)
     copies = F.greatest(F.lit(0), F.least(crossed, F.ceil(F.lit(float(most))))).cast("long")
