@@ -64,7 +64,14 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar(documents(spark, sf_dir))
 
 
+def op8_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hmm_scoring import score
+
+    return score(documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op8_hmm_scoring": op8_hmm_scoring,
     "op4_ngram_join": op4_ngram_join,
     "op7_substring_dedup": op7_substring_dedup,
     "op5_packing": op5_packing,
