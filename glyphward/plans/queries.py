@@ -544,7 +544,7 @@ def q_markdown_table(spark, sf_dir):
     rows = by_variant(spark, sf_dir)
     place = F.col("variant_rank") * 10 + F.array_position(F.array(*[F.lit(s) for s in SYSTEMS]), F.col("system")).cast("int")
     lines = report.markdown_rows(rows.select("system", "variant", "balanced_accuracy", "rows", place.alias("place")).select("system", "variant", "balanced_accuracy", "rows", "place"), "place")
-    return lines.select(F.col("place").cast("long").alias("place"), F.regexp_replace("line", r" \| \d+ \|$", " |").alias("line"))
+    return lines.select("place", F.regexp_replace("line", r" \| \d+ \|$", " |").alias("line"))
 
 
 @query(f"""WITH {SQL}, {DENSE} SELECT system AS series, variant_label AS x, variant_rank AS x_order, round(max_failure_rate, 9) AS y FROM metrics""")
