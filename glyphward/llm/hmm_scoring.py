@@ -33,15 +33,16 @@ from pyspark.sql import functions as F
 from .shared import as_text, release, shared_dir, written
 
 FOLDS, HELD_OUT = 7, 2
-FREQUENT = 1 << 16
+FREQUENT = 1 << 17
 OWN = 1 << 13
 SUFFIXES = 1 << 10
 STATES = 8
 ROUNDS = 3
 SEED_TEXTS = 1500
 SLICE = 128
-#: Tokens of the texts that a recursion runs over at a time.
-STRETCH = 300_000
+#: Tokens of the texts that a recursion runs over at a time. Steps are as many as the longest text has tokens, so many
+#: texts share the steps of a long one. Training keeps 4 bytes for each token and state.
+STRETCH = 1_200_000
 PRIOR = 50.0
 CLASSES = OWN + SUFFIXES
 
@@ -143,8 +144,8 @@ def forward(texts: Texts, model: dict, keep: bool = False):
     """Natural log probability of each sequence (in the order given), and with ``keep`` the scaled alphas and scales."""
     emit, move = model["emit"], model["move"]  # class x state, state x state
     logs = np.zeros(len(texts.lengths))
-    alphas = np.empty((len(texts.flat), emit.shape[1])) if keep else None
-    scales = np.empty(len(texts.flat)) if keep else None
+    alphas = np.empty((len(texts.flat), emit.shape[1]), emit.dtype) if keep else None
+    scales = np.empty(len(texts.flat), emit.dtype) if keep else None
     alpha = None
     for step, active in enumerate(texts.active):
         at = texts.starts[:active] + step
@@ -162,23 +163,25 @@ def forward(texts: Texts, model: dict, keep: bool = False):
 
 def expected(texts: Texts, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected counts: starts, transitions, and emissions as class x state."""
-    _, alphas, scales = forward(texts, model, keep=True)
+    _, gammas, scales = forward(texts, model, keep=True)  # alphas, which become gammas from the end on
     emit, move = model["emit"], model["move"]
-    gammas = np.empty_like(alphas)
     moves = np.zeros_like(move)
-    beta = np.ones((len(texts.lengths), move.shape[0]))
+    beta = np.ones((len(texts.lengths), move.shape[0]), emit.dtype)
+    back = np.ascontiguousarray(move.T)
     steps = len(texts.active)
-    for step in range(steps - 1, -1, -1):
+    later = texts.at(steps - 1)
+    for step in range(steps - 2, -1, -1):
+        n = len(later)
         at = texts.at(step)
-        if step + 1 < steps:
-            n = texts.active[step + 1]
-            later = texts.starts[:n] + step + 1
-            ahead = emit[texts.flat[later]] * beta[:n] / scales[later][:, None]
-            moves += alphas[at[:n]].T @ ahead
-            beta[:n] = ahead @ move.T
-        gammas[at] = alphas[at] * beta[: len(at)]
+        ahead = emit[texts.flat[later]]
+        ahead *= beta[:n]
+        ahead /= scales[later][:, None]
+        moves += gammas[at[:n]].T @ ahead
+        beta[:n] = ahead @ back
+        gammas[at] *= beta[: len(at)]
+        later = at
     emitted = np.stack([np.bincount(texts.flat, gammas[:, k], minlength=emit.shape[0]) for k in range(move.shape[0])], axis=1)
-    return gammas[texts.starts].sum(axis=0), moves * move, emitted
+    return gammas[texts.starts].sum(axis=0, dtype=float), (moves * move).astype(float), emitted
 
 
 def stretches(sequences: Iterator[np.ndarray]) -> Iterator[list[np.ndarray]]:
@@ -197,7 +200,7 @@ def _expectations(model, class_of):
     """Token numbers to expected counts in slices: -1 has starts and transitions, slice k classes from k * SLICE on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, classes = model.value, class_of.value
+        m, classes = {k: v.astype(np.float32) for k, v in model.value.items()}, class_of.value
         total = None
         for group in stretches(classes[np.frombuffer(ids.as_buffer(), np.uint32)] for batch in batches for ids in batch.column(0)):
             found = expected(Texts(group), m)
@@ -339,7 +342,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, fr
 
     total = int(counts.sum())
     own = min(OWN, frequent)
-    class_of = np.empty(width, np.int64)
+    class_of = np.empty(width, np.int32)
     class_of[:own] = np.arange(own)
     class_of[own:frequent] = OWN
     for i in range(own, len(tokens) + 1):
