@@ -267,10 +267,12 @@ def seed_model(sequences: list[np.ndarray], unigram: np.ndarray, states: int, ro
 
 
 def train(numbered: DataFrame, class_of: np.ndarray, unigram: np.ndarray, states: int, rounds: int) -> dict:
-    """Baum-Welch over (ids) of the training texts."""
+    """Baum-Welch over (rid, ids) of the training texts."""
     context = numbered.sparkSession.sparkContext
-    place = F.xxhash64("ids")
-    seeds = numbered.select("ids").orderBy(place).limit(SEED_TEXTS).collect()
+    # About SEED_TEXTS texts by a hash: what each task sends shrinks as tasks grow in number.
+    share = min(1.0, SEED_TEXTS / max(1, numbered.count()))
+    seeds = numbered.select("ids").filter(F.pmod(F.xxhash64("ids", "rid"), F.lit(1 << 30)) < int(share * (1 << 30))).collect()
+    seeds = sorted(seeds)[:2 * SEED_TEXTS]
     model = seed_model([class_of[np.frombuffer(r[0], np.uint32)] for r in seeds], unigram, states)
     classes = context.broadcast(class_of)
     for _ in range(rounds):

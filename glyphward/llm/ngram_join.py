@@ -4,8 +4,8 @@ A document is the set of its 5-word shingles. In each of ``RUNS`` runs the sets
 that is smallest under a random order, which two sets share with a probability equal to their similarity. A bucket
 of more than ``LIMIT`` sets is split again on the next token of its path, down to ``DEPTH`` levels; small buckets
 are compared by brute force. Two sets meet in a run with probability similarity ** depth, so with ``RUNS`` runs a
-pair at the threshold is missed with probability (1 - 0.8 ** depth) ** RUNS; where a document's buckets were so deep
-that this passes 1 - ``RECALL``, further runs follow for such documents.
+pair at the threshold is missed with probability (1 - 0.8 ** depth) ** RUNS; where a document's deepest bucket makes
+this more than 1 - ``RECALL``, further rounds of runs follow for such documents.
 
 Brute force goes in two steps. Sketches (a byte of each of 48 tokens) rule out most pairs; the documents left ship
 their whole sets and their similarity is computed exactly, by a matrix product over the tokens of the bucket. A pair
@@ -36,8 +36,8 @@ THRESHOLD = 0.8
 RUNS = 10
 DEPTH = 6
 LIMIT = 1024
-RECALL = 0.99
-MOST_ROUNDS = 4
+RECALL = 0.999
+MOST_ROUNDS = 5
 #: Sampled tokens of a set.
 TOKENS = 48
 #: A pair is compared exactly when so many of the sketches' bytes agree: 38.4 are expected at the threshold, with a
@@ -93,7 +93,8 @@ def _signatures(shingle: int):
 
 def path_key(tokens: Column, run: Column, level: int, before: Column | None) -> Column:
     """The bucket at ``level`` of a run: the token chosen there, on top of the path so far."""
-    at = F.get(tokens, F.pmod(run + level * 11, F.lit(TOKENS)).cast("int"))
+    cycle = F.floor(run / RUNS)  # each round of runs steps through the tokens in a way of its own
+    at = F.get(tokens, F.pmod(run % RUNS * (1 + 4 * cycle) + level * (11 + 2 * cycle), F.lit(TOKENS)).cast("int"))
     return F.xxhash64(run, at) if before is None else F.xxhash64(before, at)
 
 
@@ -346,10 +347,10 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
         met = found if met is None else met.unionByName(found)
         part = _links(docs, sets, met, first, runs, id_col, text_col, shingle, threshold, agree)
         linked = part if linked is None else linked.unionByName(part)
-        # Probability of missing a pair at the threshold, from the levels of a document's buckets in this round; a run
-        # in which it was left alone counts as a bucket of the second level.
-        miss = F.sum(F.log(1 - F.pow(F.lit(threshold), F.col("level")))) + (runs - F.count(F.lit(1))) * F.log(F.lit(1 - threshold**2))
-        deep = found.select("rid", "run", "level").distinct().groupBy("rid").agg(F.exp(miss).alias("p")).filter(F.col("p") > 1 - recall)
+        # Probability of missing a pair at the threshold if all buckets were as deep as the document's deepest: shallow
+        # ones are often those of its rare tokens, where no partner can be.
+        miss = F.pow(1 - F.pow(F.lit(threshold), F.max("level")), F.lit(first + runs))
+        deep = found.groupBy("rid").agg(miss.alias("p")).filter(F.col("p") > 1 - recall)
         if deep.isEmpty():
             break
         pending, first = sets.join(deep.select("rid"), "rid", "left_semi"), first + runs
