@@ -16,10 +16,13 @@ QUANTILES = 401
 MARGIN = 1e-6
 
 
-def candidates(scored: DataFrame, score: str = "score", quantiles: int = QUANTILES) -> DataFrame:
-    """Distinct interpolated quantiles, and a step beyond the least and greatest score."""
+def candidates(scored: DataFrame, score: str = "score", quantiles: int = QUANTILES, accuracy: int | None = None) -> DataFrame:
+    """Distinct quantiles, and a step beyond the least and greatest score. Exact quantiles are interpolated and keep the
+    distinct scores of the input in memory; with an ``accuracy`` they are observed scores whose rank is off by at most
+    rows / accuracy, from summaries of bounded size."""
     points = [i / (quantiles - 1) for i in range(quantiles)]
-    found = scored.agg(F.percentile(score, points).alias("q"), F.min(score).alias("low"), F.max(score).alias("high"))
+    q = F.percentile(score, points) if accuracy is None else F.percentile_approx(score, points, accuracy)
+    found = scored.agg(q.alias("q"), F.min(score).alias("low"), F.max(score).alias("high"))
     every = F.concat(F.array(F.col("low") - MARGIN), F.col("q"), F.array(F.col("high") + MARGIN))
     return found.filter("low IS NOT NULL").select(F.explode(F.array_distinct(every)).alias("threshold"))
 

@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,11 +59,15 @@ def one_row_files(df: DataFrame) -> DataFrame:
 
 
 def with_row_ids(df: DataFrame, split: str) -> DataFrame:
-    """``id`` = split and the row's place, in the order the rows are read: counts of partitions, then places within.
-    Spark plans the numbering as two jobs without a shuffle."""
-    schema = T.StructType([*df.schema.fields, T.StructField("idx", T.LongType(), False)])
-    numbered = df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema)
-    return numbered.withColumn("id", F.format_string(f"{split}_%06d", "idx"))
+    """``idx``, the row's place in the order the rows are read, and ``id``, split and place. The place within a
+    partition is in Spark's own numbering; sizes of partitions (a row each) are summed up and broadcast. ``df`` has
+    to give the same partitions twice, as a scan does."""
+    placed = df.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33))
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_part", before.alias("_before"))
+    numbered = placed.join(F.broadcast(starts), "_part").withColumn("idx", F.col("_before") + F.col("_at") - F.shiftleft("_part", 33))
+    return numbered.select(*df.columns, "idx", F.format_string(f"{split}_%06d", "idx").alias("id"))
 
 
 def standardized(raw: DataFrame, split: str, source: str) -> DataFrame:

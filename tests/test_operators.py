@@ -259,3 +259,9 @@ def test_published_reconstructions(spark):
     df = typed(spark, path)
     assert df.count() == 80
     assert df.filter(deobfuscate(F.coalesce("text", F.lit(""))) != F.coalesce("normalized_text", F.lit(""))).count() == 0
+
+
+def test_approximate_candidates(spark):
+    scored = spark.range(1000).select((F.col("id") / 1000).alias("score"), (F.col("id") % 2).cast("int").alias("label"))
+    found = calibrate.candidates(scored, quantiles=5, accuracy=10_000).count()
+    assert found == 7 and calibrate.sweep(scored, thresholds=calibrate.candidates(scored, accuracy=100)).count() > 50
