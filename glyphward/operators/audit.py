@@ -47,6 +47,15 @@ def overlap_checks(overlaps: DataFrame) -> DataFrame:
         F.concat_ws("_", F.lit("overlap"), "left_part", "right_part").alias("check"), (F.col("shared") == 0).alias("passed"), F.col("shared").cast("string").alias("detail"))
 
 
+def label_checks(rows: DataFrame, clean: str = "clean") -> DataFrame:
+    """For each other variant: every row has a clean twin by id, with the same label."""
+    base = rows.filter(F.col("variant") == clean).select("id", F.col("label").alias("clean_label"))
+    joined = rows.filter(F.col("variant") != clean).join(base, "id", "left")
+    bad = F.count(F.when(~F.col("label").eqNullSafe(F.col("clean_label")), 1))
+    found = joined.groupBy("variant").agg(bad.alias("bad"))
+    return found.select(F.concat(F.lit("labels_"), "variant").alias("check"), (F.col("bad") == 0).alias("passed"), F.col("bad").cast("string").alias("detail"))
+
+
 def prediction_checks(predictions: DataFrame, scopes: DataFrame) -> DataFrame:
     """For each system: its keys are one of the known scopes, and unique."""
     twice = predictions.groupBy("system", "variant", "id").agg(F.count(F.lit(1)).alias("n")).groupBy("system").agg(F.count(F.when(F.col("n") > 1, 1)).alias("bad"))

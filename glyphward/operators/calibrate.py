@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .metrics import METRICS, from_counts
+from .metrics import METRICS, auroc, from_counts, robustness
 
 QUANTILES = 401
 MARGIN = 1e-6
@@ -102,6 +102,26 @@ def router_sweep(routed: DataFrame, thresholds: list[float]) -> DataFrame:
         F.coalesce(F.col("tp") / F.nullif(F.col("pos"), F.lit(0)), F.lit(0.0)).alias("recall"), f1.alias("f1"))
 
 
+def linspace(low: float, high: float, n: int) -> list[float]:
+    """``n`` points from ``low`` to ``high``, both included."""
+    return [low + i * (high - low) / (n - 1) for i in range(n)] if n > 1 else [low]
+
+
+def route(rows: DataFrame, threshold: float) -> DataFrame:
+    """Adds ``routed`` and the ``probability`` of the model that each row is sent to."""
+    routed = F.col("obfuscation") >= threshold
+    return rows.withColumns({"routed": routed, "probability": F.when(routed, F.col("robust")).otherwise(F.col("clean"))})
+
+
+def router_report(rows: DataFrame, threshold: float) -> DataFrame:
+    """A router at work, by variant: robustness against the clean variant, area under the curve, share of rows routed,
+    mean obfuscation score. Rows are (variant, id, label, clean, robust, obfuscation)."""
+    sent = route(rows, threshold).withColumn("system", F.lit("router"))
+    shares = sent.groupBy("variant").agg(F.avg(F.col("routed").cast("int")).alias("route_robust_rate"), F.avg("obfuscation").alias("mean_obfuscation_score"))
+    joined = robustness(sent).drop("system").join(auroc(sent, "variant").select("variant", "auroc"), "variant").join(shares, "variant")
+    return joined.withColumn("threshold", F.lit(threshold))
+
+
 def best_route(swept: DataFrame) -> DataFrame:
     return swept.orderBy(F.desc("utility"), F.desc("f1"), "threshold").limit(1)
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.labels import display_name, markdown_number
+from ..functions.labels import display_name, markdown_number, parse_label, parsed_name
+from .align import checked_left_join, require
 
 #: Prefixes of systems whose answers came from a chat page.
 CHAT_PREFIXES = ("chatgpt", "claude", "gemini_free", "grok_free")
@@ -68,6 +69,19 @@ def named(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.withColumn("display_name", display_name(F.col("system"), names))
 
 
+def import_answers(manifest: DataFrame, answers: DataFrame, system: str) -> DataFrame:
+    """Predictions of an outside system: each row of the manifest (id, variant, label) with its answer, read. Keys are
+    unique on both sides; a row without an answer is one that could not be read, answers without a row are left out."""
+    joined = checked_left_join(require(manifest, "id", "variant", "label"), require(answers, "id", "variant", "label").select("id", "variant", "label"), ["id", "variant"], suffix="_ui")
+    read = parse_label(F.col("label_ui"))
+    return joined.withColumns({"system": F.lit(system), "raw_output": F.col("label_ui"), "pred_label": read, "parsed_label": parsed_name(read)}).drop("label_ui")
+
+
+def dataset_card(summary: DataFrame, title: str, order: str) -> str:
+    """A short text with a table of the dataset's splits."""
+    return f"# {title}\n\n{markdown(summary, order, 6)}\n"
+
+
 def plot_data(metrics: DataFrame, value: str) -> DataFrame:
     """(series, x, x_order, y): what a line or bar chart of a metric over variants draws."""
     return metrics.select(F.col("system").alias("series"), F.col("variant_label").alias("x"), F.col("variant_rank").alias("x_order"), F.col(value).alias("y"))

@@ -68,3 +68,18 @@ def overlaps(parts: dict[str, DataFrame], key: str = "id") -> DataFrame:
     counts = held.agg(*[F.count(F.when(F.array_contains("parts", a) & F.array_contains("parts", b), 1)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     return counts.select(F.explode(F.array(*[
         F.struct(F.lit(a).alias("left_part"), F.lit(b).alias("right_part"), F.col(f"c{i}").alias("shared")) for i, (a, b) in enumerate(pairs)])).alias("x")).select("x.*")
+
+
+#: The variants that training examples are made from.
+EXAMPLE_VARIANTS = ("clean", "romanized_35", "roman_glyph_35")
+
+
+def training_examples(aligned: DataFrame, exclude: DataFrame | None = None) -> DataFrame:
+    """Chat examples of the rows (id, variant, text, normalized_text, label) in the training variants, without the
+    ids of ``exclude``."""
+    from ..functions.labels import messages
+
+    rows = aligned.filter(F.col("variant").isin(*EXAMPLE_VARIANTS))
+    if exclude is not None:
+        rows = rows.join(exclude.select("id").distinct(), "id", "left_anti")
+    return rows.withColumn("messages", messages(F.col("text"), F.col("normalized_text"), digits=True, answer=F.col("label")))

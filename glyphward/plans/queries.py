@@ -142,7 +142,7 @@ def q_choose_threshold(spark, sf_dir):
     return rounded(calibrate.best_threshold(_swept(spark, sf_dir)))
 
 
-ROUTES = [0.02 + i * (0.95 - 0.02) / 47 for i in range(48)]
+ROUTES = calibrate.linspace(0.02, 0.95, 48)
 _ROUTE_SQL = f"""WITH {SQL}, routed AS (SELECT c.label, c.score AS clean, r.score AS robust, {U.format("'obf|' || c.variant || '|' || c.id")}::DOUBLE AS obfuscation
     FROM scored c JOIN scored r ON r.id = c.id AND r.variant = c.variant AND r.system = '{SYSTEMS[1]}' WHERE c.system = '{SYSTEMS[0]}'),
 points(threshold) AS (VALUES {", ".join(f"({t!r}::DOUBLE)" for t in ROUTES)}),
@@ -154,12 +154,34 @@ swept AS (SELECT threshold, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) -
 SELECT {_r("threshold utility route_robust_rate clean_route_rate accuracy precision recall f1")} FROM swept"""
 
 
-def _routed(spark, sf_dir):
+def _route_rows(spark, sf_dir):
     rows = syn.scored(spark, sf_dir)
     robust = rows.filter(F.col("system") == SYSTEMS[1]).select("id", "variant", F.col("score").alias("robust"))
     clean = rows.filter(F.col("system") == SYSTEMS[0]).select("id", "variant", "label", F.col("score").alias("clean"))
-    routed = clean.join(robust, ["id", "variant"])
-    return calibrate.router_sweep(routed.withColumn("obfuscation", labels.uniform(F.concat_ws("|", F.lit("obf"), "variant", F.col("id").cast("string")))), ROUTES)
+    key = F.concat_ws("|", F.lit("obf"), "variant", F.col("id").cast("string"))
+    return clean.join(robust, ["id", "variant"]).withColumn("obfuscation", labels.uniform(key))
+
+
+def _routed(spark, sf_dir):
+    return calibrate.router_sweep(_route_rows(spark, sf_dir), ROUTES)
+
+
+@query(f"""WITH {SQL}, routed AS (SELECT c.variant, c.id, c.label, c.score AS clean, r.score AS robust, {U.format("'obf|' || c.variant || '|' || c.id")}::DOUBLE AS obfuscation
+    FROM scored c JOIN scored r ON r.id = c.id AND r.variant = c.variant AND r.system = '{SYSTEMS[1]}' WHERE c.system = '{SYSTEMS[0]}'),
+said AS (SELECT *, CASE WHEN obfuscation >= 0.4 THEN robust ELSE clean END AS p, (CASE WHEN obfuscation >= 0.4 THEN robust ELSE clean END >= 0.5)::INT AS said FROM routed),
+paired AS (SELECT v.*, c.p AS cp, c.said AS csaid FROM said v JOIN said c ON c.id = v.id AND c.label = v.label AND c.variant = 'clean'),
+counted AS (SELECT variant, count(*) AS rows, count(*) FILTER (label = 1 AND said = 1) AS tp, count(*) FILTER (label = 0 AND said = 1) AS fp, count(*) FILTER (label = 1 AND said = 0) AS fn,
+    count(*) FILTER (label = 0 AND said = 0) AS tn, count(*) FILTER (csaid = label) AS ok, count(*) FILTER (csaid = label AND said <> label) AS attacked, avg(abs(cp - p)) AS confidence_shift,
+    coalesce(avg(cp - p) FILTER (label = 1), 0) AS hate_confidence_drop, avg((obfuscation >= 0.4)::INT) AS route_robust_rate, avg(obfuscation) AS mean_obfuscation_score FROM paired GROUP BY ALL),
+rated AS (SELECT *, (tp + tn) / rows AS accuracy, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1,
+    coalesce(attacked / nullif(ok, 0), 0) AS attack_success_rate FROM counted),
+ranked AS (SELECT variant, label, rank() OVER (PARTITION BY variant ORDER BY p) + (count(*) OVER (PARTITION BY variant, p) - 1) / 2 AS place FROM said),
+areas AS (SELECT variant, CASE WHEN min(label) = 0 AND max(label) = 1 THEN (sum(place) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2) / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0)) END AS auroc FROM ranked GROUP BY variant)
+SELECT r.variant, r.rows, {_r("accuracy precision recall f1").replace("round(", "round(r.")}, round(c.f1 - r.f1, 9) AS f1_drop_from_clean, round(c.recall - r.recall, 9) AS recall_drop_from_clean,
+    {_r("attack_success_rate confidence_shift hate_confidence_drop").replace("round(", "round(r.")}, round(auroc, 9) AS auroc, {_r("route_robust_rate mean_obfuscation_score").replace("round(", "round(r.")}, 0.4::DOUBLE AS threshold
+FROM rated r JOIN rated c ON c.variant = 'clean' JOIN areas a ON a.variant = r.variant""")
+def q_router_report(spark, sf_dir):
+    return rounded(calibrate.router_report(_route_rows(spark, sf_dir), 0.4))
 
 
 @query(_ROUTE_SQL)
@@ -511,6 +533,36 @@ def q_completion(spark, sf_dir):
     return audit.completion(expected, results)
 
 
+@query(f"""WITH {SQL}, m AS (SELECT id, variant, label FROM predictions WHERE system = '{SYSTEMS[3]}'), a AS (SELECT id, variant, CASE WHEN score < 0.4 THEN 'Non-Hate' WHEN score < 0.9 THEN ' HATE ' ELSE 'unsure' END AS answer
+    FROM predictions WHERE system = '{SYSTEMS[3]}' AND score < 0.95)
+SELECT id, variant, label, 'chat' AS system, answer AS raw_output, CASE answer WHEN 'Non-Hate' THEN 0 WHEN ' HATE ' THEN 1 END AS pred_label,
+    CASE answer WHEN 'Non-Hate' THEN 'non-hate' WHEN ' HATE ' THEN 'hate' ELSE 'parse_failed' END AS parsed_label FROM m LEFT JOIN a USING (id, variant)""")
+def q_import_answers(spark, sf_dir):
+    rows = syn.predictions(spark, sf_dir).filter(F.col("system") == SYSTEMS[3])
+    answer = F.when(F.col("score") < 0.4, "Non-Hate").when(F.col("score") < 0.9, " HATE ").otherwise("unsure")
+    return report.import_answers(rows.select("id", "variant", "label"), rows.filter("score < 0.95").select("id", "variant", answer.alias("label")), "chat")
+
+
+@query(f"""WITH {SQL}, t AS (SELECT p.id, p.variant, p.label, text, lower(text) AS n FROM predictions p JOIN documents d ON d.doc_id = p.id WHERE system = '{SYSTEMS[0]}' AND variant IN ({", ".join(repr(v) for v in sampling.EXAMPLE_VARIANTS)}))
+SELECT id, variant, {_sql_text(labels.DIGIT_SYSTEM_PROMPT)} AS system_prompt, md5({_sql_text(labels.ASK_DIGIT_BOTH)} || text || chr(10) || 'Normalized candidate: ' || n || chr(10) || 'Label:') AS user_prompt, label::VARCHAR AS answer
+FROM t WHERE id % 4 <> 0""")
+def q_training_examples(spark, sf_dir):
+    docs = syn.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.lower("text").alias("normalized_text"))
+    rows = syn.predictions(spark, sf_dir).filter(F.col("system") == SYSTEMS[0]).join(docs, "id")
+    turn = lambda i: F.col("messages")[i]["content"]
+    made = sampling.training_examples(rows, exclude=docs.filter("id % 4 = 0"))
+    return made.select("id", "variant", turn(0).alias("system_prompt"), F.md5(turn(1).cast("binary")).alias("user_prompt"), turn(2).alias("answer"))
+
+
+@query(f"""WITH {SQL} SELECT 'labels_' || v.variant AS "check", count(*) FILTER (c.label IS DISTINCT FROM v.label) = 0 AS passed, (count(*) FILTER (c.label IS DISTINCT FROM v.label))::VARCHAR AS detail
+FROM (SELECT id, variant, CASE WHEN variant = 'romanized_70' AND id % 10 = 0 THEN 1 - label ELSE label END AS label FROM predictions WHERE system = '{SYSTEMS[0]}') v
+LEFT JOIN predictions c ON c.id = v.id AND c.variant = 'clean' AND c.system = '{SYSTEMS[0]}' WHERE v.variant <> 'clean' GROUP BY v.variant""")
+def q_label_checks(spark, sf_dir):
+    rows = syn.predictions(spark, sf_dir).filter(F.col("system") == SYSTEMS[0])
+    wrong = (F.col("variant") == "romanized_70") & (F.col("id") % 10 == 0)
+    return audit.label_checks(rows.withColumn("label", F.when(wrong, 1 - F.col("label")).otherwise(F.col("label"))))
+
+
 @query(f"""WITH {SQL}, {DENSE} SELECT system, variant, {_r("balanced_accuracy macro_f1 fnr fpr")}, row_number() OVER (ORDER BY balanced_accuracy DESC NULLS LAST, system)::INT AS place FROM metrics WHERE variant = 'roman_glyph_70'""")
 def q_hardest_variant(spark, sf_dir):
     return rounded(report.hardest_variant(by_variant(spark, sf_dir)))

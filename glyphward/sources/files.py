@@ -114,6 +114,16 @@ def write_document(row: dict, path: str) -> None:
         f.write(json.dumps(row, ensure_ascii=False, indent=2) + "\n")
 
 
+def write_archive(paths: list[str], target: str, root: str) -> None:
+    """A zip file of files that the driver can read, sorted, named relative to ``root``; an older one is replaced."""
+    import os
+    import zipfile
+
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for path in sorted(paths):
+            archive.write(path, os.path.relpath(path, root))
+
+
 def concatenated(splits: dict[str, DataFrame]) -> DataFrame:
     """Splits one after the other, with their place."""
     out = None

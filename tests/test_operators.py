@@ -265,3 +265,22 @@ def test_approximate_candidates(spark):
     scored = spark.range(1000).select((F.col("id") / 1000).alias("score"), (F.col("id") % 2).cast("int").alias("label"))
     found = calibrate.candidates(scored, quantiles=5, accuracy=10_000).count()
     assert found == 7 and calibrate.sweep(scored, thresholds=calibrate.candidates(scored, accuracy=100)).count() > 50
+
+
+def test_archive_and_card(spark, tmp_path):
+    import zipfile
+
+    for name in ("b.txt", "a.txt"):
+        (tmp_path / name).write_text(name)
+    for _ in range(2):
+        files.write_archive([f"{tmp_path}/b.txt", f"{tmp_path}/a.txt"], f"{tmp_path}/x.zip", str(tmp_path))
+    assert zipfile.ZipFile(f"{tmp_path}/x.zip").namelist() == ["a.txt", "b.txt"]
+    df = spark.createDataFrame([("test", 3)], "split string, rows int")
+    assert report.dataset_card(df, "Set", "split").startswith("# Set\n\n| split | rows |")
+
+
+def test_saved_model(spark, tmp_path):
+    df = spark.createDataFrame([("good nice", 0), ("bad vile", 1)] * 10, "text string, label int")
+    models.classifier("word", features=50).fit(df).write().overwrite().save(f"{tmp_path}/model")
+    again = models.PipelineModel.load(f"{tmp_path}/model")
+    assert models.probability(again, df).filter((F.col("probability") >= 0.5).cast("int") != F.col("label")).count() == 0
