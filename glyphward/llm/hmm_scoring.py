@@ -42,7 +42,7 @@ SEED_TEXTS = 1500
 SLICE = 128
 #: Tokens of the texts that a recursion runs over at a time. Steps are as many as the longest text has tokens, so many
 #: texts share the steps of a long one. Training keeps 4 bytes for each token and state.
-STRETCH = 1_200_000
+STRETCH = 2_000_000
 PRIOR = 50.0
 CLASSES = OWN + SUFFIXES
 
@@ -116,9 +116,8 @@ def _numbered(tokens, frequent: int):
 def _position_counts(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width, np.int64)
-        for batch in batches:
-            for ids in batch.column(0):
-                total += np.bincount(np.frombuffer(ids.as_buffer(), np.uint32), minlength=width)
+        for group in stretches(np.frombuffer(ids.as_buffer(), np.uint32) for batch in batches for ids in batch.column(0)):
+            total += np.bincount(np.concatenate(group), minlength=width)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["number", "n"])
 

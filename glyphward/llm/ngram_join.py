@@ -4,8 +4,8 @@ A document is the set of its 5-word shingles. In each of ``RUNS`` runs the sets
 that is smallest under a random order, which two sets share with a probability equal to their similarity. A bucket
 of more than ``LIMIT`` sets is split again on the next token of its path, down to ``DEPTH`` levels; small buckets
 are compared by brute force. Two sets meet in a run with probability similarity ** depth, so with ``RUNS`` runs a
-pair at the threshold is missed with probability (1 - 0.8 ** depth) ** RUNS; where a document's deepest bucket makes
-this more than 1 - ``RECALL``, further rounds of runs follow for such documents.
+pair at the threshold is missed with probability (1 - 0.8 ** depth) ** RUNS; where the third deepest of a document's
+buckets makes this more than 1 - ``RECALL``, further rounds of runs follow for such documents.
 
 Brute force goes in two steps. Sketches (a byte of each of 48 tokens) rule out most pairs; the documents left ship
 their whole sets and their similarity is computed exactly, by a matrix product over the tokens of the bucket. A pair
@@ -99,13 +99,15 @@ def path_key(tokens: Column, run: Column, level: int, before: Column | None) ->
 
 
 def leaves(sets: DataFrame, first_run: int, runs: int, limit: int, depth: int) -> DataFrame:
-    """(rid, run, leaf, part, side, whole, level) for each set and run whose bucket holds another set. ``part`` is what is
-    compared in one place: the leaf, or two chunks of one that stayed too large."""
+    """(rid, run, leaf, part, side, whole, level, alone) for each set and run whose first bucket holds another set; it is
+    ``alone`` where a later split left it so. ``part`` is what is compared in one place: the leaf, or two chunks of one
+    that stayed too large."""
     every = sets.select("rid", "tokens", F.explode(F.sequence(F.lit(first_run), F.lit(first_run + runs - 1))).alias("run"))
     rows = every.select("rid", "run", path_key(F.col("tokens"), F.col("run"), 0, None).alias("key"))
     done = []
     for level in range(depth):
-        counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("count")).filter("count > 1")
+        counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("count"))
+        counts = counts if level else counts.filter("count > 1")
         counted = written(rows.join(counts, "key"), "buckets")
         small = counted if level + 1 == depth else counted.filter(F.col("count") <= limit)
         done.append(small.select("rid", "run", F.col("key").alias("leaf"), "count", F.lit(level + 1).alias("level")))
@@ -122,7 +124,7 @@ def leaves(sets: DataFrame, first_run: int, runs: int, limit: int, depth: int) -
     others = F.when(F.col("count") > limit, F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(F.lit(0)))
     cut = found.withColumn("side", side).withColumn("other", F.explode(others))
     part = F.xxhash64("leaf", F.least("side", "other"), F.greatest("side", "other"))
-    return cut.select("rid", "run", "leaf", "level", part.alias("part"), "side", (F.col("side") == F.col("other")).alias("whole"))
+    return cut.select("rid", "run", "leaf", "level", part.alias("part"), "side", (F.col("side") == F.col("other")).alias("whole"), (F.col("count") == 1).alias("alone"))
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -344,13 +346,15 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     for _ in range(MOST_ROUNDS):
         found = written(leaves(pending, first, runs, limit, depth), "leaves")
         release(spark)
-        met = found if met is None else met.unionByName(found)
+        together = found.filter("NOT alone")
+        met = together if met is None else met.unionByName(together)
         part = _links(docs, sets, met, first, runs, id_col, text_col, shingle, threshold, agree)
         linked = part if linked is None else linked.unionByName(part)
-        # Probability of missing a pair at the threshold if all buckets were as deep as the document's deepest: shallow
-        # ones are often those of its rare tokens, where no partner can be.
-        miss = F.pow(1 - F.pow(F.lit(threshold), F.max("level")), F.lit(first + runs))
-        deep = found.groupBy("rid").agg(miss.alias("p")).filter(F.col("p") > 1 - recall)
+        # Probability of missing a pair at the threshold if all runs went as deep as the third deepest in ten does: in a
+        # dense group that holds for nearly all its members, so they go on together.
+        levels = F.sort_array(F.collect_list(F.struct("level", "run"))["level"])  # one for each run; absent: the first
+        miss = F.pow(1 - F.pow(F.lit(threshold), F.coalesce(F.get(levels, F.size(levels) - max(1, runs * 3 // 10)), F.lit(1))), F.lit(first + runs))
+        deep = found.select("rid", "run", "level").distinct().groupBy("rid").agg(miss.alias("p")).filter(F.col("p") > 1 - recall)
         if deep.isEmpty():
             break
         pending, first = sets.join(deep.select("rid"), "rid", "left_semi"), first + runs
