@@ -83,7 +83,31 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
 }
 
+_WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+
 ORACLE_SQL = {
+    "op4_ngram_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+        u AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w),
+        g AS (SELECT doc_id, n, i, string_agg(x, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS t FROM u),
+        s AS (SELECT DISTINCT doc_id, t FROM g WHERE i <= greatest(n - 4, 1)),
+        sizes AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS (SELECT x, y FROM pairs JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE c >= 0.8 * (a.n + b.n - c)),
+        reach(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+        classes AS (SELECT x AS doc_id, min(y) AS class_id, count(*) AS class_size FROM reach GROUP BY x)
+        SELECT doc_id, class_id, class_size, coalesce(n_links, 0) AS n_links FROM classes LEFT JOIN (SELECT x, count(*) AS n_links FROM links GROUP BY x) ON x = doc_id
+    """,
+    "op7_substring_dedup": f"""
+        WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+        u AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w),
+        g AS (SELECT doc_id, i, x, CASE WHEN lead(i, 34) OVER (PARTITION BY doc_id ORDER BY i) IS NOT NULL
+                     THEN md5(string_agg(x, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)) END AS t FROM u),
+        c AS (SELECT doc_id, i, x, t IS NOT NULL AND count(*) OVER (PARTITION BY t) > 1 AS repeated FROM g),
+        m AS (SELECT doc_id, i, x, bool_or(repeated) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM c),
+        k AS (SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS n_removed, string_agg(x, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM m GROUP BY doc_id)
+        SELECT w.doc_id, coalesce(n, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON k.doc_id = w.doc_id
+    """,
     "op3_url_filter": """
         WITH urls AS (
             SELECT page_id,
