@@ -311,6 +311,18 @@ def _scored(model, class_of, plus_one, outside):
     return run
 
 
+def _most_frequent(heavy: DataFrame, most: int) -> list[bytes]:
+    """At most ``most`` tokens from the most frequent on. A histogram of counts says from which count on they are few
+    enough, so that only they are sent to the driver."""
+    size = F.floor(F.log2("n") * 16)
+    room, least = most, 1 << 30
+    for k, n in sorted(heavy.groupBy(size.alias("k")).count().collect(), reverse=True):  # 16 x 63 rows at most
+        if n > room:
+            break
+        room, least = room - n, k
+    return [bytes(t) for _, t in sorted((-r["n"], r["token"]) for r in heavy.filter(size >= least).collect())]
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, frequent: int = FREQUENT, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row."""
     spark = docs.sparkSession
@@ -319,8 +331,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, fr
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), (fold(id_col, FOLDS) == HELD_OUT).alias("held_out"), as_text(text_col).alias("data"))
     heavy = rows.filter(~F.col("held_out")).select("data").mapInArrow(_heavy(frequent), "token binary, n bigint")
-    heavy = heavy.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(frequent - 1)
-    tokens = [bytes(r[0]) for r in heavy.select("token").collect()]  # frequent - 1 tokens at most
+    tokens = _most_frequent(written(heavy.groupBy("token").agg(F.sum("n").alias("n")), "heavy"), frequent - 1)
     listed = context.broadcast(tokens)
     numbered = rows.mapInArrow(_numbered(listed, frequent), f"id {kind}, held_out boolean, ids binary, rare array<binary>, times array<int>")
     numbered = written(numbered.withColumn("rid", F.monotonically_increasing_id()), "numbered")
