@@ -31,7 +31,7 @@ def sweep(scored: DataFrame, score: str = "score", label: str = "label", thresho
     """All metrics at each threshold, where score >= threshold is a hit."""
     thresholds = candidates(scored, score) if thresholds is None else thresholds
     # Both sides carry a place in the order of scores: a score falls to the last threshold that is not above it.
-    points = thresholds.select(F.array_sort(F.collect_set("threshold").over(Window.partitionBy(F.lit(0)))).alias("points")).limit(1)
+    points = thresholds.agg(F.array_sort(F.collect_set("threshold")).alias("points"))
     per_score = scored.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(
         F.count(F.when(F.col(label) == 1, 1)).alias("p"), F.count(F.when(F.col(label) == 0, 1)).alias("n"))
     placed = per_score.crossJoin(F.broadcast(points)).select("p", "n", _last_not_above("points", "score").alias("place"))
