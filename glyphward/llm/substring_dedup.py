@@ -167,8 +167,8 @@ def _affected(docs: DataFrame, id_col: str, text_col: str, window: int, anchor:
     singles = written(once.groupBy("r").agg(F.collect_list("cell").alias("singles")), "cells")  # a document's own cells
     release(spark)
     one_of = rows.groupBy("d1", "d2").agg(F.min("r").alias("r"), F.count(F.lit(1)).alias("copies"))
-    texts = rows.select("r", "d1", "d2", "data").join(one_of.withColumnsRenamed({"d1": "e1", "d2": "e2", "r": "e"}), (F.col("r") == F.col("e")) & (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")))
-    texts = texts.select("r", "d1", "d2", "data", "copies").join(singles, "r", "left")
+    asked = one_of.join(singles, "r", "left").withColumnsRenamed({"d1": "e1", "d2": "e2", "r": "e"})  # small; texts move once
+    texts = rows.select("r", "d1", "d2", "data").join(asked, (F.col("r") == F.col("e")) & (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")))
     suspects = texts.select("data", "d1", "d2", "copies", "singles").mapInArrow(
         _suspects(window, anchor, cell_bits), "data binary, d1 bigint, d2 bigint, copies bigint, bits binary")
     suspects = written(suspects.withColumn("mid", F.monotonically_increasing_id()), "suspects")
