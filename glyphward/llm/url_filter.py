@@ -135,7 +135,8 @@ def judge_urls(pages: DataFrame, url_col: str = "url", rules=RULES, keep=("page_
         urls.select(F.explode(F.array(*keys.values())).alias("key")).filter(F.col("key").isNotNull()).distinct(), "keys")
     cascades = {}
     for action in ("block", "allow"):
-        listed = spark.createDataFrame([(h + p,) for h, p, a in rules if a == action], "key string").distinct()
+        keys_of = F.array(*[F.lit(h + p) for h, p, a in rules if a == action]).cast("array<string>")
+        listed = spark.range(1).select(F.explode(keys_of).alias("key")).distinct()
         cascades[action] = Cascade.build(universe, listed)
     if any(c is None for c in cascades.values()):
         return _judge_by_join(urls, rules, keys)
