@@ -26,7 +26,7 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(system, variant, id, label, score): the better the rank, the more the label weighs."""
     systems = spark.createDataFrame([(s, i) for i, s in enumerate(SYSTEMS)], "system string, system_rank int")
-    dims = systems.crossJoin(variants(spark).select("variant", "variant_rank"))
+    dims = systems.crossJoin(F.broadcast(variants(spark).select("variant", "variant_rank")))
     rows = truth(spark, sf_dir).crossJoin(F.broadcast(dims))
     key = F.concat_ws("|", "system", "variant", F.col("id").cast("string"))
     weight = 0.5 - 0.05 * F.col("system_rank") - 0.05 * F.col("variant_rank")
