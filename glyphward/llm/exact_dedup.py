@@ -188,5 +188,8 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     """The rows of ``docs`` that stay, with its columns; of rows with the same text and id one stays."""
     columns = docs.columns
     kept = exact_dedup(docs, id_col, text_col, **options).filter("kept")
+    alike = docs.groupBy(F.col(f"`{id_col}`"), F.xxhash64(as_text(text_col)), F.length(as_text(text_col))).agg(F.count(F.lit(1)).alias("n"))
+    if alike.filter("n > 1").isEmpty():  # hashes only; as a rule ids are unique, and texts move once
+        return kept.select(*[F.col(f"`{c}`") for c in columns])
     twice = kept.filter("group_size > 1").dropDuplicates([id_col, "text_sha256"])
     return kept.filter("group_size = 1").unionByName(twice).select(*[F.col(f"`{c}`") for c in columns])
