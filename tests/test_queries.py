@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from glyphward.plans.queries import ORACLE_SQL, QUERIES
@@ -21,7 +22,7 @@ def duck():
 
 def rows(frame):
     columns = sorted(frame.columns)
-    plain = lambda v: None if v is None or v != v else float(v) if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v)
+    plain = lambda v: None if pd.isna(v) else float(v) if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v)
     return columns, sorted(repr([plain(v) for v in r]) for r in frame[columns].astype(object).itertuples(index=False, name=None))
 
 
