@@ -380,7 +380,7 @@ def _as_hangul() -> Column:
 @query(f"""SELECT conv_id, turn, coalesce(list_aggregate(list_transform(string_split({_TO_HANGUL}, ''), lambda c: CASE WHEN unicode(c) BETWEEN 44032 AND 55203 THEN {_roman_sql('c')} ELSE c END), 'string_agg', ''), '') AS romanized
 FROM conversations""")
 def q_romanize(spark, sf_dir):
-    return syn.table(spark, sf_dir, "conversations").select("conv_id", "turn", hangul.romanize(_as_hangul()).alias("romanized"))
+    return syn.spread(syn.table(spark, sf_dir, "conversations")).select("conv_id", "turn", hangul.romanize(_as_hangul()).alias("romanized"))
 
 
 _TO_RUNES = f"translate(text, '{hangul.LETTERS}{hangul.LETTERS.upper()}', '{hangul.RUNES}{hangul.RUNES}')"
@@ -406,7 +406,7 @@ SELECT doc_id, round(CASE WHEN v > 0 THEN least(1.0::DOUBLE, 1.4::DOUBLE * r / v
        round(CASE WHEN v > 0 THEN r / v ELSE 0 END, 6) AS rune_ratio, round(CASE WHEN v > 0 THEN l / v ELSE 0 END, 6) AS latin_ratio FROM n""")
 def q_obfuscation_score(spark, sf_dir):
     mixed = F.when(F.col("doc_id") % 3 == 0, hangul.to_runes(F.col("text"))).otherwise(F.col("text"))
-    rows = syn.table(spark, sf_dir, "documents").select("doc_id", mixed.alias("t"))
+    rows = syn.spread(syn.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", mixed.alias("t"))
     return rows.select("doc_id", F.round(hangul.obfuscation_score(F.col("t")), 9).alias("obfuscation_score"), F.round(hangul.rune_ratio(F.col("t")), 6).alias("rune_ratio"), F.round(hangul.latin_ratio(F.col("t")), 6).alias("latin_ratio"))
 
 
@@ -427,13 +427,13 @@ def _deob_sql(table: str, keys: str) -> str:
 
 @query(_deob_sql("documents", "doc_id"))
 def q_deobfuscate(spark, sf_dir):
-    docs = syn.table(spark, sf_dir, "documents").repartition(spark.sparkContext.defaultParallelism)  # one file is one task otherwise
+    docs = syn.spread(syn.table(spark, sf_dir, "documents"))
     return docs.select("doc_id", F.md5(deob.deobfuscate("text").cast("binary")).alias("reconstructed"))
 
 
 @query(_deob_sql("conversations", "conv_id, turn"))
 def q_deobfuscate_expression(spark, sf_dir):
-    rows = syn.table(spark, sf_dir, "conversations").repartition(spark.sparkContext.defaultParallelism)
+    rows = syn.spread(syn.table(spark, sf_dir, "conversations"))
     return rows.select("conv_id", "turn", F.md5(deob.deobfuscate_expression(hangul.to_runes(F.col("text"))).cast("binary")).alias("reconstructed"))
 
 
@@ -448,7 +448,7 @@ o AS (SELECT conv_id, turn, i, CASE WHEN unicode(c) BETWEEN 44032 AND 55203 AND
 SELECT conv_id, turn, string_agg(o, '' ORDER BY i) AS obfuscated FROM o GROUP BY ALL""")
 def q_obfuscate_native(spark, sf_dir):
     _, syllables, letters, _ = obfuscate.READABLE[3]
-    rows = syn.table(spark, sf_dir, "conversations").select("conv_id", "turn", _as_hangul().alias("t"), F.concat_ws("|", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("key"))
+    rows = syn.spread(syn.table(spark, sf_dir, "conversations")).select("conv_id", "turn", _as_hangul().alias("t"), F.concat_ws("|", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("key"))
     return rows.filter(F.length("t") > 0).select("conv_id", "turn", obfuscate.obfuscate(F.col("t"), F.col("key"), syllables, letters).alias("obfuscated"))
 
 
@@ -464,14 +464,14 @@ o AS (SELECT conv_id, turn, i, CASE WHEN regexp_full_match(c, '[\\p{{Z}}\\s\\x1C
 SELECT conv_id, turn, string_agg(o, '' ORDER BY i) AS obfuscated FROM o GROUP BY ALL""")
 def q_glyph_mix_native(spark, sf_dir):
     name, syllables, letters, _ = obfuscate.GLYPH_MIX[1]
-    rows = syn.table(spark, sf_dir, "conversations").select("conv_id", "turn", _as_hangul().alias("t"), F.concat_ws("|", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("key"))
+    rows = syn.spread(syn.table(spark, sf_dir, "conversations")).select("conv_id", "turn", _as_hangul().alias("t"), F.concat_ws("|", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("key"))
     return rows.filter(F.length("t") > 0).select("conv_id", "turn", obfuscate.glyph_mix(F.col("t"), F.col("key"), syllables, letters).alias("obfuscated"))
 
 
 def _compatible(spark, sf_dir, mix=False):
     rows = syn.table(spark, sf_dir, "documents").join(syn.truth(spark, sf_dir).withColumnRenamed("id", "doc_id"), "doc_id")
     rows = rows.select(F.col("doc_id").alias("idx"), F.lit("test").alias("split"), "label", _as_hangul().alias("text"))
-    return obfuscate.obfuscate_compatible(rows, mix=mix)
+    return obfuscate.obfuscate_compatible(syn.spread(rows), mix=mix)
 
 
 @query()
