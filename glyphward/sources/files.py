@@ -14,7 +14,7 @@ S = {
     "raw": "document STRING, label STRING",
     "clean": "split STRING, id STRING, document STRING, obfuscated_document STRING, label STRING, is_hate_speech INT, perturbation_type STRING,"
     " syllable_obfuscation_ratio_target DOUBLE, glyph_letter_ratio_target DOUBLE, observed_glyph_char_ratio DOUBLE, source STRING",
-    "benchmark": "split STRING, id STRING, variant STRING, text STRING, original_document STRING, label INT, kmhas_label STRING, sample_order INT, normalized_text STRING",
+    "benchmark": "split STRING, id STRING, variant STRING, text STRING, original_document STRING, label INT, original_label STRING, sample_order INT, normalized_text STRING",
     "scores": "split STRING, id STRING, variant STRING, label INT, text STRING, normalized_text STRING, score DOUBLE",
     "predictions": "split STRING, id STRING, variant STRING, label INT, text STRING, normalized_text STRING, score DOUBLE, system STRING, threshold DOUBLE,"
     " pred_label INT, parsed_label STRING, raw_output STRING",
@@ -86,7 +86,7 @@ def benchmark_rows(df: DataFrame, variant: str) -> DataFrame:
     text = F.col("document" if variant == "clean" else "obfuscated_document")
     return df.select(
         "split", F.col("id").cast("string").alias("id"), F.lit(variant).alias("variant"), F.coalesce(text, F.lit("")).alias("text"),
-        F.coalesce("document", F.lit("")).alias("original_document"), F.col("is_hate_speech").cast("int").alias("label"), F.col("label").cast("string").alias("kmhas_label"))
+        F.coalesce("document", F.lit("")).alias("original_document"), F.col("is_hate_speech").cast("int").alias("label"), F.col("label").cast("string").alias("original_label"))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
