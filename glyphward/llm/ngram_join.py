@@ -4,8 +4,11 @@ A document is the set of its 5-word shingles. In each of ``RUNS`` runs the sets
 that is smallest under a random order, which two sets share with a probability equal to their similarity. A bucket
 of more than ``LIMIT`` sets is split again on the next token of its path, down to ``DEPTH`` levels; small buckets
 are compared by brute force. Two sets meet in a run with probability similarity ** depth, so with ``RUNS`` runs a
-pair at the threshold is missed with probability (1 - 0.8 ** depth) ** RUNS; where the third deepest of a document's
-buckets makes this more than 1 - ``RECALL``, further rounds of runs follow for such documents.
+pair at the threshold is missed with probability (1 - 0.8 ** depth) ** RUNS. The depth that counts is that of the
+deepest bucket below any of a document's first buckets, whoever is in it: its own are shallow where it left its group.
+Where this makes it more than 1 - ``RECALL``, further rounds of runs follow for the document and for all that share
+one of its first buckets that were split. Two that share a first bucket that was not split have met, so no pair goes
+on by halves.
 
 Brute force goes in two steps. Sketches (a byte of each of 48 tokens) rule out most pairs; the documents left ship
 their whole sets and their similarity is computed exactly, by a matrix product over the tokens of the bucket. A pair
@@ -29,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .rolling import WordHashes, mixed, windows
-from .shared import keyed, release, shared_dir, written
+from .shared import drop_written, keyed, release, shared_dir, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -91,31 +94,33 @@ def _signatures(shingle: int):
     return run
 
 
-def path_key(tokens: Column, run: Column, level: int, before: Column | None) -> Column:
-    """The bucket at ``level`` of a run: the token chosen there, on top of the path so far."""
+def chosen(tokens: Column, run: Column, level: int) -> Column:
+    """The token that a run splits on at ``level``."""
     cycle = F.floor(run / RUNS)  # each round of runs steps through the tokens in a way of its own
-    at = F.get(tokens, F.pmod(run % RUNS * (1 + 4 * cycle) + level * (11 + 2 * cycle), F.lit(TOKENS)).cast("int"))
-    return F.xxhash64(run, at) if before is None else F.xxhash64(before, at)
+    return F.get(tokens, F.pmod(run % RUNS * (1 + 4 * cycle) + level * (11 + 2 * cycle), F.lit(TOKENS)).cast("int"))
 
 
 def leaves(sets: DataFrame, first_run: int, runs: int, limit: int, depth: int) -> DataFrame:
-    """(rid, run, leaf, part, side, whole, level, alone) for each set and run whose first bucket holds another set; it is
-    ``alone`` where a later split left it so. ``part`` is what is compared in one place: the leaf, or two chunks of one
-    that stayed too large."""
+    """(rid, run, top, leaf, part, side, whole, level, alone) for each set and run whose first bucket, ``top``, holds
+    another set; it is ``alone`` where a later split left it so. ``part`` is what is compared in one place: the leaf, or
+    two chunks of one that stayed too large."""
     every = sets.select("rid", "tokens", F.explode(F.sequence(F.lit(first_run), F.lit(first_run + runs - 1))).alias("run"))
-    rows = every.select("rid", "run", path_key(F.col("tokens"), F.col("run"), 0, None).alias("key"))
+    rows = every.select("rid", "run", F.xxhash64("run", chosen(F.col("tokens"), F.col("run"), 0)).alias("key")).withColumn("top", F.col("key"))
     done = []
     for level in range(depth):
         counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("count"))
         counts = counts if level else counts.filter("count > 1")
         counted = written(rows.join(counts, "key"), "buckets")
         small = counted if level + 1 == depth else counted.filter(F.col("count") <= limit)
-        done.append(small.select("rid", "run", F.col("key").alias("leaf"), "count", F.lit(level + 1).alias("level")))
+        done.append(small.select("rid", "run", "top", F.col("key").alias("leaf"), "count", F.lit(level + 1).alias("level")))
         rest = counted.filter(F.col("count") > limit)
         if level + 1 == depth or rest.isEmpty():
             break
-        rows = rest.select("rid", "run", "key").join(sets.select("rid", "tokens"), "rid").select(
-            "rid", "run", path_key(F.col("tokens"), F.col("run"), level + 1, F.col("key")).alias("key"))
+        if level == 0:  # the rest of the path comes along, so that sets are met once, in a row each
+            split = rest.groupBy("rid").agg(F.collect_list(F.struct("run", "top")).alias("runs")).join(sets.select("rid", "tokens"), "rid")
+            split = split.select("rid", "tokens", F.explode("runs").alias("s")).select("rid", "tokens", "s.run", "s.top", F.col("s.top").alias("key"))
+            rest = split.withColumn("path", F.array(*[chosen(F.col("tokens"), F.col("run"), k) for k in range(1, depth)])).drop("tokens")
+        rows = rest.select("rid", "run", "top", "path", F.xxhash64("key", F.get("path", F.lit(level))).alias("key"))
     found = done[0]
     for more in done[1:]:
         found = found.unionByName(more)
@@ -124,7 +129,7 @@ def leaves(sets: DataFrame, first_run: int, runs: int, limit: int, depth: int) -
     others = F.when(F.col("count") > limit, F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(F.lit(0)))
     cut = found.withColumn("side", side).withColumn("other", F.explode(others))
     part = F.xxhash64("leaf", F.least("side", "other"), F.greatest("side", "other"))
-    return cut.select("rid", "run", "leaf", "level", part.alias("part"), "side", (F.col("side") == F.col("other")).alias("whole"), (F.col("count") == 1).alias("alone"))
+    return cut.select("rid", "run", "top", "leaf", "level", part.alias("part"), "side", (F.col("side") == F.col("other")).alias("whole"), (F.col("count") == 1).alias("alone"))
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -291,7 +296,22 @@ def _links(docs: DataFrame, sets: DataFrame, found: DataFrame, first: int, runs:
     # A row repeated with its id has the same key twice; one of them is the set.
     texts = texts.select("rid", "met", "copies", "places", "data")
     whole = texts.mapInArrow(_with_sets(shingle), _schema(WITH_SETS)).dropDuplicates(["part", "rid"]) if _repeats(sets) else texts.mapInArrow(_with_sets(shingle), _schema(WITH_SETS))
-    return written(_by_part(whole).mapInArrow(_verify(threshold), _schema(LINKED)), "links")
+    links = written(_by_part(whole).mapInArrow(_verify(threshold), _schema(LINKED)), "links")
+    drop_written(plausible)
+    return links
+
+
+def going_on(found: DataFrame, earlier: DataFrame | None, runs: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """(rid) of the sets that ``runs`` runs so far are too few for and of all they may have missed, and (rid, deepest):
+    how deep the buckets below their first ones are, ``earlier`` included."""
+    split = found.filter("level > 1").groupBy("top").agg(F.max("level").alias("deepest"))  # one in limit rows at most
+    inside = found.select("rid", "top").distinct().join(F.broadcast(split), "top")
+    depths = inside.select("rid", "deepest")
+    depths = depths if earlier is None else depths.unionByName(earlier)
+    depths = written(depths.groupBy("rid").agg(F.max("deepest").alias("deepest")), "depths")
+    deep = depths.filter(F.pow(1 - F.pow(F.lit(threshold), F.col("deepest")), F.lit(runs)) > 1 - recall)
+    tops = inside.join(deep, "rid", "left_semi").select("top").distinct()
+    return written(inside.join(F.broadcast(tops), "top", "left_semi").select("rid").distinct(), "pending"), depths
 
 
 def _repeats(sets: DataFrame) -> bool:
@@ -342,22 +362,23 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     twins = signed.join(one_of, (F.col("r") == F.col("e")) & (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2"))).drop("e", "e1", "e2")
     sets = written(_one_each(twins), "sets").withColumn("rid", F.col("rid"))
     release(spark)
-    pending, first, linked, met = sets, 0, None, None
+    pending, first, linked, met, depths = sets, 0, None, None, None
     for _ in range(MOST_ROUNDS):
-        found = written(leaves(pending, first, runs, limit, depth), "leaves")
+        buckets = leaves(pending, first, runs, limit, depth)
+        found = written(buckets, "leaves")
+        drop_written(buckets)
         release(spark)
         together = found.filter("NOT alone")
         met = together if met is None else met.unionByName(together)
         part = _links(docs, sets, met, first, runs, id_col, text_col, shingle, threshold, agree)
         linked = part if linked is None else linked.unionByName(part)
-        # Probability of missing a pair at the threshold if all runs went as deep as the third deepest in ten does: in a
-        # dense group that holds for nearly all its members, so they go on together.
-        levels = F.sort_array(F.collect_list(F.struct("level", "run"))["level"])  # one for each run; absent: the first
-        miss = F.pow(1 - F.pow(F.lit(threshold), F.coalesce(F.get(levels, F.size(levels) - max(1, runs * 3 // 10)), F.lit(1))), F.lit(first + runs))
-        deep = found.select("rid", "run", "level").distinct().groupBy("rid").agg(miss.alias("p")).filter(F.col("p") > 1 - recall)
-        if deep.isEmpty():
+        first += runs
+        rids, depths = going_on(found, depths, first, threshold, recall)
+        if (1 - threshold) ** first > 1 - recall:  # too few runs even where no bucket is split
+            continue
+        if rids.isEmpty():
             break
-        pending, first = sets.join(deep.select("rid"), "rid", "left_semi"), first + runs
+        pending = sets.join(rids, "rid", "left_semi")
     linked = written(linked, "linked")
     roots = components(linked)
     counted = linked.groupBy("rid").agg(F.sum("links").alias("links"))

@@ -273,6 +273,32 @@ def test_dense_group(spark):
     assert len({r.class_id for r in found.values()}) == len(set(root))
 
 
+def variants(n):
+    """Texts that differ from one text in up to six words each, and how many links all have."""
+    rnd = random.Random(5)
+    texts = []
+    for _ in range(n):
+        w = [f"w{k}" for k in range(120)]
+        for _ in range(rnd.randrange(1, 7)):
+            w[rnd.randrange(120)] = f"x{rnd.randrange(40)}"
+        texts.append(" ".join(w))
+    number = {}
+    held = [[number.setdefault(t, len(number)) for t in shingled(text)] for text in texts]
+    has = np.zeros((n, len(number)), np.float32)
+    for row, tokens in zip(has, held):
+        row[tokens] = 1
+    common, size = has @ has.T, has.sum(axis=1)
+    alike = common / (size[:, None] + size[None, :] - common)
+    np.fill_diagonal(alike, 0)
+    return texts, int((alike >= 0.8 - 1e-9).sum()), int(((alike >= 0.8 - 1e-9) & (alike < 0.82)).sum())
+
+
+def test_dense_group_goes_on_until_it_meets_the_recall(spark):
+    texts, links, _ = variants(1500)
+    found = sum(r.n_links for r in by_id(ngram_join.similar(frame(spark, texts), limit=100)).values())
+    assert 0.999 * links <= found <= links  # 0.9989 with the third deepest of a set's own buckets
+
+
 def test_one_of_each(spark):
     df = frame(spark)
     stay = ngram_join.one_of_each(df)
