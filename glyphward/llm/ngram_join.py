@@ -41,15 +41,18 @@ DEPTH = 6
 LIMIT = 1024
 RECALL = 0.999
 MOST_ROUNDS = 5
-#: Sampled tokens of a set.
+#: Sampled tokens of a set that its sketch has a byte of. Paths have tokens of their own for each run and level.
 TOKENS = 48
 #: A pair is compared exactly when so many of the sketches' bytes agree: 38.4 are expected at the threshold, with a
 #: standard deviation of 2.8.
 AGREE = 25
 
-_RANDOM = np.random.RandomState(20240607)
-_FLIP = _RANDOM.randint(0, 1 << 62, TOKENS).astype(np.uint64)
-_TIMES = (_RANDOM.randint(0, 1 << 62, TOKENS).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
+
+def orders(first_run: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """``count`` random orders; those of each round of runs are drawn anew."""
+    random = np.random.RandomState(20240607 + first_run)
+    flip = random.randint(0, 1 << 62, count).astype(np.uint64)
+    return flip, (random.randint(0, 1 << 62, count).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
 def shingles(words: list[bytes], hashes: WordHashes, shingle: int) -> np.ndarray:
@@ -62,18 +65,25 @@ def shingles(words: list[bytes], hashes: WordHashes, shingle: int) -> np.ndarray
     return np.unique(windows(h, shingle))
 
 
-def smallest(tokens: np.ndarray) -> np.ndarray:
+def smallest(tokens: np.ndarray, flip: np.ndarray, times: np.ndarray) -> np.ndarray:
     """The sampled tokens: for each random order its smallest value."""
-    out = np.empty(TOKENS, np.uint64)
+    out = np.empty(len(flip), np.uint64)
     with np.errstate(over="ignore"):
-        for a in range(0, TOKENS, 8):
-            x = (tokens[None, :] ^ _FLIP[a:a + 8, None]) * _TIMES[a:a + 8, None]
+        for a in range(0, len(flip), 8):
+            x = (tokens[None, :] ^ flip[a:a + 8, None]) * times[a:a + 8, None]
             out[a:a + 8] = (x ^ (x >> np.uint64(32))).min(axis=1)
     return out
 
 
-def _signatures(shingle: int):
-    """(r, d1, d2, data) to (r, d1, d2, n, tokens, sketch)."""
+def _lists(rows: list[np.ndarray], count: int) -> pa.ListArray:
+    """Equally long rows of tokens."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * count, pa.int32()), pa.array(np.concatenate(rows) if rows else np.empty(0, np.int64)))
+
+
+def _signatures(shingle: int, paths: int):
+    """(r, d1, d2, data) to (r, d1, d2, n, tokens, sketch), with the ``paths`` tokens of the first runs."""
+    count = max(TOKENS, paths)
+    flip, times = orders(0, count)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -82,30 +92,41 @@ def _signatures(shingle: int):
             for i, data in enumerate(batch.column(3)):
                 found = shingles(data.as_buffer().to_pybytes().split(), hashes, shingle)
                 if len(found):
-                    least = smallest(found)
+                    least = smallest(found, flip, times)
                     rows.append(i)
                     sizes.append(len(found))
                     tokens.append(least.view(np.int64))
-                    sketches.append(mixed(least).astype(np.uint8).tobytes())
+                    sketches.append(mixed(least[:TOKENS]).astype(np.uint8).tobytes())
             kept = batch.take(pa.array(rows, pa.int64()))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * TOKENS, pa.int32()), pa.array(np.concatenate(tokens) if rows else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([*kept.columns[:3], pa.array(sizes, pa.int64()), lists, pa.array(sketches, pa.binary())], names=["r", "d1", "d2", "n", "tokens", "sketch"])
+            yield pa.RecordBatch.from_arrays([*kept.columns[:3], pa.array(sizes, pa.int64()), _lists(tokens, count), pa.array(sketches, pa.binary())], names=["r", "d1", "d2", "n", "tokens", "sketch"])
 
     return run
 
 
-def chosen(tokens: Column, run: Column, level: int) -> Column:
-    """The token that a run splits on at ``level``."""
-    cycle = F.floor(run / RUNS)  # each round of runs steps through the tokens in a way of its own
-    return F.get(tokens, F.pmod(run % RUNS * (1 + 4 * cycle) + level * (11 + 2 * cycle), F.lit(TOKENS)).cast("int"))
+def _more_tokens(shingle: int, first_run: int, paths: int):
+    """(rid, data) to (rid, tokens): the ``paths`` tokens of the runs from ``first_run`` on."""
+    flip, times = orders(first_run, paths)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            tokens = [smallest(shingles(data.as_buffer().to_pybytes().split(), hashes, shingle), flip, times).view(np.int64) for data in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(tokens, paths)], names=["rid", "tokens"])
+
+    return run
 
 
 def leaves(sets: DataFrame, first_run: int, runs: int, limit: int, depth: int) -> DataFrame:
     """(rid, run, top, leaf, part, side, whole, level, alone) for each set and run whose first bucket, ``top``, holds
     another set; it is ``alone`` where a later split left it so. ``part`` is what is compared in one place: the leaf, or
     two chunks of one that stayed too large."""
+
+    def chosen(level: int) -> Column:
+        """The token that a run splits on at ``level``; no other run or level has its order."""
+        return F.get("tokens", (F.col("run") - first_run) * depth + level)
+
     every = sets.select("rid", "tokens", F.explode(F.sequence(F.lit(first_run), F.lit(first_run + runs - 1))).alias("run"))
-    rows = every.select("rid", "run", F.xxhash64("run", chosen(F.col("tokens"), F.col("run"), 0)).alias("key")).withColumn("top", F.col("key"))
+    rows = every.select("rid", "run", F.xxhash64("run", chosen(0)).alias("key")).withColumn("top", F.col("key"))
     done = []
     for level in range(depth):
         counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("count"))
@@ -119,7 +140,7 @@ def leaves(sets: DataFrame, first_run: int, runs: int, limit: int, depth: int) -
         if level == 0:  # the rest of the path comes along, so that sets are met once, in a row each
             split = rest.groupBy("rid").agg(F.collect_list(F.struct("run", "top")).alias("runs")).join(sets.select("rid", "tokens"), "rid")
             split = split.select("rid", "tokens", F.explode("runs").alias("s")).select("rid", "tokens", "s.run", "s.top", F.col("s.top").alias("key"))
-            rest = split.withColumn("path", F.array(*[chosen(F.col("tokens"), F.col("run"), k) for k in range(1, depth)])).drop("tokens")
+            rest = split.withColumn("path", F.array(*[chosen(k) for k in range(1, depth)])).drop("tokens")
         rows = rest.select("rid", "run", "top", "path", F.xxhash64("key", F.get("path", F.lit(level))).alias("key"))
     found = done[0]
     for more in done[1:]:
@@ -276,8 +297,17 @@ def _by_part(rows: DataFrame) -> DataFrame:
     return rows.repartition("part").sortWithinPartitions("part")
 
 
-def _links(docs: DataFrame, sets: DataFrame, found: DataFrame, first: int, runs: int, id_col: str, text_col: str, shingle: int, threshold: float, agree: int) -> DataFrame:
-    """(rid, label, links) of the runs from ``first`` on; ``found`` has the buckets of these and all earlier runs."""
+def _texts(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The sets ``asked``, which have r, d1 and d2, with their texts. A row repeated with its id has the same key twice
+    and gives its set twice."""
+    asked = asked.withColumnsRenamed({"r": "e", "d1": "e1", "d2": "e2"})
+    rows = keyed(docs, id_col, text_col)
+    return rows.join(asked, (F.col("r") == F.col("e")) & (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")))
+
+
+def _links(docs: DataFrame, sets: DataFrame, texts: DataFrame | None, found: DataFrame, first: int, runs: int, id_col: str, text_col: str, shingle: int, threshold: float, agree: int) -> DataFrame:
+    """(rid, label, links) of the runs from ``first`` on; ``found`` has the buckets of these and all earlier runs, and
+    ``texts`` the texts of the sets that take part where they have been written."""
     spark = docs.sparkSession
     in_order = F.transform(F.sequence(F.lit(0), F.lit(first + runs - 1)), lambda r: F.coalesce(F.element_at("by_run", r.cast("int")), F.lit(0)))
     mine = found.groupBy("rid").agg(
@@ -290,10 +320,10 @@ def _links(docs: DataFrame, sets: DataFrame, found: DataFrame, first: int, runs:
     plausible = written(_by_part(rows).mapInArrow(_plausible(threshold, agree), _schema(PLAUSIBLE)), "plausible")
     release(spark)
     asked = plausible.groupBy("rid", "met", "copies").agg(F.collect_list(F.struct("part", "run", "side", "whole")).alias("places"))
-    asked = asked.join(sets.select("rid", F.col("r").alias("e"), F.col("d1").alias("e1"), F.col("d2").alias("e2")), "rid")
-    rows = keyed(docs, id_col, text_col)
-    texts = rows.join(asked, (F.col("r") == F.col("e")) & (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")))
-    # A row repeated with its id has the same key twice; one of them is the set.
+    if texts is None:
+        texts = _texts(docs, asked.join(sets.select("rid", "r", "d1", "d2"), "rid"), id_col, text_col)
+    else:
+        texts = texts.join(asked, "rid")
     texts = texts.select("rid", "met", "copies", "places", "data")
     whole = texts.mapInArrow(_with_sets(shingle), _schema(WITH_SETS)).dropDuplicates(["part", "rid"]) if _repeats(sets) else texts.mapInArrow(_with_sets(shingle), _schema(WITH_SETS))
     links = written(_by_part(whole).mapInArrow(_verify(threshold), _schema(LINKED)), "links")
@@ -357,28 +387,34 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     shared_dir(spark)
     rows = keyed(docs, id_col, text_col)
     one_of = rows.groupBy("d1", "d2").agg(F.min("r").alias("e"), F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.count(F.when(F.col("id").isNull(), 1)).alias("nulls"))
-    signed = rows.select("r", "d1", "d2", "data").mapInArrow(_signatures(shingle), "r bigint, d1 bigint, d2 bigint, n bigint, tokens array<bigint>, sketch binary")
+    signed = rows.select("r", "d1", "d2", "data").mapInArrow(_signatures(shingle, runs * depth), "r bigint, d1 bigint, d2 bigint, n bigint, tokens array<bigint>, sketch binary")
     one_of = one_of.withColumnsRenamed({"d1": "e1", "d2": "e2"})
     twins = signed.join(one_of, (F.col("r") == F.col("e")) & (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2"))).drop("e", "e1", "e2")
     sets = written(_one_each(twins), "sets").withColumn("rid", F.col("rid"))
     release(spark)
-    pending, first, linked, met, depths = sets, 0, None, None, None
+    pending, first, linked, met, depths, rids, texts = sets, 0, None, None, None, None, None
     for _ in range(MOST_ROUNDS):
+        if rids is not None:
+            if texts is None:
+                texts = _texts(docs, sets.join(rids, "rid", "left_semi").select("rid", "r", "d1", "d2"), id_col, text_col).select("rid", "data")
+                texts = written(texts.dropDuplicates(["rid"]) if _repeats(sets) else texts, "texts")
+            fresh = texts.mapInArrow(_more_tokens(shingle, first, runs * depth), "rid bigint, tokens array<bigint>")
+            pending = written(fresh.join(rids, "rid", "left_semi"), "tokens")
+            release(spark)
         buckets = leaves(pending, first, runs, limit, depth)
         found = written(buckets, "leaves")
         drop_written(buckets)
         release(spark)
         together = found.filter("NOT alone")
         met = together if met is None else met.unionByName(together)
-        part = _links(docs, sets, met, first, runs, id_col, text_col, shingle, threshold, agree)
+        part = _links(docs, sets, texts, met, first, runs, id_col, text_col, shingle, threshold, agree)
         linked = part if linked is None else linked.unionByName(part)
         first += runs
         rids, depths = going_on(found, depths, first, threshold, recall)
         if (1 - threshold) ** first > 1 - recall:  # too few runs even where no bucket is split
-            continue
-        if rids.isEmpty():
+            rids = pending.select("rid")
+        elif rids.isEmpty():
             break
-        pending = sets.join(rids, "rid", "left_semi")
     linked = written(linked, "linked")
     roots = components(linked)
     counted = linked.groupBy("rid").agg(F.sum("links").alias("links"))

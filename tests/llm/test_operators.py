@@ -299,6 +299,12 @@ def test_dense_group_goes_on_until_it_meets_the_recall(spark):
     assert 0.999 * links <= found <= links  # 0.9989 with the third deepest of a set's own buckets
 
 
+def test_large_dense_group_at_the_limit_in_use(spark):
+    texts, links, close = variants(4000)
+    found = sum(r.n_links for r in by_id(ngram_join.similar(frame(spark, texts))).values())
+    assert links - 0.001 * close <= found <= links  # 234 of 89,164 close links were lost when rounds shared 48 tokens
+
+
 def test_one_of_each(spark):
     df = frame(spark)
     stay = ngram_join.one_of_each(df)
