@@ -2,20 +2,21 @@
 
 A document is the set of its 5-word shingles. In each of ``RUNS`` runs the sets are split on a sampled token: the one
 that is smallest under a random order, which two sets share with a probability equal to their similarity. A bucket
-of more than ``LIMIT`` sets is split again on the next token of its path, down to ``DEPTH`` levels; small buckets
-are compared by brute force. Two sets meet in a run with probability similarity ** depth, so with ``RUNS`` runs a
-pair at the threshold is missed with probability (1 - 0.8 ** depth) ** RUNS. The depth that counts is that of the
-deepest bucket below any of a document's first buckets, whoever is in it: its own are shallow where it left its group.
-Where this makes it more than 1 - ``RECALL``, further rounds of runs follow for the document and for all that share
-one of its first buckets that were split. Two that share a first bucket that was not split have met, so no pair goes
-on by halves.
+of more than ``LIMIT`` sets or ``MOST_TOKENS`` shingles is split again on the next token of its path, down to
+``DEPTH`` levels; small buckets are compared by brute force. Two sets meet in a run with probability similarity **
+depth, so with n runs a pair at the threshold is missed with probability (1 - 0.8 ** depth) ** n. Two sets of which
+one was in no split bucket have a depth of one. For the others, rounds of further runs follow until this, with the
+deepest level that any bucket reached, is at most 1 - ``RECALL``; there is no other end to the rounds.
+
+Only heavy buckets are looked up below the first level: there is at most one for ``LIMIT`` rows, and the rows of a
+level meet them in one outer join. What meets none is a leaf.
 
 Brute force goes in two steps. Sketches (a byte of each of 48 tokens) rule out most pairs; the documents left ship
-their whole sets and their similarity is computed exactly, by a matrix product over the tokens of the bucket. A pair
-that meets in several runs is compared in the first only. Buckets return a row for each document (its links, and
-the smallest document it hangs together with), never pairs, so a dense group costs rows in proportion to its size.
-A bucket that stays too large at the last level is cut into chunks and every pair of chunks is compared: nothing is
-dropped. Equal texts are one set with a number of copies. Classes are the connected components of the links.
+their whole sets, and the pairs left are counted exactly, over bits of the shingles that each cluster of them shares.
+A pair that meets in several runs is compared in the first only. Buckets return a row for each document (its links,
+and the smallest document it hangs together with), never pairs, so a dense group costs rows in proportion to its
+size. A bucket that stays too large at the last level is cut into chunks and every pair of chunks is compared: nothing
+is dropped. Equal texts are one set with a number of copies. Classes are the connected components of the links.
 
 Edge cases: a text of fewer than five words has one shingle, all its words; a null or empty text has none, links to
 nothing and is a class of its own; repeated rows are copies; a null id takes part and is never a class id unless all
@@ -24,6 +25,8 @@ ids of the class are null; an empty table gives an empty result; further columns
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,15 +35,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .rolling import WordHashes, mixed, windows
-from .shared import drop_written, keyed, release, shared_dir, written
+from .shared import drop_written, keyed, shared_dir, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
 RUNS = 10
 DEPTH = 6
-LIMIT = 1024
+LIMIT = 4096
+#: Shingles in a bucket that is compared in one place: 32 MB of them.
+MOST_TOKENS = 4 << 20
 RECALL = 0.999
-MOST_ROUNDS = 5
 #: Sampled tokens of a set that its sketch has a byte of. Paths have tokens of their own for each run and level.
 TOKENS = 48
 #: A pair is compared exactly when so many of the sketches' bytes agree: 38.4 are expected at the threshold, with a
@@ -116,41 +120,50 @@ def _more_tokens(shingle: int, first_run: int, paths: int):
     return run
 
 
-def leaves(sets: DataFrame, first_run: int, runs: int, limit: int, depth: int) -> DataFrame:
-    """(rid, run, top, leaf, part, side, whole, level, alone) for each set and run whose first bucket, ``top``, holds
-    another set; it is ``alone`` where a later split left it so. ``part`` is what is compared in one place: the leaf, or
-    two chunks of one that stayed too large."""
+def leaves(sets: DataFrame, first_run: int, runs: int, limit: int, most_tokens: int, depth: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(rid, run, leaf, part, side, whole, level) for each set and run whose first bucket holds another set, and the
+    written tables it reads. ``part`` is what is compared in one place: the leaf, or two chunks of one that stayed too
+    large."""
 
     def chosen(level: int) -> Column:
         """The token that a run splits on at ``level``; no other run or level has its order."""
         return F.get("tokens", (F.col("run") - first_run) * depth + level)
 
-    every = sets.select("rid", "tokens", F.explode(F.sequence(F.lit(first_run), F.lit(first_run + runs - 1))).alias("run"))
-    rows = every.select("rid", "run", F.xxhash64("run", chosen(0)).alias("key")).withColumn("top", F.col("key"))
-    done = []
-    for level in range(depth):
-        counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("count"))
-        counts = counts if level else counts.filter("count > 1")
-        counted = written(rows.join(counts, "key"), "buckets")
-        small = counted if level + 1 == depth else counted.filter(F.col("count") <= limit)
-        done.append(small.select("rid", "run", "top", F.col("key").alias("leaf"), "count", F.lit(level + 1).alias("level")))
-        rest = counted.filter(F.col("count") > limit)
-        if level + 1 == depth or rest.isEmpty():
+    heavy = (F.col("count") > limit) | (F.col("total") > most_tokens)
+    sizes = (F.count(F.lit(1)).alias("count"), F.sum("n").alias("total"))
+    every = sets.select("rid", "n", "tokens", F.explode(F.sequence(F.lit(first_run), F.lit(first_run + runs - 1))).alias("run"))
+    rows = every.select("rid", "n", "run", F.xxhash64("run", chosen(0)).alias("key"))
+    counted = written(rows.join(rows.groupBy("key").agg(*sizes).filter("count > 1"), "key"), "buckets")
+    tables, done = [counted], []
+    rest, level = counted.filter(heavy), 1
+    done.append((counted.filter(~heavy), level))
+    if depth > 1 and not rest.isEmpty():  # the rest of the path comes along, so that sets are met once
+        split = rest.groupBy("rid", "n").agg(F.collect_list(F.struct("run", "key")).alias("runs")).join(sets.select("rid", "tokens"), "rid")
+        split = split.select("rid", "n", "tokens", F.explode("runs").alias("s")).select("rid", "n", "tokens", "s.run", "s.key")
+        rest = split.withColumn("path", F.array(*[chosen(k) for k in range(1, depth)])).drop("tokens")
+    while level < depth and not rest.isEmpty():
+        rows = written(rest.select("rid", "n", "run", "path", F.xxhash64("key", F.get("path", F.lit(level - 1))).alias("key")), "paths")
+        crowds = written(rows.groupBy("key").agg(*sizes).filter(heavy), "heavy")
+        tables += [rows, crowds]
+        level += 1
+        if crowds.isEmpty():
+            done.append((rows.withColumns({"count": F.lit(None).cast("long"), "total": F.lit(None).cast("long")}), level))
+            rest = rows.limit(0)
             break
-        if level == 0:  # the rest of the path comes along, so that sets are met once, in a row each
-            split = rest.groupBy("rid").agg(F.collect_list(F.struct("run", "top")).alias("runs")).join(sets.select("rid", "tokens"), "rid")
-            split = split.select("rid", "tokens", F.explode("runs").alias("s")).select("rid", "tokens", "s.run", "s.top", F.col("s.top").alias("key"))
-            rest = split.withColumn("path", F.array(*[chosen(k) for k in range(1, depth)])).drop("tokens")
-        rows = rest.select("rid", "run", "top", "path", F.xxhash64("key", F.get("path", F.lit(level))).alias("key"))
-    found = done[0]
-    for more in done[1:]:
-        found = found.unionByName(more)
-    chunks = F.ceil(F.col("count") / F.lit(max(1, limit // 2))).cast("int")
-    side = F.when(F.col("count") > limit, F.pmod(F.xxhash64("rid"), chunks).cast("int")).otherwise(F.lit(0))
-    others = F.when(F.col("count") > limit, F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(F.lit(0)))
-    cut = found.withColumn("side", side).withColumn("other", F.explode(others))
+        looked_up = written(rows.join(crowds, "key", "left"), "buckets")
+        tables.append(looked_up)
+        done.append((looked_up.filter("count IS NULL"), level))
+        rest = looked_up.filter("count IS NOT NULL")
+    done.append((rest, level))  # still too large
+    found = [rows.select("rid", "run", F.col("key").alias("leaf"), "count", "total", F.lit(at).alias("level")) for rows, at in done]
+    cut = functools.reduce(DataFrame.unionByName, found)
+    crowded = F.coalesce(heavy, F.lit(False))
+    chunks = F.greatest(F.ceil(F.col("count") / max(1, limit // 2)), F.ceil(F.col("total") / max(1, most_tokens // 2))).cast("int")
+    side = F.when(crowded, F.pmod(F.xxhash64("rid"), chunks).cast("int")).otherwise(F.lit(0))
+    others = F.when(crowded, F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(F.lit(0)))
+    cut = cut.withColumn("side", side).withColumn("other", F.explode(others))
     part = F.xxhash64("leaf", F.least("side", "other"), F.greatest("side", "other"))
-    return cut.select("rid", "run", "top", "leaf", "level", part.alias("part"), "side", (F.col("side") == F.col("other")).alias("whole"), (F.col("count") == 1).alias("alone"))
+    return cut.select("rid", "run", "leaf", "level", part.alias("part"), "side", (F.col("side") == F.col("other")).alias("whole")), tables
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -166,35 +179,43 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield held
 
 
-def _first_meeting(met: np.ndarray, run: int, side: np.ndarray, whole: bool) -> np.ndarray:
-    """Which pairs are compared here: those that met in no earlier run, and of two chunks those across."""
-    here = np.ones((len(met), len(met)), bool)
-    for r in range(run):
-        column = met[:, r]
-        here &= ~((column[:, None] == column[None, :]) & (column != 0)[:, None])
-    if not whole:
-        here &= side[:, None] != side[None, :]
-    np.fill_diagonal(here, False)
-    return here
+#: Rows of a bucket that are held against all of it at once.
+BLOCK = 256
+
+
+def candidates(rows: list[tuple], threshold: float, agree: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (places i < j in ``rows``) to compare exactly here: alike by sketch and size, met in no earlier run, and of
+    two chunks those across. ``rows`` begin with part, run, rid, side, whole, n, sketch, met."""
+    n = np.array([r[5] for r in rows], float)
+    sketch = np.ascontiguousarray(np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(len(rows), TOKENS).T)
+    met = np.frombuffer(b"".join(r[7] for r in rows), np.int64).reshape(len(rows), -1)
+    side, run, whole = np.array([r[3] for r in rows]), rows[0][1], rows[0][4]
+    firsts, seconds = [], []
+    for a in range(0, len(rows), BLOCK):
+        same = np.zeros((min(BLOCK, len(rows) - a), len(rows) - a), np.uint8)
+        for k in range(TOKENS):
+            same += sketch[k, a:a + BLOCK, None] == sketch[k, None, a:]
+        i, j = np.nonzero(np.triu(same >= agree, 1))
+        i, j = i + a, j + a
+        fits = np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9
+        if not whole:
+            fits &= side[i] != side[j]
+        for r in range(run):
+            fits &= (met[i, r] != met[j, r]) | (met[i, r] == 0)
+        firsts.append(i[fits])
+        seconds.append(j[fits])
+    return np.concatenate(firsts), np.concatenate(seconds)
 
 
 def _plausible(threshold: float, agree: int):
-    """(part, run, rid, side, whole, n, sketch, met, copies): the rows with a plausible partner, without n and sketch."""
+    """(part, run, rid, side, whole, n, sketch, met, copies): the rows with a plausible partner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for rows in _groups(batches):
             if len(rows) < 2:
                 continue
-            n = np.array([r[5] for r in rows], float)
-            sketch = np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(len(rows), TOKENS)
-            met = np.frombuffer(b"".join(r[7] for r in rows), np.int64).reshape(len(rows), -1)
-            same = np.zeros((len(rows), len(rows)), np.uint8)
-            for j in range(TOKENS):
-                same += sketch[:, None, j] == sketch[None, :, j]
-            fits = (same >= agree) & (np.minimum(n[:, None], n[None, :]) >= threshold * np.maximum(n[:, None], n[None, :]) - 1e-9)
-            fits &= _first_meeting(met, rows[0][1], np.array([r[3] for r in rows]), rows[0][4])
-            out += [(*rows[i][:5], rows[i][7], rows[i][8]) for i in np.flatnonzero(fits.any(axis=1)).tolist()]
+            out += [rows[i] for i in np.unique(np.concatenate(candidates(rows, threshold, agree))).tolist()]
             if len(out) > 4096:
                 yield _rows(out, PLAUSIBLE)
                 out = []
@@ -204,7 +225,7 @@ def _plausible(threshold: float, agree: int):
     return run
 
 
-PLAUSIBLE = (("part", pa.int64()), ("run", pa.int32()), ("rid", pa.int64()), ("side", pa.int32()), ("whole", pa.bool_()), ("met", pa.binary()), ("copies", pa.int64()))
+PLAUSIBLE = (("part", pa.int64()), ("run", pa.int32()), ("rid", pa.int64()), ("side", pa.int32()), ("whole", pa.bool_()), ("n", pa.int64()), ("sketch", pa.binary()), ("met", pa.binary()), ("copies", pa.int64()))
 WITH_SETS = (*PLAUSIBLE, ("tokens", pa.binary()))
 LINKED = (("rid", pa.int64()), ("label", pa.int64()), ("links", pa.int64()))
 
@@ -219,54 +240,76 @@ def _schema(columns) -> str:
 
 
 def _with_sets(shingle: int):
-    """(rid, met, copies, places, data) to a row for each place, with the whole set."""
+    """(rid, n, sketch, met, copies, places, data) to a row for each place, with the whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             out: list[tuple] = []
-            for rid, met, copies, places, data in zip(*(c.to_pylist() for c in batch.columns)):
+            held = 0
+            for rid, n, sketch, met, copies, places, data in zip(*(c.to_pylist() for c in batch.columns)):
                 tokens = shingles(data.split(), hashes, shingle).tobytes()
-                out += [(p["part"], p["run"], rid, p["side"], p["whole"], met, copies, tokens) for p in places]
-                if len(out) > 512:
-                    yield _rows(out, WITH_SETS)
-                    out = []
+                for p in places:
+                    out.append((p["part"], p["run"], rid, p["side"], p["whole"], n, sketch, met, copies, tokens))
+                    held += len(tokens)
+                    if held > 8 << 20:
+                        yield _rows(out, WITH_SETS)
+                        out, held = [], 0
             if out:
                 yield _rows(out, WITH_SETS)
 
     return run
 
 
-def common(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairwise intersections."""
+def least_labels(i: np.ndarray, j: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """The smallest label that each place hangs together with over the pairs (i, j)."""
+    out = labels
+    while True:
+        new = out.copy()
+        np.minimum.at(new, i, out[j])
+        np.minimum.at(new, j, out[i])
+        if (new == out).all():
+            return out
+        out = new
+
+
+def common(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets of the pairs (i, j): bits of the tokens that several sets have."""
+    if len(i) == 1:
+        return np.array([len(np.intersect1d(sets[i[0]], sets[j[0]], assume_unique=True))])
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = np.flatnonzero(count > 1)  # tokens in one set meet nothing
-    column = np.full(len(count), -1)
-    column[shared] = np.arange(len(shared))
-    column = column[token]
-    out = np.zeros((len(sets), len(sets)), np.float32)
-    step = max(256, (4 << 20) // max(1, len(sets)))
-    for a in range(0, len(shared), step):
+    shared = count > 1  # tokens in one set meet nothing
+    column = np.where(shared, np.cumsum(shared) - 1, -1)[token]
+    step = max(64, min(1 << 15, (32 << 20) // len(sets)) & ~63)
+    out = np.zeros(len(i), np.int64)
+    for a in range(0, int(shared.sum()), step):
         inside = (column >= a) & (column < a + step)
-        block = np.zeros((len(sets), min(step, len(shared) - a)), np.float32)
-        block[owner[inside], column[inside] - a] = 1
-        out += block @ block.T
+        bits = np.zeros((len(sets), step), bool)
+        bits[owner[inside], column[inside] - a] = True
+        words = np.packbits(bits, axis=1).view(np.uint64)
+        pairs = max(1, (1 << 21) // words.shape[1])
+        for b in range(0, len(i), pairs):
+            out[b:b + pairs] += np.bitwise_count(words[i[b:b + pairs]] & words[j[b:b + pairs]]).sum(axis=1, dtype=np.int64)
     return out
 
 
-def _components(linked: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Smallest label of each one's component."""
-    out = labels.copy()
-    while True:
-        least = np.where(linked, out[None, :], np.iinfo(np.int64).max).min(axis=1)
-        new = np.minimum(out, least)
-        if (new == out).all():
-            return out
-        out = new
+def linked(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs have a similarity at the threshold or above. Pairs that hang together are counted together."""
+    cluster = least_labels(i, j, np.arange(len(sets)))[i]
+    order = np.argsort(cluster, kind="stable")
+    out = np.zeros(len(i), bool)
+    for these in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1):
+        members, place = np.unique(np.concatenate([i[these], j[these]]), return_inverse=True)
+        held = [sets[m] for m in members.tolist()]
+        n = np.array([len(h) for h in held], float)
+        x, y = place[:len(these)], place[len(these):]
+        inter = common(held, x, y)
+        out[these] = inter >= threshold * (n[x] + n[y] - inter) - 1e-9
+    return out
 
 
-def _verify(threshold: float):
+def _verify(threshold: float, agree: int):
     """Rows with whole sets, by part, to (rid, label, links)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,15 +317,15 @@ def _verify(threshold: float):
         for rows in _groups(batches):
             if len(rows) < 2:
                 continue
-            sets = [np.frombuffer(r[7], np.uint64) for r in rows]
-            n = np.array([len(s) for s in sets], float)
-            inter = common(sets).astype(float)
-            linked = inter >= threshold * (n[:, None] + n[None, :] - inter) - 1e-9
-            met = np.frombuffer(b"".join(r[5] for r in rows), np.int64).reshape(len(rows), -1)
-            linked &= _first_meeting(met, rows[0][1], np.array([r[3] for r in rows]), rows[0][4])
-            rid = np.array([r[2] for r in rows])
-            links = linked @ np.array([r[6] for r in rows])
-            label = _components(linked, rid)
+            i, j = candidates(rows, threshold, agree)
+            if not len(i):
+                continue
+            yes = linked([np.frombuffer(r[9], np.uint64) for r in rows], i, j, threshold)
+            i, j = i[yes], j[yes]
+            rid, copies, links = np.array([r[2] for r in rows]), np.array([r[8] for r in rows]), np.zeros(len(rows), np.int64)
+            np.add.at(links, i, copies[j])
+            np.add.at(links, j, copies[i])
+            label = least_labels(i, j, rid)
             out += list(zip(rid[links > 0].tolist(), label[links > 0].tolist(), links[links > 0].tolist()))
             if len(out) > 4096:
                 yield _rows(out, LINKED)
@@ -305,47 +348,38 @@ def _texts(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str) -> Dat
     return rows.join(asked, (F.col("r") == F.col("e")) & (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")))
 
 
-def _links(docs: DataFrame, sets: DataFrame, texts: DataFrame | None, found: DataFrame, first: int, runs: int, id_col: str, text_col: str, shingle: int, threshold: float, agree: int) -> DataFrame:
+def _links(docs: DataFrame, sets: DataFrame, texts: DataFrame | None, found: DataFrame, first: int, runs: int, repeats: bool, id_col: str, text_col: str, shingle: int, threshold: float, agree: int) -> DataFrame:
     """(rid, label, links) of the runs from ``first`` on; ``found`` has the buckets of these and all earlier runs, and
     ``texts`` the texts of the sets that take part where they have been written."""
-    spark = docs.sparkSession
     in_order = F.transform(F.sequence(F.lit(0), F.lit(first + runs - 1)), lambda r: F.coalesce(F.element_at("by_run", r.cast("int")), F.lit(0)))
     mine = found.groupBy("rid").agg(
         F.map_from_entries(F.array_distinct(F.collect_list(F.struct("run", "leaf")))).alias("by_run"),
         F.collect_list(F.when(F.col("run") >= first, F.struct("part", "run", "side", "whole"))).alias("places"))  # one for each run and chunk
-    mine = mine.select("rid", "places", in_order.alias("met"))
+    mine = mine.filter(F.size("places") > 0).select("rid", "places", in_order.alias("met"))
     met = F.unhex(F.array_join(F.transform("met", lambda x: _little_endian(x)), ""))
     rows = mine.join(sets.select("rid", "n", "sketch", "copies"), "rid").select("rid", "n", "sketch", "copies", met.alias("met"), F.explode("places").alias("p"))
     rows = rows.select("p.part", "p.run", "rid", "p.side", "p.whole", "n", "sketch", "met", "copies")
     plausible = written(_by_part(rows).mapInArrow(_plausible(threshold, agree), _schema(PLAUSIBLE)), "plausible")
-    release(spark)
-    asked = plausible.groupBy("rid", "met", "copies").agg(F.collect_list(F.struct("part", "run", "side", "whole")).alias("places"))
+    asked = plausible.groupBy("rid", "n", "sketch", "met", "copies").agg(F.collect_list(F.struct("part", "run", "side", "whole")).alias("places"))
     if texts is None:
         texts = _texts(docs, asked.join(sets.select("rid", "r", "d1", "d2"), "rid"), id_col, text_col)
     else:
         texts = texts.join(asked, "rid")
-    texts = texts.select("rid", "met", "copies", "places", "data")
-    whole = texts.mapInArrow(_with_sets(shingle), _schema(WITH_SETS)).dropDuplicates(["part", "rid"]) if _repeats(sets) else texts.mapInArrow(_with_sets(shingle), _schema(WITH_SETS))
-    links = written(_by_part(whole).mapInArrow(_verify(threshold), _schema(LINKED)), "links")
+    whole = texts.select("rid", "n", "sketch", "met", "copies", "places", "data").mapInArrow(_with_sets(shingle), _schema(WITH_SETS))
+    whole = whole.dropDuplicates(["part", "rid"]) if repeats else whole
+    links = written(_by_part(whole).mapInArrow(_verify(threshold, agree), _schema(LINKED)), "links")
     drop_written(plausible)
     return links
 
 
-def going_on(found: DataFrame, earlier: DataFrame | None, runs: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
-    """(rid) of the sets that ``runs`` runs so far are too few for and of all they may have missed, and (rid, deepest):
-    how deep the buckets below their first ones are, ``earlier`` included."""
-    split = found.filter("level > 1").groupBy("top").agg(F.max("level").alias("deepest"))  # one in limit rows at most
-    inside = found.select("rid", "top").distinct().join(F.broadcast(split), "top")
-    depths = inside.select("rid", "deepest")
-    depths = depths if earlier is None else depths.unionByName(earlier)
-    depths = written(depths.groupBy("rid").agg(F.max("deepest").alias("deepest")), "depths")
-    deep = depths.filter(F.pow(1 - F.pow(F.lit(threshold), F.col("deepest")), F.lit(runs)) > 1 - recall)
-    tops = inside.join(deep, "rid", "left_semi").select("top").distinct()
-    return written(inside.join(F.broadcast(tops), "top", "left_semi").select("rid").distinct(), "pending"), depths
+def sketches_miss(threshold: float, agree: int) -> float:
+    """The probability that fewer than ``agree`` of the sampled tokens of a pair at the threshold are the same."""
+    return sum(math.comb(TOKENS, k) * threshold ** k * (1 - threshold) ** (TOKENS - k) for k in range(agree))
 
 
-def _repeats(sets: DataFrame) -> bool:
-    return not sets.filter("twins > 1").isEmpty()
+def missed(threshold: float, agree: int, deepest: int, runs: int) -> float:
+    """At most so probable is the loss of a pair at the threshold whose buckets are ``deepest`` levels deep."""
+    return (1 - threshold ** deepest) ** runs + sketches_miss(threshold, agree)
 
 
 def _little_endian(x: Column) -> Column:
@@ -354,16 +388,19 @@ def _little_endian(x: Column) -> Column:
 
 
 def one_of_each(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, with its columns, that stay when one row of each class does: the first as it is read."""
-    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    first = similar(numbered, "_row", text_col, **options).filter("_row = class_id").select("_row")
-    return numbered.join(first, "_row", "left_semi").drop("_row")
+    """The rows of ``docs``, with its columns, that stay when one row of each class does: the first as it is read.
+    Rows without a shingle (null or empty texts) are classes of their own and all stay."""
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    first = similar(numbered, row, text_col, **options).filter(F.col(row) == F.col("class_id")).select(row)
+    return numbered.join(first, row, "left_semi").drop(row)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(rid, root) from (rid, label): label propagation with shortcuts; each round is written, and rounds go with the
     logarithm of a component's width."""
-    spark = edges.sparkSession
     edges = written(edges.filter("rid != label").select("rid", "label").distinct(), "edges")
     both = edges.unionByName(edges.select(F.col("label").alias("rid"), F.col("rid").alias("label")))
     roots = written(both.groupBy("rid").agg(F.least(F.min("label"), F.col("rid")).alias("root")), "roots")
@@ -373,56 +410,57 @@ def components(edges: DataFrame) -> DataFrame:
         jump = step.select(F.col("rid").alias("to"), F.col("to").alias("beyond"))
         new = step.join(jump, "to", "left").select("rid", F.least("to", F.coalesce("beyond", "to")).alias("root"), "was")
         new = written(new, "roots")
-        release(spark)
+        drop_written(roots)
         if new.filter("root != was").isEmpty():
             return new.select("rid", "root")
         roots = new.select("rid", "root")
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, threshold: float = THRESHOLD,
-            runs: int = RUNS, limit: int = LIMIT, depth: int = DEPTH, recall: float = RECALL, agree: int = AGREE) -> DataFrame:
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, threshold: float = THRESHOLD, runs: int = RUNS,
+            limit: int = LIMIT, most_tokens: int = MOST_TOKENS, depth: int = DEPTH, recall: float = RECALL, agree: int = AGREE) -> DataFrame:
     """One row for each row of ``docs``: id, class_id (the smallest id of its class), class_size and n_links (other
     rows at the threshold or above). ``docs`` is read a few times and has to give the same rows."""
-    spark = docs.sparkSession
-    shared_dir(spark)
+    if sketches_miss(threshold, agree) >= 1 - recall:
+        raise ValueError(f"sketches that agree in {agree} of {TOKENS} bytes do not reach a recall of {recall} at {threshold}")
+    shared_dir(docs.sparkSession)
     rows = keyed(docs, id_col, text_col)
     one_of = rows.groupBy("d1", "d2").agg(F.min("r").alias("e"), F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.count(F.when(F.col("id").isNull(), 1)).alias("nulls"))
     signed = rows.select("r", "d1", "d2", "data").mapInArrow(_signatures(shingle, runs * depth), "r bigint, d1 bigint, d2 bigint, n bigint, tokens array<bigint>, sketch binary")
     one_of = one_of.withColumnsRenamed({"d1": "e1", "d2": "e2"})
     twins = signed.join(one_of, (F.col("r") == F.col("e")) & (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2"))).drop("e", "e1", "e2")
-    sets = written(_one_each(twins), "sets").withColumn("rid", F.col("rid"))
-    release(spark)
-    pending, first, linked, met, depths, rids, texts = sets, 0, None, None, None, None, None
-    for _ in range(MOST_ROUNDS):
-        if rids is not None:
-            if texts is None:
-                texts = _texts(docs, sets.join(rids, "rid", "left_semi").select("rid", "r", "d1", "d2"), id_col, text_col).select("rid", "data")
-                texts = written(texts.dropDuplicates(["rid"]) if _repeats(sets) else texts, "texts")
-            fresh = texts.mapInArrow(_more_tokens(shingle, first, runs * depth), "rid bigint, tokens array<bigint>")
-            pending = written(fresh.join(rids, "rid", "left_semi"), "tokens")
-            release(spark)
-        buckets = leaves(pending, first, runs, limit, depth)
-        found = written(buckets, "leaves")
-        drop_written(buckets)
-        release(spark)
-        together = found.filter("NOT alone")
-        met = together if met is None else met.unionByName(together)
-        part = _links(docs, sets, texts, met, first, runs, id_col, text_col, shingle, threshold, agree)
-        linked = part if linked is None else linked.unionByName(part)
+    sets, repeats = _one_each(twins)
+    pending, first, deepest, parts, met, crowded, texts = sets, 0, 1, [], None, None, None
+    while True:
+        found, tables = leaves(pending, first, runs, limit, most_tokens, depth)
+        found = written(found, "leaves")
+        drop_written(*tables)
+        met = found if met is None else met.unionByName(found)
+        parts.append(_links(docs, sets, texts, met, first, runs, repeats, id_col, text_col, shingle, threshold, agree))
         first += runs
-        rids, depths = going_on(found, depths, first, threshold, recall)
-        if (1 - threshold) ** first > 1 - recall:  # too few runs even where no bucket is split
-            rids = pending.select("rid")
-        elif rids.isEmpty():
+        deepest = max(deepest, found.agg(F.max("level")).first()[0] or 1)
+        split = found.filter("level > 1").select("rid")
+        crowded = written((split if crowded is None else split.unionByName(crowded)).distinct(), "crowded")
+        if missed(threshold, agree, deepest, first) <= 1 - recall:
             break
-    linked = written(linked, "linked")
+        alone = missed(threshold, agree, 1, first) <= 1 - recall  # enough runs for sets in no split bucket
+        if texts is None:
+            asked = sets.join(crowded, "rid", "left_semi") if alone else sets
+            texts = _texts(docs, asked.select("rid", "r", "d1", "d2"), id_col, text_col).select("rid", "data")
+            texts = written(texts.dropDuplicates(["rid"]) if repeats else texts, "texts")
+        fresh = texts.join(crowded, "rid", "left_semi") if alone else texts
+        if pending is not sets:
+            drop_written(pending)
+        pending = fresh.mapInArrow(_more_tokens(shingle, first, runs * depth), "rid bigint, tokens array<bigint>")
+        pending = written(pending.join(sets.select("rid", "n"), "rid"), "tokens")
+    linked = written(functools.reduce(DataFrame.unionByName, parts), "linked")
+    drop_written(*parts, met, texts, None if pending is sets else pending)
     roots = components(linked)
     counted = linked.groupBy("rid").agg(F.sum("links").alias("links"))
     classes = sets.select("rid", "d1", "d2", "copies", "least_id").join(counted, "rid", "left").join(roots, "rid", "left")
     classes = classes.select("d1", "d2", "copies", "least_id", F.coalesce("root", "rid").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     named = classes.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"))
     classes = written(classes.join(named, "root").select("d1", "d2", "class_id", "class_size", (F.col("links") + F.col("copies") - 1).alias("n_links")), "classes")
-    release(spark)
+    drop_written(sets, linked, roots)
     light = rows.select("id", "d1", "d2").join(classes, ["d1", "d2"], "left")
     alone = F.col("class_size").isNull()
     return light.select(
@@ -430,10 +468,13 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
         F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def _one_each(twins: DataFrame) -> DataFrame:
-    """Numbers the sets. Rows repeated with their id give a set more than once; then one of each is taken."""
-    rows = written(twins, "signed")
-    counts = rows.groupBy("r", "d1", "d2").agg(F.count(F.lit(1)).alias("twins"))
-    if counts.filter("twins > 1").isEmpty():
-        return rows.select("*", F.lit(1).alias("twins"), F.monotonically_increasing_id().alias("rid"))
-    return rows.dropDuplicates(["r", "d1", "d2"]).join(counts, ["r", "d1", "d2"]).select(*rows.columns, "twins", F.monotonically_increasing_id().alias("rid"))
+def _one_each(twins: DataFrame) -> tuple[DataFrame, bool]:
+    """Numbers the sets; and whether rows are repeated with their id, which gives a set more than once: then one of
+    each is taken."""
+    key = ["r", "d1", "d2"]
+    rows = written(twins.withColumn("rid", F.monotonically_increasing_id()), "sets")
+    if rows.groupBy(*key).agg(F.count(F.lit(1)).alias("twins")).filter("twins > 1").isEmpty():
+        return rows, False
+    once = written(rows.dropDuplicates(key), "sets")
+    drop_written(rows)
+    return once, True

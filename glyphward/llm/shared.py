@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,22 +45,42 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Spark's own setting: shuffle files go as soon as the query that made them has ended.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def cleaned_up(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside leave no shuffle files behind."""
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_UP)
+        else:
+            spark.conf.set(CLEAN_UP, before)
+
+
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: lineage is cut, lost executors cost
-    nothing, and what is not deterministic (partition ids, running offsets) is fixed. Removed when Python exits."""
+    nothing, and what is not deterministic (partition ids, running offsets) is fixed. Its shuffle files go when it is
+    written; the table itself goes by :func:`drop_written`, or when Python exits."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/glyphward-{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.options(compression="zstd", **options).parquet(path)
+    with cleaned_up(spark):
+        df.write.options(compression="zstd", **options).parquet(path)
     atexit.register(_delete, spark, path)
     return spark.read.schema(schema).parquet(path)
 
 
-def drop_written(df: DataFrame) -> None:
-    """Deletes the files of a table from :func:`written` that no later step reads."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        _delete(spark, folder)
+def drop_written(*tables: DataFrame | None) -> None:
+    """Deletes tables from :func:`written` that no later step reads."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()} if df is not None else ():
+            _delete(df.sparkSession, folder)
 
 
 def word_count(text: str = "text"):
@@ -77,11 +99,3 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = rows.withColumns({"d1": F.xxhash64(F.lit(1), "data"), "d2": F.xxhash64(F.lit(2), F.length("data"), "data")})
     return rows.withColumn("r", F.xxhash64("id", "d1", "d2"))
 
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of steps whose results have been written: it does so once the driver's
-    JVM has collected what refers to them."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

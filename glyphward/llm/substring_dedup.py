@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rolling import WordHashes, leftmost_minimum, mixed, windows
-from .shared import keyed, release, shared_dir, written
+from .shared import keyed, shared_dir, written
 
 WINDOW = 35
 ANCHOR = 12
@@ -165,18 +165,15 @@ def _affected(docs: DataFrame, id_col: str, text_col: str, window: int, anchor:
     sketch = rows.select("r", "data").mapInArrow(_sketch(window, anchor, cell_bits), "cell bigint, n bigint, r bigint")
     once = sketch.groupBy("cell").agg(F.sum("n").alias("n"), F.min("r").alias("r")).filter("n = 1")
     singles = written(once.groupBy("r").agg(F.collect_list("cell").alias("singles")), "cells")  # a document's own cells
-    release(spark)
     one_of = rows.groupBy("d1", "d2").agg(F.min("r").alias("r"), F.count(F.lit(1)).alias("copies"))
     asked = one_of.join(singles, "r", "left").withColumnsRenamed({"d1": "e1", "d2": "e2", "r": "e"})  # small; texts move once
     texts = rows.select("r", "d1", "d2", "data").join(asked, (F.col("r") == F.col("e")) & (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")))
     suspects = texts.select("data", "d1", "d2", "copies", "singles").mapInArrow(
         _suspects(window, anchor, cell_bits), "data binary, d1 bigint, d2 bigint, copies bigint, bits binary")
     suspects = written(suspects.withColumn("mid", F.monotonically_increasing_id()), "suspects")
-    release(spark)
     exact = suspects.select("mid", "data", "copies", "bits").mapInArrow(_exact(window), "w1 bigint, w2 bigint, n bigint, mid bigint, at bigint")
     alone = exact.groupBy("w1", "w2").agg(F.sum("n").alias("n"), F.min("mid").alias("mid"), F.min("at").alias("at")).filter("n = 1")
     alone = written(alone.groupBy("mid").agg(F.collect_list("at").alias("singles")), "windows")  # a document's own windows
-    release(spark)
     judged = suspects.join(alone, "mid", "left").select("data", "d1", "d2", "bits", "singles")
     return written(judged.mapInArrow(_kept(window), "d1 bigint, d2 bigint, n_removed bigint, sha string").dropDuplicates(["d1", "d2"]), "removed")
 
