@@ -146,15 +146,16 @@ def leaves(sets: DataFrame, first_run: int, runs: int, limit: int, most_tokens:
         crowds = written(rows.groupBy("key").agg(*sizes).filter(heavy), "heavy")
         tables += [rows, crowds]
         level += 1
+        looked_up = rows.join(crowds, "key", "left")
         if crowds.isEmpty():
-            done.append((rows.withColumns({"count": F.lit(None).cast("long"), "total": F.lit(None).cast("long")}), level))
-            rest = rows.limit(0)
+            done.append((looked_up, level))
             break
-        looked_up = written(rows.join(crowds, "key", "left"), "buckets")
+        looked_up = written(looked_up, "buckets")
         tables.append(looked_up)
         done.append((looked_up.filter("count IS NULL"), level))
         rest = looked_up.filter("count IS NOT NULL")
-    done.append((rest, level))  # still too large
+    else:
+        done.append((rest, level))  # still too large
     found = [rows.select("rid", "run", F.col("key").alias("leaf"), "count", "total", F.lit(at).alias("level")) for rows, at in done]
     cut = functools.reduce(DataFrame.unionByName, found)
     crowded = F.coalesce(heavy, F.lit(False))

@@ -299,12 +299,22 @@ def test_dense_group_goes_on_until_it_meets_the_recall(spark):
     assert 0.999 * links <= found <= links  # 0.9989 with the third deepest of a set's own buckets
 
 
-def test_large_dense_group_at_the_limit_in_use(spark):
-    texts, links, close = variants(4000)
-    found = sum(r.n_links for r in by_id(ngram_join.similar(frame(spark, texts))).values())
+@pytest.mark.parametrize("options", [{}, {"limit": 1024}, {"most_tokens": 100_000}])
+def test_large_dense_group(spark, options):
+    texts, links, close = variants(3000)
+    found = sum(r.n_links for r in by_id(ngram_join.similar(frame(spark, texts), **options)).values())
     assert links - 0.001 * close <= found <= links  # 234 of 89,164 close links were lost when rounds shared 48 tokens
 
 
+def test_rows_of_a_dense_group_go_with_its_size(spark):
+    texts, _, _ = variants(3000)
+    sets = ngram_join._one_each(frame(spark, texts).select("doc_id", "text").withColumns({"r": F.col("doc_id"), "d1": F.xxhash64("text"), "d2": F.lit(0).cast("long"), "data": F.col("text").cast("binary")})
+                                .select("r", "d1", "d2", "data").mapInArrow(ngram_join._signatures(5, 60), "r bigint, d1 bigint, d2 bigint, n bigint, tokens array<bigint>, sketch binary"))[0]
+    assert ngram_join.leaves(sets, 0, 10, 4096, 1 << 22, 6)[0].count() <= 10 * 3000
+    found = ngram_join.leaves(sets, 0, 10, 1024, 1 << 22, 6)[0]
+    assert found.count() <= 15 * 3000 and found.filter("NOT whole").isEmpty()
+
+
 def test_one_of_each(spark):
     df = frame(spark)
     stay = ngram_join.one_of_each(df)
