@@ -11,7 +11,7 @@ each task that wrote.
 
 Edge cases: a null or empty text is its end id alone; a text of any length is cut as often as needed; repeated rows
 are packed each; a null id stays null; an empty table gives an empty result; further columns are ignored. Strings
-of special tokens inside a text are ordinary text.
+of special tokens inside a text become those tokens, as the library has it.
 """
 
 from __future__ import annotations
@@ -49,33 +49,56 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+#: The characters with the White_Space property, as a class; and runs of it that are merged elsewhere.
+SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_SPACE = re.compile(rf"[{SPACES}]{{1000,}}")
+
+
 @functools.lru_cache(maxsize=2)
 def encoder(path: str):
-    """The function from text to ids of a tokenizer file. A byte-level BPE vocabulary whose ids are its merge ranks
-    runs in tiktoken, which gives the same ids four times as fast; any other file, and a text with so long a run of
-    white space that tiktoken's look-ahead would overflow its stack, runs in tokenizers."""
+    """The function from text to the ids that the tokenizers library gives with ``add_special_tokens=False``: strings of
+    special tokens in a text are their ids. A byte-level BPE vocabulary whose ids are its merge ranks is merged by
+    tiktoken, four times as fast; tiktoken's look-ahead cannot take a long run of white space, which is a piece of its
+    own but for its last character before a word: such pieces are merged by tokenizers. So is any other file."""
     slow = _tokenizers_encoder(path)
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     model, pre = spec.get("model", {}), spec.get("pre_tokenizer") or {}
     byte_level = model.get("type") == "BPE" and not spec.get("normalizer") and pre.get("type") == "ByteLevel"
-    if byte_level and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not model.get("dropout"):
-        special = {t["content"] for t in spec.get("added_tokens", [])}
-        to_byte = _byte_of_char()
-        ranks = {bytes(to_byte[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
-        merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
-        in_order = [model["vocab"][m] for m in merged]
-        if in_order == sorted(in_order) and len(set(in_order)) == len(in_order):
-            import tiktoken
-
-            fast = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-            return lambda text: slow(text) if len(text) > LONG_SPACE and long_space.search(text) else fast(text)
-    return slow
+    added = spec.get("added_tokens", [])
+    plain = not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in added)
+    if not (byte_level and plain and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not model.get("dropout")):
+        return slow
+    special = {t["content"]: t["id"] for t in added}
+    to_byte = _byte_of_char()
+    ranks = {bytes(to_byte[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+    in_order = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    if in_order != sorted(set(in_order)):
+        return slow
+    import tiktoken
+
+    fast = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def between(text: str) -> list[int]:
+        """Ids of a text without special tokens."""
+        ids, at = [], 0
+        for run in LONG_SPACE.finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            ids += [*fast(text[at:run.start()]), *slow(text[run.start():end])]
+            at = end
+        return ids + fast(text[at:]) if ids else fast(text[at:])
+
+    if not special:
+        return between
+    specials = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")")
 
+    def encode(text: str) -> list[int]:
+        parts = specials.split(text)
+        if len(parts) == 1:
+            return between(text)
+        return [i for k, part in enumerate(parts) for i in ([special[part]] if k % 2 else between(part))]
 
-#: White space in a row from which on tokenizers is used.
-LONG_SPACE = 4000
-long_space = re.compile(rf"\s{{{LONG_SPACE}}}")
+    return encode
 
 
 def _tokenizers_encoder(path: str):
@@ -86,7 +109,6 @@ def _tokenizers_encoder(path: str):
             from tokenizers import Tokenizer
 
             held.append(Tokenizer.from_file(path))
-            held[0].encode_special_tokens = True
         return held[0].encode(text, add_special_tokens=False).ids
 
     return encode

@@ -1,14 +1,15 @@
 """Substring dedup: words inside a window of 35 words that is found anywhere else are removed.
 
-Prefilter: a count-min sketch over all windows. A window's cell is the hash of its anchor, the smallest-hashed
-12-word run inside it; equal windows have equal anchors at equal offsets, and an anchor is counted once for each
-place it is at, so a cell's count is at least the count of any window that falls into it. Tasks build sketches of
-their documents sparsely, as (cell, count), and sketches merge by adding. With one row of 2 ** 44 cells no task
-ever holds the sketch, and it grows with the corpus. Cells counted once are sent back to their one document.
-
-Second pass: windows whose cell was counted twice or more are grouped exactly by 128 bits of two independent hashes
-of their words. A group of one is a false alarm of the prefilter, and its only member is where its minimum says;
-so what is sent back is the singles, without a join, and a window that is in a third of all documents is combined
+Prefilter: a count-min sketch of ``ROWS`` rows over all windows. A window's cells are two hashes of its anchor, the
+smallest-hashed 12-word run inside it; equal windows have equal anchors at equal offsets, and an anchor is counted
+once for each place it is at, so no count is less than that of any window that falls into the cell, and the least of
+a window's counts is an over-estimate: none is lost. A row has as many cells as the corpus has bytes (the next power
+of two), some sixty for each anchor. Tasks build sketches of their documents sparsely, as (cell, count), and sketches
+merge by adding, so no task ever holds one whole. Cells counted once are sent back to their one document.
+
+Second pass: windows whose cells were all counted twice or more are grouped exactly, by a cryptographic digest (128 bits
+of BLAKE2b) of their words. A group of one is a false alarm of the prefilter, and its only member is where its minimum
+says; so what is sent back is the singles, without a join, and a window that is in a third of all documents is combined
 in each task before it moves. Equal texts take part once, weighted by their number.
 
 Texts move once (to meet their singles), and those with a repeated cell a second time. Each step is written before
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -30,17 +32,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rolling import WordHashes, leftmost_minimum, mixed, windows
-from .shared import keyed, shared_dir, written
+from .shared import drop_written, keyed, shared_dir, written
 
 WINDOW = 35
 ANCHOR = 12
-CELL_BITS = 44
+#: Rows of the count-min sketch.
+ROWS = 2
+
+
+def width_of(docs: DataFrame, text_col: str) -> int:
+    """log2 of the cells of a row: one for each byte of text at least."""
+    total = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")).cast("long"))).first()[0] or 0
+    return min(60, max(10, int(total).bit_length()))
 
 
 def anchors(hashes: np.ndarray, window: int, anchor: int, cell_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window the place of its anchor; and the cell of each place."""
+    """For each window the place of its anchor; and for each place its cell in each row, numbered through all rows."""
     runs = windows(hashes, anchor)
-    return leftmost_minimum(runs, window - anchor + 1), (mixed(runs) >> np.uint64(64 - cell_bits)).astype(np.int64)
+    cells = [(mixed(runs + np.uint64(row)) >> np.uint64(64 - cell_bits)) * np.uint64(ROWS) + np.uint64(row) for row in range(ROWS)]
+    return leftmost_minimum(runs, window - anchor + 1), np.stack(cells).astype(np.int64)
 
 
 def _sketch(window: int, anchor: int, cell_bits: int):
@@ -54,7 +64,7 @@ def _sketch(window: int, anchor: int, cell_bits: int):
                 split = data.as_buffer().to_pybytes().split()
                 if len(split) >= window:
                     place, cell = anchors(words.of(split), window, anchor, cell_bits)
-                    found, n = np.unique(cell[np.unique(place)], return_counts=True)
+                    found, n = np.unique(cell[:, np.unique(place)], return_counts=True)
                     cells.append(found)
                     counts.append(n)
                     owners.append(np.full(len(found), r))
@@ -73,7 +83,7 @@ def _batch(*columns) -> pa.RecordBatch:
 
 
 def _suspects(window: int, anchor: int, cell_bits: int):
-    """(data, d1, d2, copies, singles) to documents with a window whose cell was counted twice: a bit for each."""
+    """(data, d1, d2, copies, singles) to documents with a window whose least count is two or more: a bit for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
@@ -85,7 +95,7 @@ def _suspects(window: int, anchor: int, cell_bits: int):
                     continue
                 place, cell = anchors(words.of(split), window, anchor, cell_bits)
                 once = np.asarray(singles.values) if singles.is_valid else np.empty(0, np.int64)
-                suspect = ~np.isin(cell[place], once)
+                suspect = ~np.isin(cell, once).any(axis=0)[place]
                 if suspect.any():
                     keep.append(i)
                     bits.append(np.packbits(suspect).tobytes())
@@ -104,14 +114,17 @@ def _exact(window: int):
     """(mid, data, copies, bits) to (w1, w2, n, mid, at): the suspected windows, each document's equal ones added."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = WordHashes(11), WordHashes(12)
         for batch in batches:
             out, held = [[] for _ in range(5)], 0
             for mid, data, copies, bits in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 split = data.as_buffer().to_pybytes().split()
                 at = _starts(bits)
-                w1, w2 = windows(one.of(split), window)[at], windows(two.of(split), window)[at]
-                for column, value in zip(out, (w1.view(np.int64), w2.view(np.int64), np.full(len(at), copies), np.full(len(at), mid), at)):
+                text = b" ".join(split)
+                ends = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)) + 1)
+                first, last = np.concatenate([[0], ends])[at].tolist(), (ends[at + window - 1] - 1).tolist()
+                digests = b"".join([blake2b(text[a:b], digest_size=16).digest() for a, b in zip(first, last)])
+                w = np.frombuffer(digests, np.int64).reshape(-1, 2)
+                for column, value in zip(out, (w[:, 0], w[:, 1], np.full(len(at), copies), np.full(len(at), mid), at)):
                     column.append(value)
                 held += len(at)
                 if held > 1 << 18:
@@ -160,7 +173,6 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _affected(docs: DataFrame, id_col: str, text_col: str, window: int, anchor: int, cell_bits: int) -> DataFrame:
     """(d1, d2, n_removed, sha) of the texts that lose words."""
-    spark = docs.sparkSession
     rows = keyed(docs, id_col, text_col)
     sketch = rows.select("r", "data").mapInArrow(_sketch(window, anchor, cell_bits), "cell bigint, n bigint, r bigint")
     once = sketch.groupBy("cell").agg(F.sum("n").alias("n"), F.min("r").alias("r")).filter("n = 1")
@@ -171,19 +183,22 @@ def _affected(docs: DataFrame, id_col: str, text_col: str, window: int, anchor:
     suspects = texts.select("data", "d1", "d2", "copies", "singles").mapInArrow(
         _suspects(window, anchor, cell_bits), "data binary, d1 bigint, d2 bigint, copies bigint, bits binary")
     suspects = written(suspects.withColumn("mid", F.monotonically_increasing_id()), "suspects")
+    drop_written(singles)
     exact = suspects.select("mid", "data", "copies", "bits").mapInArrow(_exact(window), "w1 bigint, w2 bigint, n bigint, mid bigint, at bigint")
     alone = exact.groupBy("w1", "w2").agg(F.sum("n").alias("n"), F.min("mid").alias("mid"), F.min("at").alias("at")).filter("n = 1")
     alone = written(alone.groupBy("mid").agg(F.collect_list("at").alias("singles")), "windows")  # a document's own windows
     judged = suspects.join(alone, "mid", "left").select("data", "d1", "d2", "bits", "singles")
-    return written(judged.mapInArrow(_kept(window), "d1 bigint, d2 bigint, n_removed bigint, sha string").dropDuplicates(["d1", "d2"]), "removed")
+    removed = written(judged.mapInArrow(_kept(window), "d1 bigint, d2 bigint, n_removed bigint, sha string").dropDuplicates(["d1", "d2"]), "removed")
+    drop_written(suspects, alone)
+    return removed
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = WINDOW, anchor: int = ANCHOR,
-                    cell_bits: int = CELL_BITS) -> DataFrame:
-    """(id, n_words, n_removed, kept_sha256) of each row. ``docs`` is read three times and has to give the same rows."""
+                    cell_bits: int | None = None) -> DataFrame:
+    """(id, n_words, n_removed, kept_sha256) of each row. ``docs`` is read a few times and has to give the same rows."""
     shared_dir(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    lost = _affected(docs, id_col, text_col, window, min(anchor, window), cell_bits)
+    lost = _affected(docs, id_col, text_col, window, min(anchor, window), cell_bits or width_of(docs, text_col))
     whole = keyed(docs, id_col, text_col).select("id", "d1", "d2", "data").mapInArrow(_whole, f"id {kind}, d1 bigint, d2 bigint, n_words bigint, whole string")
     joined = whole.join(lost, ["d1", "d2"], "left")
     return joined.select(

@@ -8,8 +8,9 @@ the listed keys, level 1 one of the other keys of the corpus that pass level 0,
 pass level 1, and so on until no key is taken wrongly. As every key of the corpus was tried while building, the
 answer is exact for each of them, and a url is judged by hash tests on literals, without a join.
 
-The cascade's words are literals of the plan up to ``MOST_WORDS`` (16 MB); a list that needs more is looked up by a
-join on the key instead. The driver gets words of filters, never keys of the corpus.
+The cascade's words are literals of the plan, which tasks get as Spark broadcasts their code: ten to twenty bits for
+each listed key that the corpus has, whatever its size; levels go on until no key is taken wrongly. The rules are a
+table. The driver gets words of filters and the rules' shapes, never keys of the corpus.
 
 Edge cases: a null url, or one without ``://``, has empty host and path, no rule and the method's verdict; a url
 that no rule fits is not listed and is allowed; equal lengths go to the rule with the longer host; repeated rows are
@@ -18,10 +19,10 @@ judged each; an empty table gives an empty result; further columns are ignored a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_dir, written
+from .shared import drop_written, shared_dir, written
 
 #: The production rules (host, path, action).
 RULES = (
@@ -32,21 +33,28 @@ RULES = (
 )
 BITS_PER_KEY = 10
 HASHES = 4
-MOST_WORDS = 1 << 21
-MOST_LEVELS = 64
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host with A-Z in lower case, and path; empty where there is no ``://``."""
     url = F.coalesce(url, F.lit(""))
     parts = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-    host = F.translate(F.regexp_extract(url, parts, 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    host = F.translate(F.regexp_extract(url, parts, 1), UPPER, UPPER.lower())
     return host, F.regexp_extract(url, parts, 2)
 
 
-def shapes(rules) -> list[tuple[int, int]]:
+def listed_keys(spark: SparkSession, rules) -> DataFrame:
+    """(key, action, labels, length) of ``rules``: a table with host, path and action, or such tuples. Hosts in lower
+    case; a rule without host or path has the empty one."""
+    table = rules if isinstance(rules, DataFrame) else spark.createDataFrame(list(rules), "host string, path string, action string")
+    host, path = F.translate(F.coalesce("host", F.lit("")), UPPER, UPPER.lower()), F.coalesce("path", F.lit(""))
+    return table.select(F.concat(host, path).alias("key"), "action", F.size(F.split(host, r"\.")).alias("labels"), F.length(path).alias("length"))
+
+
+def shapes(rules: DataFrame) -> list[tuple[int, int]]:
     """(labels, path characters) of the rules, those of longer keys first."""
-    return sorted({(host.count(".") + 1, len(path)) for host, path, _ in rules}, reverse=True)
+    return sorted(((r.labels, r.length) for r in rules.select("labels", "length").distinct().collect()), reverse=True)
 
 
 def key_of(shape: tuple[int, int], host: Column, path: Column) -> Column:
@@ -80,21 +88,18 @@ class Cascade:
         self.levels = levels
 
     @classmethod
-    def build(cls, universe: DataFrame, listed: DataFrame) -> Cascade | None:
-        """``universe`` and ``listed`` have distinct keys (``key``). None: it would pass ``MOST_WORDS``."""
+    def build(cls, universe: DataFrame, listed: DataFrame) -> Cascade:
+        """``universe`` and ``listed`` have distinct keys (``key``)."""
         inside = universe.join(listed, "key", "left_semi")
         outside = universe.join(listed, "key", "left_anti")
         levels: list[list[int]] = []
-        used, sides = 0, [inside, outside]
+        sides = [inside, outside]
         count = inside.count()
         while count:
             level = len(levels)
             bits = 64
             while bits < BITS_PER_KEY * count:
                 bits <<= 1
-            used += bits // 64
-            if used > MOST_WORDS or level >= MOST_LEVELS:
-                return None
             levels.append(_filter_words(sides[0], level, bits))
             # The keys of the other side that this level takes wrongly are what the next one encodes.
             wrong = sides[1].filter(cls._passes(F.col("key"), level, levels[level]))
@@ -120,51 +125,27 @@ class Cascade:
 
 
 def judge_urls(pages: DataFrame, url_col: str = "url", rules=RULES, keep=("page_id",)) -> DataFrame:
-    """``keep``, host, path, rule (null: none fits) and verdict (allow or block)."""
+    """``keep``, host, path, rule (null: none fits) and verdict (allow or block). Of equal rules that block and allow,
+    the one that blocks wins."""
     spark = pages.sparkSession
     shared_dir(spark)
-    rules = [(h.lower(), p, a) for h, p, a in rules]
     host, path = host_and_path(F.col(f"`{url_col}`"))
     made = {"host", "path", "rule", "verdict"}
     urls = pages.select(*[F.col(f"`{c}`") for c in keep if c not in made], host.alias("host"), path.alias("path"))
-    if not rules:
-        return urls.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit("allow")})
+    rules = listed_keys(spark, rules)
     forms = shapes(rules)
+    if not forms:
+        return urls.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit("allow")})
     keys = {form: key_of(form, F.col("host"), F.col("path")) for form in forms}
     universe = written(
         urls.select(F.explode(F.array(*keys.values())).alias("key")).filter(F.col("key").isNotNull()).distinct(), "keys")
-    cascades = {}
-    for action in ("block", "allow"):
-        keys_of = F.array(*[F.lit(h + p) for h, p, a in rules if a == action]).cast("array<string>")
-        listed = spark.range(1).select(F.explode(keys_of).alias("key")).distinct()
-        cascades[action] = Cascade.build(universe, listed)
-    if any(c is None for c in cascades.values()):
-        return _judge_by_join(urls, rules, keys)
+    cascades = {action: Cascade.build(universe, rules.filter(F.col("action") == action).select("key").distinct()) for action in ("block", "allow")}
+    drop_written(universe)
     fits = []
     for form in forms:
         for action in ("block", "allow"):
             fits.append(F.when(cascades[action].contains(keys[form]), F.struct(
                 F.length(keys[form]).alias("length"), F.lit(form[0]).alias("labels"), keys[form].alias("rule"), F.lit(action).alias("verdict"))))
-    return _with_best(urls, fits)
-
-
-def _with_best(urls: DataFrame, fits: list[Column]) -> DataFrame:
     best = F.greatest(*fits) if len(fits) > 1 else fits[0]
     judged = urls.withColumn("_best", best)
     return judged.select("*", F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit("allow")).alias("verdict")).drop("_best")
-
-
-def _judge_by_join(urls: DataFrame, rules, keys: dict) -> DataFrame:
-    """For lists beyond the bound of a cascade: an equi-join for each shape."""
-    spark = urls.sparkSession
-    listed = spark.createDataFrame([(h + p, a, h.count(".") + 1, len(p)) for h, p, a in rules], "_key string, _action string, _labels int, _length int")
-    listed = listed.groupBy("_key", "_labels", "_length").agg(F.max("_action").alias("_action"))
-    fits = []
-    for k, ((labels, length), key) in enumerate(keys.items()):
-        side = listed.filter((F.col("_labels") == labels) & (F.col("_length") == length)).select(F.col("_key").alias(f"_k{k}"), F.col("_action").alias(f"_a{k}"))
-        urls = urls.withColumn(f"_c{k}", key)
-        urls = urls.join(side, F.col(f"_c{k}") == F.col(f"_k{k}"), "left")
-        fits.append(F.when(F.col(f"_a{k}").isNotNull(), F.struct(
-            F.length(f"_c{k}").alias("length"), F.lit(labels).alias("labels"), F.col(f"_c{k}").alias("rule"), F.col(f"_a{k}").alias("verdict"))))
-    extra = [f"_{x}{k}" for k in range(len(keys)) for x in "cka"]
-    return _with_best(urls, fits).drop(*extra)

@@ -211,13 +211,26 @@ def test_cascade_is_exact(spark, monkeypatch):
     assert len(cascade.levels) > 2
     wrong = universe.withColumn("is", F.xxhash64("key") % 5 == 0).filter(F.col("is") != cascade.contains(F.col("key")))
     assert wrong.count() == 0
-    monkeypatch.setattr(url_filter, "MOST_WORDS", 1)
-    assert url_filter.Cascade.build(universe, listed) is None
-    pages = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "page_id long, url string")
-    many = [*url_filter.RULES, *((f"h{i}.net", "/", "block") for i in range(200))]
-    pages = pages.unionByName(spark.createDataFrame([(100 + i, f"http://h{i}.net/") for i in range(200)], "page_id long, url string"))
-    joined = by_id(url_filter.judge_urls(pages, rules=many), "page_id")  # beyond the bound: joins
-    assert joined[105].rule == "h5.net/" and joined[0].verdict == "allow" and len(joined) == len(URLS) + 200
+
+
+def test_long_list_is_exact_without_a_join(spark):
+    rules = spark.range(200_000).select(
+        F.concat(F.lit("h"), F.col("id") * 5, F.lit(".net")).alias("host"), F.lit("/").alias("path"), F.when(F.col("id") % 3 == 0, "allow").otherwise("block").alias("action"))
+    pages = spark.range(1_000_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://a.H"), "id", F.lit(".net/x")).alias("url"))
+    judged = url_filter.judge_urls(pages, rules=rules)
+    assert "Join" not in judged._jdf.queryExecution().executedPlan().toString()
+    listed = (F.col("page_id") % 5 == 0)
+    rule = F.when(listed, F.concat(F.lit("h"), "page_id", F.lit(".net/")))
+    verdict = F.when(listed & (F.col("page_id") % 15 != 0), "block").otherwise("allow")
+    assert judged.filter(~F.col("rule").eqNullSafe(rule) | (F.col("verdict") != verdict)).isEmpty() and judged.count() == 1_000_000
+
+
+def test_urls_repeated_long_and_clashing(spark):
+    long = "http://x.net/" + "a" * 3_000_000
+    df = spark.createDataFrame([(1, "http://x.net/", "h", "p", "r", "v", "k"), (1, "http://x.net/", None, None, None, None, None), (None, long, "h", "p", "r", "v", "k"), (2, None, None, None, None, None, None)],
+                               "page_id long, url string, host string, path string, rule string, verdict string, key string")
+    found = url_filter.judge_urls(df).collect()
+    assert sorted((str(r.page_id), r.rule or "", r.verdict, len(r.path)) for r in found) == [("1", "net/", "block", 1)] * 2 + [("2", "", "allow", 0), ("None", "net/", "block", 3_000_001)]
 
 
 def test_urls_empty(spark):
@@ -335,7 +348,8 @@ def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(packing.default_tokenizer())
-    texts = corpus() + ["\u3000".join("ab1 ") * 9, "don't  we'll\t\n x"]
+    end = "<|endoftext|>"
+    texts = corpus() + ["\u3000".join("ab1 ") * 9, "don't  we'll\t\n x", end, f"{end}a b", f"a {end} b", f"a b{end}", f"{end} {end}{end}", " " * 5000 + end]
     found = packing.pack(frame(spark, texts), length=64, with_ids=True).collect()
     pieces, places = defaultdict(list), defaultdict(list)
     for r in found:
@@ -358,14 +372,16 @@ def test_tokenizer_is_the_library_s(tmp_path):
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(packing.default_tokenizer())
-    slow.encode_special_tokens = True
     fast = packing.encoder(packing.default_tokenizer())
     rnd = random.Random(4)
     alphabet = [chr(c) for c in [*range(32, 127), 9, 10, 13, 0, 0xA0, 0x3000, 0xE9, 0x4E2D, 0x1F600, 0x301, 0xAD, 0x200B, 0x2028, 0x660, 0xB2]] + ["'s", " 've", "<|endoftext|>"]
     for _ in range(500):
         text = "".join(rnd.choice(alphabet) for _ in range(rnd.randrange(50)))
         assert list(fast(text)) == slow.encode(text, add_special_tokens=False).ids
-    assert list(fast(" " * 10000 + "x")) == slow.encode(" " * 10000 + "x", add_special_tokens=False).ids
+    assert fast("<|endoftext|>") == [50256]
+    runs = [" " * 10000, "\n" * 3000, "\u3000" * 1001, "\x1c" * 2000, " " * 999]
+    for a, run, b in product(["", "x", "<|endoftext|>", " "], runs, ["", "x", "<|endoftext|>", "1", "'s", "\n"]):
+        assert fast(a + run + b) == slow.encode(a + run + b, add_special_tokens=False).ids
     spec = json.load(open(packing.default_tokenizer()))
     spec["model"]["merges"] = list(reversed(spec["model"]["merges"]))  # ids are no merge ranks now
     (tmp_path / "t.json").write_text(json.dumps(spec))
@@ -490,7 +506,7 @@ def test_model_beats_the_base_on_held_out_texts(spark):
 # 9 ------------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("options", [{}, {"memtable_bytes": 300}, {"digest_bytes": 1}, {"digest_bytes": 1, "memtable_bytes": 300, "filter_bits": 1 << 10}, {"largest": False}])
+@pytest.mark.parametrize("options", [{}, {"memtable_bytes": 300}, {"digest_bytes": 1}, {"digest_bytes": 1, "memtable_bytes": 300, "filter_bytes": 4}, {"largest": False}])
 def test_exact(spark, options):
     texts = corpus()
     found = by_id(exact_dedup.exact_dedup(frame(spark, texts), **options))
@@ -514,6 +530,25 @@ def test_survivors(spark):
     df = frame(spark, texts, [1, 1, 2, 3, 4, 5, None])
     stay = exact_dedup.survivors(df)
     assert stay.columns == df.columns and sorted((str(r.doc_id), r.text or "") for r in stay.collect()) == [("1", "a"), ("3", "b"), ("5", ""), ("None", "c")]
+    clash = {c: F.lit("z") for c in ("keep_id", "group_size", "kept", "text_sha256", "_row", "_digest", "_id", "digest")}
+    stay = exact_dedup.survivors(df.withColumns(clash))
+    assert stay.columns == [*df.columns, *clash] and {tuple(r)[5:] for r in stay.collect()} == {("z",) * 8} and stay.count() == 4
+
+
+def test_string_ids(spark):
+    df = spark.createDataFrame([("b", "x"), ("a", "x"), (None, "x"), ("c", "y")], "doc_id string, text string")
+    assert {(r.doc_id, r.keep_id, r.kept) for r in exact_dedup.exact_dedup(df).collect()} == {("b", "b", True), ("a", "b", False), (None, "b", False), ("c", "c", True)}
+
+
+def test_lookup_asks_filters(spark):
+    texts = [f"t{i}" for i in range(500)]
+    level0 = exact_dedup.flushed(frame(spark, texts), "doc_id", "text", True, 32, 20_000)
+    assert level0.select("run").distinct().count() > 3 and level0.filter("filter IS NOT NULL").count() == level0.select("run").distinct().count()
+    found = exact_dedup.lookup(frame(spark, ["t7", "t300", "new", None, "t7"]), level0).collect()
+    assert sorted(r.keep_id for r in found) == [7, 300]
+    digests = [hashlib.sha256(t.encode()).digest() for t in texts]
+    bits = exact_dedup.bloom(digests[:250], 10)
+    assert exact_dedup.maybe(bits, digests[:250]).all() and exact_dedup.maybe(bits, digests[250:]).sum() < 25
 
 
 # 10 -----------------------------------------------------------------------------------------------------------------
