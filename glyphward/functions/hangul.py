@@ -61,13 +61,17 @@ def from_runes(text: Column) -> Column:
 
 
 def count_of(text: Column, characters: str) -> Column:
-    """How many characters of a regex class the text holds."""
-    return F.regexp_count(text, F.lit(characters))
+    """How many characters of a regex class the text holds: what it loses without them."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"{characters}+", ""))
+
+
+def visible_in(text: Column) -> Column:
+    """The number of visible characters, null for none. Not inside a branch, so that it is counted once a row."""
+    return F.nullif(F.length(text) - count_of(text, BLANK), F.lit(0))
 
 
 def share_of_visible(text: Column, characters: str) -> Column:
-    visible = F.length(text) - count_of(text, BLANK)
-    return F.when(visible > 0, count_of(text, characters) / visible).otherwise(F.lit(0.0))
+    return F.coalesce(count_of(text, characters) / visible_in(text), F.lit(0.0))
 
 
 def rune_ratio(text: Column) -> Column:
@@ -80,10 +84,10 @@ def latin_ratio(text: Column) -> Column:
 
 def obfuscation_score(text: Column) -> Column:
     """Weighted shares of runes, letters, digits, jamo and punctuation among visible characters, at most 1."""
-    visible = F.length(text) - count_of(text, BLANK)
+    visible = visible_in(text)
     other = visible - count_of(text, r"[\p{L}\p{N}]")
     weighted = (
         1.4 * count_of(text, "[ᚠ-᛿]") / visible + 0.25 * count_of(text, "[A-Za-z]") / visible
         + 0.2 * count_of(text, r"[\p{Nd}²³¹⁰⁴-⁹₀-₉①-⑨]") / visible
         + 0.35 * count_of(text, "[㄰-㆏]") / visible + 0.1 * other / visible)
-    return F.when(visible > 0, F.least(F.lit(1.0), weighted)).otherwise(F.lit(0.0))
+    return F.coalesce(F.when(weighted >= 1.0, F.lit(1.0)).otherwise(weighted), F.lit(0.0))

@@ -11,18 +11,27 @@ from pyspark.sql import functions as F
 _WORD = r"[\p{L}\p{N}_]"
 
 
+#: The white space of Unicode as a regex class; trimming and folding go by it.
+BLANKS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, rf"^[{BLANKS}]+|[{BLANKS}]+\z", "")
+
+
 def _word(pattern: str) -> str:
     return rf"(?<!{_WORD})(?:{pattern})(?!{_WORD})"
 
 
 def binary_label(labels: Column) -> Column:
     """1 where a comma-separated list of labels does not hold 8, else 0."""
-    return (~F.array_contains(F.transform(F.split(labels, ","), lambda x: F.trim(x)), "8")).cast("int")
+    return (~F.array_contains(F.transform(F.split(labels, ","), stripped), "8")).cast("int")
 
 
 def parse_label(answer: Column) -> Column:
     """A free-form answer as 1 (hate), 0 (non-hate) or null. Negated forms come before plain ones."""
-    text = F.regexp_replace(F.replace(F.lower(F.trim(answer)), F.lit("_"), F.lit("-")), r"\s+", " ")
+    text = F.regexp_replace(F.replace(F.lower(stripped(answer)), F.lit("_"), F.lit("-")), rf"[{BLANKS}]+", " ")
     return (
         F.when(text.rlike(_word(r"non\s*-\s*hate|nonhate|non hate")), 0)
         .when(text.rlike(_word("hate")), 1)

@@ -76,7 +76,7 @@ def completion(expected: DataFrame, results: DataFrame) -> DataFrame:
     ``results`` (provider, id, variant, pred_label)."""
     providers = results.select("provider").distinct()
     per_key = results.groupBy("provider", "id", "variant").agg(F.count(F.lit(1)).alias("n"), F.count("pred_label").alias("read"))
-    want = providers.crossJoin(F.broadcast(expected.select("id", "variant").distinct())).withColumn("wanted", F.lit(1))
+    want = expected.select("id", "variant").distinct().crossJoin(F.broadcast(providers)).withColumn("wanted", F.lit(1))  # a few providers
     joined = want.join(per_key, ["provider", "id", "variant"], "full")
     n = lambda c: F.count(F.when(c, 1))
     out = joined.groupBy("provider").agg(

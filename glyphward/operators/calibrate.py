@@ -1,30 +1,53 @@
 """Thresholds: candidates, sweeps and choices.
 
 A sweep needs no join of thresholds with rows. Rows are counted by (score, label) once; counts above a threshold are
-a running sum over the distinct scores. Only the at most 403 candidates and the counts in their intervals come
-together, whatever the number of rows.
+a running sum over the distinct scores. Only the candidates (at most 403, or those that are given) and the counts in
+their intervals come together, whatever the number of rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import METRICS, auroc, from_counts, robustness
+from .ordered import bins_of, last_not_above, sums_before
 
 QUANTILES = 401
 MARGIN = 1e-6
 
 
 def candidates(scored: DataFrame, score: str = "score", quantiles: int = QUANTILES, accuracy: int | None = None) -> DataFrame:
-    """Distinct quantiles, and a step beyond the least and greatest score. Exact quantiles are interpolated and keep the
-    distinct scores of the input in memory; with an ``accuracy`` they are observed scores whose rank is off by at most
-    rows / accuracy, from summaries of bounded size."""
+    """Distinct quantiles, and a step beyond the least and greatest score. Exact quantiles are interpolated; with an
+    ``accuracy`` they are observed scores whose rank is off by at most rows / accuracy, from summaries of bounded size."""
+    ends = scored.agg(F.min(score).alias("low"), F.max(score).alias("high")).filter("low IS NOT NULL")
+    ends = ends.select(F.explode(F.array(F.col("low") - MARGIN, F.col("high") + MARGIN)).alias("threshold"))
+    if accuracy is None:
+        return ends.unionByName(exact_quantiles(scored, score, quantiles).select("threshold")).distinct()
     points = [i / (quantiles - 1) for i in range(quantiles)]
-    q = F.percentile(score, points) if accuracy is None else F.percentile_approx(score, points, accuracy)
-    found = scored.agg(q.alias("q"), F.min(score).alias("low"), F.max(score).alias("high"))
-    every = F.concat(F.array(F.col("low") - MARGIN), F.col("q"), F.array(F.col("high") + MARGIN))
-    return found.filter("low IS NOT NULL").select(F.explode(F.array_distinct(every)).alias("threshold"))
+    found = scored.agg(F.percentile_approx(score, points, accuracy).alias("q"))
+    return ends.unionByName(found.select(F.explode("q").alias("threshold"))).distinct()
+
+
+def exact_quantiles(scored: DataFrame, score: str, quantiles: int) -> DataFrame:
+    """(k, threshold): the k-th of evenly spaced quantiles, interpolated between the two scores it falls between. Ranks
+    are running sums of the counts by score, so no task holds all scores."""
+    parts = quantiles - 1
+    counted = scored.filter(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("score")).agg(F.count(F.lit(1)).alias("n"))
+    placed = sums_before(counted, bins_of(scored, score), ["score"], {"before": F.col("n")})
+    ranked = placed.crossJoin(F.broadcast(scored.agg((F.count(score) - 1).alias("last"))))  # one row
+    at = lambda k: F.col("last") * (k / F.lit(float(parts)))
+    per_row = F.lit(float(parts)) / F.greatest(F.col("last"), F.lit(1))
+    least = F.greatest(F.lit(0), F.floor((F.col("before") - 1) * per_row) - 1).cast("int")
+    most = F.least(F.lit(parts), F.ceil((F.col("before") + F.col("n")) * per_row) + 1).cast("int")
+    near = F.when(least <= most, F.sequence(least, most)).otherwise(F.array().cast("array<int>"))
+    holds = lambda rank: (rank >= F.col("before")) & (rank < F.col("before") + F.col("n"))
+    found = ranked.withColumn("near", F.filter(near, lambda k: holds(F.floor(at(k))) | holds(F.ceil(at(k))))).filter(F.size("near") > 0)
+    found = found.select("score", "before", "n", "last", F.explode("near").alias("k"))
+    side = lambda rank: F.max(F.when(holds(rank(at(F.col("k")))), F.col("score")))
+    sides = found.groupBy("k", "last").agg(side(F.floor).alias("low"), side(F.ceil).alias("high"))
+    share = at(F.col("k")) - F.floor(at(F.col("k")))
+    return sides.select("k", (F.col("low") + (F.col("high") - F.col("low")) * share).alias("threshold"))
 
 
 def sweep(scored: DataFrame, score: str = "score", label: str = "label", thresholds: DataFrame | None = None) -> DataFrame:
@@ -34,7 +57,7 @@ def sweep(scored: DataFrame, score: str = "score", label: str = "label", thresho
     points = thresholds.agg(F.array_sort(F.collect_set("threshold")).alias("points"))
     per_score = scored.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(
         F.count(F.when(F.col(label) == 1, 1)).alias("p"), F.count(F.when(F.col(label) == 0, 1)).alias("n"))
-    placed = per_score.crossJoin(F.broadcast(points)).select("p", "n", _last_not_above("points", "score").alias("place"))
+    placed = per_score.crossJoin(F.broadcast(points)).select("p", "n", last_not_above(F.col("points"), F.col("score")).alias("place"))
     binned = placed.groupBy("place").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     numbered = points.select(F.posexplode("points").alias("i", "threshold")).select((F.col("i") + 1).alias("place"), "threshold")
     joined = numbered.join(binned, "place", "full").na.fill(0, ["p", "n"])
@@ -49,22 +72,6 @@ def sweep(scored: DataFrame, score: str = "score", label: str = "label", thresho
     return from_counts(counted).select("threshold", *METRICS)
 
 
-def _last_not_above(points: str, score: str) -> Column:
-    """How many of the sorted points are at most the score, by halving."""
-    low, high = F.lit(0), F.size(points)
-    steps = 10  # 2 ** 10 candidates at most
-    state = F.struct(low.alias("low"), high.alias("high"))
-
-    def halve(s, _):
-        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
-        fits = F.get(F.col(points), middle) <= F.col(score)
-        go = s["low"] < s["high"]
-        return F.struct(
-            F.when(go & fits, middle + 1).otherwise(s["low"]).alias("low"), F.when(go & ~fits, middle).otherwise(s["high"]).alias("high"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), state, halve)["low"]
-
-
 def best_threshold(swept: DataFrame) -> DataFrame:
     """The winner: least balanced error, then greatest macro F1, least failure, lowest threshold."""
     return swept.orderBy("balanced_error", F.desc("macro_f1"), "max_failure_rate", "threshold").limit(1)

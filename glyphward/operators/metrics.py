@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import bins_of, sums_before
+
 METRICS = (
     "rows", "valid_predictions", "parse_failures", "parse_failure_rate", "accuracy", "balanced_accuracy", "macro_f1", "hate_precision",
     "hate_recall", "fnr", "fpr", "predicted_hate_rate", "balanced_error", "max_failure_rate", "tn", "fp", "fn", "tp",
@@ -116,12 +118,12 @@ def robustness(scored: DataFrame, clean: str = "clean", threshold: float = 0.5)
 
 
 def auroc(scored: DataFrame, *keys: str, score: str = "probability", label: str = "label") -> DataFrame:
-    """Area under the ROC curve of each group, ties counted half; null with a single class. Scores are counted first,
-    so a group costs a row for each distinct score."""
+    """Area under the ROC curve of each group, ties counted half; null with a single class. Scores are counted first, and
+    the counts below each are summed up by ranges of scores, so no task holds a whole group."""
     per_score = scored.groupBy(*keys, score).agg(_n(F.col(label) == 1).alias("p"), _n(F.col(label) == 0).alias("n"))
-    below = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    wins = F.col("p") * (2 * F.coalesce(F.sum("n").over(below), F.lit(0)) + F.col("n"))  # twice the pairs won
-    return per_score.withColumn("wins", wins).groupBy(*keys).agg(
+    placed = sums_before(per_score, bins_of(scored, score), [score], {"below": F.col("n")}, keys)
+    wins = F.col("p") * (2 * F.col("below") + F.col("n"))  # twice the pairs won
+    return placed.withColumn("wins", wins).groupBy(*keys).agg(
         F.sum("wins").alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n")).select(
         *keys, F.col("p").alias("positives"), F.col("n").alias("negatives"), F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("w") / (2 * F.col("p") * F.col("n"))).alias("auroc"))
 

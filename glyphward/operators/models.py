@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+import numpy as np
+from pyspark import StorageLevel
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, PCA, RegexTokenizer, SQLTransformer, StandardScaler
+from pyspark.ml.feature import IDF, CountVectorizer, NGram, PCA, RegexTokenizer, SQLTransformer, StandardScaler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.deobfuscate import deobfuscate
+from .metrics import robustness
+
 
 def char_grams(text: Column, low: int = 2, high: int = 5) -> Column:
     """Character n-grams inside words padded with a blank on either side."""
@@ -18,38 +27,103 @@ def char_grams(text: Column, low: int = 2, high: int = 5) -> Column:
     return F.flatten(F.transform(words, lambda w: F.concat(*[of_size(w, n) for n in range(low, high + 1)])))
 
 
-def tfidf_stages(kind: str = "char", features: int = 60_000, least: int = 2, most: float = 0.98) -> list:
-    """Columns text to features. Terms: ``char`` 2 to 5, or ``word`` 1 and 2."""
+def _char_terms() -> str:
+    return ("flatten(transform(filter(split(lower(text), '\\\\s+'), w -> length(w) > 0), w -> flatten(transform(sequence(2, 5), n ->"
+            " if(length(w) + 2 >= n, transform(sequence(1, length(w) + 3 - n), i -> substring(concat(' ', w, ' '), i, n)), cast(array() as array<string>))))))")
+
+
+def term_stages(kind: str = "char") -> list:
+    """Column text to terms: ``char`` n-grams of 2 to 5, or ``word`` n-grams of 1 and 2, where a word has
+    two characters or more, of any script."""
     if kind == "char":
-        grams = ("flatten(transform(filter(split(lower(text), '\\\\s+'), w -> length(w) > 0), w -> flatten(transform(sequence(2, 5), n ->"
-                 " if(length(w) + 2 >= n, transform(sequence(1, length(w) + 3 - n), i -> substring(concat(' ', w, ' '), i, n)), cast(array() as array<string>))))))")
-        first = [SQLTransformer(statement=f"SELECT *, {grams} AS terms FROM __THIS__")]
-    else:
-        first = [
-            RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\W+", toLowercase=True), NGram(n=2, inputCol="words", outputCol="pairs"),
-            SQLTransformer(statement="SELECT *, concat(words, pairs) AS terms FROM __THIS__"),
-        ]
+        # The filter keeps this projection apart from later ones: a function in Python takes no lambda as an argument.
+        return [SQLTransformer(statement=f"SELECT * FROM (SELECT *, {_char_terms()} AS terms FROM __THIS__) WHERE rand(1) >= 0")]
     return [
-        *first, CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=features, minDF=least, maxDF=most),
-        IDF(inputCol="tf", outputCol="weighted"), Normalizer(inputCol="weighted", outputCol="features"),
+        RegexTokenizer(inputCol="text", outputCol="words", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False, toLowercase=True), NGram(n=2, inputCol="words", outputCol="pairs"),
+        SQLTransformer(statement="SELECT *, concat(words, pairs) AS terms FROM __THIS__"),
     ]
 
 
-def classifier(kind: str = "char", head: str = "logistic", *, features: int = 60_000, hidden: int = 96, components: int = 0, seed: int = 42) -> Pipeline:
-    """``head``: logistic, or layers (needs ``components``, its input width). ``components`` projects to principal
-    components and scales them; it suits up to a few thousand features."""
-    stages = tfidf_stages(kind, features)
-    column = "features"
+class SublinearTfIdf(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Counts of terms as (1 + ln count) * idf, scaled to length one. ``idf`` is ln((1 + texts) / (1 + texts with the
+    term)) + 1."""
+
+    idf = Param(Params._dummy(), "idf", "weight of each term", TypeConverters.toListFloat)
+
+    def __init__(self, inputCol: str | None = None, outputCol: str | None = None, idf: list[float] | None = None):
+        super().__init__()
+        self._set(**{k: v for k, v in (("inputCol", inputCol), ("outputCol", outputCol), ("idf", idf)) if v is not None})
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        held = dataset.sparkSession.sparkContext.broadcast(np.array(self.getOrDefault(self.idf)))
+
+        # Marked so that no later step is merged with it and runs it again.
+        def weigh(counts: SparseVector) -> SparseVector:
+            weights = (1 + np.log(counts.values)) * held.value[counts.indices]
+            return Vectors.sparse(counts.size, counts.indices, weights / max(np.sqrt((weights * weights).sum()), 1e-300))
+
+        return dataset.withColumn(self.getOutputCol(), F.udf(weigh, VectorUDT()).asNondeterministic()(self.getInputCol()))
+
+
+def weights(docs: DataFrame, kind: str = "char", key: str = "id", *, features: int = 60_000, least: int = 2, most: float = 0.98) -> DataFrame:
+    """(key, term, weight): the same weights as rows, without a driver or a vocabulary in memory. Of the terms that are
+    in ``least`` texts and at most a share of ``most``, the ``features`` most frequent ones stay; ties go by term."""
+    terms = PipelineModel(term_stages(kind)).transform(docs.select(key, "text")).select(key, F.explode("terms").alias("term"))
+    counted = terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
+    stats = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("total"))
+    rows = docs.agg(F.count(F.lit(1)).alias("rows"))
+    kept = stats.crossJoin(F.broadcast(rows)).filter((F.col("df") >= least) & (F.col("df") <= most * F.col("rows")))
+    kept = kept.orderBy(F.desc("total"), "term").limit(features).select("term", (F.log((1 + F.col("rows")) / (1 + F.col("df"))) + 1).alias("idf"))
+    raw = counted.join(kept, "term").select(key, "term", ((1 + F.log("n")) * F.col("idf")).alias("raw"))
+    length = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
+    return raw.join(length, key).select(key, "term", (F.col("raw") / F.col("length")).alias("weight"))
+
+
+def fit(df: DataFrame, kind: str = "char", head: str = "logistic", *, features: int = 60_000, least: int = 2, most: float = 0.98, hidden: int = 96,
+        components: int = 0, seed: int = 42) -> PipelineModel:
+    """A classifier of (text, label). ``head``: logistic, or layers (needs ``components``, its input width).
+    ``components`` projects to principal components and scales them; it suits up to a few thousand features. Terms and
+    features are kept while it is fitted, so texts are cut into terms once."""
+    if head == "layers" and not components:
+        raise ValueError("layers need components")
+    first = term_stages(kind)
+    termed = PipelineModel(first).transform(df.select("text", "label")).select("label", "terms").persist(StorageLevel.DISK_ONLY)
+    counts = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=features, minDF=least, maxDF=most).fit(termed)
+    idf = IDF(inputCol="tf", outputCol="weighted").fit(counts.transform(termed)).idf.toArray() + 1
+    stages = [*first, counts, SublinearTfIdf("tf", "features", idf.tolist())]
+    rows, column = stages[-1].transform(counts.transform(termed)).select("label", "features").persist(StorageLevel.DISK_ONLY), "features"
     if components:
-        stages += [PCA(k=components, inputCol=column, outputCol="projected"), StandardScaler(inputCol="projected", outputCol="scaled", withMean=True)]
+        for stage in (PCA(k=components, inputCol=column, outputCol="projected"), StandardScaler(inputCol="projected", outputCol="scaled", withMean=True)):
+            stages.append(stage.fit(rows))
+            rows = stages[-1].transform(rows)
         column = "scaled"
     if head == "layers":
-        if not components:
-            raise ValueError("layers need components")
-        stages.append(MultilayerPerceptronClassifier(featuresCol=column, labelCol="label", layers=[components, hidden, 2], maxIter=18, seed=seed))
+        last = MultilayerPerceptronClassifier(featuresCol=column, labelCol="label", layers=[components, hidden, 2], maxIter=18, seed=seed)
     else:
-        stages.append(LogisticRegression(featuresCol=column, labelCol="label", regParam=1e-4, maxIter=50))
-    return Pipeline(stages=stages)
+        last = LogisticRegression(featuresCol=column, labelCol="label", regParam=1e-4, maxIter=50)
+    stages.append(last.fit(rows))
+    termed.unpersist()
+    rows.unpersist()
+    return PipelineModel(stages)
+
+
+def predicted(model: PipelineModel, df: DataFrame, system: str, threshold: float = 0.5) -> DataFrame:
+    """Prediction rows of a model, a loaded one too: ``df`` with system, probability, threshold and pred_label."""
+    scored = probability(model, df)
+    return scored.withColumns({"system": F.lit(system), "threshold": F.lit(threshold), "pred_label": (F.col("probability") >= threshold).cast("int")})
+
+
+def normalized(df: DataFrame) -> DataFrame:
+    """Rows whose text is its reconstruction."""
+    return df.withColumn("text", deobfuscate("text"))
+
+
+def normalization_defence(clean: DataFrame, obfuscated: DataFrame, test: DataFrame, system: str = "normalized", **options) -> tuple[PipelineModel, DataFrame]:
+    """Defence by normalization: a model trained on the reconstructed texts of clean and obfuscated rows, and its
+    robustness on the reconstructed rows (variant, id, label, text) of ``test``, by variant."""
+    columns = ["id", "label", "text"]
+    model = fit(normalized(clean.select(columns).unionByName(obfuscated.select(columns))), **options)
+    return model, robustness(predicted(model, normalized(test.select("variant", *columns)), system))
 
 
 def probability(model: PipelineModel, df: DataFrame) -> DataFrame:

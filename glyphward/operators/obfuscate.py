@@ -119,11 +119,11 @@ def obfuscate_compatible(df: DataFrame, *, text: str = "text", split: str = "spl
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            texts = [t or "" for t in pdf[text]]
+            digests = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
             for name, syllables, letters, _ in table:
                 rows = []
-                for t, s, i in zip(pdf[text], pdf[split], pdf[index]):
-                    t = t or ""
-                    sha = hashlib.sha256(t.encode()).hexdigest()
+                for t, sha, s, i in zip(texts, digests, pdf[split], pdf[index]):
                     seed = f"{GLYPH_MIX_SEED}:{s}:{i}:{sha}" if mix else f"{READABLE_SEED}:{name}:{s}:{i}:{sha}"
                     draws = Draws(seed)
                     rows.append((draws.mixed(t, syllables, letters), None, None) if mix else draws.readable(t, syllables, letters))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import sums_before
+
 SEED = 20260609
 #: Seeds of the test sample, the calibration sample, and the training and validation examples.
 SEEDS = {"test": SEED, "calibration": SEED + 1, "train": SEED + 10, "valid": SEED + 11}
@@ -16,8 +18,9 @@ def draw(seed: int, key: str = "id") -> Column:
 
 
 def shuffled(df: DataFrame, seed: int, key: str = "id") -> DataFrame:
-    """All rows with their place; a place needs a total order, so this is for samples, not for corpora."""
-    return df.withColumn("sample_order", F.row_number().over(Window.orderBy(draw(seed, key), key)) - 1)
+    """All rows with their place in the shuffled order. Draws are uniform, so their first digits deal them into bins."""
+    drawn = df.withColumn("_draw", draw(seed, key))
+    return sums_before(drawn, F.substring("_draw", 1, 2), ["_draw", key], {"sample_order": F.lit(1)}).drop("_draw")
 
 
 def balanced(df: DataFrame, rows: int, seed: int, *, label: str = "label", key: str = "id", exclude: DataFrame | None = None, strict: bool = True) -> DataFrame:

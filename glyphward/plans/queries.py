@@ -102,12 +102,12 @@ def q_attack_success(spark, sf_dir):
     return rounded(m.robustness(syn.scored(spark, sf_dir).withColumnRenamed("score", "probability")))
 
 
-@query(f"""WITH {SQL}, coarse AS (SELECT system, variant, label, round(score * 50) AS s FROM scored),
+@query(f"""WITH {SQL}, coarse AS (SELECT system, variant, label, CASE WHEN id % 2 = 0 THEN round(score * 50) / 50 ELSE score END AS s FROM scored),
 ranked AS (SELECT *, rank() OVER (PARTITION BY system, variant ORDER BY s) + (count(*) OVER (PARTITION BY system, variant, s) - 1) / 2 AS place FROM coarse),
 summed AS (SELECT system, variant, count(*) FILTER (label = 1) AS positives, count(*) FILTER (label = 0) AS negatives, sum(place) FILTER (label = 1) AS places FROM ranked GROUP BY ALL)
 SELECT system, variant, positives, negatives, round(CASE WHEN positives > 0 AND negatives > 0 THEN (places - positives * (positives + 1) / 2) / (positives * negatives) END, 9) AS auroc FROM summed""")
 def q_auc(spark, sf_dir):
-    coarse = syn.scored(spark, sf_dir).withColumn("score", F.round(F.col("score") * 50))
+    coarse = syn.scored(spark, sf_dir).withColumn("score", F.when(F.col("id") % 2 == 0, F.round(F.col("score") * 50) / 50).otherwise(F.col("score")))
     return rounded(m.auroc(coarse, "system", "variant", score="score"))
 
 
@@ -317,11 +317,12 @@ def q_leaked_items(spark, sf_dir):
 
 # Text ----------------------------------------------------------------------------------------------------------------
 
-ANSWERS = ("hate", "Non_Hate", "non - hate", "nonhate", "not hate", "비혐오", "혐오", "정상", "정상입니다", "hate입니다", "hateful", "1", "", "  NON   HATE ", "It is hate.")
+ANSWERS = ("hate", "Non_Hate", "non - hate", "nonhate", "not hate", "비혐오", "혐오", "정상", "정상입니다", "hate입니다", "hateful", "1", "", "  NON   HATE ", "It is hate.", "non\u00a0hate", "정상\r\n", "\t일반", "Hate\u3000", "\x1cnon -\x85hate")
+_BLANKS = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _ANSWER = "[" + ", ".join(f"'{a}'" for a in ANSWERS) + f"][doc_id % {len(ANSWERS)} + 1]"
 
 
-@query(f"""WITH a AS (SELECT doc_id, {_ANSWER} AS answer FROM labels), t AS (SELECT doc_id, answer, regexp_replace(replace(lower(trim(answer)), '_', '-'), '\\s+', ' ', 'g') AS t FROM a),
+@query(f"""WITH a AS (SELECT doc_id, {_ANSWER} AS answer FROM labels), t AS (SELECT doc_id, answer, regexp_replace(replace(lower(regexp_replace(answer, '^{_BLANKS}+|{_BLANKS}+$', '', 'g')), '_', '-'), '{_BLANKS}+', ' ', 'g') AS t FROM a),
 p AS (SELECT doc_id, answer, CASE WHEN regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}_])(non\\s*-\\s*hate|nonhate|non hate)($|[^\\p{{L}}\\p{{N}}_])') THEN 0
     WHEN regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}_])hate($|[^\\p{{L}}\\p{{N}}_])') THEN 1 WHEN contains(t, '비혐오') OR contains(t, '비악성') OR t IN ('정상', '일반') THEN 0
     WHEN contains(t, '혐오') OR contains(t, '악성') THEN 1 END AS pred_label FROM t)
@@ -495,9 +496,10 @@ def q_nfkc(spark, sf_dir):
     return syn.table(spark, sf_dir, "documents").select("doc_id", F.md5(deob.with_nfkc(F.col("text")).cast("binary")).alias("nfkc"))
 
 
-@query("""SELECT o_orderkey, (CASE o_orderkey % 3 WHEN 0 THEN ' 8 ' WHEN 1 THEN '2, 3' ELSE '1,18' END) AS labels, (o_orderkey % 3 <> 0)::INT AS is_hate_speech, CASE WHEN o_orderkey % 3 = 0 THEN 'non-hate' ELSE 'hate' END AS name FROM orders""")
+@query("""SELECT o_orderkey, (CASE o_orderkey % 4 WHEN 0 THEN ' 8 ' WHEN 1 THEN '2, 3' WHEN 2 THEN '1,18' ELSE '4,' || chr(9) || '8' || chr(13) END) AS labels, (o_orderkey % 4 IN (1, 2))::INT AS is_hate_speech, CASE WHEN o_orderkey % 4 IN (1, 2) THEN 'hate' ELSE 'non-hate' END AS name FROM orders""")
 def q_multilabel_binary(spark, sf_dir):
-    text = F.when(F.col("o_orderkey") % 3 == 0, " 8 ").when(F.col("o_orderkey") % 3 == 1, "2, 3").otherwise("1,18")
+    kind = F.col("o_orderkey") % 4
+    text = F.when(kind == 0, " 8 ").when(kind == 1, "2, 3").when(kind == 2, "1,18").otherwise("4,\t8\r")
     rows = syn.table(spark, sf_dir, "orders").select("o_orderkey", text.alias("labels")).withColumn("is_hate_speech", labels.binary_label(F.col("labels")))
     return rows.withColumn("name", labels.label_name(F.col("is_hate_speech")))
 
@@ -662,11 +664,32 @@ def q_file_manifest(spark, sf_dir):
 def q_text_model(spark, sf_dir):
     rows = syn.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("text"))
     labelled = rows.join(syn.truth(spark, sf_dir), "id").repartition(spark.sparkContext.defaultParallelism)
-    model = models.classifier("word", features=20_000).fit(labelled)
-    return models.probability(model, rows).select("id", F.round("probability", 6).alias("probability"))
+    return models.probability(models.fit(labelled, "word"), syn.spread(rows)).select("id", F.round("probability", 6).alias("probability"))
 
 
 @query()
 def q_token_budget(spark, sf_dir):
     rows = syn.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.lower("text").alias("candidate"))
     return models.fit_token_budget(rows, lambda a, b: 20 + len(a.split()) + len(b.split()), most=96).select("conv_id", "turn", "budget", "token_count", "truncated")
+
+
+@query("""WITH w AS (SELECT conv_id || '/' || turn AS id, ' ' || unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) || ' ' AS w FROM conversations),
+g AS (SELECT id, unnest(flatten([[w[i:i + n - 1] FOR i IN range(1, length(w) - n + 2)] FOR n IN [2, 3, 4, 5]])) AS term FROM w),
+c AS (SELECT id, term, count(*) AS n FROM g GROUP BY ALL), r AS (SELECT count(*) AS rows FROM conversations),
+k AS (SELECT term, count(*) AS df, sum(n) AS total FROM c GROUP BY term HAVING count(*) >= 2 AND count(*) <= 0.98 * (SELECT rows FROM r) ORDER BY total DESC, term LIMIT 5000),
+x AS (SELECT id, term, (1 + ln(n)) * (ln((1 + rows) / (1 + df)) + 1) AS raw FROM c JOIN k USING (term), r),
+l AS (SELECT id, sqrt(sum(raw * raw)) AS length FROM x GROUP BY id)
+SELECT id, term, round(raw / length, 9) AS weight FROM x JOIN l USING (id)""")
+def q_char_tfidf(spark, sf_dir):
+    rows = syn.table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), "text")
+    return rounded(models.weights(syn.spread(rows), "char", features=5000))
+
+
+@query()
+def q_normalization_defence(spark, sf_dir):
+    """Trained and tested on the reconstructed texts of the labelled documents, romanized in part."""
+    rows = _compatible(spark, sf_dir).select(F.col("idx").cast("string").alias("id"), "label", "variant", "text", "obfuscated")
+    test = rows.select("variant", "id", "label", F.col("obfuscated").alias("text"))
+    clean = rows.filter(F.col("variant") == obfuscate.READABLE[0][0]).select("id", "label", "text")
+    _, found = models.normalization_defence(clean, test.filter(F.col("variant") == obfuscate.READABLE[1][0]), clean.withColumn("variant", F.lit("clean")).unionByName(test.filter("variant <> 'clean'")), kind="word", features=5000)
+    return rounded(found)

@@ -33,10 +33,11 @@ def read_csv(spark: SparkSession, path: str | list[str], schema, *, sep: str = "
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema) -> DataFrame:
-    """One object a line; blank lines and lines that are no object are dropped."""
+    """One object a line; blank lines are dropped, and a line that is no object is an error."""
     lines = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
-    parsed = lines.select(F.from_json("value", _schema(schema)).alias("row"))
-    return parsed.filter(F.col("row").isNotNull()).select("row.*")
+    wrong = F.raise_error(F.concat(F.lit("not a JSON object: "), F.substring("value", 1, 80)))
+    whole = F.when(F.json_object_keys("value").isNotNull(), F.col("value")).otherwise(wrong.cast("string"))
+    return lines.select(F.from_json(whole, _schema(schema)).alias("row")).select("row.*")
 
 
 def read_answers(spark: SparkSession, path: str) -> DataFrame:

@@ -1,8 +1,12 @@
+import bisect
 import csv
 import glob
+import hashlib
 import json
 import random
+from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,7 +178,7 @@ def test_models(spark):
     rows = [(f"good nice kind {i % 7}", 0) for i in range(30)] + [(f"awful bad vile {i % 7}", 1) for i in range(30)]
     df = spark.createDataFrame(rows, "text string, label int")
     for kind, extra in (("char", {}), ("word", {}), ("word", {"head": "layers", "components": 4, "hidden": 4})):
-        scored = models.probability(models.classifier(kind, features=500, **extra).fit(df), df)
+        scored = models.probability(models.fit(df, kind, features=500, **extra), df)
         assert scored.filter((F.col("probability") >= 0.5).cast("int") != F.col("label")).count() == 0
     assert set(models.train_settings(df, {"a": df, "b": df})) == {"clean_only", "aug_a", "aug_b", "aug_a_b"}
     r = models.fit_token_budget(spark.createDataFrame([("x" * 100, "y")], "text string, candidate string"), lambda a, b: len(a) + len(b), most=60).first()
@@ -281,6 +285,75 @@ def test_archive_and_card(spark, tmp_path):
 
 def test_saved_model(spark, tmp_path):
     df = spark.createDataFrame([("good nice", 0), ("bad vile", 1)] * 10, "text string, label int")
-    models.classifier("word", features=50).fit(df).write().overwrite().save(f"{tmp_path}/model")
+    models.fit(df, "word", features=50).write().overwrite().save(f"{tmp_path}/model")
     again = models.PipelineModel.load(f"{tmp_path}/model")
     assert models.probability(again, df).filter((F.col("probability") >= 0.5).cast("int") != F.col("label")).count() == 0
+
+
+def test_sweep_of_many_thresholds(spark):
+    rnd = random.Random(2)
+    rows = [(round(rnd.random(), 3), rnd.randrange(2)) for _ in range(2000)]
+    points = [k / 5000 for k in range(5000)]
+    scored = spark.createDataFrame(rows, "score double, label int")
+    found = {r.threshold: (r.tp, r.fp) for r in calibrate.sweep(scored, thresholds=spark.createDataFrame([(t,) for t in points], "threshold double")).collect()}
+    hits = sorted(s for s, y in rows if y == 1), sorted(s for s, y in rows if y == 0)
+    assert found == {t: tuple(len(h) - bisect.bisect_left(h, t) for h in hits) for t in points}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 400, 401, 5000])
+def test_exact_quantiles(spark, n):
+    rnd = random.Random(n)
+    scores = [rnd.choice([0.25, 0.5, rnd.random()]) for _ in range(n)]
+    df = spark.createDataFrame([(s,) for s in scores] + [(None,)], "score double").repartition(3)
+    found = {r.k: r.threshold for r in calibrate.exact_quantiles(df, "score", 401).collect()}
+    assert [found[k] for k in range(401)] == pytest.approx(np.quantile(scores, [k / 400 for k in range(401)]).tolist(), abs=1e-12)
+
+
+def test_area_under_the_curve_of_real_scores(spark):
+    rnd = random.Random(7)
+    rows = [(g, rnd.choice([rnd.random(), 0.5]), rnd.randrange(2)) for g in ("a", "b", None) for _ in range(200)] + [("c", 0.1, 1)]
+    found = {r.system: r.auroc for r in metrics.auroc(spark.createDataFrame(rows, "system string, probability double, label int"), "system").collect()}
+    for g in ("a", "b", None):
+        p, n = [s for x, s, y in rows if x == g and y == 1], [s for x, s, y in rows if x == g and y == 0]
+        assert found[g] == pytest.approx(sum((a > b) + (a == b) / 2 for a in p for b in n) / (len(p) * len(n)))
+    assert found["c"] is None
+
+
+def test_shuffle_in_bins_is_one_order(spark):
+    df = spark.range(3000).withColumnRenamed("id", "key")
+    found = [r.key for r in sampling.shuffled(df, 5, "key").orderBy("sample_order").collect()]
+    assert found == sorted(range(3000), key=lambda k: hashlib.md5(f"5|{k}".encode()).hexdigest())
+    text = sampling.shuffled(df, 5, "key")._jdf.queryExecution().executedPlan().toString()
+    assert "Window [row_number" not in text
+
+
+def test_broken_lines_are_errors(spark, tmp_path):
+    for k, line in enumerate(('{broken', '[1]', '{"id": "1"', "text")):
+        (tmp_path / f"{k}.jsonl").write_text('{"id":"1"}\n' + line + "\n")
+        with pytest.raises(Exception, match="not a JSON object"):
+            files.read_jsonl(spark, f"{tmp_path}/{k}.jsonl", "id string").collect()
+
+
+def test_weights_equal_the_model_s(spark, tmp_path):
+    rnd = random.Random(3)
+    df = spark.createDataFrame([(k, " ".join(rnd.choice("abcdefgh") * 2 for _ in range(12)), k % 2) for k in range(60)], "id int, text string, label int")
+    model = models.fit(df, "word", features=1000)
+    model.write().overwrite().save(f"{tmp_path}/m")
+    again = models.PipelineModel.load(f"{tmp_path}/m")
+    vocabulary = next(s for s in again.stages if hasattr(s, "vocabulary")).vocabulary
+    want = defaultdict(dict)
+    for r in models.weights(df, "word").collect():
+        want[r.id][r.term] = r.weight
+    for r in again.transform(df).select("id", "features").collect():
+        assert {vocabulary[i]: w for i, w in zip(r.features.indices, r.features.values)} == pytest.approx(want[r.id])
+    assert models.predicted(again, df, "s", 0.4).filter((F.col("pred_label") == 1) != (F.col("probability") >= 0.4)).isEmpty()
+
+
+def test_normalization_defence(spark):
+    base = [(str(k), k % 2, ("busan jarang " if k % 2 else "chingu hakgyo ") + str(k % 5)) for k in range(40)]
+    clean = spark.createDataFrame(base, "id string, label int, text string")
+    runes = clean.withColumn("text", hangul.to_runes(F.col("text")))
+    test = clean.withColumn("variant", F.lit("clean")).unionByName(runes.withColumn("variant", F.lit("runes")))
+    model, found = models.normalization_defence(clean, runes, test, kind="word", least=1)
+    rows = {r.variant: r for r in found.collect()}
+    assert rows["clean"].f1 == rows["runes"].f1 == 1.0 and rows["runes"].attack_success_rate == 0.0 and rows["runes"].system == "normalized"

@@ -77,7 +77,10 @@ def test_parse_label(spark):
 
 
 def test_binary_label(spark):
-    assert values(spark, ["8", "2,3", " 8 ", "1, 8", "18", ""], labels.binary_label(F.col("t"))) == [0, 1, 0, 0, 1, 1]
+    assert values(spark, ["8", "2,3", " 8 ", "1, 8", "18", "", "8\t", "1,\r8\u00a0", "\u30008\n"], labels.binary_label(F.col("t"))) == [0, 1, 0, 0, 1, 1, 0, 0, 0]
+    spaces = [chr(c) for c in range(0x110000) if chr(c).isspace()]
+    assert values(spark, [f"{s}non{s}hate{s}{s}" for s in spaces], labels.parse_label(F.col("t"))) == [0] * len(spaces)
+    assert values(spark, [f"x{s}{s}y" for s in spaces] + ["\u200bx"], labels.stripped(F.concat(F.lit("\u2003\t"), F.col("t"), F.lit("\x1f\n")))) == [f"x{s}{s}y" for s in spaces] + ["\u200bx"]
 
 
 @pytest.mark.parametrize("budget,expected", [(4, "ab ... ij"), (5, "ab ... hij"), (10, "abcdefghij"), (0, " ... ")])
