@@ -36,8 +36,9 @@ def term_stages(kind: str = "char") -> list:
     """Column text to terms: ``char`` n-grams of 2 to 5, or ``word`` n-grams of 1 and 2, where a word has
     two characters or more, of any script."""
     if kind == "char":
-        # The filter keeps this projection apart from later ones: a function in Python takes no lambda as an argument.
-        return [SQLTransformer(statement=f"SELECT * FROM (SELECT *, {_char_terms()} AS terms FROM __THIS__) WHERE rand(1) >= 0")]
+        # A column that is not deterministic is not merged into later steps: a function in Python takes no lambda as an argument.
+        apart = "if(monotonically_increasing_id() < 0, array(text), cast(array() as array<string>))"
+        return [SQLTransformer(statement=f"SELECT *, concat({_char_terms()}, {apart}) AS terms FROM __THIS__")]
     return [
         RegexTokenizer(inputCol="text", outputCol="words", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False, toLowercase=True), NGram(n=2, inputCol="words", outputCol="pairs"),
         SQLTransformer(statement="SELECT *, concat(words, pairs) AS terms FROM __THIS__"),
