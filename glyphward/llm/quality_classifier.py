@@ -15,6 +15,7 @@ no label; repeated rows are scored each; an empty table gives an empty result; f
 from __future__ import annotations
 
 import zlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,13 +81,17 @@ def _logistic(x: float) -> float:
 
 
 def train(batches: Iterator[pa.RecordBatch], bits: int = BITS, epochs: int = EPOCHS, most: int = MOST_TRAINING) -> np.ndarray:
-    """Weights from batches of (order, label, data)."""
-    rows = []
+    """Weights from batches of (order, label, data). Of more than ``most`` rows (repeated ids) those first in order stay,
+    however they arrive."""
+    held: list[tuple] = []  # a heap, the last in order on top
     for batch in batches:
         for order, label, data in zip(*(c.to_pylist() for c in batch.columns)):
-            if len(rows) < most:
-                rows.append((order, label, *(a.astype(t) for a, t in zip(features(data, bits), (np.int32, np.float32)))))
-    rows.sort(key=lambda r: r[0])
+            if len(held) < most:
+                heapq.heappush(held, (-order, label, data))
+            elif held and -order > held[0][0]:
+                heapq.heapreplace(held, (-order, label, data))
+    rows = [(-order, label, *(a.astype(t) for a, t in zip(features(data, bits), (np.int32, np.float32)))) for order, label, data in sorted(held, reverse=True)]
+    del held
     model = Ftrl((1 << bits) + 1)
     order = np.random.RandomState(0)
     for _ in range(epochs):
@@ -100,14 +105,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         bits: int = BITS, most: int = MOST_TRAINING) -> np.ndarray:
     """Weights learned from labels outside the held-out fold."""
     usable = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col, FOLDS) != HELD_OUT))
-    place = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col).cast("long")), F.lit(SAMPLE_GRID))
+    kind = "long" if docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long") else "string"
+    place = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col).cast(kind)), F.lit(SAMPLE_GRID))
     share = min(1.0, 0.98 * most / max(1, usable.count()))
     # At most about MOST_TRAINING ids and labels: a proven bound for the broadcast.
     sample = (
         usable.filter(place < int(share * SAMPLE_GRID) if share < 1 else F.lit(True))
-        .groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_label"))
+        .groupBy(F.col(id_col).cast(kind).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_label"))
     )
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), as_text(text_col).alias("_data")).join(F.broadcast(sample), "_id")
+    rows = docs.select(F.col(id_col).cast(kind).alias("_id"), as_text(text_col).alias("_data")).join(F.broadcast(sample), "_id")
     rows = rows.select(F.xxhash64("_id", "_data").alias("order"), "_label", "_data")
 
     def one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

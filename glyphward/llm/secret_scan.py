@@ -48,7 +48,8 @@ BASE_RULES = (
 )
 #: Public formats of keys and tokens that the base rules do not name.
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END (?:[A-Z]+ )*PRIVATE KEY-----)?"),
+    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:\s+[A-Za-z0-9+/]{32,76}={0,2})*(?:\s+[A-Za-z0-9+/]{1,76}={0,2})?(?:\s+-----END (?:[A-Z]+ )*PRIVATE KEY-----)"
+         r"|-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:\s+[A-Za-z0-9+/]{32,76}={0,2})*"),
     Rule("github", r"(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{36,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
