@@ -19,6 +19,8 @@ judged each; an empty table gives an empty result; further columns are ignored a
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,10 +46,16 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(url, parts, 2)
 
 
+def _table(spark: SparkSession, rules) -> DataFrame:
+    """Tuples as a table, from one literal."""
+    named = json.dumps([{"host": h, "path": p, "action": a} for h, p, a in rules])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(named), "array<struct<host string, path string, action string>>")))
+
+
 def listed_keys(spark: SparkSession, rules) -> DataFrame:
     """(key, action, labels, length) of ``rules``: a table with host, path and action, or such tuples. Hosts in lower
     case; a rule without host or path has the empty one."""
-    table = rules if isinstance(rules, DataFrame) else spark.createDataFrame(list(rules), "host string, path string, action string")
+    table = rules if isinstance(rules, DataFrame) else _table(spark, rules)
     host, path = F.translate(F.coalesce("host", F.lit("")), UPPER, UPPER.lower()), F.coalesce("path", F.lit(""))
     return table.select(F.concat(host, path).alias("key"), "action", F.size(F.split(host, r"\.")).alias("labels"), F.length(path).alias("length"))
 
