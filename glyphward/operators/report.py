@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import display_name, markdown_number, parse_label, parsed_name
-from .align import checked_left_join, require
+from .align import checked_left_join, keep_last, require, union
+from .metrics import metrics, system_ranking
 
 #: Prefixes of systems whose answers came from a chat page.
 CHAT_PREFIXES = ("chatgpt", "claude", "gemini_free", "grok_free")
@@ -50,6 +51,30 @@ def winner(ranking: DataFrame) -> DataFrame:
         "%s has the best worst-case balanced accuracy, %.3f.", "system", "worst_case_balanced_accuracy").alias("conclusion"))
 
 
+def summary(loaded: DataFrame, run: str = "run") -> DataFrame:
+    """The summary of metrics by variant that were loaded from several runs: the last run of each (system, variant)
+    counts, systems from chat pages are ranked apart as a supplement, and the first of each part is its winner."""
+    last = keep_last(loaded, ["system", "variant"], F.col(run))
+    parts = []
+    for part, rows in (("main", last.filter(~is_chat(F.col("system")))), ("supplementary", last.filter(is_chat(F.col("system"))))):
+        ranked = system_ranking(rows)
+        parts.append(ranked.join(winner(ranked).select("system", "conclusion"), "system", "left").withColumn("part", F.lit(part)))
+    return parts[0].unionByName(parts[1])
+
+
+def external_comparison(manifest: DataFrame, answers: dict[str, DataFrame], names: dict[str, str]) -> DataFrame:
+    """Outside systems and models side by side on the rows of one manifest (id, variant, label): overall metrics, and the
+    ranking by worst case, with display names. Every row must have been answered by every system."""
+    rows = []
+    for system, given in answers.items():
+        given = given.select("id", "variant", F.col("label").alias("answer"))
+        joined = checked_left_join(require(manifest, "id", "variant", "label"), given, ["id", "variant"], complete="answer")
+        rows.append(joined.select(F.lit(system).alias("system"), "id", "variant", "label", parse_label(F.col("answer")).alias("pred_label")))
+    every = union(rows)
+    ranked = system_ranking(metrics(every, "system", "variant"))
+    return named(metrics(every, "system").join(ranked.select("system", "worst_case_balanced_accuracy", "rank"), "system"), names)
+
+
 def markdown_rows(df: DataFrame, order: str, places: int = 3) -> DataFrame:
     """(place, line): each row as a line of a table, numbers with fixed places, nulls as a dash."""
     cells = [

@@ -295,11 +295,19 @@ def q_dedup_keep_last(spark, sf_dir):
     return rounded(align.keep_last(rows, ["system", "variant"], F.col("value"), F.col("event_id")))
 
 
-@query(f"""WITH {SQL}, sizes AS (SELECT system, count(*) AS n, max(id) AS x FROM predictions GROUP BY system)
-SELECT system, CASE WHEN system = '{SYSTEMS[4]}' THEN 'unknown' ELSE 'all_variants' END AS scope FROM sizes""")
+_SCOPES = """expected AS (SELECT id, variant FROM truth, variants), sizes AS (SELECT p.system, count(DISTINCT (p.id, p.variant)) AS n, count(DISTINCT (e.id, e.variant)) AS found,
+    count(DISTINCT (e.id, e.variant)) FILTER (e.variant = 'clean') AS clean FROM predictions p LEFT JOIN expected e ON e.id = p.id AND e.variant = p.variant GROUP BY p.system),
+scopes AS (SELECT system, CASE WHEN n = clean AND n = (SELECT count(*) FROM truth) THEN 'clean_only' WHEN n = found AND n = (SELECT count(*) FROM expected) THEN 'all_variants' ELSE 'unknown' END AS scope FROM sizes)"""
+
+
+@query(f"""WITH {SQL}, {_SCOPES} SELECT system, scope FROM scopes""")
 def q_set_scope(spark, sf_dir):
+    return _scopes(spark, sf_dir, syn.predictions(spark, sf_dir))
+
+
+def _scopes(spark, sf_dir, predictions):
     full = syn.truth(spark, sf_dir).crossJoin(F.broadcast(obfuscate.variants(spark).select("variant")))
-    return align.scope(syn.predictions(spark, sf_dir), {"clean_only": full.filter("variant = 'clean'"), "all_variants": full})
+    return align.scope(predictions, {"clean_only": full.filter("variant = 'clean'"), "all_variants": full})
 
 
 @query(f"WITH {SQL} SELECT part, count(*) AS rows, count(DISTINCT id) AS ids FROM (SELECT 'low' AS part, id FROM predictions WHERE score < 0.5 UNION ALL SELECT 'high', id FROM predictions WHERE score >= 0.5) GROUP BY part")
@@ -309,10 +317,24 @@ def q_union_systems(spark, sf_dir):
     return align.union(parts).groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("id").alias("ids"))
 
 
-@query("SELECT DISTINCT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON d.text = b.text")
+def _windows_sql(table: str, key: str) -> str:
+    words = "list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda w: w <> '')"
+    return f"SELECT DISTINCT {key}, array_to_string(ws[i:i + 7], ' ') AS w FROM (SELECT {key}, ws, unnest(range(1, len(ws) - 6)) AS i FROM (SELECT {key}, {words} AS ws FROM {table}))"
+
+
+def _windows(df: DataFrame, key: str) -> DataFrame:
+    """The runs of eight words of each text, once each."""
+    ws = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    starts = F.when(F.size("ws") >= 8, F.sequence(F.lit(1), F.size("ws") - 7)).otherwise(F.array().cast("array<int>"))
+    runs = F.transform(starts, lambda i: F.array_join(F.slice("ws", i, F.lit(8)), " "))
+    return df.select(key, ws.alias("ws")).select(key, F.explode(F.array_distinct(runs)).alias("w"))
+
+
+@query(f"WITH d AS ({_windows_sql('documents', 'doc_id')}), b AS ({_windows_sql('benchmark', 'item_id')}) SELECT item_id, doc_id, count(*) AS windows FROM d JOIN b USING (w) GROUP BY ALL")
 def q_leaked_items(spark, sf_dir):
-    docs, items = syn.table(spark, sf_dir, "documents").select("doc_id", "text"), syn.table(spark, sf_dir, "benchmark")
-    return docs.join(items, "text").select("item_id", "doc_id").distinct()
+    """Documents that hold eight words in a row of a benchmark item."""
+    docs = _windows(syn.spread(syn.table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
+    return docs.join(_windows(syn.table(spark, sf_dir, "benchmark"), "item_id"), "w").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("windows"))
 
 
 # Text ----------------------------------------------------------------------------------------------------------------
@@ -490,10 +512,10 @@ def q_split_summary(spark, sf_dir):
     return obfuscate.split_summary(_compatible(spark, sf_dir))
 
 
-#: The test tables hold no compatibility characters, so the canonical form is the same.
+#: Letters are written wide and in circles first: the compatibility form undoes that, the canonical one would not.
 @query("SELECT doc_id, md5(nfc_normalize(text)) AS nfkc FROM documents")
 def q_nfkc(spark, sf_dir):
-    return syn.table(spark, sf_dir, "documents").select("doc_id", F.md5(deob.with_nfkc(F.col("text")).cast("binary")).alias("nfkc"))
+    return syn.table(spark, sf_dir, "documents").select("doc_id", F.md5(deob.with_nfkc(F.translate("text", "aenst1", "ａｅⓝｓⓣ①")).cast("binary")).alias("nfkc"))
 
 
 @query("""SELECT o_orderkey, (CASE o_orderkey % 4 WHEN 0 THEN ' 8 ' WHEN 1 THEN '2, 3' WHEN 2 THEN '1,18' ELSE '4,' || chr(9) || '8' || chr(13) END) AS labels, (o_orderkey % 4 IN (1, 2))::INT AS is_hate_speech, CASE WHEN o_orderkey % 4 IN (1, 2) THEN 'hate' ELSE 'non-hate' END AS name FROM orders""")
@@ -507,7 +529,18 @@ def q_multilabel_binary(spark, sf_dir):
 # Audit and reports ---------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {SQL}, {_ALIGNED}, d AS (SELECT a.*, text, lower(text) AS normalized_text FROM aligned a JOIN documents ON doc_id = id),
+def _kept(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Written once, where several checks read it."""
+    path = _scratch(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_REST = "(SELECT * FROM truth WHERE id NOT IN (SELECT id FROM s1))"
+_PARTS = f"""s1 AS ({_drawn(sampling.SEEDS['test'], 60)}), s2 AS ({_drawn(sampling.SEEDS['calibration'], 40, _REST)}), s3 AS ({_drawn(sampling.SEEDS['train'], 40, _REST)}), s4 AS ({_drawn(sampling.SEEDS['valid'], 40)})"""
+
+
+@query(f"""WITH {SQL}, {_ALIGNED}, {_SCOPES}, {_PARTS}, d AS (SELECT a.*, text, lower(text) AS normalized_text FROM aligned a JOIN documents ON doc_id = id),
 per AS (SELECT variant, count(*) AS n, count(*) FILTER (label = 1) AS h FROM d GROUP BY variant),
 checks AS (SELECT 'test_row_count' AS "check", count(*) = 300 AS passed, count(*)::VARCHAR AS detail FROM d
 UNION ALL SELECT 'test_unique_keys', count(*) = 0, count(*)::VARCHAR FROM (SELECT 1 FROM d GROUP BY variant, id HAVING count(*) > 1)
@@ -517,17 +550,23 @@ UNION ALL SELECT 'test_normalized_filled', count(*) = 0, count(*)::VARCHAR FROM
 UNION ALL SELECT 'test_balanced', count(*) FILTER (n <> 60 OR h <> 30) = 0 AND count(*) = 5, (count(*) FILTER (n <> 60 OR h <> 30))::VARCHAR FROM per
 UNION ALL SELECT 'tokens_token_bounds', min(length(text)) > 0 AND max(length(text)) <= 2000000, min(length(text)) || '..' || max(length(text)) FROM d
 UNION ALL SELECT 'tokens_supervised_tokens', min(length(text)) > 0, min(length(text))::VARCHAR FROM d
-UNION ALL SELECT 'predictions_' || system, system <> '{SYSTEMS[4]}', CASE WHEN system = '{SYSTEMS[4]}' THEN 'unknown' ELSE 'all_variants' END FROM (SELECT DISTINCT system FROM predictions)
-UNION ALL SELECT 'overlap_test_calibration', true, '0')
+UNION ALL SELECT 'predictions_' || system, scope <> 'unknown', scope FROM scopes
+UNION ALL SELECT 'overlap_test_calibration', count(*) = 0, count(*)::VARCHAR FROM s1 JOIN s2 USING (id) UNION ALL SELECT 'overlap_test_train', count(*) = 0, count(*)::VARCHAR FROM s1 JOIN s3 USING (id)
+UNION ALL SELECT 'overlap_test_valid', count(*) = 0, count(*)::VARCHAR FROM s1 JOIN s4 USING (id) UNION ALL SELECT 'overlap_calibration_train', count(*) = 0, count(*)::VARCHAR FROM s2 JOIN s3 USING (id)
+UNION ALL SELECT 'overlap_calibration_valid', count(*) = 0, count(*)::VARCHAR FROM s2 JOIN s4 USING (id) UNION ALL SELECT 'overlap_train_valid', count(*) = 0, count(*)::VARCHAR FROM s3 JOIN s4 USING (id))
 SELECT * FROM checks UNION ALL SELECT 'verdict', bool_and(passed), (count(*) FILTER (NOT passed))::VARCHAR FROM checks""")
 def q_audit(spark, sf_dir):
-    rows = _benchmark(spark, sf_dir).join(syn.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id").withColumn("normalized_text", F.lower("text"))
+    """All checks of a benchmark; the four samples overlap where they are drawn to."""
+    predictions, test = _kept(spark, syn.predictions(spark, sf_dir)), _kept(spark, _sample(spark, sf_dir))
+    rows = align.aligned(predictions.filter(F.col("system") == SYSTEMS[0]), test.select("id", "sample_order"), obfuscate.variants(spark))
+    rows = rows.join(syn.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id").withColumn("normalized_text", F.lower("text"))
+    rows = _kept(spark, rows.select("id", "variant", "label", "text", "normalized_text"))
     tokens = rows.select(F.length("text").alias("token_count"), F.length("text").alias("supervised_token_count"))
-    test = _sample(spark, sf_dir)
-    shared = sampling.overlaps({"test": test, "calibration": _sample(spark, sf_dir, "calibration", 40, exclude=test)})
-    scopes = q_set_scope(spark, sf_dir)
+    shared = sampling.overlaps({
+        "test": test, "calibration": _sample(spark, sf_dir, "calibration", 40, exclude=test), "train": _sample(spark, sf_dir, "train", 40, exclude=test), "valid": _sample(spark, sf_dir, "valid", 40)})
+    scopes = _scopes(spark, sf_dir, predictions)
     return audit.report([
-        *audit.benchmark_checks("test", rows, 60, 5), *audit.token_checks("tokens", tokens, 2_000_000), audit.prediction_checks(syn.predictions(spark, sf_dir), scopes), audit.overlap_checks(shared)])
+        *audit.benchmark_checks("test", rows, 60, 5), *audit.token_checks("tokens", tokens, 2_000_000), audit.prediction_checks(predictions, scopes), audit.overlap_checks(shared)])
 
 
 @query(f"""WITH {SQL}, results AS (SELECT system AS provider, id, variant, pred_label FROM predictions WHERE score < 0.9 UNION ALL SELECT system, id, variant, pred_label FROM predictions WHERE score < 0.02
@@ -616,7 +655,7 @@ def q_plot_data(spark, sf_dir):
     return rounded(report.plot_data(by_variant(spark, sf_dir), "max_failure_rate"))
 
 
-@query(f"WITH {SQL} SELECT 'zeta' AS system")
+@query(f"WITH {SQL}, wanted(system) AS (VALUES ('zeta'), ('{SYSTEMS[0]}')) SELECT system FROM wanted WHERE system NOT IN (SELECT system FROM predictions)")
 def q_missing_systems(spark, sf_dir):
     return report.missing_systems(syn.predictions(spark, sf_dir), ["zeta", SYSTEMS[0]])
 
@@ -656,7 +695,7 @@ def q_row_ids(spark, sf_dir):
 
 @query()
 def q_file_manifest(spark, sf_dir):
-    found = audit.manifest(spark, f"{sf_dir}/region.parquet")
+    found = audit.manifest(spark, sf_dir)
     return found.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", "sha256")
 
 
@@ -693,3 +732,64 @@ def q_normalization_defence(spark, sf_dir):
     clean = rows.filter(F.col("variant") == obfuscate.READABLE[0][0]).select("id", "label", "text")
     _, found = models.normalization_defence(clean, test.filter(F.col("variant") == obfuscate.READABLE[1][0]), clean.withColumn("variant", F.lit("clean")).unionByName(test.filter("variant <> 'clean'")), kind="word", features=5000)
     return rounded(found)
+
+
+# Composed reports and scans ------------------------------------------------------------------------------------------
+
+_CHAT = f"CASE system WHEN '{SYSTEMS[3]}' THEN 'chatgpt_delta' ELSE system END"
+
+
+@query(f"""WITH {SQL}, {DENSE}, summed AS (SELECT {_CHAT} AS system, min(balanced_accuracy) AS worst, max(max_failure_rate) AS failure, avg(balanced_accuracy) AS mean FROM metrics GROUP BY ALL),
+parted AS (SELECT *, CASE WHEN starts_with(system, 'chatgpt') THEN 'supplementary' ELSE 'main' END AS part FROM summed),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY worst DESC NULLS LAST, failure NULLS LAST, mean DESC NULLS LAST, system)::INT AS rank FROM parted)
+SELECT part, system, rank, round(worst, 9) AS worst_case_balanced_accuracy, round(mean, 9) AS mean_balanced_accuracy,
+    CASE WHEN rank = 1 THEN printf('%s has the best worst-case balanced accuracy, %.3f.', system, worst) END AS conclusion FROM ranked""")
+def q_summary_report(spark, sf_dir):
+    """Metrics of two runs as files, loaded by a pattern; the second run counts."""
+    path, rows = _scratch(spark), by_variant(spark, sf_dir)
+    rows = rows.withColumn("system", F.when(F.col("system") == SYSTEMS[3], "chatgpt_delta").otherwise(F.col("system")))
+    columns = ["system", "variant", "balanced_accuracy", "macro_f1", "max_failure_rate", "fnr", "fpr", "predicted_hate_rate", "parse_failures", "run"]
+    files.write_csv(rows.withColumns({"balanced_accuracy": F.lit(0.5), "run": F.lit(1)}).select(columns), f"{path}/first")
+    files.write_csv(rows.withColumn("run", F.lit(2)).select(columns), f"{path}/second")
+    kinds = "system STRING, variant STRING, balanced_accuracy DOUBLE, macro_f1 DOUBLE, max_failure_rate DOUBLE, fnr DOUBLE, fpr DOUBLE, predicted_hate_rate DOUBLE, parse_failures BIGINT, run INT"
+    found = report.summary(files.read_glob(spark, f"{path}/*/part-*.csv", kinds, skip=("part-none.csv",)))
+    return rounded(found.select("part", "system", "rank", "worst_case_balanced_accuracy", "mean_balanced_accuracy", "conclusion"))
+
+
+@query(f"""WITH {SQL}, said AS (SELECT system, id, variant, label, (score >= 0.45)::INT AS pred_label FROM scored WHERE system IN ('{SYSTEMS[0]}', '{SYSTEMS[1]}')),
+counted AS (SELECT system, {COUNTS} FROM said GROUP BY system), metrics AS (SELECT system, {DERIVED} FROM counted), each AS (SELECT system, variant, {COUNTS} FROM said GROUP BY ALL), rated AS (SELECT system, {DERIVED} FROM each),
+ranked AS (SELECT system, min(balanced_accuracy) AS worst, row_number() OVER (ORDER BY min(balanced_accuracy) DESC, max(max_failure_rate), avg(balanced_accuracy) DESC, system)::INT AS rank FROM rated GROUP BY system)
+SELECT system, rows, {_r("accuracy balanced_accuracy macro_f1")}, round(worst, 9) AS worst_case_balanced_accuracy, rank, CASE system WHEN '{SYSTEMS[0]}' THEN 'Alpha' ELSE replace(system, '_', ' ') END AS display_name FROM metrics JOIN ranked USING (system)""")
+def q_external_comparison(spark, sf_dir):
+    rows = syn.scored(spark, sf_dir)
+    given = {s: rows.filter(F.col("system") == s).select("id", "variant", F.when(F.col("score") >= 0.45, "Hate").otherwise("non hate").alias("label")) for s in SYSTEMS[:2]}
+    manifest = rows.filter(F.col("system") == SYSTEMS[0]).select("id", "variant", "label")
+    found = report.external_comparison(manifest, given, {SYSTEMS[0]: "Alpha"})
+    return rounded(found.select("system", "rows", "accuracy", "balanced_accuracy", "macro_f1", "worst_case_balanced_accuracy", "rank", "display_name"))
+
+
+@query("""WITH l AS (SELECT text, CASE turn % 3 WHEN 0 THEN '8' WHEN 1 THEN '2,3' ELSE '1, 8' END AS label FROM conversations)
+SELECT 'test' AS split, 'clean' AS variant, text, text AS original_document, (label = '2,3')::INT AS label, label AS original_label, count(*) AS n FROM l GROUP BY ALL""")
+def q_tsv_scan(spark, sf_dir):
+    """A tab-separated corpus, standardized and as benchmark rows."""
+    path, turn = _scratch(spark), F.col("turn") % 3
+    rows = syn.table(spark, sf_dir, "conversations").select(F.col("text").alias("document"), F.when(turn == 0, "8").when(turn == 1, "2,3").otherwise("1, 8").alias("label"))
+    rows.write.options(sep="\t", header=True, quote='"', escape='"').csv(path)
+    made = files.benchmark_rows(files.standardized(files.read_csv(spark, path, "raw", sep="\t"), "test", "conversations"), "clean")
+    return made.groupBy("split", "variant", "text", "original_document", "label", "original_label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT concat('step', (o_orderkey % 7) * 500) AS run_name, ((o_orderkey % 7) * 500)::INT AS step, round(avg((o_orderstatus = 'F')::INT), 6) AS balanced_accuracy FROM orders GROUP BY ALL""")
+def q_one_row_files(spark, sf_dir):
+    """A file for each run, each with one row."""
+    path, run = _scratch(spark), F.concat(F.lit("step"), ((F.col("o_orderkey") % 7) * 500).cast("string")).alias("run_name")
+    runs = syn.table(spark, sf_dir, "orders").groupBy(run).agg(F.round(F.avg((F.col("o_orderstatus") == "F").cast("int")), 6).alias("balanced_accuracy"))
+    runs.withColumn("folder", F.col("run_name")).write.options(header=True).partitionBy("folder").csv(path)
+    loaded = files.read_glob(spark, f"{path}/*/part-*.csv", "run_name STRING, balanced_accuracy DOUBLE", paths=True)
+    return files.one_row_files(loaded).select("run_name", "step", "balanced_accuracy")
+
+
+@query("""SELECT CASE doc_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'valid' ELSE 'test' END AS split, (doc_id % 3)::INT AS split_rank, doc_id FROM documents""")
+def q_split_union(spark, sf_dir):
+    docs = syn.table(spark, sf_dir, "documents").select("doc_id")
+    return files.concatenated({name: docs.filter(F.col("doc_id") % 3 == k) for k, name in enumerate(("train", "valid", "test"))}).select("split", "split_rank", "doc_id")

@@ -45,15 +45,17 @@ def read_answers(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, "answers") if path.endswith(".csv") else read_jsonl(spark, path, "answers")
 
 
-def read_glob(spark: SparkSession, path: str, schema, *, skip: tuple[str, ...] = ()) -> DataFrame:
-    """All files of a pattern with ``source_file``, without the files named in ``skip``."""
+def read_glob(spark: SparkSession, path: str, schema, *, skip: tuple[str, ...] = (), paths: bool = False) -> DataFrame:
+    """All files of a pattern with ``source_file``, their names, without the files named in ``skip``; with ``paths``
+    also ``source_path``, which tells files of the same name in several folders apart."""
     df = read_csv(spark, path, schema).withColumn("source_file", F.col("_metadata.file_name"))
+    df = df.withColumn("source_path", F.col("_metadata.file_path")) if paths else df
     return df.filter(~F.col("source_file").isin(*skip)) if skip else df
 
 
 def one_row_files(df: DataFrame) -> DataFrame:
     """Fails when a file has not exactly one row; adds ``step``, the digits of ``run_name``."""
-    n = df.groupBy("source_file").agg(F.count(F.lit(1)).alias("n")).filter("n <> 1").count()
+    n = df.groupBy("source_path" if "source_path" in df.columns else "source_file").agg(F.count(F.lit(1)).alias("n")).filter("n <> 1").count()
     if n:
         raise ValueError(f"files without exactly one row: {n}")
     return df.withColumn("step", F.regexp_replace("run_name", "[^0-9]", "").cast("int"))
