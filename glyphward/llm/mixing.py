@@ -26,8 +26,10 @@ from .shared import shared_dir, word_count, written
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2.0
-#: Hash buckets of each size class of a source.
+#: Hash buckets of each size class of a source: at least so many, and one for each so many rows of the table, so that no
+#: bucket outgrows a task even where one class holds all rows.
 BUCKETS = 256
+ROWS_A_BUCKET = 1 << 20
 MADE = ("size", "source_size", "target", "copies", "taken")
 
 
@@ -54,7 +56,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
 
 
 def plan_copies(docs: DataFrame, source_col: str = "source", text_col: str = "text", *, weights=WEIGHTS,
-                share: float = SHARE, most: float = MOST, seed: int = 7, buckets: int = BUCKETS, keep=None) -> DataFrame:
+                share: float = SHARE, most: float = MOST, seed: int = 7, buckets: int | None = None, keep=None) -> DataFrame:
     """``docs`` (columns ``keep``, all by default) with size, source_size, target, copies and taken."""
     spark = docs.sparkSession
     shared_dir(spark)
@@ -66,8 +68,10 @@ def plan_copies(docs: DataFrame, source_col: str = "source", text_col: str = "te
         F.coalesce(F.concat(F.lit("a"), F.col(f"`{source_col}`").cast("string")), F.lit("b")).alias("_source"),
         word_count(f"`{text_col}`").alias("size"),
         F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in docs.columns if docs.schema[c].dataType.typeName() in ("long", "integer", "string")]).alias("_h"),
-    ).select("*", size_class.alias("_class"), F.pmod(F.shiftright("_h", 20), F.lit(buckets)).cast("int").alias("_bucket"))
-    rows = written(rows, "sizes")
+    )
+    rows = written(rows.select("*", size_class.alias("_class")), "sizes")
+    buckets = buckets or max(BUCKETS, rows.count() // ROWS_A_BUCKET)
+    rows = rows.withColumn("_bucket", F.pmod(F.shiftright("_h", 20), F.lit(buckets)).cast("int"))
     groups = written(rows.groupBy("_source", "_class", "_bucket").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("words")), "groups")
     classes = groups.groupBy("_source", "_class").agg(F.sum("rows").alias("rows"), F.sum("words").alias("words"))
     targets = source_targets(classes.groupBy(F.col("_source").alias("source")).agg(F.sum("words").alias("source_size")), weights, share, most)
