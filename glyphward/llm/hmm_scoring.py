@@ -11,8 +11,8 @@ Counts never come together: the ``FREQUENT`` tokens, found by their counts in si
 and broadcast (a bounded list, whatever the corpus); the rest, each less than a small share of all tokens, meet
 their counts in a window by token. Texts are read twice, then only their token numbers are.
 
-The states start from a mixture of ``STATES`` unigram models of at most ``SEED_TEXTS`` training texts; this bounded
-sample only breaks the symmetry of the states.
+The states start from a mixture of ``STATES`` unigram models of about ``SEED_TEXTS`` training texts; this bounded
+sample only breaks the symmetry of the states. Of a text only its counts by class leave the task.
 
 Edge cases: null and empty texts are one end token; tokens outside the training texts get the mass of their class;
 without training texts all counts are 0; a null id counts as an empty text in the fold; repeated rows are texts
@@ -40,6 +40,8 @@ STATES = 8
 ROUNDS = 3
 SEED_TEXTS = 1500
 SLICE = 128
+#: Expected counts of a slice are added up in so many places first, as every task sends some.
+SALTS = 32
 #: Tokens of the texts that a recursion runs over at a time. Steps are as many as the longest text has tokens, so many
 #: texts share the steps of a long one. Training keeps 4 bytes for each token and state.
 STRETCH = 2_000_000
@@ -231,21 +233,37 @@ def reestimated(start: np.ndarray, moves: np.ndarray, emitted: np.ndarray, unigr
     return {"start": (start + 1.0 / states) / (start.sum() + 1), "move": moves / moves.sum(axis=1, keepdims=True), "emit": emit / emit.sum(axis=0)}
 
 
-def seed_model(sequences: list[np.ndarray], unigram: np.ndarray, states: int, rounds: int = 15) -> dict:
-    """A start for Baum-Welch: a mixture of unigram models of whole texts, begun at texts far from each other."""
+def _class_counts(class_of):
+    """Token numbers of a text to its classes and how often it has each: at most CLASSES numbers, however long it is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(class_of.value[np.frombuffer(ids.as_buffer(), np.uint32)], return_counts=True) for ids in batch.column(0)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([c.astype(np.int32).tobytes() for c, _ in found], pa.binary()), pa.array([n.astype(np.int64).tobytes() for _, n in found], pa.binary())], names=["classes", "counts"])
+
+    return run
+
+
+def seed_model(texts: list[tuple[np.ndarray, np.ndarray]], unigram: np.ndarray, states: int, rounds: int = 15) -> dict:
+    """A start for Baum-Welch from (classes, counts) of texts: a mixture of unigram models of whole texts, begun at
+    texts far from each other."""
     classes = len(unigram)
     emitted = np.zeros((classes, states))
     weights = np.ones(states)
-    sequences = [s for s in sequences if len(s) > 20]
-    if sequences:
+    texts = [(c, n) for c, n in texts if n.sum() > 20]
+    if texts:
         top = np.argsort(-unigram, kind="stable")[:1024]
         place = np.full(classes, -1)
         place[top] = np.arange(len(top))
-        counts = np.stack([np.bincount(place[s][place[s] >= 0], minlength=len(top)) for s in sequences]).astype(float)
+        counts = np.zeros((len(texts), len(top)))
+        for row, (c, n) in zip(counts, texts):
+            inside = place[c] >= 0
+            row[place[c[inside]]] = n[inside]
         unit = np.sqrt(counts) / np.sqrt(np.maximum(1, counts.sum(axis=1, keepdims=True)))
         chosen = [int(counts.sum(axis=1).argmax())]
         near = unit @ unit[chosen[0]]
-        while len(chosen) < min(states, len(sequences)):
+        while len(chosen) < min(states, len(texts)):
             chosen.append(int(near.argmin()))
             near = np.maximum(near, unit @ unit[chosen[-1]])
         share = (counts[chosen] + 1) / (counts[chosen] + 1).sum(axis=1, keepdims=True)
@@ -258,10 +276,10 @@ def seed_model(sequences: list[np.ndarray], unigram: np.ndarray, states: int, ro
             belongs /= belongs.sum(axis=1, keepdims=True)
             share = belongs.T @ counts + 0.5
             share /= share.sum(axis=1, keepdims=True)
-            weight = (belongs.sum(axis=0) + 1) / (len(sequences) + states)
-        for s, b in zip(sequences, belongs):
-            emitted += np.bincount(s, minlength=classes)[:, None] * b
-        weights = weight * len(sequences)
+            weight = (belongs.sum(axis=0) + 1) / (len(texts) + states)
+        for (c, n), b in zip(texts, belongs):
+            emitted[c] += n[:, None] * b
+        weights = weight * len(texts)
     return reestimated(weights, np.eye(states) * 40 + 1, emitted, unigram)
 
 
@@ -270,14 +288,15 @@ def train(numbered: DataFrame, class_of: np.ndarray, unigram: np.ndarray, states
     context = numbered.sparkSession.sparkContext
     # About SEED_TEXTS texts by a hash: what each task sends shrinks as tasks grow in number.
     share = min(1.0, SEED_TEXTS / max(1, numbered.count()))
-    seeds = numbered.select("ids").filter(F.pmod(F.xxhash64("ids", "rid"), F.lit(1 << 30)) < int(share * (1 << 30))).collect()
-    seeds = sorted(seeds)[:2 * SEED_TEXTS]
-    model = seed_model([class_of[np.frombuffer(r[0], np.uint32)] for r in seeds], unigram, states)
     classes = context.broadcast(class_of)
+    picked = numbered.filter(F.pmod(F.xxhash64("ids", "rid"), F.lit(1 << 30)) < int(share * (1 << 30))).select("ids")
+    seeds = sorted((bytes(c), bytes(n)) for c, n in picked.mapInArrow(_class_counts(classes), "classes binary, counts binary").collect())
+    model = seed_model([(np.frombuffer(c, np.int32), np.frombuffer(n, np.int64)) for c, n in seeds[:2 * SEED_TEXTS]], unigram, states)
     for _ in range(rounds):
         step = context.broadcast(model)
         parts = numbered.select("ids").mapInArrow(_expectations(step, classes), "slice int, counts binary")
-        merged = parts.repartition("slice").mapInArrow(_added, "slice int, counts binary").collect()  # classes / SLICE rows
+        salted = parts.repartition("slice", F.spark_partition_id() % SALTS).mapInArrow(_added, "slice int, counts binary")
+        merged = salted.repartition("slice").mapInArrow(_added, "slice int, counts binary").collect()  # classes / SLICE rows
         start, moves, emitted = np.zeros(states), np.zeros((states, states)), np.zeros((len(unigram), states))
         for k, counts in merged:
             counts = np.frombuffer(counts, float)
