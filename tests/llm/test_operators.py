@@ -180,6 +180,18 @@ def test_mix(spark):
         taken[r.source] += r.taken
         target[r.source] = r.target
     assert all(abs(taken[s] - t) <= 60 + 0.02 * t for s, t in target.items())
+    # Plain running sums in the same order give the same copies.
+    order = df.select("doc_id", "source", F.xxhash64(F.lit(7), *df.columns).alias("h")).collect()
+    sizes = {r.doc_id: r for r in planned}
+    for source in target:
+        mine = [(0 if sizes[r.doc_id].size <= 0 else math.floor(math.log2(sizes[r.doc_id].size) * 4) + 1, (r.h >> 20) % mixing.BUCKETS, r.h, r.doc_id) for r in order if r.source == source]
+        key = "b" if source is None else "a" + source
+        offset = (spark.range(1).select(F.pmod(F.xxhash64(F.lit(7), F.lit("offset"), F.lit(key)), F.lit(4096))).first()[0] + 0.5) / 4096
+        rate = target[source] / sizes[mine[0][3]].source_size
+        for k, (*_, doc) in enumerate(sorted(mine)):
+            assert sizes[doc].copies == math.floor((k + 1) * rate + offset) - math.floor(k * rate + offset)
+    many = mixing.plan_copies(df, buckets=5000).collect()
+    assert sum(r.copies for r in many) == pytest.approx(sum(r.copies for r in planned), abs=len(target))
     mixed = mixing.mix(df).collect()
     assert Counter(r.doc_id for r in mixed) == Counter({r.doc_id: r.copies for r in planned if r.copies})
     assert mixing.mix(df).columns == df.columns
@@ -541,6 +553,48 @@ def test_hmm_scores(spark, frequent):
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score < 0
 
 
+def test_scores_equal_a_plain_forward_pass(spark, monkeypatch):
+    """Under the trained model, a token's probability within its class is (c + 1) / (tokens + kinds + 1)."""
+    kept = {}
+    for name in ("train", "_most_frequent"):
+        def run(*a, name=name, made=getattr(hmm_scoring, name)):
+            kept[name] = made(*a)
+            return kept[name]
+
+        monkeypatch.setattr(hmm_scoring, name, run)
+    monkeypatch.setattr(hmm_scoring, "OWN", 8)
+    monkeypatch.setattr(hmm_scoring, "CLASSES", 8 + hmm_scoring.SUFFIXES)
+    texts = corpus()[:80]
+    found = by_id(hmm_scoring.score(frame(spark, texts), frequent=64, states=3, rounds=2))
+    model = kept["train"]
+    tokens = [[x.encode().lower() for x in words(t)] + [b"\0end"] for t in texts]
+    counts = Counter(x for i, t in enumerate(tokens) if zlib.crc32(str(i).encode()) % 7 != 2 for x in t)
+    own = {b"\0end": 0} | {t: k + 1 for k, t in enumerate(kept["_most_frequent"][:7])}
+    klass = lambda x: own.get(x, 8 + hmm_scoring.suffix(x))
+    inside, kinds = Counter(), Counter()
+    for x, n in counts.items():
+        inside[klass(x)] += n
+        kinds[klass(x)] += 1
+    for i, t in enumerate(tokens):
+        log, alpha = 0.0, None
+        for x in t:
+            seen = model["emit"][klass(x)] * (1 if x in own else (counts[x] + 1) / (inside[klass(x)] + kinds[klass(x)] + 1))
+            alpha = (model["start"] if alpha is None else alpha @ model["move"]) * seen
+            log += math.log10(alpha.sum())
+            alpha = alpha / alpha.sum()
+        assert found[i].score == pytest.approx(log, rel=1e-6)
+
+
+def test_counts_are_added_up_in_two_steps():
+    rng = np.random.RandomState(0)
+    parts = [(k % 3, rng.rand(4)) for k in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([v.tobytes() for _, v in parts], pa.binary())], names=["slice", "counts"])
+    once = list(hmm_scoring._added(iter([batch])))
+    twice = list(hmm_scoring._added(b for part in (batch.slice(0, 70), batch.slice(70)) for b in hmm_scoring._added(iter([part]))))
+    for a, b in zip(zip(*(c.to_pylist() for c in once[0].columns)), zip(*(c.to_pylist() for c in twice[0].columns))):
+        assert a[0] == b[0] and np.allclose(np.frombuffer(a[1], float), np.frombuffer(b[1], float)) and np.allclose(np.frombuffer(a[1], float), sum(v for k, v in parts if k == a[0]))
+
+
 def test_model_beats_the_base_on_held_out_texts(spark):
     rnd = random.Random(9)
     half = len(VOCABULARY) // 2
@@ -623,6 +677,43 @@ def test_votes(spark):
     assert all(found[i].kept for i in range(300)) and not any(found[300 + i].kept for i in range(40))
 
 
+def test_posterior_equals_a_plain_em(spark):
+    """Votes by the rules' bounds in plain words, then Bayes' rule on probabilities, not on log odds."""
+    rnd = random.Random(4)
+    texts = corpus() + [". ".join(prose(rnd, 12, "").capitalize() for _ in range(5)) + "." for _ in range(80)] + [" | ".join(w + "%%%" for w in prose(rnd, 40, "").split()) for _ in range(20)]
+    rows = by_id(quality_rules.judge(frame(spark, texts)))
+    bounds = {  # statistic, worse than, better than
+        "word_length": lambda r: r.word_chars / max(r.n_words, 1), "symbols": lambda r: r.n_symbols / max(r.n_words, 1), "marks": lambda r: r.n_marks / max(r.word_chars, 1),
+        "plain_words": lambda r: r.n_plain / max(r.n_words, 1), "same_lines": lambda r: r.n_dup_lines / max(r.n_lines, 1), "repeats": lambda r: r.n_repeat_words / max(r.n_words, 1),
+        "sentences": lambda r: r.n_ends / max(r.n_lines, 1)}
+    against = {"word_length": lambda x: x < 2 or x > 12, "symbols": lambda x: x > 0.1, "marks": lambda x: x > 0.15, "plain_words": lambda x: x < 0.8, "same_lines": lambda x: x > 0.3, "repeats": lambda x: x > 0.2, "sentences": lambda x: x < 0.1}
+    for_it = {"word_length": lambda x: 3 <= x <= 9, "symbols": lambda x: x < 0.02, "marks": lambda x: x < 0.07, "plain_words": lambda x: x > 0.95, "same_lines": lambda x: x <= 0.1, "repeats": lambda x: x <= 0.05, "sentences": lambda x: x >= 0.5}
+    votes = {}
+    for i, r in rows.items():
+        votes[i] = [-1 if r.n_words < 10 else 1 if r.n_words >= 50 else 0] + [-1 if against[k](f(r)) else 1 if for_it[k](f(r)) else 0 for k, f in bounds.items()]
+    learn = [i for i, r in rows.items() if not r.base_failed]
+    good = {i: {0: 0.95, 1: 0.3}.get(sum(v < 0 for v in votes[i]), 0.02) for i in learn}
+    for _ in range(30):
+        prior = (sum(good.values()) + 1) / (len(learn) + 2)
+        rate = []
+        for j in range(8):
+            voted = [i for i in learn if votes[i][j]]
+            share = lambda w: (sum(w(i) for i in voted if votes[i][j] < 0) + 1) / (sum(w(i) for i in voted) + 2)  # noqa: B023, E731
+            rate.append((share(lambda i: good[i]), share(lambda i: 1 - good[i])))
+
+        def chance(i):
+            p, q = prior, 1 - prior  # noqa: B023
+            for v, (g, b) in zip(votes[i], rate):  # noqa: B023
+                if v:
+                    p, q = p * (g if v < 0 else 1 - g), q * (b if v < 0 else 1 - b)
+            return p / (p + q)
+
+        good = {i: chance(i) for i in learn}
+    for i, r in rows.items():
+        assert r.posterior == pytest.approx(chance(i), rel=1e-6, abs=1e-12)
+        assert r.kept == (not r.base_failed and r.posterior >= 0.5)
+
+
 def test_em_recovers_rates():
     rnd = random.Random(1)
     good_rates, bad_rates = [0.02, 0.05, 0.04, 0.03], [0.8, 0.7, 0.9, 0.6]
