@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,3 +87,23 @@ def training_examples(aligned: DataFrame, exclude: DataFrame | None = None) -> D
     if exclude is not None:
         rows = rows.join(exclude.select("id").distinct(), "id", "left_anti")
     return rows.withColumn("messages", messages(F.col("text"), F.col("normalized_text"), digits=True, answer=F.col("label")))
+
+
+def with_token_counts(examples: DataFrame, counter=None) -> DataFrame:
+    """Adds token_count, over all turns of ``messages``, and supervised_token_count, of the last turn (the answer).
+    ``counter`` makes, once a task, a function from a text to its number of tokens; without one, words count."""
+    if counter is None:
+        size = lambda turn: F.regexp_count(turn["content"], F.lit(r"[^\x20\x09-\x0D]+"))
+        total = F.reduce("messages", F.lit(0), lambda n, turn: n + size(turn))
+        return examples.withColumn("token_count", total).withColumn("supervised_token_count", size(F.element_at("messages", -1)))
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in examples.schema.fields)
+    texts = examples.withColumn("_contents", F.transform("messages", lambda turn: turn["content"]))
+
+    def run(batches):
+        count = counter()
+        for batch in batches:
+            sizes = [[count(t) for t in contents] for contents in batch.column("_contents").to_pylist()]
+            made = [pa.array([sum(s) for s in sizes], pa.int32()), pa.array([s[-1] for s in sizes], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], "token_count", "supervised_token_count"])
+
+    return texts.mapInArrow(run, f"{columns}, token_count int, supervised_token_count int")

@@ -468,27 +468,27 @@ def _glyph_sql(roman: str, share: float) -> str:
 @query(f"""WITH x AS (SELECT conv_id, turn, {_TO_HANGUL} AS t, conv_id || '|' || turn AS key FROM conversations),
 c AS (SELECT conv_id, turn, key, unnest(string_split(t, '')) AS c, generate_subscripts(string_split(t, ''), 1) AS i FROM x),
 o AS (SELECT conv_id, turn, i, CASE WHEN unicode(c) BETWEEN 44032 AND 55203 AND {U.format("key || '|' || (i - 1)")} < 0.7 THEN {_glyph_sql('(' + _roman_sql('c') + ')', 0.45)} ELSE c END AS o FROM c)
-SELECT conv_id, turn, string_agg(o, '' ORDER BY i) AS obfuscated FROM o GROUP BY ALL""")
+SELECT x.conv_id, x.turn, string_agg(o, '' ORDER BY i) AS obfuscated FROM x LEFT JOIN o USING (conv_id, turn) GROUP BY ALL""")
 def q_obfuscate_native(spark, sf_dir):
     _, syllables, letters, _ = obfuscate.READABLE[3]
     rows = syn.spread(syn.table(spark, sf_dir, "conversations")).select("conv_id", "turn", _as_hangul().alias("t"), F.concat_ws("|", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("key"))
-    return rows.filter(F.length("t") > 0).select("conv_id", "turn", obfuscate.obfuscate(F.col("t"), F.col("key"), syllables, letters).alias("obfuscated"))
+    return rows.select("conv_id", "turn", obfuscate.obfuscate(F.col("t"), F.col("key"), syllables, letters).alias("obfuscated"))
 
 
 _LOOKED, _LOOKS = _arr(hangul.CONFUSABLE), _arr(hangul.CONFUSABLE.values())
 
 
-@query(f"""WITH x AS (SELECT conv_id, turn, {_TO_HANGUL} AS t, conv_id || '|' || turn AS key FROM conversations WHERE length(text) > 0),
+@query(f"""WITH x AS (SELECT conv_id, turn, {_TO_HANGUL} AS t, conv_id || '|' || turn AS key FROM conversations),
 c AS (SELECT conv_id, turn, key, unnest(string_split(t, '')) AS c, generate_subscripts(string_split(t, ''), 1) AS i FROM x),
 o AS (SELECT conv_id, turn, i, CASE WHEN regexp_full_match(c, '[\\p{{Z}}\\s\\x1C-\\x1F\\x{{85}}]') THEN c
     WHEN list_contains({_LOOKED}, c) AND {U.format("key || '|' || (i - 1) || '|c'")} < 0.15 THEN {_LOOKS}[list_position({_LOOKED}, c)]
     WHEN unicode(c) BETWEEN 44032 AND 55203 AND {U.format("key || '|' || (i - 1)")} < 1.0 THEN {_glyph_sql('(' + _roman_sql('c') + ')', 0.98)}
     WHEN regexp_full_match(c, '[A-Za-z]') AND {U.format("key || '|' || (i - 1)")} < 1.0 THEN {_glyph_sql('c', 0.98)} ELSE c END AS o FROM c)
-SELECT conv_id, turn, string_agg(o, '' ORDER BY i) AS obfuscated FROM o GROUP BY ALL""")
+SELECT x.conv_id, x.turn, string_agg(o, '' ORDER BY i) AS obfuscated FROM x LEFT JOIN o USING (conv_id, turn) GROUP BY ALL""")
 def q_glyph_mix_native(spark, sf_dir):
     name, syllables, letters, _ = obfuscate.GLYPH_MIX[1]
     rows = syn.spread(syn.table(spark, sf_dir, "conversations")).select("conv_id", "turn", _as_hangul().alias("t"), F.concat_ws("|", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("key"))
-    return rows.filter(F.length("t") > 0).select("conv_id", "turn", obfuscate.glyph_mix(F.col("t"), F.col("key"), syllables, letters).alias("obfuscated"))
+    return rows.select("conv_id", "turn", obfuscate.glyph_mix(F.col("t"), F.col("key"), syllables, letters).alias("obfuscated"))
 
 
 def _compatible(spark, sf_dir, mix=False):
@@ -605,6 +605,15 @@ def q_training_examples(spark, sf_dir):
     return made.select("id", "variant", turn(0).alias("system_prompt"), F.md5(turn(1).cast("binary")).alias("user_prompt"), turn(2).alias("answer"))
 
 
+@query(f"""WITH {SQL}, t AS (SELECT p.id, p.variant, {_sql_text(labels.DIGIT_SYSTEM_PROMPT)} AS s, {_sql_text(labels.ASK_DIGIT_BOTH)} || text || chr(10) || 'Normalized candidate: ' || lower(text) || chr(10) || 'Label:' AS u
+    FROM predictions p JOIN documents d ON d.doc_id = p.id WHERE system = '{SYSTEMS[0]}' AND variant IN ({", ".join(repr(v) for v in sampling.EXAMPLE_VARIANTS)}))
+SELECT id, variant, (len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) + len(regexp_extract_all(u, '[^\x20\x09-\x0D]+')) + 1)::INT AS token_count, 1 AS supervised_token_count FROM t""")
+def q_example_tokens(spark, sf_dir):
+    docs = syn.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.lower("text").alias("normalized_text"))
+    rows = syn.predictions(spark, sf_dir).filter(F.col("system") == SYSTEMS[0]).join(docs, "id")
+    return sampling.with_token_counts(sampling.training_examples(rows)).select("id", "variant", "token_count", "supervised_token_count")
+
+
 @query(f"""WITH {SQL} SELECT 'labels_' || v.variant AS "check", count(*) FILTER (c.label IS DISTINCT FROM v.label) = 0 AS passed, (count(*) FILTER (c.label IS DISTINCT FROM v.label))::VARCHAR AS detail
 FROM (SELECT id, variant, CASE WHEN variant = 'romanized_70' AND id % 10 = 0 THEN 1 - label ELSE label END AS label FROM predictions WHERE system = '{SYSTEMS[0]}') v
 LEFT JOIN predictions c ON c.id = v.id AND c.variant = 'clean' AND c.system = '{SYSTEMS[0]}' WHERE v.variant <> 'clean' GROUP BY v.variant""")

@@ -136,32 +136,47 @@ def concatenated(splits: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def scored_by(df: DataFrame, scorer: Callable[[], Callable[[list[str]], list[float]]], *, text: str = "text", batch: int = 8) -> DataFrame:
+def scored_by(df: DataFrame, scorer: Callable[[], Callable[[list], list[float]]], *, text: str = "text", batch: int = 8,
+              encode: Callable[[], Callable[[str], list[int]]] | None = None, most: int = 512, pad: int = 0) -> DataFrame:
     """``df`` with ``score`` from an outside model. ``scorer`` makes the model, once a task; it gets texts in batches
-    and gives a number for each (a difference of logits, a probability)."""
+    and gives a number for each (a difference of logits, a probability). With ``encode``, which makes a tokenizer, it
+    gets pairs of token ids and their number instead: the last ``most`` ids of a text, filled up on the right with
+    ``pad`` to the longest of the batch, so the answer's place is always within them."""
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
+    def filled(texts: list[str], ids_of) -> list[tuple[list[int], int]]:
+        ids = [list(ids_of(t))[-most:] for t in texts]
+        width = max(map(len, ids))
+        return [(i + [pad] * (width - len(i)), len(i)) for i in ids]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        score = scorer()
+        score, ids_of = scorer(), encode() if encode else None
         for pdf in batches:
             texts = pdf[text].fillna("").tolist()
-            yield pdf.assign(score=[float(x) for a in range(0, len(texts), batch) for x in score(texts[a:a + batch])])
+            parts = [texts[a:a + batch] for a in range(0, len(texts), batch)]
+            yield pdf.assign(score=[float(x) for part in parts for x in score(filled(part, ids_of) if ids_of else part)])
 
     return df.mapInPandas(run, f"{columns}, score double")
 
 
-def answered_by(df: DataFrame, client: Callable[[], Callable[[list[dict]], list[dict]]], *, batch: int = 10, attempts: int = 8, wait=None) -> DataFrame:
+def answered_by(df: DataFrame, client: Callable[[], Callable[[list[dict]], list[dict]]], *, batch: int = 10, attempts: int = 8, pause: float = 1.0, wait=None) -> DataFrame:
     """(id, variant, label) answers of a remote service for (id, variant, text). A failed batch is asked again after
-    min(60, 2 ** attempt) seconds; ``wait`` replaces sleeping. Answers are matched by id and variant."""
+    min(60, 2 ** attempt + a random part of a second) seconds, so tasks that failed together do not come back
+    together; ``pause`` seconds pass between batches. ``wait`` replaces sleeping. Answers are matched by id and
+    variant."""
+    import random
     import time
 
     sleep = wait or time.sleep
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ask = client()
+        ask, asked = client(), False
         for pdf in batches:
             rows = pdf[["id", "variant", "text"]].to_dict("records")
             for a in range(0, len(rows), batch):
+                if asked:
+                    sleep(pause)
+                asked = True
                 for attempt in range(attempts):
                     try:
                         answers = ask(rows[a:a + batch])
@@ -169,7 +184,7 @@ def answered_by(df: DataFrame, client: Callable[[], Callable[[list[dict]], list[
                     except (OSError, ValueError):
                         if attempt + 1 == attempts:
                             raise
-                        sleep(min(60, 2**attempt))
+                        sleep(min(60, 2**attempt + random.random()))
                 yield pd.DataFrame(answers, columns=["id", "variant", "label"])
 
     return df.mapInPandas(run, "id string, variant string, label string")

@@ -4,6 +4,7 @@ import glob
 import hashlib
 import json
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -143,7 +144,7 @@ def test_files(spark, tmp_path):
     assert audit.manifest(spark, f"{tmp_path}/d.json").count() == 1
 
 
-def test_outside_models(spark):
+def test_outside_models(spark, tmp_path):
     df = spark.createDataFrame([(str(i), "v", "t" * i) for i in range(7)], "id string, variant string, text string")
     assert [r.score for r in files.scored_by(df, lambda: lambda texts: [len(t) for t in texts], batch=3).orderBy("id").collect()] == list(range(7))
 
@@ -159,6 +160,48 @@ def test_outside_models(spark):
         return ask
 
     assert files.answered_by(df, client, batch=4, wait=lambda s: None).count() == 7
+    one = df.coalesce(1)
+
+    def told():
+        def ask(rows):
+            with open(f"{tmp_path}/asked", "a") as f:
+                f.write("a")
+            return client_rows(rows)
+
+        client_rows = lambda rows: [{"id": r["id"], "variant": r["variant"], "label": "hate"} for r in rows]
+        return ask
+
+    def wait(seconds):
+        with open(f"{tmp_path}/asked", "a") as f:
+            f.write(f"({seconds:g})")
+
+    assert files.answered_by(one, told, batch=3, pause=0.5, wait=wait).count() == 7
+    assert (tmp_path / "asked").read_text() == "a(0.5)a(0.5)a"
+    (tmp_path / "asked").unlink()
+
+    def broken():
+        def ask(rows):
+            raise OSError("no answer")
+
+        return ask
+
+    with pytest.raises(Exception, match="no answer"):
+        files.answered_by(one, broken, attempts=4, wait=wait).count()
+    waits = [float(x) for x in re.findall(r"\(([^)]+)\)", (tmp_path / "asked").read_text())]
+    assert [int(x) for x in waits[:3]] == [1, 2, 4] and any(x != int(x) for x in waits)
+    texts = spark.createDataFrame([("abcdef",), ("ab",), (None,)], "text string").coalesce(1)
+    found = files.scored_by(texts, lambda: lambda rows: [int("".join(map(str, i)) or 0) * 10 + n for i, n in rows], encode=lambda: lambda t: [ord(c) - 96 for c in t], most=4, pad=9).collect()
+    assert {r.text: r.score for r in found} == {"abcdef": 34564, "ab": 12992, None: 99990}
+
+
+def test_token_counts(spark):
+    rows = spark.createDataFrame([("1", "clean", "a b c", "x", 1), ("2", "clean", "", "", 0)], "id string, variant string, text string, normalized_text string, label int")
+    examples = sampling.training_examples(rows)
+    words = sampling.with_token_counts(examples).collect()
+    same = sampling.with_token_counts(examples, lambda: lambda t: len(t.split())).collect()
+    assert {(r.id, r.token_count, r.supervised_token_count) for r in words} == {(r.id, r.token_count, r.supervised_token_count) for r in same}
+    assert all(r.token_count == sum(len(m.content.split()) for m in r.messages) and r.supervised_token_count == 1 for r in words)
+    assert all(c.passed for c in audit.report(audit.token_checks("t", sampling.with_token_counts(examples), 10_000)).collect())
 
 
 def test_streams(spark, tmp_path):
