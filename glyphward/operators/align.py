@@ -77,15 +77,14 @@ def first_of(df: DataFrame, keys: list[str], *order: Column, most: int = 1) -> D
 
 
 def scope(predictions: DataFrame, scopes: dict[str, DataFrame]) -> DataFrame:
-    """(system, scope): the scope whose set of (variant, id) equals the system's, else unknown. Sets are compared by
-    their sizes and the size of the overlap."""
-    mine = predictions.select("system", "variant", "id").distinct()
-    size = mine.groupBy("system").agg(F.count(F.lit(1)).alias("size"))
-    out = size.select("system", "size", F.lit(None).cast("string").alias("scope"))
-    for name, keys in scopes.items():
-        keys = keys.select("variant", "id").distinct()
-        overlap = mine.join(keys, ["variant", "id"]).groupBy("system").agg(F.count(F.lit(1)).alias("_overlap"))
-        whole = keys.agg(F.count(F.lit(1)).alias("_whole"))
-        out = out.join(overlap, "system", "left").crossJoin(F.broadcast(whole)).withColumn(
-            "scope", F.coalesce("scope", F.when((F.col("size") == F.col("_whole")) & (F.col("_overlap") == F.col("_whole")), name))).drop("_overlap", "_whole")
-    return out.select("system", F.coalesce("scope", F.lit("unknown")).alias("scope"))
+    """(system, scope): the first scope whose set of (variant, id) equals the system's, else unknown. Sets are compared
+    by their sizes and the size of the overlap, all scopes in one join."""
+    names = list(scopes)
+    inside = lambda i: F.count(F.when(F.col(f"in{i}"), 1))
+    tagged = reduce(lambda a, b: a.unionByName(b), [keys.select("variant", "id", F.lit(i).alias("of")) for i, keys in enumerate(scopes.values())])
+    keys = tagged.groupBy("variant", "id").agg(*[F.bool_or(F.col("of") == i).alias(f"in{i}") for i in range(len(names))])
+    wholes = keys.agg(*[inside(i).alias(f"whole{i}") for i in range(len(names))])
+    mine = predictions.select("variant", "id", "system").distinct().join(keys, ["variant", "id"], "left")
+    sizes = mine.groupBy("system").agg(F.count(F.lit(1)).alias("size"), *[inside(i).alias(f"overlap{i}") for i in range(len(names))])
+    equal = [F.when((F.col("size") == F.col(f"whole{i}")) & (F.col(f"overlap{i}") == F.col(f"whole{i}")), name) for i, name in enumerate(names)]
+    return sizes.crossJoin(F.broadcast(wholes)).select("system", F.coalesce(*equal, F.lit("unknown")).alias("scope"))  # one row

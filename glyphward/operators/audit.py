@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _check(df: DataFrame, name: str, passed: Column, detail: Column) -> DataFrame:
-    """``df`` has one row."""
-    return df.select(F.lit(name).alias("check"), F.coalesce(passed, F.lit(False)).alias("passed"), detail.cast("string").alias("detail"))
+def _checks(df: DataFrame, checks: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Name to (passed, detail) over ``df``, which has one row: it is read once, however many checks there are."""
+    rows = [F.struct(F.lit(name).alias("check"), F.coalesce(passed, F.lit(False)).alias("passed"), detail.cast("string").alias("detail")) for name, (passed, detail) in checks.items()]
+    return df.select(F.inline(F.array(*rows)))
 
 
 def filled(column: str) -> Column:
@@ -25,21 +26,21 @@ def benchmark_checks(name: str, rows: DataFrame, ids: int, variants: int) -> lis
     balance = rows.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("label") == 1, 1)).alias("hate")).agg(
         F.count(F.lit(1)).alias("seen"), F.count(F.when((F.col("n") != ids) | (F.col("hate") != ids // 2), 1)).alias("bad"))
     return [
-        _check(texts, f"{name}_row_count", F.col("n") == ids * variants, F.col("n")),
-        _check(keys, f"{name}_unique_keys", F.col("bad") == 0, F.col("bad")),
-        _check(labels, f"{name}_one_label", F.col("bad") == 0, F.col("bad")),
-        _check(texts, f"{name}_text_filled", F.col("empty") == 0, F.col("empty")),
-        _check(texts, f"{name}_normalized_filled", F.col("blank") == 0, F.col("blank")),
-        _check(balance, f"{name}_balanced", (F.col("bad") == 0) & (F.col("seen") == variants), F.col("bad")),
+        _checks(texts, {
+            f"{name}_row_count": (F.col("n") == ids * variants, F.col("n")),
+            f"{name}_text_filled": (F.col("empty") == 0, F.col("empty")),
+            f"{name}_normalized_filled": (F.col("blank") == 0, F.col("blank"))}),
+        _checks(keys, {f"{name}_unique_keys": (F.col("bad") == 0, F.col("bad"))}),
+        _checks(labels, {f"{name}_one_label": (F.col("bad") == 0, F.col("bad"))}),
+        _checks(balance, {f"{name}_balanced": ((F.col("bad") == 0) & (F.col("seen") == variants), F.col("bad"))}),
     ]
 
 
 def token_checks(name: str, rows: DataFrame, most: int = 256) -> list[DataFrame]:
     found = rows.agg(F.min("token_count").alias("low"), F.max("token_count").alias("high"), F.min("supervised_token_count").alias("supervised"))
-    return [
-        _check(found, f"{name}_token_bounds", (F.col("low") > 0) & (F.col("high") <= most), F.concat_ws("..", "low", "high")),
-        _check(found, f"{name}_supervised_tokens", F.col("supervised") > 0, F.col("supervised")),
-    ]
+    return [_checks(found, {
+        f"{name}_token_bounds": ((F.col("low") > 0) & (F.col("high") <= most), F.concat_ws("..", "low", "high")),
+        f"{name}_supervised_tokens": (F.col("supervised") > 0, F.col("supervised"))})]
 
 
 def overlap_checks(overlaps: DataFrame) -> DataFrame:
@@ -65,10 +66,12 @@ def prediction_checks(predictions: DataFrame, scopes: DataFrame) -> DataFrame:
 
 
 def report(checks: list[DataFrame]) -> DataFrame:
-    """All checks, and a last row that passes when every one does."""
-    every = reduce(lambda a, b: a.unionByName(b), checks)
-    verdict = every.agg(F.bool_and("passed").alias("passed"), F.count(F.when(~F.col("passed"), 1)).alias("n"))
-    return every.unionByName(verdict.select(F.lit("verdict").alias("check"), "passed", F.col("n").cast("string").alias("detail")))
+    """All checks, and a last row that passes when every one does. The checks, some dozens of rows, are gathered into
+    one, so that none is made twice."""
+    every = reduce(lambda a, b: a.unionByName(b), checks).agg(F.collect_list(F.struct("check", "passed", "detail")).alias("checks"))
+    failed = F.size(F.filter("checks", lambda c: ~c["passed"]))
+    verdict = F.struct(F.lit("verdict").alias("check"), (failed == 0).alias("passed"), failed.cast("string").alias("detail"))
+    return every.select(F.inline(F.concat("checks", F.array(verdict))))
 
 
 def completion(expected: DataFrame, results: DataFrame) -> DataFrame:

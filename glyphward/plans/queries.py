@@ -715,7 +715,18 @@ def q_text_model(spark, sf_dir):
     return models.probability(models.fit(labelled, "word"), syn.spread(rows)).select("id", F.round("probability", 6).alias("probability"))
 
 
-@query()
+def _prompt_tokens_sql(budget: str) -> str:
+    """20 tokens and the words of both clipped texts."""
+    clip = lambda t: f"CASE WHEN length({t}) <= {budget} THEN {t} ELSE left({t}, {budget} // 2) || ' ... ' || right({t}, {budget} - {budget} // 2) END"
+    words = lambda t: f"len(list_filter(regexp_split_to_array({clip(t)}, '\\s+'), lambda w: w <> ''))"
+    return f"(20 + {words('a')} + {words('b')})"
+
+
+@query(f"""WITH RECURSIVE x AS (SELECT conv_id, turn, coalesce(text, '') AS a, lower(coalesce(text, '')) AS b FROM conversations),
+s(conv_id, turn, a, b, low, high) AS (SELECT conv_id, turn, a, b, 16::BIGINT, greatest(length(a), length(b), 16) FROM x
+    UNION ALL SELECT conv_id, turn, a, b, CASE WHEN fits THEN middle ELSE low END, CASE WHEN fits THEN high ELSE middle - 1 END
+    FROM (SELECT *, {_prompt_tokens_sql('middle')} <= 96 AS fits FROM (SELECT *, (low + high + 1) // 2 AS middle FROM s WHERE low < high)))
+SELECT conv_id, turn, low::INT AS budget, {_prompt_tokens_sql('low')}::INT AS token_count, length(a) > low OR length(b) > low AS truncated FROM s WHERE low >= high""")
 def q_token_budget(spark, sf_dir):
     rows = syn.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.lower("text").alias("candidate"))
     return models.fit_token_budget(rows, lambda a, b: 20 + len(a.split()) + len(b.split()), most=96).select("conv_id", "turn", "budget", "token_count", "truncated")
