@@ -13,12 +13,12 @@ so a source with any share of all rows is spread over (classes x buckets) groups
 Edge cases: a null or empty text has size 0 and its copies take 0 words; a null source is a source of its own, the
 last one; with no words at all every target is 0 and nothing is taken; repeated rows are documents each; an empty
 table gives an empty result; columns of the input that clash with new ones are replaced. The same rows give the
-same copies in any partitioning, because order and offset come from hashes of the rows.
+same copies in any partitioning and order of columns, because order and offset come from digests of the rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import shared_dir, word_count, written
@@ -33,6 +33,16 @@ ROWS_A_BUCKET = 1 << 20
 MADE = ("size", "source_size", "target", "copies", "taken")
 
 
+def _digest(*values: Column) -> Column:
+    """MD5 of the values' texts, which SQL has too; nulls are left out."""
+    return F.md5(F.concat_ws("|", *[v.cast("string") for v in values]).cast("binary"))
+
+
+def _number(digits: Column) -> Column:
+    """The value of a few hexadecimal digits."""
+    return F.conv(digits, 16, 10).cast("long")
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """(source, source_size, target, rate) from rows (source, source_size). One row a source passes through one
     task here: sources are a dimension, not data."""
@@ -67,11 +77,11 @@ def plan_copies(docs: DataFrame, source_col: str = "source", text_col: str = "te
         # Never null, in the order of the sources with null last: plain keys keep one partitioning for join and window.
         F.coalesce(F.concat(F.lit("a"), F.col(f"`{source_col}`").cast("string")), F.lit("b")).alias("_source"),
         word_count(f"`{text_col}`").alias("size"),
-        F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in docs.columns if docs.schema[c].dataType.typeName() in ("long", "integer", "string")]).alias("_h"),
+        F.substring(_digest(F.lit(seed), *[F.col(f"`{c}`") for c in sorted(docs.columns) if docs.schema[c].dataType.typeName() in ("long", "integer", "string")]), 1, 16).alias("_h"),
     )
     rows = written(rows.select("*", size_class.alias("_class")), "sizes")
     buckets = buckets or max(BUCKETS, rows.count() // ROWS_A_BUCKET)
-    rows = rows.withColumn("_bucket", F.pmod(F.shiftright("_h", 20), F.lit(buckets)).cast("int"))
+    rows = rows.withColumn("_bucket", (_number(F.substring("_h", 1, 8)) % buckets).cast("int"))
     groups = written(rows.groupBy("_source", "_class", "_bucket").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("words")), "groups")
     classes = groups.groupBy("_source", "_class").agg(F.sum("rows").alias("rows"), F.sum("words").alias("words"))
     targets = source_targets(classes.groupBy(F.col("_source").alias("source")).agg(F.sum("words").alias("source_size")), weights, share, most)
@@ -88,7 +98,7 @@ def plan_copies(docs: DataFrame, source_col: str = "source", text_col: str = "te
     on = (rows["_source"] == starts["_s"]) & (rows["_class"] == starts["_c"]) & (rows["_bucket"] == starts["_b"])
     in_bucket = Window.partitionBy("_source", "_class", "_bucket").orderBy("_h")
     # An offset on a grid, so that whole rates cross whole numbers of integers.
-    offset = (F.pmod(F.xxhash64(F.lit(seed), F.lit("offset"), F.col("_source")), F.lit(4096)) + F.lit(0.5)) / 4096
+    offset = (_number(F.substring(_digest(F.lit(seed), F.lit("offset"), F.col("_source")), 1, 3)) + F.lit(0.5)) / 4096
     at = F.col("_before") + F.row_number().over(in_bucket)
     crossed = F.floor(at * F.col("rate") + offset) - F.floor((at - 1) * F.col("rate") + offset)
     copies = F.greatest(F.lit(0), F.least(crossed, F.ceil(F.lit(float(most))))).cast("long")

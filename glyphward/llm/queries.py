@@ -86,6 +86,21 @@ QUERIES = {
 _WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
 ORACLE_SQL = {
+    "op2_mixing": f"""
+        WITH d AS (SELECT doc_id, source, len({_WORDS}) AS size, substr(md5(concat_ws('|', 7, doc_id, lang, n_chars, source, text)), 1, 16) AS h FROM documents),
+        w AS (SELECT source, sum(size)::BIGINT AS source_size, 2 * sum(size)::DOUBLE AS cap, sum(sum(size)) OVER () * 1.5::DOUBLE AS total,
+                     ([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1])::DOUBLE AS weight FROM d GROUP BY source),
+        l AS (SELECT *, (total - coalesce(sum(cap) OVER (fullest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                     / sum(weight) OVER (fullest ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w WINDOW fullest AS (ORDER BY cap / weight, source NULLS LAST)),
+        t AS (SELECT source, source_size, CASE WHEN cap <= weight * level OR top IS NULL THEN cap ELSE least(cap, weight * top) END AS target,
+                     (('0x' || substr(md5('7|offset|' || coalesce('a' || source, 'b')), 1, 3))::INT + 0.5::DOUBLE) / 4096 AS shift
+              FROM (SELECT *, max(level) FILTER (cap > weight * level) OVER () AS top FROM l)),
+        p AS (SELECT doc_id, d.source, size, source_size, target, shift, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+                     row_number() OVER (PARTITION BY d.source ORDER BY CASE WHEN size > 0 THEN floor(log2(size) * 4) + 1 ELSE 0 END, ('0x' || substr(h, 1, 8))::BIGINT % 256, h) AS n
+              FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        c AS (SELECT *, greatest(0, least(2, floor(n * rate + shift) - floor((n - 1) * rate + shift)))::BIGINT AS copies FROM p)
+        SELECT doc_id, source, size, source_size, target, copies, copies * size AS taken FROM c
+    """,
     "op4_ngram_join": f"""
         WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
         u AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w),

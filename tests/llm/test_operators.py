@@ -181,12 +181,12 @@ def test_mix(spark):
         target[r.source] = r.target
     assert all(abs(taken[s] - t) <= 60 + 0.02 * t for s, t in target.items())
     # Plain running sums in the same order give the same copies.
-    order = df.select("doc_id", "source", F.xxhash64(F.lit(7), *df.columns).alias("h")).collect()
+    digest = lambda *values: hashlib.md5("|".join(str(v) for v in values if v is not None).encode()).hexdigest()
+    order = [(r.doc_id, r.source, digest(7, *[r[c] for c in sorted(df.columns)])[:16]) for r in df.collect()]
     sizes = {r.doc_id: r for r in planned}
     for source in target:
-        mine = [(0 if sizes[r.doc_id].size <= 0 else math.floor(math.log2(sizes[r.doc_id].size) * 4) + 1, (r.h >> 20) % mixing.BUCKETS, r.h, r.doc_id) for r in order if r.source == source]
-        key = "b" if source is None else "a" + source
-        offset = (spark.range(1).select(F.pmod(F.xxhash64(F.lit(7), F.lit("offset"), F.lit(key)), F.lit(4096))).first()[0] + 0.5) / 4096
+        mine = [(0 if sizes[i].size <= 0 else math.floor(math.log2(sizes[i].size) * 4) + 1, int(h[:8], 16) % mixing.BUCKETS, h, i) for i, of, h in order if of == source]
+        offset = (int(digest(7, "offset", "b" if source is None else "a" + source)[:3], 16) + 0.5) / 4096
         rate = target[source] / sizes[mine[0][3]].source_size
         for k, (*_, doc) in enumerate(sorted(mine)):
             assert sizes[doc].copies == math.floor((k + 1) * rate + offset) - math.floor(k * rate + offset)
