@@ -512,6 +512,24 @@ def q_split_summary(spark, sf_dir):
     return obfuscate.split_summary(_compatible(spark, sf_dir))
 
 
+_SYLLABLES = "[가-힣]"
+
+
+@query(f"""WITH x AS (SELECT role, turn % 2 AS label, obfuscated AS t, {_count_sql(_TO_HANGUL, _SYLLABLES)} AS seen, {_count_sql(_TO_HANGUL, _SYLLABLES)} - {_count_sql('obfuscated', _SYLLABLES)} AS changed
+    FROM ({ORACLE_SQL['q_obfuscate_native']}) JOIN conversations USING (conv_id, turn)),
+n AS (SELECT *, {_VISIBLE} AS v, {_count_sql('t', '[\\x{16A0}-\\x{16FF}]')} AS r, {_count_sql('t', '[A-Za-z]')} AS l FROM x)
+SELECT '{obfuscate.READABLE[3][0]}' AS variant, role AS split, count(*) AS rows, count(*) FILTER (label = 1) AS hate_rows, count(*) FILTER (label <> 1) AS non_hate_rows, round(coalesce(sum(changed) / nullif(sum(seen), 0), 0), 6) AS syllable_ratio,
+    round(avg(CASE WHEN v > 0 THEN l / v ELSE 0 END), 6) AS latin_ratio, round(avg(CASE WHEN v > 0 THEN r / v ELSE 0 END), 6) AS rune_ratio FROM n GROUP BY role""")
+def q_split_summary_native(spark, sf_dir):
+    """A syllable that is drawn leaves no syllable behind, so what a text loses is what was changed."""
+    name, syllables, letters, _ = obfuscate.READABLE[3]
+    rows = syn.spread(syn.table(spark, sf_dir, "conversations")).select(
+        F.col("role").alias("split"), (F.col("turn") % 2).alias("label"), _as_hangul().alias("t"), F.concat_ws("|", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("key"))
+    rows = rows.withColumn("obfuscated", obfuscate.obfuscate(F.col("t"), F.col("key"), syllables, letters))
+    seen, left = (hangul.count_of(F.col(c), _SYLLABLES) for c in ("t", "obfuscated"))
+    return obfuscate.split_summary(rows.select(F.lit(name).alias("variant"), "split", "label", "obfuscated", seen.alias("seen"), (seen - left).alias("changed")))
+
+
 #: Letters are written wide and in circles first: the compatibility form undoes that, the canonical one would not.
 @query("SELECT doc_id, md5(nfc_normalize(text)) AS nfkc FROM documents")
 def q_nfkc(spark, sf_dir):
@@ -708,6 +726,14 @@ def q_file_manifest(spark, sf_dir):
     return found.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", "sha256")
 
 
+@query("SELECT 'n_nationkey=' || n_nationkey AS file, octet_length(encode(n_name)) + 1 AS length, sha256(n_name || chr(10)) AS sha256 FROM nation")
+def q_written_manifest(spark, sf_dir):
+    """The manifest of a folder with a text file for each nation."""
+    path = _scratch(spark)
+    syn.table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("value")).write.partitionBy("n_nationkey").text(path)
+    return audit.manifest(spark, path).select(F.element_at(F.split("path", "/"), -2).alias("file"), "length", "sha256")
+
+
 @query()
 def q_text_model(spark, sf_dir):
     rows = syn.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("text"))
