@@ -291,7 +291,7 @@ def train(numbered: DataFrame, class_of: np.ndarray, unigram: np.ndarray, states
     classes = context.broadcast(class_of)
     picked = numbered.filter(F.pmod(F.xxhash64("ids", "rid"), F.lit(1 << 30)) < int(share * (1 << 30))).select("ids")
     seeds = sorted((bytes(c), bytes(n)) for c, n in picked.mapInArrow(_class_counts(classes), "classes binary, counts binary").collect())
-    model = seed_model([(np.frombuffer(c, np.int32), np.frombuffer(n, np.int64)) for c, n in seeds[:2 * SEED_TEXTS]], unigram, states)
+    model = seed_model([(np.frombuffer(c, np.int32), np.frombuffer(n, np.int64)) for c, n in seeds], unigram, states)
     for _ in range(rounds):
         step = context.broadcast(model)
         parts = numbered.select("ids").mapInArrow(_expectations(step, classes), "slice int, counts binary")
