@@ -1,8 +1,9 @@
-"""The queries op1 to op10, each over its whole table with production parameters, and their SQL."""
+"""The queries op1 to op13, each over its whole table with production parameters, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .shared import documents
 
@@ -70,6 +71,25 @@ def op8_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(documents(spark, sf_dir))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversation_repair import damaged, repair
+
+    return repair(damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))).withColumnRenamed("conv", "conv_id")
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archived
+
+    records = archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return records.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import mine
+
+    return mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     "op8_hmm_scoring": op8_hmm_scoring,
     "op4_ngram_join": op4_ngram_join,
@@ -81,11 +101,75 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
     "op2_mixing": op2_mixing,
     "op9_exact_dedup": op9_exact_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_warc": op12_warc,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 _WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
 ORACLE_SQL = {
+    "op11_conversation_repair": r"""
+        WITH RECURSIVE crc AS (
+            SELECT list(list_reduce([n] || [0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t FROM range(256) r(n)),
+        keyed AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS txt,
+                   [4294967295] || list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT) AS b FROM conversations),
+        kinds AS (SELECT * EXCLUDE (b), xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 20 AS kind FROM keyed, crc),
+        damaged AS (
+            SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(txt, '[.!?]', '', 'g') ELSE txt END AS txt,
+                   unnest(CASE kind WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM kinds WHERE kind <> 0),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(txt)) AS i FROM damaged),
+        judged AS (
+            SELECT *, NOT regexp_matches(txt, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, txt ORDER BY i) > 1 AS seen,
+                   NOT regexp_matches(txt, '[.!?][\x20\x09-\x0D]*\z') AS cut, left(role, 1) AS x, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS px FROM placed),
+        rows_ AS (SELECT conv_id, turn, role, txt, i, x, px, blank, seen AND NOT blank AS again, (cut AND NOT seen AND NOT blank) AS cut, blank OR seen AS forced FROM judged),
+        facts AS (
+            SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again) AS duplicate,
+                   count(*) FILTER (cut) AS truncated, count(*) FILTER (px IS NOT NULL AND px || x NOT IN ('su', 'ua', 'au')) AS illegal FROM rows_ GROUP BY conv_id),
+        back(conv_id, i, c) AS (
+            SELECT conv_id, n, [0, 4, 2, 0]::BIGINT[] FROM facts
+            UNION ALL
+            SELECT conv_id, i - 1, [least(h[1], 2 + h[3], 4 + h[4]), least(h[2], 2 + h[3], 4 + h[4]), least(h[3], 2 + h[4]), least(h[4], 2 + h[3])]
+            FROM (SELECT b.conv_id, b.i, [
+                    least(3 + c[1], CASE WHEN forced THEN 999999999 ELSE cut::INT + least(2 + c[3], CASE x WHEN 's' THEN c[2] WHEN 'u' THEN c[3] ELSE 999999999 END) END),
+                    least(3 + c[2], CASE WHEN forced THEN 999999999 ELSE cut::INT + least(2 + c[3], CASE x WHEN 'u' THEN c[3] ELSE 999999999 END) END),
+                    least(3 + c[3], CASE WHEN forced THEN 999999999 ELSE cut::INT + least(2 + c[4], CASE x WHEN 'a' THEN c[4] ELSE 999999999 END) END),
+                    least(3 + c[4], CASE WHEN forced THEN 999999999 ELSE cut::INT + least(2 + c[3], CASE x WHEN 'u' THEN c[3] ELSE 999999999 END) END)] AS h
+                  FROM back b JOIN rows_ r ON r.conv_id = b.conv_id AND r.i = b.i)),
+        steps AS (SELECT b.conv_id, b.i, b.c, d.c AS d, role, txt, x, forced, cut::INT AS cut FROM back b LEFT JOIN rows_ r ON r.conv_id = b.conv_id AND r.i = b.i + 1 LEFT JOIN back d ON d.conv_id = b.conv_id AND d.i = b.i + 1),
+        trace(conv_id, i, q, audit, kept) AS (
+            SELECT conv_id, 0::BIGINT, 1, '', []::VARCHAR[] FROM facts
+            UNION ALL
+            SELECT conv_id, CASE edit WHEN 'I' THEN i ELSE i + 1 END, CASE edit WHEN 'D' THEN q WHEN 'K' THEN k ELSE m END, audit || edit,
+                   CASE edit WHEN 'D' THEN kept WHEN 'K' THEN list_append(kept, role || ':' || txt) WHEN 'I' THEN list_append(kept, made || ':') ELSE list_append(kept, made || ':' || txt) END
+            FROM (SELECT *, CASE WHEN d[q] + 3 = c[q] THEN 'D' WHEN c[m] + 2 = c[q] THEN 'I' WHEN NOT forced AND k > 0 AND d[k] + cut = c[q] THEN 'K' WHEN NOT forced AND d[m] + 2 + cut = c[q] THEN 'R' END AS edit
+                  FROM (SELECT t.*, s.* EXCLUDE (conv_id, i), CASE q WHEN 3 THEN 4 ELSE 3 END AS m, CASE q WHEN 3 THEN 'assistant' ELSE 'user' END AS made,
+                               CASE WHEN q = 1 AND x = 's' THEN 2 WHEN q <> 3 AND x = 'u' THEN 3 WHEN q = 3 AND x = 'a' THEN 4 ELSE 0 END AS k
+                        FROM trace t JOIN steps s ON s.conv_id = t.conv_id AND s.i = t.i))
+            WHERE edit IS NOT NULL),
+        ended AS (SELECT conv_id, audit, kept FROM trace QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY length(audit) DESC) = 1),
+        costs AS (SELECT conv_id, c[1] AS cost FROM back WHERE i = 0)
+        SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(kept, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN facts USING (conv_id) LEFT JOIN costs USING (conv_id) LEFT JOIN ended USING (conv_id)
+    """,
+    "op12_warc": """
+        SELECT page_id, octet_length(encode(payload))::BIGINT AS payload_bytes, sha256(payload) AS payload_digest,
+               CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+        FROM (SELECT page_id, coalesce(html, '') AS payload, CASE WHEN octet_length(encode(coalesce(html, ''))) >= 100 THEN min(page_id) OVER (PARTITION BY coalesce(html, '')) END AS first_id FROM pages)
+    """,
+    "op13_hard_negatives": """
+        WITH clean AS (
+            SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (SELECT a.id AS anchor_id, a.label = b.label AS same, b.id, list_dot_product(a.v, b.v)::BIGINT AS score FROM clean a JOIN clean b ON a.id <> b.id WHERE a.id % 100 = 0),
+        positives AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+        negatives AS (
+            SELECT p.*, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id)::INT AS rank
+            FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id WHERE NOT same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 10
+    """,
     "op2_mixing": f"""
         WITH d AS (SELECT doc_id, source, len({_WORDS}) AS size, substr(md5(concat_ws('|', 7, doc_id, lang, n_chars, source, text)), 1, 16) AS h FROM documents),
         w AS (SELECT source, sum(size)::BIGINT AS source_size, 2 * sum(size)::DOUBLE AS cap, sum(sum(size)) OVER () * 1.5::DOUBLE AS total,
