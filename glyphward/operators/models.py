@@ -1,12 +1,12 @@
-"""Text classifiers on Spark ML: TF-IDF over characters or words, projection, scaling, and a linear or layered head."""
+"""Text classifiers: TF-IDF over characters or words on Spark ML, with a linear head, or components and a layered one."""
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, PCA, RegexTokenizer, SQLTransformer, StandardScaler
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -16,7 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.deobfuscate import deobfuscate
-from .metrics import robustness
+from ..sources.scratch import written
+from .calibrate import best_threshold, sweep
+from .layered import LayeredModel, fit_layers
+from .metrics import auroc, robustness
+from .sampling import PARTS, SEED, grouped_split
 
 
 def char_grams(text: Column, low: int = 2, high: int = 5) -> Column:
@@ -80,35 +84,35 @@ def weights(docs: DataFrame, kind: str = "char", key: str = "id", *, features: i
     return raw.join(length, key).select(key, "term", (F.col("raw") / F.col("length")).alias("weight"))
 
 
-def fit(df: DataFrame, kind: str = "char", head: str = "logistic", *, features: int = 60_000, least: int = 2, most: float = 0.98, hidden: int = 96,
-        components: int = 0, seed: int = 42) -> PipelineModel:
-    """A classifier of (text, label). ``head``: logistic, or layers (needs ``components``, its input width).
-    ``components`` projects to principal components and scales them; it suits up to a few thousand features. Terms and
-    features are kept while it is fitted, so texts are cut into terms once."""
-    if head == "layers" and not components:
-        raise ValueError("layers need components")
+def tfidf(df: DataFrame, kind: str = "char", *, features: int = 60_000, least: int = 2, most: float = 0.98) -> tuple[list, DataFrame, DataFrame]:
+    """The fitted stages from text to weights, the last but one with the vocabulary; the other columns of ``df`` with
+    ``features``; and the persisted terms that these come from, which the caller unpersists."""
     first = term_stages(kind)
-    termed = PipelineModel(first).transform(df.select("text", "label")).select("label", "terms").persist(StorageLevel.DISK_ONLY)
+    termed = PipelineModel(first).transform(df).select(*[F.col(f"`{c}`") for c in df.columns if c != "text"], "terms").persist(StorageLevel.DISK_ONLY)
     counts = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=features, minDF=least, maxDF=most).fit(termed)
     idf = IDF(inputCol="tf", outputCol="weighted").fit(counts.transform(termed)).idf.toArray() + 1
     stages = [*first, counts, SublinearTfIdf("tf", "features", idf.tolist())]
-    rows, column = stages[-1].transform(counts.transform(termed)).select("label", "features").persist(StorageLevel.DISK_ONLY), "features"
-    if components:
-        for stage in (PCA(k=components, inputCol=column, outputCol="projected"), StandardScaler(inputCol="projected", outputCol="scaled", withMean=True)):
-            stages.append(stage.fit(rows))
-            rows = stages[-1].transform(rows)
-        column = "scaled"
+    return stages, stages[-1].transform(counts.transform(termed)).drop("terms", "tf"), termed
+
+
+def fit(df: DataFrame, kind: str = "char", head: str = "logistic", *, features: int = 60_000, least: int = 2, most: float = 0.98, **layers) -> PipelineModel | LayeredModel:
+    """A classifier of (text, label). ``head``: logistic, or layers, which is a truncated SVD, scaling and a hidden layer
+    (``components``, ``hidden`` and the other options of :mod:`.layered`); their rows are dealt by ``id``, or by text
+    where there is none. Terms and features are kept while it is fitted, so texts are cut into terms once."""
+    key = F.col("id" if "id" in df.columns else "text").cast("string").alias("key")
+    stages, rows, termed = tfidf(df.select(key, "text", "label"), kind, features=features, least=least, most=most)
     if head == "layers":
-        last = MultilayerPerceptronClassifier(featuresCol=column, labelCol="label", layers=[components, hidden, 2], maxIter=18, seed=seed)
+        model = fit_layers(PipelineModel(stages), rows, **layers)
     else:
-        last = LogisticRegression(featuresCol=column, labelCol="label", regParam=1e-4, maxIter=50)
-    stages.append(last.fit(rows))
+        rows = rows.select("label", "features").persist(StorageLevel.DISK_ONLY)
+        stages.append(LogisticRegression(featuresCol="features", labelCol="label", regParam=1e-4, maxIter=50).fit(rows))
+        model = PipelineModel(stages)
+        rows.unpersist()
     termed.unpersist()
-    rows.unpersist()
-    return PipelineModel(stages)
+    return model
 
 
-def predicted(model: PipelineModel, df: DataFrame, system: str, threshold: float = 0.5) -> DataFrame:
+def predicted(model: PipelineModel | LayeredModel, df: DataFrame, system: str, threshold: float = 0.5) -> DataFrame:
     """Prediction rows of a model, a loaded one too: ``df`` with system, probability, threshold and pred_label."""
     scored = probability(model, df)
     return scored.withColumns({"system": F.lit(system), "threshold": F.lit(threshold), "pred_label": (F.col("probability") >= threshold).cast("int")})
@@ -119,16 +123,28 @@ def normalized(df: DataFrame) -> DataFrame:
     return df.withColumn("text", deobfuscate("text"))
 
 
-def normalization_defence(clean: DataFrame, obfuscated: DataFrame, test: DataFrame, system: str = "normalized", **options) -> tuple[PipelineModel, DataFrame]:
-    """Defence by normalization: a model trained on the reconstructed texts of clean and obfuscated rows, and its
-    robustness on the reconstructed rows (variant, id, label, text) of ``test``, by variant."""
-    columns = ["id", "label", "text"]
-    model = fit(normalized(clean.select(columns).unionByName(obfuscated.select(columns))), **options)
-    return model, robustness(predicted(model, normalized(test.select("variant", *columns)), system))
-
-
-def probability(model: PipelineModel, df: DataFrame) -> DataFrame:
+def normalization_defence(rows: DataFrame, trained_on: list[str], system: str = "normalized", *, head: str = "layers", seed: int = SEED, **options) -> tuple[PipelineModel | LayeredModel, float, DataFrame]:
+    """Defence by normalization of rows (id, variant, label, text), honestly tested: ids are split in three, with all their
+    variants. The model is fitted on the reconstructed texts of the listed variants of the first part, its threshold is
+    the best one on the same variants of the second, and the report, by variant, is of the third alone: the robustness
+    with the threshold and the numbers of ids in each part. Returns the model, the threshold and the report."""
+    split = written(grouped_split(normalized(rows.select("id", "variant", "label", "text")), seed=seed), "defence")
+    part = lambda name: split.filter(F.col("part") == name).drop("part")
+    listed = F.col("variant").isin(*trained_on)
+    model = fit(part("fit").filter(listed), head=head, **options)
+    swept = sweep(written(probability(model, part("calibrate").filter(listed)).select("label", F.col("probability").alias("score")), "calibration"))
+    found = best_threshold(swept).first()
+    threshold = 0.5 if found is None else float(found["threshold"])
+    sizes = split.agg(*[F.count_distinct(F.when(F.col("part") == name, F.col("id"))).alias(f"{name}_ids") for name, _ in PARTS])
+    tested = written(predicted(model, part("test"), system, threshold), "tested")
+    report = robustness(tested, threshold=threshold).join(auroc(tested, "variant").select("variant", "auroc"), "variant")
+    return model, threshold, report.withColumn("threshold", F.lit(threshold)).crossJoin(F.broadcast(sizes))  # one row
+
+
+def probability(model: PipelineModel | LayeredModel, df: DataFrame) -> DataFrame:
     """``df`` with the probability of label 1."""
+    if isinstance(model, LayeredModel):
+        return model.probability(df)
     columns = df.columns
     return model.transform(df).select(*columns, vector_to_array("probability")[1].alias("probability"))
 

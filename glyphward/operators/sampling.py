@@ -38,6 +38,22 @@ def balanced(df: DataFrame, rows: int, seed: int, *, label: str = "label", key:
     return shuffled(parts[0].unionByName(parts[1]), seed, key)
 
 
+#: Shares of ids that a model is fitted on, that its threshold is chosen on, and that it is reported on.
+PARTS = (("fit", 0.8), ("calibrate", 0.1), ("test", 0.1))
+
+
+def grouped_split(df: DataFrame, key: str = "id", shares: tuple[tuple[str, float], ...] = PARTS, seed: int = SEED) -> DataFrame:
+    """``df`` with ``part``. The part hangs on the key's draw alone: all rows of a key are on one side, and no key changes
+    sides when rows are added."""
+    place = F.conv(F.substring(draw(seed, key), 1, 8), 16, 10).cast("double") / 2**32
+    part, up = None, 0.0
+    for name, share in shares[:-1]:
+        up += share
+        part = F.when(place < up, name) if part is None else part.when(place < up, name)
+    part = F.lit(shares[-1][0]) if part is None else part.otherwise(shares[-1][0])
+    return df.withColumn("part", part)
+
+
 def per_group(df: DataFrame, group: str, most: int, seed: int, key: str = "id") -> DataFrame:
     """At most ``most`` rows of each group."""
     place = F.row_number().over(Window.partitionBy(group).orderBy(draw(seed, key), key))

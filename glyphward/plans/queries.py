@@ -3,18 +3,15 @@ sums or means are rounded to nine places on both sides, as the order of addition
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import deobfuscate as deob
 from ..functions import hangul, labels
-from ..operators import align, audit, calibrate, models, obfuscate, report, sampling
+from ..operators import align, audit, calibrate, layered, models, obfuscate, report, sampling
 from ..operators import metrics as m
 from ..sources import files
+from ..sources.scratch import scratch
 from . import synthetic as syn
 from .synthetic import COUNTS, DENSE, DERIVED, SQL, SYSTEMS, U
 
@@ -549,7 +546,7 @@ def q_multilabel_binary(spark, sf_dir):
 
 def _kept(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Written once, where several checks read it."""
-    path = _scratch(spark)
+    path = scratch(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -690,26 +687,16 @@ def q_missing_systems(spark, sf_dir):
 # Files and models ----------------------------------------------------------------------------------------------------
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder that the driver and the executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        shared = tempfile.mkdtemp(prefix="glyphward-")
-    return f"{shared}/files-{uuid.uuid4().hex}"
-
-
 @query("SELECT conv_id, turn, role, text FROM conversations")
 def q_csv_roundtrip(spark, sf_dir):
-    path = _scratch(spark)
+    path = scratch(spark)
     files.write_csv(syn.table(spark, sf_dir, "conversations"), path)
     return files.read_csv(spark, path, "conv_id BIGINT, turn BIGINT, role STRING, text STRING")
 
 
 @query("SELECT conv_id, turn, role, text FROM conversations")
 def q_jsonl_roundtrip(spark, sf_dir):
-    path = _scratch(spark)
+    path = scratch(spark)
     files.write_jsonl(syn.table(spark, sf_dir, "conversations"), path)
     return files.read_jsonl(spark, path, "conv_id BIGINT, turn BIGINT, role STRING, text STRING")
 
@@ -729,7 +716,7 @@ def q_file_manifest(spark, sf_dir):
 @query("SELECT 'n_nationkey=' || n_nationkey AS file, octet_length(encode(n_name)) + 1 AS length, sha256(n_name || chr(10)) AS sha256 FROM nation")
 def q_written_manifest(spark, sf_dir):
     """The manifest of a folder with a text file for each nation."""
-    path = _scratch(spark)
+    path = scratch(spark)
     syn.table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("value")).write.partitionBy("n_nationkey").text(path)
     return audit.manifest(spark, path).select(F.element_at(F.split("path", "/"), -2).alias("file"), "length", "sha256")
 
@@ -761,25 +748,56 @@ def q_token_budget(spark, sf_dir):
 @query("""WITH w AS (SELECT conv_id || '/' || turn AS id, ' ' || unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) || ' ' AS w FROM conversations),
 g AS (SELECT id, unnest(flatten([[w[i:i + n - 1] FOR i IN range(1, length(w) - n + 2)] FOR n IN [2, 3, 4, 5]])) AS term FROM w),
 c AS (SELECT id, term, count(*) AS n FROM g GROUP BY ALL), r AS (SELECT count(*) AS rows FROM conversations),
-k AS (SELECT term, count(*) AS df, sum(n) AS total FROM c GROUP BY term HAVING count(*) >= 2 AND count(*) <= 0.98 * (SELECT rows FROM r) ORDER BY total DESC, term LIMIT 5000),
+k AS (SELECT term, count(*) AS df, sum(n) AS total FROM c GROUP BY term HAVING count(*) >= 2 AND count(*) <= 0.98 * (SELECT rows FROM r) ORDER BY total DESC, term LIMIT 60000),
 x AS (SELECT id, term, (1 + ln(n)) * (ln((1 + rows) / (1 + df)) + 1) AS raw FROM c JOIN k USING (term), r),
 l AS (SELECT id, sqrt(sum(raw * raw)) AS length FROM x GROUP BY id)
 SELECT id, term, round(raw / length, 9) AS weight FROM x JOIN l USING (id)""")
 def q_char_tfidf(spark, sf_dir):
     rows = syn.table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), "text")
-    return rounded(models.weights(syn.spread(rows), "char", features=5000))
+    return rounded(models.weights(syn.spread(rows), "char"))
 
 
 @query()
 def q_normalization_defence(spark, sf_dir):
-    """Trained and tested on the reconstructed texts of the labelled documents, romanized in part."""
+    """Fitted, calibrated and reported on different labelled documents, clean and romanized in part."""
     rows = _compatible(spark, sf_dir).select(F.col("idx").cast("string").alias("id"), "label", "variant", "text", "obfuscated")
-    test = rows.select("variant", "id", "label", F.col("obfuscated").alias("text"))
-    clean = rows.filter(F.col("variant") == obfuscate.READABLE[0][0]).select("id", "label", "text")
-    _, found = models.normalization_defence(clean, test.filter(F.col("variant") == obfuscate.READABLE[1][0]), clean.withColumn("variant", F.lit("clean")).unionByName(test.filter("variant <> 'clean'")), kind="word", features=5000)
+    clean = rows.filter(F.col("variant") == obfuscate.READABLE[0][0]).select("id", F.lit("clean").alias("variant"), "label", "text")
+    every = clean.unionByName(rows.select("id", "variant", "label", F.col("obfuscated").alias("text")))
+    _, _, found = models.normalization_defence(every, ["clean", obfuscate.READABLE[1][0]])
     return rounded(found)
 
 
+@query(f"""WITH d AS (SELECT conv_id, turn, ('0x' || substr(md5('{sampling.SEED}|' || conv_id), 1, 8))::BIGINT / 4294967296 AS u FROM conversations),
+p AS (SELECT *, CASE WHEN u < 0.8 THEN 'fit' WHEN u < 0.9 THEN 'calibrate' ELSE 'test' END AS part FROM d)
+SELECT part, count(*) AS turns, count(DISTINCT conv_id) AS conversations, (SELECT count(*) FROM (SELECT conv_id FROM p GROUP BY conv_id HAVING count(DISTINCT part) > 1)) AS shared FROM p GROUP BY part""")
+def q_grouped_split(spark, sf_dir):
+    """Turns dealt into three parts by conversation; none is in two of them."""
+    rows = sampling.grouped_split(syn.table(spark, sf_dir, "conversations").select("conv_id", "turn"), "conv_id")
+    parts = [name for name, _ in sampling.PARTS]
+    shared = sampling.overlaps({name: rows.filter(F.col("part") == name) for name in parts}, "conv_id").agg(F.sum("shared").alias("shared"))
+    counted = rows.groupBy("part").agg(F.count(F.lit(1)).alias("turns"), F.count_distinct("conv_id").alias("conversations"))
+    return counted.crossJoin(F.broadcast(shared))  # one row
+
+
+@query()
+def q_singular_values(spark, sf_dir):
+    """The ten greatest singular values of the turns' word weights, with the three terms that load most on each."""
+    rows = syn.spread(syn.table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), "text"))
+    stages, features, kept = models.tfidf(rows, "word")
+    values, vectors = layered.truncated_svd(features, "features", len(stages[-2].vocabulary), 10, iterations=12)
+    kept.unpersist()
+    terms = [[stages[-2].vocabulary[i] for i in (-abs(vectors[:, k])).argsort(kind="stable")[:3]] for k in range(len(values))]
+    return rounded(spark.createDataFrame([(k + 1, float(v), t) for k, (v, t) in enumerate(zip(values, terms))], "place int, singular_value double, terms array<string>"))
+
+
+@query()
+def q_layered_model(spark, sf_dir):
+    """Chances of all documents by the layered classifier, fitted on the labelled ones."""
+    rows = syn.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("text"))
+    labelled = rows.join(syn.truth(spark, sf_dir), "id").repartition(spark.sparkContext.defaultParallelism)
+    return models.probability(models.fit(labelled, "word", "layers"), syn.spread(rows)).select("id", F.round("probability", 6).alias("probability"))
+
+
 # Composed reports and scans ------------------------------------------------------------------------------------------
 
 _CHAT = f"CASE system WHEN '{SYSTEMS[3]}' THEN 'chatgpt_delta' ELSE system END"
@@ -792,7 +810,7 @@ SELECT part, system, rank, round(worst, 9) AS worst_case_balanced_accuracy, roun
     CASE WHEN rank = 1 THEN printf('%s has the best worst-case balanced accuracy, %.3f.', system, worst) END AS conclusion FROM ranked""")
 def q_summary_report(spark, sf_dir):
     """Metrics of two runs as files, loaded by a pattern; the second run counts."""
-    path, rows = _scratch(spark), by_variant(spark, sf_dir)
+    path, rows = scratch(spark), by_variant(spark, sf_dir)
     rows = rows.withColumn("system", F.when(F.col("system") == SYSTEMS[3], "chatgpt_delta").otherwise(F.col("system")))
     columns = ["system", "variant", "balanced_accuracy", "macro_f1", "max_failure_rate", "fnr", "fpr", "predicted_hate_rate", "parse_failures", "run"]
     files.write_csv(rows.withColumns({"balanced_accuracy": F.lit(0.5), "run": F.lit(1)}).select(columns), f"{path}/first")
@@ -818,7 +836,7 @@ def q_external_comparison(spark, sf_dir):
 SELECT 'test' AS split, 'clean' AS variant, text, text AS original_document, (label = '2,3')::INT AS label, label AS original_label, count(*) AS n FROM l GROUP BY ALL""")
 def q_tsv_scan(spark, sf_dir):
     """A tab-separated corpus, standardized and as benchmark rows."""
-    path, turn = _scratch(spark), F.col("turn") % 3
+    path, turn = scratch(spark), F.col("turn") % 3
     rows = syn.table(spark, sf_dir, "conversations").select(F.col("text").alias("document"), F.when(turn == 0, "8").when(turn == 1, "2,3").otherwise("1, 8").alias("label"))
     rows.write.options(sep="\t", header=True, quote='"', escape='"').csv(path)
     made = files.benchmark_rows(files.standardized(files.read_csv(spark, path, "raw", sep="\t"), "test", "conversations"), "clean")
@@ -828,7 +846,7 @@ def q_tsv_scan(spark, sf_dir):
 @query("""SELECT concat('step', (o_orderkey % 7) * 500) AS run_name, ((o_orderkey % 7) * 500)::INT AS step, round(avg((o_orderstatus = 'F')::INT), 6) AS balanced_accuracy FROM orders GROUP BY ALL""")
 def q_one_row_files(spark, sf_dir):
     """A file for each run, each with one row."""
-    path, run = _scratch(spark), F.concat(F.lit("step"), ((F.col("o_orderkey") % 7) * 500).cast("string")).alias("run_name")
+    path, run = scratch(spark), F.concat(F.lit("step"), ((F.col("o_orderkey") % 7) * 500).cast("string")).alias("run_name")
     runs = syn.table(spark, sf_dir, "orders").groupBy(run).agg(F.round(F.avg((F.col("o_orderstatus") == "F").cast("int")), 6).alias("balanced_accuracy"))
     runs.withColumn("folder", F.col("run_name")).write.options(header=True).partitionBy("folder").csv(path)
     loaded = files.read_glob(spark, f"{path}/*/part-*.csv", "run_name STRING, balanced_accuracy DOUBLE", paths=True)

@@ -220,7 +220,7 @@ def test_streams(spark, tmp_path):
 def test_models(spark):
     rows = [(f"good nice kind {i % 7}", 0) for i in range(30)] + [(f"awful bad vile {i % 7}", 1) for i in range(30)]
     df = spark.createDataFrame(rows, "text string, label int")
-    for kind, extra in (("char", {}), ("word", {}), ("word", {"head": "layers", "components": 4, "hidden": 4})):
+    for kind, extra in (("char", {}), ("word", {}), ("word", {"head": "layers", "components": 4, "hidden": 8, "rate": 0.05, "batch": 20})):
         scored = models.probability(models.fit(df, kind, features=500, **extra), df)
         assert scored.filter((F.col("probability") >= 0.5).cast("int") != F.col("label")).count() == 0
     assert set(models.train_settings(df, {"a": df, "b": df})) == {"clean_only", "aug_a", "aug_b", "aug_a_b"}
@@ -392,11 +392,28 @@ def test_weights_equal_the_model_s(spark, tmp_path):
     assert models.predicted(again, df, "s", 0.4).filter((F.col("pred_label") == 1) != (F.col("probability") >= 0.4)).isEmpty()
 
 
-def test_normalization_defence(spark):
-    base = [(str(k), k % 2, ("busan jarang " if k % 2 else "chingu hakgyo ") + str(k % 5)) for k in range(40)]
+@pytest.mark.parametrize("head", ["logistic", "layers"])
+def test_normalization_defence(spark, head):
+    """Parts, threshold and report against plain versions; test rows are told apart from training rows by id."""
+    rnd = random.Random(6)
+    base = [(str(k), k % 2, " ".join(rnd.choice(("busan jarang", "hanbok sarang") if (k % 2) ^ (rnd.random() < 0.1) else ("chingu hakgyo", "namu kurim")) for _ in range(3)) + f" {k % 5}") for k in range(150)]
     clean = spark.createDataFrame(base, "id string, label int, text string")
-    runes = clean.withColumn("text", hangul.to_runes(F.col("text")))
-    test = clean.withColumn("variant", F.lit("clean")).unionByName(runes.withColumn("variant", F.lit("runes")))
-    model, found = models.normalization_defence(clean, runes, test, kind="word", least=1)
-    rows = {r.variant: r for r in found.collect()}
-    assert rows["clean"].f1 == rows["runes"].f1 == 1.0 and rows["runes"].attack_success_rate == 0.0 and rows["runes"].system == "normalized"
+    rows = clean.withColumn("variant", F.lit("clean")).unionByName(clean.withColumn("text", hangul.to_runes(F.col("text"))).withColumn("variant", F.lit("runes")))
+    options = {"components": 8, "hidden": 8, "rate": 0.05, "batch": 60} if head == "layers" else {}
+    model, threshold, found = models.normalization_defence(rows, ["clean", "runes"], head=head, kind="word", **options)
+    place = {k: int(hashlib.md5(f"{sampling.SEED}|{k}".encode()).hexdigest()[:8], 16) / 2**32 for k, _, _ in base}
+    part = {k: "fit" if u < 0.8 else "calibrate" if u < 0.9 else "test" for k, u in place.items()}
+    score = {(r.variant, r.id): r.probability for r in models.probability(model, models.normalized(rows)).collect()}
+    label = {k: y for k, y, _ in base}
+    calibrated = [(p, label[k]) for (v, k), p in score.items() if part[k] == "calibrate"]
+
+    def error(t):
+        return sum(sum((p >= t) != y for p, y in calibrated if y == c) / max(1, sum(y == c for _, y in calibrated)) for c in (0, 1))
+
+    assert error(threshold) == min(error(t) for p, _ in calibrated for t in (p, p + 1e-9))
+    for r in found.collect():
+        tested = [(p, label[k], score["clean", k]) for (v, k), p in score.items() if v == r.variant and part[k] == "test"]
+        assert (r.rows, r.fit_ids, r.calibrate_ids, r.test_ids) == (len(tested), *(list(part.values()).count(n) for n in ("fit", "calibrate", "test")))
+        assert r.accuracy == pytest.approx(sum((p >= threshold) == y for p, y, _ in tested) / len(tested)) and r.threshold == threshold
+        assert r.confidence_shift == pytest.approx(sum(abs(c - p) for p, _, c in tested) / len(tested))
+        assert r.accuracy > 0.7
