@@ -1,8 +1,7 @@
 """Thresholds: candidates, sweeps and choices.
 
-A sweep needs no join of thresholds with rows. Rows are counted by (score, label) once; counts above a threshold are
-a running sum over the distinct scores. Only the candidates (at most 403, or those that are given) and the counts in
-their intervals come together, whatever the number of rows.
+A sweep needs no join of thresholds with rows. Rows are counted by score once; thresholds take their place in the order
+of the scores, and what is below each is a running sum over that order, by bins that follow the data.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import METRICS, auroc, from_counts, robustness
-from .ordered import bins_of, last_not_above, sums_before
+from .ordered import sums_before
 
 QUANTILES = 401
 MARGIN = 1e-6
@@ -34,7 +33,7 @@ def exact_quantiles(scored: DataFrame, score: str, quantiles: int) -> DataFrame:
     are running sums of the counts by score, so no task holds all scores."""
     parts = quantiles - 1
     counted = scored.filter(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("score")).agg(F.count(F.lit(1)).alias("n"))
-    placed = sums_before(counted, bins_of(scored, score), ["score"], {"before": F.col("n")})
+    placed = sums_before(counted, ["score"], {"before": F.col("n")})
     ranked = placed.crossJoin(F.broadcast(scored.agg((F.count(score) - 1).alias("last"))))  # one row
     at = lambda k: F.col("last") * (k / F.lit(float(parts)))
     per_row = F.lit(float(parts)) / F.greatest(F.col("last"), F.lit(1))
@@ -50,26 +49,30 @@ def exact_quantiles(scored: DataFrame, score: str, quantiles: int) -> DataFrame:
     return sides.select("k", (F.col("low") + (F.col("high") - F.col("low")) * share).alias("threshold"))
 
 
-def sweep(scored: DataFrame, score: str = "score", label: str = "label", thresholds: DataFrame | None = None) -> DataFrame:
-    """All metrics at each threshold, where score >= threshold is a hit."""
+def sweep(scored: DataFrame, score: str = "score", label: str = "label", thresholds: DataFrame | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """All metrics at each threshold, where score >= threshold is a hit; for each group of ``keys``, if there are any.
+    Thresholds may be as many as the scores, and of a group of their own where they have the keys as columns: they are
+    rows that take their place in the order of the counted scores, and running sums tell what is below each."""
     thresholds = candidates(scored, score) if thresholds is None else thresholds
-    # Both sides carry a place in the order of scores: a score falls to the last threshold that is not above it.
-    points = thresholds.agg(F.array_sort(F.collect_set("threshold")).alias("points"))
-    per_score = scored.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(
+    per_score = scored.filter(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("threshold")).agg(
         F.count(F.when(F.col(label) == 1, 1)).alias("p"), F.count(F.when(F.col(label) == 0, 1)).alias("n"))
-    placed = per_score.crossJoin(F.broadcast(points)).select("p", "n", last_not_above(F.col("points"), F.col("score")).alias("place"))
-    binned = placed.groupBy("place").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    numbered = points.select(F.posexplode("points").alias("i", "threshold")).select((F.col("i") + 1).alias("place"), "threshold")
-    joined = numbered.join(binned, "place", "full").na.fill(0, ["p", "n"])
-    above = Window.partitionBy(F.lit(0)).orderBy(F.desc("place"))  # a row a candidate
-    every = Window.partitionBy(F.lit(0))
-    hit = joined.select(
-        "threshold", F.sum("p").over(above).alias("tp"), F.sum("n").over(above).alias("fp"), F.sum("p").over(every).alias("all_p"), F.sum("n").over(every).alias("all_n"))
+    own = [k for k in keys if k in thresholds.columns]
+    points = thresholds.select(*own, "threshold").filter("threshold IS NOT NULL").distinct()
+    totals = per_score.groupBy(*keys).agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))  # a row a group
+    if len(own) < len(keys):
+        points = points.join(totals.select(*keys), own) if own else points.crossJoin(F.broadcast(totals.select(*keys)))
+    # A threshold comes before the scores that equal it.
+    rows = per_score.withColumn("kind", F.lit(1)).unionByName(points.withColumns({"p": F.lit(0), "n": F.lit(0), "kind": F.lit(0)}))
+    placed = sums_before(rows, ["threshold", "kind"], {"below_p": F.col("p"), "below_n": F.col("n")}, keys).filter("kind = 0")
+    same = {k: f"_of_{k}" for k in keys}
+    on = [F.col(k).eqNullSafe(F.col(other)) for k, other in same.items()]
+    joined = placed.join(totals.withColumnsRenamed(same), on, "left") if keys else placed.crossJoin(F.broadcast(totals))
+    joined = joined.na.fill(0, ["all_p", "all_n"])
     total = F.col("all_p") + F.col("all_n")
-    counted = hit.filter("threshold IS NOT NULL").select(
-        "threshold", total.alias("rows"), total.alias("valid_predictions"), F.lit(0).cast("long").alias("parse_failures"),
-        (F.col("all_n") - F.col("fp")).alias("tn"), "fp", (F.col("all_p") - F.col("tp")).alias("fn"), "tp")
-    return from_counts(counted).select("threshold", *METRICS)
+    counted = joined.select(
+        *keys, "threshold", total.alias("rows"), total.alias("valid_predictions"), F.lit(0).cast("long").alias("parse_failures"),
+        F.col("below_n").alias("tn"), (F.col("all_n") - F.col("below_n")).alias("fp"), F.col("below_p").alias("fn"), (F.col("all_p") - F.col("below_p")).alias("tp"))
+    return from_counts(counted).select(*keys, "threshold", *METRICS)
 
 
 def best_threshold(swept: DataFrame) -> DataFrame:

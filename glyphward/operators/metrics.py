@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import bins_of, sums_before
+from .ordered import sums_before
 
 METRICS = (
     "rows", "valid_predictions", "parse_failures", "parse_failure_rate", "accuracy", "balanced_accuracy", "macro_f1", "hate_precision",
@@ -121,7 +121,7 @@ def auroc(scored: DataFrame, *keys: str, score: str = "probability", label: str
     """Area under the ROC curve of each group, ties counted half; null with a single class. Scores are counted first, and
     the counts below each are summed up by ranges of scores, so no task holds a whole group."""
     per_score = scored.groupBy(*keys, score).agg(_n(F.col(label) == 1).alias("p"), _n(F.col(label) == 0).alias("n"))
-    placed = sums_before(per_score, bins_of(scored, score), [score], {"below": F.col("n")}, keys)
+    placed = sums_before(per_score, [score], {"below": F.col("n")}, keys)
     wins = F.col("p") * (2 * F.col("below") + F.col("n"))  # twice the pairs won
     return placed.withColumn("wins", wins).groupBy(*keys).agg(
         F.sum("wins").alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n")).select(

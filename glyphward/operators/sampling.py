@@ -19,9 +19,9 @@ def draw(seed: int, key: str = "id") -> Column:
 
 
 def shuffled(df: DataFrame, seed: int, key: str = "id") -> DataFrame:
-    """All rows with their place in the shuffled order. Draws are uniform, so their first digits deal them into bins."""
+    """All rows with their place in the shuffled order. Keys that are equal follow each other."""
     drawn = df.withColumn("_draw", draw(seed, key))
-    return sums_before(drawn, F.substring("_draw", 1, 2), ["_draw", key], {"sample_order": F.lit(1)}).drop("_draw")
+    return sums_before(drawn, ["_draw", key], {"sample_order": F.lit(1)}).drop("_draw")
 
 
 def balanced(df: DataFrame, rows: int, seed: int, *, label: str = "label", key: str = "id", exclude: DataFrame | None = None, strict: bool = True) -> DataFrame:

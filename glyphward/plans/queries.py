@@ -11,7 +11,7 @@ from ..functions import hangul, labels
 from ..operators import align, audit, calibrate, layered, models, obfuscate, report, sampling
 from ..operators import metrics as m
 from ..sources import files
-from ..sources.scratch import scratch
+from ..sources.scratch import scratch, written
 from . import synthetic as syn
 from .synthetic import COUNTS, DENSE, DERIVED, SQL, SYSTEMS, U
 
@@ -181,6 +181,17 @@ def q_router_report(spark, sf_dir):
     return rounded(calibrate.router_report(_route_rows(spark, sf_dir), 0.4))
 
 
+@query(f"""WITH {SQL}, points AS (SELECT DISTINCT system, floor(score * 500) / 500 AS threshold FROM scored WHERE score IS NOT NULL),
+judged AS (SELECT p.system, threshold, label, (score >= threshold)::INT AS pred_label FROM points p JOIN scored s ON s.system = p.system WHERE score IS NOT NULL),
+counted AS (SELECT system, threshold, {COUNTS} FROM judged GROUP BY ALL), metrics AS (SELECT system, threshold, {DERIVED} FROM counted)
+SELECT system, round(threshold, 9) AS threshold, {WHOLE}, {_r(RATES)} FROM metrics""")
+def q_sweep_by_system(spark, sf_dir):
+    """Hundreds of thresholds for each system, as a table of their own."""
+    scored = syn.scored(spark, sf_dir)
+    points = scored.filter("score IS NOT NULL").select("system", (F.floor(F.col("score") * 500) / 500).alias("threshold")).distinct()
+    return rounded(calibrate.sweep(scored, thresholds=points, keys=("system",)))
+
+
 @query(_ROUTE_SQL)
 def q_router_sweep(spark, sf_dir):
     return rounded(_routed(spark, sf_dir))
@@ -784,6 +795,7 @@ def q_singular_values(spark, sf_dir):
     """The ten greatest singular values of the turns' word weights, with the three terms that load most on each."""
     rows = syn.spread(syn.table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), "text"))
     stages, features, kept = models.tfidf(rows, "word")
+    features = written(features, "features")  # read for each iteration
     values, vectors = layered.truncated_svd(features, "features", len(stages[-2].vocabulary), 10, iterations=12)
     kept.unpersist()
     terms = [[stages[-2].vocabulary[i] for i in (-abs(vectors[:, k])).argsort(kind="stable")[:3]] for k in range(len(values))]
