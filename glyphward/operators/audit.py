@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.remote import manifest  # noqa: F401
+
 
 def _checks(df: DataFrame, checks: dict[str, tuple[Column, Column]]) -> DataFrame:
     """Name to (passed, detail) over ``df``, which has one row: it is read once, however many checks there are."""
@@ -88,9 +90,3 @@ def completion(expected: DataFrame, results: DataFrame) -> DataFrame:
         n(F.col("wanted").isNull()).alias("unexpected_rows"), F.coalesce(F.sum(F.col("n") - F.col("read")), F.lit(0)).alias("invalid_label_rows"))
     bad = F.col("missing_rows") + F.col("duplicate_rows") + F.col("unexpected_rows") + F.col("invalid_label_rows")
     return out.withColumn("status", F.when(bad == 0, "complete").otherwise("incomplete"))
-
-
-def manifest(spark, path: str) -> DataFrame:
-    """(path, length, sha256) of the files below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))

@@ -844,6 +844,26 @@ def q_external_comparison(spark, sf_dir):
     return rounded(found.select("system", "rows", "accuracy", "balanced_accuracy", "macro_f1", "worst_case_balanced_accuracy", "rank", "display_name"))
 
 
+@query("""SELECT conv_id || '/' || turn AS id, role AS variant, CASE WHEN length(coalesce(text, '')) % 2 = 1 THEN 'hate' ELSE 'non-hate' END AS label, 0::BIGINT AS asked_again FROM conversations""")
+def q_durable_answers(spark, sf_dir):
+    """Turns of even conversations are answered by a service; then a run over all turns reads those answers from the log
+    and asks for the others; a third run asks for none. The service writes down in a folder what it is asked."""
+    log, notes = scratch(spark, "answers"), scratch(spark, "notes")
+
+    def client():
+        def ask(rows):
+            files.append_note(notes, [r["id"] for r in rows])
+            return [{"id": r["id"], "variant": r["variant"], "label": "hate" if len(r["text"]) % 2 else "non-hate"} for r in rows]
+
+        return ask
+
+    turns = syn.table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), F.col("role").alias("variant"), F.coalesce("text", F.lit("")).alias("text"), "conv_id")
+    for rows in (turns.filter(F.col("conv_id") % 2 == 0), turns, turns):
+        found = written(files.answered_by(rows, client, batch=50, pause=0, log=log, ranges=8), "answered")
+    asked = spark.read.text(notes).groupBy("value").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("asked_again"))
+    return found.crossJoin(F.broadcast(asked))  # one row
+
+
 @query("""WITH l AS (SELECT text, CASE turn % 3 WHEN 0 THEN '8' WHEN 1 THEN '2,3' ELSE '1, 8' END AS label FROM conversations)
 SELECT 'test' AS split, 'clean' AS variant, text, text AS original_document, (label = '2,3')::INT AS label, label AS original_label, count(*) AS n FROM l GROUP BY ALL""")
 def q_tsv_scan(spark, sf_dir):
@@ -865,6 +885,29 @@ def q_one_row_files(spark, sf_dir):
     return files.one_row_files(loaded).select("run_name", "step", "balanced_accuracy")
 
 
+@query(f"""WITH {SQL}, {DENSE} SELECT system, variant, round(balanced_accuracy, 9) AS balanced_accuracy, CASE WHEN variant_rank % 2 = 0 THEN round(macro_f1, 9) END AS macro_f1 FROM metrics""")
+def q_header_discovery(spark, sf_dir):
+    """Metrics in files of two headers, beside files without the columns and empty ones."""
+    path, rows = scratch(spark), rounded(by_variant(spark, sf_dir))
+    even = F.col("variant_rank") % 2 == 0
+    files.write_csv(rows.filter(even).select("system", "variant", "balanced_accuracy", "macro_f1", "fnr"), f"{path}/first")
+    files.write_csv(rows.filter(~even).select("balanced_accuracy", "rows", "variant", "system"), f"{path}/second")
+    files.write_csv(rows.select("system", "fpr"), f"{path}/third")
+    rows.limit(0).select("system").write.text(f"{path}/fourth")
+    columns = {"system": "STRING", "variant": "STRING", "balanced_accuracy": "DOUBLE", "macro_f1": "DOUBLE"}
+    return files.read_tables(spark, f"{path}/*/part-*", columns, required=("system", "variant", "balanced_accuracy")).drop("source_file", "source_path")
+
+
+@query("""SELECT o_orderkey, o_custkey, CASE o_orderkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS split_rank, row_number() OVER (ORDER BY CASE o_orderkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END, o_orderkey) - 1 AS line FROM orders""")
+def q_ordered_file(spark, sf_dir):
+    """Orders of three splits in one file, in order; read back with the number of their line."""
+    path, orders = scratch(spark), syn.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    files.write_ordered({name: orders.filter(F.col("o_orderkey") % 3 == k) for k, name in enumerate(("train", "valid", "test"))}, path, "o_orderkey")
+    found = files.with_row_ids(files.read_csv(spark, path, "o_orderkey BIGINT, o_custkey BIGINT"), "row")
+    rank = F.when(F.col("o_orderkey") % 3 == 0, 0).when(F.col("o_orderkey") % 3 == 1, 1).otherwise(2)
+    return found.select("o_orderkey", "o_custkey", rank.alias("split_rank"), F.col("idx").alias("line"))
+
+
 @query("""SELECT CASE doc_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'valid' ELSE 'test' END AS split, (doc_id % 3)::INT AS split_rank, doc_id FROM documents""")
 def q_split_union(spark, sf_dir):
     docs = syn.table(spark, sf_dir, "documents").select("doc_id")

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import csv
+import functools
 import json
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import UnsupportedOperationException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .answers import answered_by  # noqa: F401
+from .remote import file_system, first_lines
+from .scratch import deleted, scratch
+
 S = {
     "raw": "document STRING, label STRING",
     "clean": "split STRING, id STRING, document STRING, obfuscated_document STRING, label STRING, is_hate_speech INT, perturbation_type STRING,"
@@ -53,6 +61,24 @@ def read_glob(spark: SparkSession, path: str, schema, *, skip: tuple[str, ...] =
     return df.filter(~F.col("source_file").isin(*skip)) if skip else df
 
 
+def read_tables(spark: SparkSession, path: str | list[str], columns: dict[str, str], *, required: tuple[str, ...] = (), skip: tuple[str, ...] = (), sep: str = ",") -> DataFrame:
+    """The ``columns`` (name to type) of all CSV files of a pattern or folder that have the ``required`` ones, in any order
+    and among others, with ``source_file`` and ``source_path``. Headers are read first, a line a file, and files of the same
+    header are one scan; a column that a file lacks is null, an empty file is passed over."""
+    heads = first_lines(spark, path).filter("line IS NOT NULL").groupBy("line").agg(F.array_sort(F.collect_list("path")).alias("paths"))  # the driver plans by file anyway
+    parts = []
+    for head in heads.orderBy("line").collect():
+        names = next(csv.reader([head["line"]], delimiter=sep), [])
+        if set(required) <= set(names) and (paths := [p for p in head["paths"] if p.rsplit("/", 1)[-1] not in skip]):
+            kinds = ", ".join(f"`{n}` {columns.get(n, 'STRING')}" for n in names)
+            rows = read_csv(spark, paths, T.StructType.fromDDL(kinds), sep=sep)
+            found = [F.col(f"`{n}`") if n in names else F.lit(None).cast(kind).alias(n) for n, kind in columns.items()]
+            parts.append(rows.select(*found, F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_path").alias("source_path")))
+    if not parts:
+        return spark.createDataFrame([], ", ".join([*(f"`{n}` {kind}" for n, kind in columns.items()), "source_file string", "source_path string"]))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def one_row_files(df: DataFrame) -> DataFrame:
     """Fails when a file has not exactly one row; adds ``step``, the digits of ``run_name``."""
     n = df.groupBy("source_path" if "source_path" in df.columns else "source_file").agg(F.count(F.lit(1)).alias("n")).filter("n <> 1").count()
@@ -111,6 +137,16 @@ def append_done(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def append_note(folder: str, lines: list[str]) -> None:
+    """Lines as one new file in a folder, written inside a task and seen whole or not at all."""
+    system, inside = file_system(folder)
+    system.create_dir(inside, recursive=True)
+    name = uuid.uuid4().hex
+    with system.open_output_stream(f"{inside}/_{name}") as file:
+        file.write("".join(f"{line}\n" for line in lines).encode())
+    system.move(f"{inside}/_{name}", f"{inside}/{name}.txt")
+
+
 def write_document(row: dict, path: str) -> None:
     """A small JSON document, written by the driver."""
     with open(path, "w", encoding="utf-8") as f:
@@ -136,6 +172,57 @@ def concatenated(splits: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def write_ordered(splits: dict[str, DataFrame], path: str, order: str, *, parts: int | None = None) -> None:
+    """One CSV file: a header, then the splits one after the other, each in the order of a column. Rows are dealt by range
+    and written as parts whose names follow the order; the parts are joined by the file system where it can (HDFS),
+    else by one task that copies their bytes in order. An older file is replaced when the new one is whole."""
+    spark = next(iter(splits.values())).sparkSession
+    rows = concatenated(splits)
+    columns = [c for c in rows.columns if c not in ("split", "split_rank")]
+    folder = scratch(spark, "ordered")
+    dealt = rows.repartitionByRange(*([parts] if parts else []), "split_rank", order).sortWithinPartitions("split_rank", order)
+    dealt.select(*[F.col(c).cast("string") for c in columns]).write.options(header=False, quote='"', escape='"', emptyValue="").csv(f"{folder}/parts")
+    head = spark.createDataFrame([columns], ", ".join(f"`{c}` string" for c in columns))
+    head.coalesce(1).write.options(header=False, quote='"', escape='"', emptyValue="").csv(f"{folder}/head")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(conf)
+    names = [str(s.getPath().toString()) for part in ("head", "parts") for s in sorted(
+        jvm.org.apache.hadoop.fs.Path(f"{folder}/{part}").getFileSystem(conf).listStatus(jvm.org.apache.hadoop.fs.Path(f"{folder}/{part}")), key=lambda s: s.getPath().getName())
+        if s.getPath().getName().startswith("part-") and s.getLen()]
+    whole = jvm.org.apache.hadoop.fs.Path(names[0])
+    try:
+        array = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Path, len(names) - 1)
+        for i, name in enumerate(names[1:]):
+            array[i] = jvm.org.apache.hadoop.fs.Path(name)
+        if len(names) > 1:
+            system.concat(whole, array)
+    except UnsupportedOperationException:
+        whole = jvm.org.apache.hadoop.fs.Path(_copied(spark, names, f"{folder}/whole"))
+    system.delete(target, False)
+    if not system.rename(whole, target):
+        raise OSError(f"cannot rename to {path}")
+    deleted(spark, folder)
+
+
+def _copied(spark: SparkSession, names: list[str], target: str) -> str:
+    """The files one after the other, copied by one task a piece at a time."""
+
+    def run(batches):
+        for batch in batches:
+            system, inside = file_system(target)
+            with system.open_output_stream(inside) as out:
+                for name in names:
+                    source, at = file_system(name)
+                    with source.open_input_stream(at) as file:
+                        while data := file.read(4 << 20):
+                            out.write(data)
+            yield batch
+
+    spark.range(1).coalesce(1).mapInArrow(run, "id bigint").collect()
+    return target
+
+
 def scored_by(df: DataFrame, scorer: Callable[[], Callable[[list], list[float]]], *, text: str = "text", batch: int = 8,
               encode: Callable[[], Callable[[str], list[int]]] | None = None, most: int = 512, pad: int = 0) -> DataFrame:
     """``df`` with ``score`` from an outside model. ``scorer`` makes the model, once a task; it gets texts in batches
@@ -157,34 +244,3 @@ def scored_by(df: DataFrame, scorer: Callable[[], Callable[[list], list[float]]]
             yield pdf.assign(score=[float(x) for part in parts for x in score(filled(part, ids_of) if ids_of else part)])
 
     return df.mapInPandas(run, f"{columns}, score double")
-
-
-def answered_by(df: DataFrame, client: Callable[[], Callable[[list[dict]], list[dict]]], *, batch: int = 10, attempts: int = 8, pause: float = 1.0, wait=None) -> DataFrame:
-    """(id, variant, label) answers of a remote service for (id, variant, text). A failed batch is asked again after
-    min(60, 2 ** attempt + a random part of a second) seconds, so tasks that failed together do not come back
-    together; ``pause`` seconds pass between batches. ``wait`` replaces sleeping. Answers are matched by id and
-    variant."""
-    import random
-    import time
-
-    sleep = wait or time.sleep
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ask, asked = client(), False
-        for pdf in batches:
-            rows = pdf[["id", "variant", "text"]].to_dict("records")
-            for a in range(0, len(rows), batch):
-                if asked:
-                    sleep(pause)
-                asked = True
-                for attempt in range(attempts):
-                    try:
-                        answers = ask(rows[a:a + batch])
-                        break
-                    except (OSError, ValueError):
-                        if attempt + 1 == attempts:
-                            raise
-                        sleep(min(60, 2**attempt + random.random()))
-                yield pd.DataFrame(answers, columns=["id", "variant", "label"])
-
-    return df.mapInPandas(run, "id string, variant string, label string")
