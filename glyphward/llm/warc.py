@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.remote import file_system
 from .shared import _delete, cleaned_up, shared_dir, written
 
 MAGIC = b"\x1f\x8b\x08"
@@ -253,9 +254,7 @@ def owned(data: Bytes, start: int, end: int, keep: bool) -> Iterator[tuple]:
 
 def opened(path: str):
     """A file of a Hadoop-style path for reading at any place, in a task."""
-    from pyarrow import fs
-
-    system, inside = fs.FileSystem.from_uri(path if ":" in path.split("/")[0] else f"file://{path}")
+    system, inside = file_system(path)
     return system.open_input_file(inside)
 
 
