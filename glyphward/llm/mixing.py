@@ -12,7 +12,8 @@ so a source with any share of all rows is spread over (classes x buckets) groups
 
 Edge cases: a null or empty text has size 0 and its copies take 0 words; a null source is a source of its own, the
 last one; with no words at all every target is 0 and nothing is taken; repeated rows are documents each; an empty
-table gives an empty result; columns of the input that clash with new ones are replaced. The same rows give the
+table gives an empty result; columns of the input that clash with new ones are
+replaced in the plan and stay as they are in the mix. The same rows give the
 same copies in any partitioning and order of columns, because order and offset come from digests of the rows.
 """
 
@@ -68,16 +69,22 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
 def plan_copies(docs: DataFrame, source_col: str = "source", text_col: str = "text", *, weights=WEIGHTS,
                 share: float = SHARE, most: float = MOST, seed: int = 7, buckets: int | None = None, keep=None) -> DataFrame:
     """``docs`` (columns ``keep``, all by default) with size, source_size, target, copies and taken."""
-    spark = docs.sparkSession
-    shared_dir(spark)
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in MADE]
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in MADE]
+    planned = _planned(docs, keep, source_col, text_col, weights, share, most, seed, buckets)
+    return planned.select(*[F.col(f"_row.`{c}`") for c in keep], *MADE)
+
+
+def _planned(docs: DataFrame, keep: list[str], source_col: str, text_col: str, weights, share: float, most: float, seed: int, buckets: int | None) -> DataFrame:
+    """(_row, size, source_size, target, copies, taken): the kept columns are packed into one, so their names meet no
+    others."""
+    shared_dir(docs.sparkSession)
     size_class = F.when(F.col("size") <= 0, F.lit(0)).otherwise(F.floor(F.log2("size") * 4) + 1).cast("int")
     rows = docs.select(
-        *[F.col(f"`{c}`") for c in keep],
+        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row") if keep else F.lit(None).alias("_row"),
         # Never null, in the order of the sources with null last: plain keys keep one partitioning for join and window.
         F.coalesce(F.concat(F.lit("a"), F.col(f"`{source_col}`").cast("string")), F.lit("b")).alias("_source"),
         word_count(f"`{text_col}`").alias("size"),
-        F.substring(_digest(F.lit(seed), *[F.col(f"`{c}`") for c in sorted(docs.columns) if docs.schema[c].dataType.typeName() in ("long", "integer", "string")]), 1, 16).alias("_h"),
+        _digest(F.lit(seed), *[F.col(f"`{c}`") for c in sorted(docs.columns)]).alias("_h"),
     )
     rows = written(rows.select("*", size_class.alias("_class")), "sizes")
     buckets = buckets or max(BUCKETS, rows.count() // ROWS_A_BUCKET)
@@ -104,14 +111,12 @@ def plan_copies(docs: DataFrame, source_col: str = "source", text_col: str = "te
     copies = F.greatest(F.lit(0), F.least(crossed, F.ceil(F.lit(float(most))))).cast("long")
     return (
         rows.join(starts, on).withColumn("copies", copies)
-        .select(*[F.col(f"`{c}`") for c in keep], "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        .select("_row", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
 
 
-def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
-    """The mix: each row of ``docs``, with its columns, as often as it has copies."""
-    kept = [c for c in docs.columns]
-    planned = plan_copies(docs.withColumnsRenamed({c: f"_in_{c}" for c in MADE}), source_col if source_col not in MADE else f"_in_{source_col}",
-                          text_col if text_col not in MADE else f"_in_{text_col}", **options)
-    repeated = planned.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return repeated.select(*[F.col(f"`_in_{c}`" if c in MADE else f"`{c}`").alias(c) for c in kept])
+def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", *, weights=WEIGHTS, share: float = SHARE, most: float = MOST,
+        seed: int = 7, buckets: int | None = None) -> DataFrame:
+    """The mix: each row of ``docs``, with all its columns as they are, as often as it has copies."""
+    planned = _planned(docs, docs.columns, source_col, text_col, weights, share, most, seed, buckets)
+    return planned.filter("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
