@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import sums_before
+
 
 def require(df: DataFrame, *columns: str) -> DataFrame:
     """``df``, or an error that names the columns it lacks."""
@@ -66,6 +68,13 @@ def in_order(df: DataFrame, column: str, order: list[str]) -> DataFrame:
     return df.join(F.broadcast(listed), column)
 
 
+def in_variant_order(rows: DataFrame, variants: DataFrame, key: str = "id") -> DataFrame:
+    """``rows`` with ``place`` in the order of variants, then of keys, which is how results are handed on; the place is a
+    running sum by ranges, so no task numbers all rows."""
+    ranked = rows.join(F.broadcast(variants.select("variant", "variant_rank")), "variant").withColumn("_order", F.struct("variant_rank", F.col(key)))  # a few variants
+    return sums_before(ranked, ["_order"], {"place": F.lit(1)}).drop("_order", "variant_rank")
+
+
 def keep_last(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row for each key: the last in the given order."""
     return first_of(df, keys, *[o.desc() for o in order])

@@ -37,6 +37,10 @@ def _r(columns: str) -> str:
     return ", ".join(f"round({c}, 9) AS {c}" for c in columns.split())
 
 
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 RATES = "parse_failure_rate accuracy balanced_accuracy macro_f1 hate_precision hate_recall fnr fpr predicted_hate_rate balanced_error max_failure_rate"
 WHOLE = "rows, valid_predictions, parse_failures, tn, fp, fn, tp"
 
@@ -368,10 +372,6 @@ def q_clip_head_tail(spark, sf_dir):
     return syn.table(spark, sf_dir, "documents").select("doc_id", labels.clip_head_tail(F.col("text"), 121).alias("clipped"))
 
 
-def _sql_text(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
 @query(f"""SELECT conv_id, turn, {_sql_text(labels.SYSTEM_PROMPT)} AS system_prompt, {_sql_text(labels.ASK)} || text || chr(10) || 'Label:' AS user_prompt,
     {_sql_text(labels.ASK_BOTH)} || text || chr(10) || 'Normalized candidate: ' || lower(text) || chr(10) || 'Label:' AS both_prompt FROM conversations""")
 def q_prompt(spark, sf_dir):
@@ -552,6 +552,22 @@ def q_multilabel_binary(spark, sf_dir):
     return rows.withColumn("name", labels.label_name(F.col("is_hate_speech")))
 
 
+_EXAMPLE_TOKENS = f"""WITH {SQL}, t AS (SELECT p.id, p.variant, {_sql_text(labels.DIGIT_SYSTEM_PROMPT)} AS s, {_sql_text(labels.ASK_DIGIT_BOTH)} || text || chr(10) || 'Normalized candidate: ' || lower(text) || chr(10) || 'Label:' AS u
+    FROM predictions p JOIN documents d ON d.doc_id = p.id WHERE system = '{SYSTEMS[0]}' AND variant IN ({", ".join(repr(v) for v in sampling.EXAMPLE_VARIANTS)}))
+SELECT id, variant, (len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) + len(regexp_extract_all(u, '[^\x20\x09-\x0D]+')) + 1)::INT AS token_count, 1 AS supervised_token_count FROM t"""
+
+
+def _example_tokens(spark, sf_dir):
+    docs = syn.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.lower("text").alias("normalized_text"))
+    rows = syn.predictions(spark, sf_dir).filter(F.col("system") == SYSTEMS[0]).join(docs, "id")
+    return sampling.with_token_counts(sampling.training_examples(rows)).select("id", "variant", "token_count", "supervised_token_count")
+
+
+@query(_EXAMPLE_TOKENS)
+def q_example_tokens(spark, sf_dir):
+    return _example_tokens(spark, sf_dir)
+
+
 # Audit and reports ---------------------------------------------------------------------------------------------------
 
 
@@ -574,8 +590,8 @@ UNION ALL SELECT 'test_one_label', count(*) = 0, count(*)::VARCHAR FROM (SELECT
 UNION ALL SELECT 'test_text_filled', count(*) = 0, count(*)::VARCHAR FROM d WHERE length(coalesce(text, '')) = 0
 UNION ALL SELECT 'test_normalized_filled', count(*) = 0, count(*)::VARCHAR FROM d WHERE length(coalesce(normalized_text, '')) = 0
 UNION ALL SELECT 'test_balanced', count(*) FILTER (n <> 60 OR h <> 30) = 0 AND count(*) = 5, (count(*) FILTER (n <> 60 OR h <> 30))::VARCHAR FROM per
-UNION ALL SELECT 'tokens_token_bounds', min(length(text)) > 0 AND max(length(text)) <= 2000000, min(length(text)) || '..' || max(length(text)) FROM d
-UNION ALL SELECT 'tokens_supervised_tokens', min(length(text)) > 0, min(length(text))::VARCHAR FROM d
+UNION ALL SELECT 'tokens_token_bounds', min(token_count) > 0 AND max(token_count) <= 256, min(token_count) || '..' || max(token_count) FROM ({_EXAMPLE_TOKENS})
+UNION ALL SELECT 'tokens_supervised_tokens', min(supervised_token_count) > 0, min(supervised_token_count)::VARCHAR FROM ({_EXAMPLE_TOKENS})
 UNION ALL SELECT 'predictions_' || system, scope <> 'unknown', scope FROM scopes
 UNION ALL SELECT 'overlap_test_calibration', count(*) = 0, count(*)::VARCHAR FROM s1 JOIN s2 USING (id) UNION ALL SELECT 'overlap_test_train', count(*) = 0, count(*)::VARCHAR FROM s1 JOIN s3 USING (id)
 UNION ALL SELECT 'overlap_test_valid', count(*) = 0, count(*)::VARCHAR FROM s1 JOIN s4 USING (id) UNION ALL SELECT 'overlap_calibration_train', count(*) = 0, count(*)::VARCHAR FROM s2 JOIN s3 USING (id)
@@ -587,12 +603,11 @@ def q_audit(spark, sf_dir):
     rows = align.aligned(predictions.filter(F.col("system") == SYSTEMS[0]), test.select("id", "sample_order"), obfuscate.variants(spark))
     rows = rows.join(syn.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id").withColumn("normalized_text", F.lower("text"))
     rows = _kept(spark, rows.select("id", "variant", "label", "text", "normalized_text"))
-    tokens = rows.select(F.length("text").alias("token_count"), F.length("text").alias("supervised_token_count"))
     shared = sampling.overlaps({
         "test": test, "calibration": _sample(spark, sf_dir, "calibration", 40, exclude=test), "train": _sample(spark, sf_dir, "train", 40, exclude=test), "valid": _sample(spark, sf_dir, "valid", 40)})
     scopes = _scopes(spark, sf_dir, predictions)
     return audit.report([
-        *audit.benchmark_checks("test", rows, 60, 5), *audit.token_checks("tokens", tokens, 2_000_000), audit.prediction_checks(predictions, scopes), audit.overlap_checks(shared)])
+        *audit.benchmark_checks("test", rows, 60, 5), *audit.token_checks("tokens", _example_tokens(spark, sf_dir)), audit.prediction_checks(predictions, scopes), audit.overlap_checks(shared)])
 
 
 @query(f"""WITH {SQL}, results AS (SELECT system AS provider, id, variant, pred_label FROM predictions WHERE score < 0.9 UNION ALL SELECT system, id, variant, pred_label FROM predictions WHERE score < 0.02
@@ -631,15 +646,6 @@ def q_training_examples(spark, sf_dir):
     return made.select("id", "variant", turn(0).alias("system_prompt"), F.md5(turn(1).cast("binary")).alias("user_prompt"), turn(2).alias("answer"))
 
 
-@query(f"""WITH {SQL}, t AS (SELECT p.id, p.variant, {_sql_text(labels.DIGIT_SYSTEM_PROMPT)} AS s, {_sql_text(labels.ASK_DIGIT_BOTH)} || text || chr(10) || 'Normalized candidate: ' || lower(text) || chr(10) || 'Label:' AS u
-    FROM predictions p JOIN documents d ON d.doc_id = p.id WHERE system = '{SYSTEMS[0]}' AND variant IN ({", ".join(repr(v) for v in sampling.EXAMPLE_VARIANTS)}))
-SELECT id, variant, (len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) + len(regexp_extract_all(u, '[^\x20\x09-\x0D]+')) + 1)::INT AS token_count, 1 AS supervised_token_count FROM t""")
-def q_example_tokens(spark, sf_dir):
-    docs = syn.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.lower("text").alias("normalized_text"))
-    rows = syn.predictions(spark, sf_dir).filter(F.col("system") == SYSTEMS[0]).join(docs, "id")
-    return sampling.with_token_counts(sampling.training_examples(rows)).select("id", "variant", "token_count", "supervised_token_count")
-
-
 @query(f"""WITH {SQL} SELECT 'labels_' || v.variant AS "check", count(*) FILTER (c.label IS DISTINCT FROM v.label) = 0 AS passed, (count(*) FILTER (c.label IS DISTINCT FROM v.label))::VARCHAR AS detail
 FROM (SELECT id, variant, CASE WHEN variant = 'romanized_70' AND id % 10 = 0 THEN 1 - label ELSE label END AS label FROM predictions WHERE system = '{SYSTEMS[0]}') v
 LEFT JOIN predictions c ON c.id = v.id AND c.variant = 'clean' AND c.system = '{SYSTEMS[0]}' WHERE v.variant <> 'clean' GROUP BY v.variant""")
@@ -821,27 +827,60 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY worst DESC NU
 SELECT part, system, rank, round(worst, 9) AS worst_case_balanced_accuracy, round(mean, 9) AS mean_balanced_accuracy,
     CASE WHEN rank = 1 THEN printf('%s has the best worst-case balanced accuracy, %.3f.', system, worst) END AS conclusion FROM ranked""")
 def q_summary_report(spark, sf_dir):
-    """Metrics of two runs as files, loaded by a pattern; the second run counts."""
+    """Metrics of two runs as files, loaded by a pattern; of each system, split and variant the later file counts, also where
+    it has its columns in another order, and other files are passed over."""
     path, rows = scratch(spark), by_variant(spark, sf_dir)
-    rows = rows.withColumn("system", F.when(F.col("system") == SYSTEMS[3], "chatgpt_delta").otherwise(F.col("system")))
-    columns = ["system", "variant", "balanced_accuracy", "macro_f1", "max_failure_rate", "fnr", "fpr", "predicted_hate_rate", "parse_failures", "run"]
-    files.write_csv(rows.withColumns({"balanced_accuracy": F.lit(0.5), "run": F.lit(1)}).select(columns), f"{path}/first")
-    files.write_csv(rows.withColumn("run", F.lit(2)).select(columns), f"{path}/second")
-    kinds = "system STRING, variant STRING, balanced_accuracy DOUBLE, macro_f1 DOUBLE, max_failure_rate DOUBLE, fnr DOUBLE, fpr DOUBLE, predicted_hate_rate DOUBLE, parse_failures BIGINT, run INT"
-    found = report.summary(files.read_glob(spark, f"{path}/*/part-*.csv", kinds, skip=("part-none.csv",)))
+    rows = rows.withColumn("system", F.when(F.col("system") == SYSTEMS[3], "chatgpt_delta").otherwise(F.col("system"))).withColumn("split", F.lit("test"))
+    columns = ["system", "split", "variant", "balanced_accuracy", "macro_f1", "max_failure_rate", "fnr", "fpr", "predicted_hate_rate", "parse_failures"]
+    files.write_csv(rows.withColumn("balanced_accuracy", F.lit(0.5)).select(columns), f"{path}/1")
+    files.write_csv(rows.select(*reversed(columns), "rows"), f"{path}/2")
+    files.write_csv(rows.select("system", "rows"), f"{path}/3")
+    found = report.summary(report.load_metrics(spark, f"{path}/*/part-*.csv", skip=("part-none.csv",)))
     return rounded(found.select("part", "system", "rank", "worst_case_balanced_accuracy", "mean_balanced_accuracy", "conclusion"))
 
 
-@query(f"""WITH {SQL}, said AS (SELECT system, id, variant, label, (score >= 0.45)::INT AS pred_label FROM scored WHERE system IN ('{SYSTEMS[0]}', '{SYSTEMS[1]}')),
+@query(f"""WITH {SQL}, {DENSE}, summed AS (SELECT system, min(balanced_accuracy) AS worst, max(max_failure_rate) AS failure, avg(balanced_accuracy) AS mean FROM metrics WHERE system IN ('{SYSTEMS[0]}', '{SYSTEMS[2]}') GROUP BY ALL)
+SELECT 'main' AS part, system, row_number() OVER (ORDER BY worst DESC NULLS LAST, failure NULLS LAST, mean DESC NULLS LAST, system)::INT AS rank, round(worst, 9) AS worst_case_balanced_accuracy FROM summed""")
+def q_summary_of_listed_systems(spark, sf_dir):
+    """Plotted systems that were evaluated, and of these the ranked ones; a listed system without rows does no harm."""
+    found = report.summary(by_variant(spark, sf_dir), plotted=[*SYSTEMS[:3], "zeta"], ranked=[SYSTEMS[0], SYSTEMS[2], SYSTEMS[4], "zeta"])
+    return rounded(found.select("part", "system", "rank", "worst_case_balanced_accuracy"))
+
+
+@query(f"""WITH {SQL}, {DENSE}, h AS (SELECT * FROM metrics WHERE variant = 'roman_glyph_35'), b AS (SELECT * FROM h WHERE system = '{SYSTEMS[4]}'), a AS (SELECT * FROM h WHERE system = '{SYSTEMS[0]}')
+SELECT 'missing' AS topic, 'Zeta' AS line UNION ALL SELECT 'before', printf('BA %.3f, FNR %.3f, FPR %.3f, predicted hate rate %.3f', balanced_accuracy, fnr, fpr, predicted_hate_rate) FROM b
+UNION ALL SELECT 'change', printf('BA %.3f to %.3f, FPR %.3f to %.3f', b.balanced_accuracy, a.balanced_accuracy, b.fpr, a.fpr) FROM a, b""")
+def q_findings(spark, sf_dir):
+    return report.findings(by_variant(spark, sf_dir), {"Alpha": SYSTEMS[0], "Zeta": "zeta"}, SYSTEMS[4], SYSTEMS[0], "roman_glyph_35")
+
+
+@query(f"""WITH {SQL}, {_ALIGNED} SELECT a.id, a.variant, a.label, row_number() OVER (ORDER BY variant_rank, a.id) - 1 AS place FROM aligned a JOIN variants USING (variant)""")
+def q_variant_order(spark, sf_dir):
+    return align.in_variant_order(_benchmark(spark, sf_dir).select("id", "variant", "label"), obfuscate.variants(spark)).select("id", "variant", "label", "place")
+
+
+def _external(spark, sf_dir):
+    """A manifest, the answers of the systems that were run on all of it, and display names."""
+    rows = syn.scored(spark, sf_dir)
+    given = {s: rows.filter(F.col("system") == s).select("id", "variant", F.when(F.col("score") >= 0.45, "Hate").otherwise("non hate").alias("label")) for s in SYSTEMS[:4]}
+    return rows.filter(F.col("system") == SYSTEMS[0]).select("id", "variant", "label"), given, {SYSTEMS[0]: "Alpha"}
+
+
+@query(f"""WITH {SQL}, said AS (SELECT system, id, variant, label, (score >= 0.45)::INT AS pred_label FROM scored WHERE system <> '{SYSTEMS[4]}'),
 counted AS (SELECT system, {COUNTS} FROM said GROUP BY system), metrics AS (SELECT system, {DERIVED} FROM counted), each AS (SELECT system, variant, {COUNTS} FROM said GROUP BY ALL), rated AS (SELECT system, {DERIVED} FROM each),
 ranked AS (SELECT system, min(balanced_accuracy) AS worst, row_number() OVER (ORDER BY min(balanced_accuracy) DESC, max(max_failure_rate), avg(balanced_accuracy) DESC, system)::INT AS rank FROM rated GROUP BY system)
 SELECT system, rows, {_r("accuracy balanced_accuracy macro_f1")}, round(worst, 9) AS worst_case_balanced_accuracy, rank, CASE system WHEN '{SYSTEMS[0]}' THEN 'Alpha' ELSE replace(system, '_', ' ') END AS display_name FROM metrics JOIN ranked USING (system)""")
 def q_external_comparison(spark, sf_dir):
-    rows = syn.scored(spark, sf_dir)
-    given = {s: rows.filter(F.col("system") == s).select("id", "variant", F.when(F.col("score") >= 0.45, "Hate").otherwise("non hate").alias("label")) for s in SYSTEMS[:2]}
-    manifest = rows.filter(F.col("system") == SYSTEMS[0]).select("id", "variant", "label")
-    found = report.external_comparison(manifest, given, {SYSTEMS[0]: "Alpha"})
-    return rounded(found.select("system", "rows", "accuracy", "balanced_accuracy", "macro_f1", "worst_case_balanced_accuracy", "rank", "display_name"))
+    return rounded(report.external_comparison(*_external(spark, sf_dir)).select(
+        "system", "rows", "accuracy", "balanced_accuracy", "macro_f1", "worst_case_balanced_accuracy", "rank", "display_name"))
+
+
+@query(f"""WITH {SQL}, said AS (SELECT system, id, variant, label, (score >= 0.45)::INT AS pred_label FROM scored WHERE system <> '{SYSTEMS[4]}'), each AS (SELECT system, variant, {COUNTS} FROM said GROUP BY ALL), rated AS (SELECT system, variant, {DERIVED} FROM each)
+SELECT system, variant, rows, {_r("balanced_accuracy macro_f1 fnr fpr predicted_hate_rate")}, row_number() OVER (PARTITION BY variant ORDER BY balanced_accuracy DESC NULLS LAST, system)::INT AS place,
+    CASE system WHEN '{SYSTEMS[0]}' THEN 'Alpha' ELSE replace(system, '_', ' ') END AS display_name FROM rated""")
+def q_external_variants(spark, sf_dir):
+    return rounded(report.external_variants(*_external(spark, sf_dir)).select(
+        "system", "variant", "rows", "balanced_accuracy", "macro_f1", "fnr", "fpr", "predicted_hate_rate", "place", "display_name"))
 
 
 @query("""SELECT conv_id || '/' || turn AS id, role AS variant, CASE WHEN length(coalesce(text, '')) % 2 = 1 THEN 'hate' ELSE 'non-hate' END AS label, 0::BIGINT AS asked_again FROM conversations""")
@@ -895,7 +934,7 @@ def q_header_discovery(spark, sf_dir):
     files.write_csv(rows.select("system", "fpr"), f"{path}/third")
     rows.limit(0).select("system").write.text(f"{path}/fourth")
     columns = {"system": "STRING", "variant": "STRING", "balanced_accuracy": "DOUBLE", "macro_f1": "DOUBLE"}
-    return files.read_tables(spark, f"{path}/*/part-*", columns, required=("system", "variant", "balanced_accuracy")).drop("source_file", "source_path")
+    return files.read_tables(spark, f"{path}/*/part-*", columns, required=report.NEEDED).drop("source_file", "source_path", "source_row")
 
 
 @query("""SELECT o_orderkey, o_custkey, CASE o_orderkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS split_rank, row_number() OVER (ORDER BY CASE o_orderkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END, o_orderkey) - 1 AS line FROM orders""")

@@ -63,7 +63,7 @@ def read_glob(spark: SparkSession, path: str, schema, *, skip: tuple[str, ...] =
 
 def read_tables(spark: SparkSession, path: str | list[str], columns: dict[str, str], *, required: tuple[str, ...] = (), skip: tuple[str, ...] = (), sep: str = ",") -> DataFrame:
     """The ``columns`` (name to type) of all CSV files of a pattern or folder that have the ``required`` ones, in any order
-    and among others, with ``source_file`` and ``source_path``. Headers are read first, a line a file, and files of the same
+    and among others, with ``source_file``, ``source_path`` and ``source_row``, which grows within a file. Headers are read first, a line a file, and files of the same
     header are one scan; a column that a file lacks is null, an empty file is passed over."""
     heads = first_lines(spark, path).filter("line IS NOT NULL").groupBy("line").agg(F.array_sort(F.collect_list("path")).alias("paths"))  # the driver plans by file anyway
     parts = []
@@ -73,9 +73,9 @@ def read_tables(spark: SparkSession, path: str | list[str], columns: dict[str, s
             kinds = ", ".join(f"`{n}` {columns.get(n, 'STRING')}" for n in names)
             rows = read_csv(spark, paths, T.StructType.fromDDL(kinds), sep=sep)
             found = [F.col(f"`{n}`") if n in names else F.lit(None).cast(kind).alias(n) for n, kind in columns.items()]
-            parts.append(rows.select(*found, F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_path").alias("source_path")))
+            parts.append(rows.select(*found, F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_path").alias("source_path"), F.monotonically_increasing_id().alias("source_row")))
     if not parts:
-        return spark.createDataFrame([], ", ".join([*(f"`{n}` {kind}" for n, kind in columns.items()), "source_file string", "source_path string"]))
+        return spark.createDataFrame([], ", ".join([*(f"`{n}` {kind}" for n, kind in columns.items()), "source_file string", "source_path string", "source_row bigint"]))
     return functools.reduce(DataFrame.unionByName, parts)
 
 
