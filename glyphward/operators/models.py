@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel, Transformer
@@ -161,24 +163,75 @@ def train_settings(clean: DataFrame, augmented: dict[str, DataFrame]) -> dict[st
     return out
 
 
-def fit_token_budget(df: DataFrame, count_tokens, *, most: int = 256, least: int = 16) -> DataFrame:
+def clip(text: str, budget: int) -> str:
+    """Head and tail of a text that has more than ``budget`` characters."""
+    return text if len(text) <= budget else f"{text[:budget // 2]} ... {text[len(text) - (budget - budget // 2):]}"
+
+
+def searched_budget(text: str, candidate: str, count_tokens, most: int, least: int) -> tuple[int, int]:
+    """(budget, tokens) by halving: a prompt is made and counted for each step."""
+    size = lambda b: count_tokens(clip(text, b), clip(candidate, b))
+    low, high = least, max(len(text), len(candidate), least)
+    while low < high:  # invariant: low fits
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if size(middle) <= most else (low, middle - 1)
+    return low, size(low)
+
+
+def estimated_budget(text: str, candidate: str, count_tokens, ends, most: int, least: int) -> tuple[int, int]:
+    """The same from one look at the tokens of the two whole texts: ``ends`` gives, in order, the characters where a
+    text's tokens end. The tokens of a clipped text are about those that end in its head and start in its tail. A step of
+    the search is decided by that number where it is further than ``MARGIN`` tokens from the bound, and only else by
+    counting; each count sets the estimate right."""
+    longest = max(len(text), len(candidate), least)
+    found = [(len(t), ends(t)) for t in (text, candidate)]
+
+    def about(budget: int) -> int:
+        total = 0
+        for length, stops in found:
+            if length <= budget:
+                total += len(stops)
+            else:
+                total += bisect.bisect_right(stops, budget // 2) + 2 + len(stops) - bisect.bisect_right(stops, length - (budget - budget // 2))
+        return total
+
+    exact: dict[int, int] = {}
+    shift = 0
+
+    def size(budget: int) -> int:
+        nonlocal shift
+        if budget not in exact:
+            exact[budget] = count_tokens(clip(text, budget), clip(candidate, budget))
+            shift = exact[budget] - about(budget)
+        return exact[budget]
+
+    def fits(budget: int) -> bool:
+        over = about(budget) + shift - most
+        return over <= 0 if exact and abs(over) > MARGIN else size(budget) <= most
+
+    low, high = least, longest
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if fits(middle) else (low, middle - 1)
+    return low, size(low)
+
+
+#: Tokens by which cutting a text may change the number that its parts had in the whole.
+MARGIN = 4
+
+
+def fit_token_budget(df: DataFrame, count_tokens, *, most: int = 256, least: int = 16, ends=None) -> DataFrame:
     """Adds budget, token_count and truncated: the largest character budget whose prompt of (text, candidate) has at
     most ``most`` tokens by ``count_tokens(head and tail of the text, same of the candidate)``. Fails where even the
-    least budget is too long."""
+    least budget is too long. With ``ends``, the ends of a text's tokens in characters, a prompt is counted a few times
+    and not for each step of a search."""
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
-    def clip(text: str, budget: int) -> str:
-        return text if len(text) <= budget else f"{text[:budget // 2]} ... {text[len(text) - (budget - budget // 2):]}"
-
     def one(text: str, candidate: str) -> tuple[int, int, bool]:
-        size = lambda b: count_tokens(clip(text, b), clip(candidate, b))
-        if size(least) > most:
+        budget, size = estimated_budget(text, candidate, count_tokens, ends, most, least) if ends else searched_budget(text, candidate, count_tokens, most, least)
+        if size > most:
             raise ValueError("the prompt is too long even at its least budget")
-        low, high = least, max(len(text), len(candidate), least)
-        while low < high:  # invariant: low fits
-            middle = (low + high + 1) // 2
-            low, high = (middle, high) if size(middle) <= most else (low, middle - 1)
-        return low, size(low), len(text) > low or len(candidate) > low
+        return budget, size, len(text) > budget or len(candidate) > budget
 
     def run(batches):
         for pdf in batches:

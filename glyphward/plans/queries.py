@@ -3,6 +3,8 @@ sums or means are rounded to nine places on both sides, as the order of addition
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -759,7 +761,8 @@ s(conv_id, turn, a, b, low, high) AS (SELECT conv_id, turn, a, b, 16::BIGINT, gr
 SELECT conv_id, turn, low::INT AS budget, {_prompt_tokens_sql('low')}::INT AS token_count, length(a) > low OR length(b) > low AS truncated FROM s WHERE low >= high""")
 def q_token_budget(spark, sf_dir):
     rows = syn.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.lower("text").alias("candidate"))
-    return models.fit_token_budget(rows, lambda a, b: 20 + len(a.split()) + len(b.split()), most=96).select("conv_id", "turn", "budget", "token_count", "truncated")
+    ends = lambda text: [m.end() for m in re.finditer(r"\S+", text)]
+    return models.fit_token_budget(rows, lambda a, b: 20 + len(a.split()) + len(b.split()), most=96, ends=ends).select("conv_id", "turn", "budget", "token_count", "truncated")
 
 
 @query("""WITH w AS (SELECT conv_id || '/' || turn AS id, ' ' || unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) || ' ' AS w FROM conversations),
