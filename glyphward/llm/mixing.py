@@ -71,16 +71,20 @@ def plan_copies(docs: DataFrame, source_col: str = "source", text_col: str = "te
     """``docs`` (columns ``keep``, all by default) with size, source_size, target, copies and taken."""
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in MADE]
     planned = _planned(docs, keep, source_col, text_col, weights, share, most, seed, buckets)
-    return planned.select(*[F.col(f"_row.`{c}`") for c in keep], *MADE)
+    return planned.select(*_named(keep), *MADE)
+
+
+def _named(keep: list[str]) -> list[Column]:
+    """The kept columns under their own names."""
+    return [F.col(f"_kept_{i}").alias(c) for i, c in enumerate(keep)]
 
 
 def _planned(docs: DataFrame, keep: list[str], source_col: str, text_col: str, weights, share: float, most: float, seed: int, buckets: int | None) -> DataFrame:
-    """(_row, size, source_size, target, copies, taken): the kept columns are packed into one, so their names meet no
-    others."""
+    """The kept columns by number, so that their names meet no others, with size, source_size, target, copies and taken."""
     shared_dir(docs.sparkSession)
     size_class = F.when(F.col("size") <= 0, F.lit(0)).otherwise(F.floor(F.log2("size") * 4) + 1).cast("int")
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row") if keep else F.lit(None).alias("_row"),
+        *[F.col(f"`{c}`").alias(f"_kept_{i}") for i, c in enumerate(keep)],
         # Never null, in the order of the sources with null last: plain keys keep one partitioning for join and window.
         F.coalesce(F.concat(F.lit("a"), F.col(f"`{source_col}`").cast("string")), F.lit("b")).alias("_source"),
         word_count(f"`{text_col}`").alias("size"),
@@ -111,7 +115,7 @@ def _planned(docs: DataFrame, keep: list[str], source_col: str, text_col: str, w
     copies = F.greatest(F.lit(0), F.least(crossed, F.ceil(F.lit(float(most))))).cast("long")
     return (
         rows.join(starts, on).withColumn("copies", copies)
-        .select("_row", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        .select(*[f"_kept_{i}" for i in range(len(keep))], "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
 
 
@@ -119,4 +123,5 @@ def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", *,
         seed: int = 7, buckets: int | None = None) -> DataFrame:
     """The mix: each row of ``docs``, with all its columns as they are, as often as it has copies."""
     planned = _planned(docs, docs.columns, source_col, text_col, weights, share, most, seed, buckets)
-    return planned.filter("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
+    repeated = planned.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return repeated.select(*_named(docs.columns))
