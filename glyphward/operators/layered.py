@@ -145,14 +145,28 @@ def _triangle(rows: DataFrame, column: str, right: np.ndarray) -> np.ndarray:
     return np.linalg.qr(np.vstack(parts), "r") if parts else np.zeros((0, width))
 
 
+def orthonormal(matrix: np.ndarray) -> np.ndarray:
+    """An orthonormal basis of the columns: by two triangles of the columns' products, which cost a few multiplications,
+    or by a QR where columns are too close to each other for that."""
+    for _ in range(2):
+        try:
+            lower = np.linalg.cholesky(matrix.T @ matrix)
+        except np.linalg.LinAlgError:
+            return np.linalg.qr(matrix)[0]
+        if lower.diagonal().min() < 1e-5 * lower.diagonal().max():
+            return np.linalg.qr(matrix)[0]
+        matrix = matrix @ np.linalg.inv(lower).T
+    return matrix
+
+
 def truncated_svd(rows: DataFrame, column: str, features: int, components: int = 160, *, more: int = 10, iterations: int = 5, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
     """(singular values, components as columns) of the vectors in ``column``. Each component's greatest loading is
     positive. ``more`` columns beyond the components and ``iterations`` make the last ones exact. There are as many as the
     rows have, if that is fewer."""
-    width = min(features, components + more)
-    basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(features, width)))[0]
+    width = min(features, components + more, max(1, rows.count()))
+    basis = orthonormal(np.random.default_rng(seed).normal(size=(features, width)))
     for _ in range(iterations):
-        basis = np.linalg.qr(_squared_times(rows, column, basis))[0]
+        basis = orthonormal(_squared_times(rows, column, basis))
     _, values, turned = np.linalg.svd(_triangle(rows, column, basis), full_matrices=False)
     values, vectors = values[:components], (basis @ turned.T)[:, :components]
     kept = values > 1e-10 * max(values[0], 1e-300) if len(values) else np.zeros(0, bool)

@@ -43,6 +43,13 @@ def test_svd_equals_a_dense_one(spark, monkeypatch):
     assert np.linalg.norm(dense - dense @ vectors @ vectors.T) < 1.01 * np.linalg.norm(dense - u[:, :20] * s[:20] @ vt[:20])
 
 
+def test_orthonormal_bases():
+    rng = np.random.default_rng(1)
+    for matrix in (rng.normal(size=(500, 30)), rng.normal(size=(500, 30)) * 10.0 ** -np.arange(30), np.ones((500, 3))):
+        basis = layered.orthonormal(matrix)
+        assert np.allclose(basis.T @ basis, np.eye(matrix.shape[1]), atol=1e-10) and np.allclose(basis @ (basis.T @ matrix), matrix, atol=1e-9)
+
+
 def test_svd_of_few_rows(spark):
     df, dense = sparse_rows(spark, 4)
     values, vectors = layered.truncated_svd(df.limit(4), "features", 90, 20)
