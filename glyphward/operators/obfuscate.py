@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 import random
 from collections.abc import Iterator
+from hashlib import md5
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from ..functions.hangul import (
-    BLANK, CONFUSABLE, CONFUSED_SHARE, FINALS, FIRST, INITIALS, LAST, LETTERS, RUNES, VOWELS, chars, is_syllable, latin_ratio, rune_ratio, syllable_roman,
-)
-from ..functions.labels import uniform
+from ..functions.hangul import CONFUSABLE, CONFUSED_SHARE, FINALS, FIRST, INITIALS, LAST, LETTERS, RUNES, VOWELS, latin_ratio, rune_ratio
+from .spread import pieces
 
 #: Variant, share of syllables, share of letters; and the label shown.
 READABLE = (
@@ -27,46 +29,85 @@ READABLE_SEED, GLYPH_MIX_SEED = 20260604, 42
 VARIANTS = (("clean", 0.0, 0.0, "Clean"), *READABLE)
 
 
+#: The rune of each letter in either case.
+RUNE = dict(zip(LETTERS + LETTERS.upper(), RUNES + RUNES))
+
+
+#: The romanization of each syllable; and of these and the letters in ASCII what is drawn in the glyph mix.
+ROMAN = {chr(FIRST + i): a + v + z for i, (a, v, z) in enumerate(itertools.product(INITIALS, VOWELS, FINALS))}
+MIXED = ROMAN | {c: c for c in RUNE}
+
+
 def variants(spark) -> DataFrame:
     """The dimension of variants in their order."""
     return spark.createDataFrame([(name, i, label, s, g) for i, (name, s, g, label) in enumerate(VARIANTS)],
                                  "variant string, variant_rank int, variant_label string, syllable_ratio double, glyph_ratio double")
 
 
-def _runed(roman: Column, key: Column, share: float) -> Column:
-    """Each letter becomes its rune with probability ``share``."""
-    if share <= 0:
-        return roman
-    to_rune = lambda c: F.translate(c, LETTERS + LETTERS.upper(), RUNES + RUNES)
-    return F.array_join(F.transform(chars(roman), lambda c, j: F.when(uniform(F.concat_ws("|", key, F.lit("g"), j)) < share, to_rune(c)).otherwise(c)), "")
+def _limit(share: float) -> bytes:
+    """A digest that is less than this is that of a draw below ``share``."""
+    return min(max(0, math.ceil(share * 2**32)), 2**32 - 1).to_bytes(4, "big")
+
+
+#: What a letter's place adds to its syllable's key.
+_LETTER = [b"|g|%d" % j for j in range(16)]
+
+
+class Hashed:
+    """Draws of the native form: the first 32 bits of the MD5 of a key, the character's place and what is drawn."""
+
+    def __init__(self, syllables: float, letters: float):
+        self.syllables, self.letters = syllables, letters
+        self.syllable_limit, self.letter_limit, self.look_limit = _limit(syllables), _limit(letters), _limit(CONFUSED_SHARE)
+
+    def drawn(self, at: bytes) -> bool:
+        return self.syllables >= 1 or (self.syllables > 0 and md5(at).digest() < self.syllable_limit)
+
+    def runed(self, roman: str, at: bytes) -> str:
+        """Each letter becomes its rune with a probability."""
+        if self.letters <= 0:
+            return roman
+        limit = self.letter_limit
+        return "".join([RUNE[c] if self.letters >= 1 or md5(at + g).digest() < limit else c for c, g in zip(roman, _LETTER)])
+
+    def readable(self, text: str, key: bytes) -> str:
+        out = list(text)
+        for i, c in enumerate(text):
+            if (roman := ROMAN.get(c)) is not None and self.drawn(at := b"%b%d" % (key, i)):
+                out[i] = self.runed(roman, at)
+        return "".join(out)
+
+    def mixed(self, text: str, key: bytes) -> str:
+        out = list(text)
+        for i, c in enumerate(text):
+            if (roman := MIXED.get(c)) is not None:
+                at = b"%b%d" % (key, i)
+                if c in CONFUSABLE and md5(at + b"|c").digest() < self.look_limit:
+                    out[i] = CONFUSABLE[c]
+                elif self.drawn(at):
+                    out[i] = self.runed(roman, at)
+        return "".join(out)
+
+
+def _hashed(text: Column, key: Column, change) -> Column:
+    def run(texts: pa.Array, keys: pa.Array) -> pa.Array:
+        starts = (b"" if k is None else f"{k}|".encode() for k in keys.to_pylist())
+        return pa.array([None if t is None else change(t, k) for t, k in zip(texts.to_pylist(), starts)], pa.string())
+
+    # Marked so that no later step is merged with it and runs it again.
+    return F.arrow_udf(run, StringType()).asNondeterministic()(text, key.cast("string"))
 
 
 def obfuscate(text: Column, key: Column, syllable_share: float, letter_share: float) -> Column:
     """Syllables are romanized with a probability, their letters become runes with another; draws are hashes of
-    ``key`` and the character's place, so a result depends on nothing else."""
-    def one(c, i):
-        at = F.concat_ws("|", key, i)
-        return F.when(is_syllable(c) & (uniform(at) < syllable_share), _runed(syllable_roman(c), at, letter_share)).otherwise(c)
-
-    return F.array_join(F.transform(chars(text), one), "")
+    ``key`` and the character's place, so a result depends on nothing else. An Arrow function: higher-order functions are
+    interpreted for each character and draw, which takes many times longer."""
+    return _hashed(text, key, Hashed(syllable_share, letter_share).readable)
 
 
 def glyph_mix(text: Column, key: Column, syllable_share: float, letter_share: float) -> Column:
     """As :func:`obfuscate`, with look-alikes for some syllables and with letters drawn too."""
-    table = F.create_map(*[F.lit(x) for kv in CONFUSABLE.items() for x in kv])
-
-    def one(c, i):
-        at = F.concat_ws("|", key, i)
-        drawn = uniform(at) < syllable_share
-        return (
-            F.when(c.rlike(BLANK), c)
-            .when(c.isin(*CONFUSABLE) & (uniform(F.concat_ws("|", at, F.lit("c"))) < CONFUSED_SHARE), F.element_at(table, c))
-            .when(is_syllable(c) & drawn, _runed(syllable_roman(c), at, letter_share))
-            .when(c.rlike("[A-Za-z]") & drawn, _runed(c, at, letter_share))
-            .otherwise(c)
-        )
-
-    return F.array_join(F.transform(chars(text), one), "")
+    return _hashed(text, key, Hashed(syllable_share, letter_share).mixed)
 
 
 class Draws:
@@ -75,64 +116,51 @@ class Draws:
     def __init__(self, seed: str):
         self.next = random.Random(seed).random
 
-    def roman(self, char: str) -> str | None:
-        place = ord(char) - FIRST
-        if not 0 <= place <= LAST - FIRST:
-            return None
-        initial, rest = divmod(place, len(VOWELS) * len(FINALS))
-        return INITIALS[initial] + VOWELS[rest // len(FINALS)] + FINALS[rest % len(FINALS)]
-
     def runes(self, letters: str, share: float) -> str:
-        return "".join(RUNES[k] if (k := LETTERS.find(c.lower())) >= 0 and self.next() < share else c for c in letters)
+        draw = self.next
+        return "".join([RUNE[c] if draw() < share else c for c in letters])
 
     def readable(self, text: str, syllables: float, letters: float) -> tuple[str, int, int]:
-        out, seen, changed = [], 0, 0
-        for c in text:
-            if (roman := self.roman(c)) is not None:
+        out, draw, seen, changed = list(text), self.next, 0, 0
+        for i, c in enumerate(text):
+            if (roman := ROMAN.get(c)) is not None:
                 seen += 1
-                if self.next() < syllables:
+                if draw() < syllables:
                     changed += 1
-                    c = self.runes(roman, letters)
-            out.append(c)
+                    out[i] = self.runes(roman, letters)
         return "".join(out), seen, changed
 
     def mixed(self, text: str, syllables: float, letters: float) -> str:
-        def one(c: str) -> str:
-            if c.isspace():
-                return c
-            if c in CONFUSABLE and self.next() < CONFUSED_SHARE:
-                return CONFUSABLE[c]
-            target = self.roman(c)
-            if target is None and c.isascii() and c.isalpha():
-                target = c
-            return self.runes(target, letters) if target is not None and self.next() < syllables else c
-
-        return "".join(map(one, text))
+        out, draw = list(text), self.next
+        for i, c in enumerate(text):
+            if (roman := MIXED.get(c)) is not None:
+                if c in CONFUSABLE and draw() < CONFUSED_SHARE:
+                    out[i] = CONFUSABLE[c]
+                elif draw() < syllables:
+                    out[i] = self.runes(roman, letters)
+        return "".join(out)
 
 
 def obfuscate_compatible(df: DataFrame, *, text: str = "text", split: str = "split", index: str = "idx", mix: bool = False) -> DataFrame:
     """``df`` times the variants, byte for byte as a per-row Mersenne Twister seeded by seed, variant, split, index and
     the text's SHA-256 gives them: variant, obfuscated, and (readable variants) seen and changed syllables."""
     table = GLYPH_MIX if mix else READABLE
-    kept = [f for f in df.schema.fields]
-    made = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    names = df.columns
+    made = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = [t or "" for t in pdf[text]]
-            digests = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in (p for batch in batches for p in pieces(batch, text)):
+            texts = [t or "" for t in piece.column(text).to_pylist()]
+            keys = [f"{s}:{i}:{hashlib.sha256(t.encode()).hexdigest()}" for t, s, i in zip(texts, piece.column(split).to_pylist(), piece.column(index).to_pylist())]
             for name, syllables, letters, _ in table:
-                rows = []
-                for t, sha, s, i in zip(texts, digests, pdf[split], pdf[index]):
-                    seed = f"{GLYPH_MIX_SEED}:{s}:{i}:{sha}" if mix else f"{READABLE_SEED}:{name}:{s}:{i}:{sha}"
-                    draws = Draws(seed)
-                    rows.append((draws.mixed(t, syllables, letters), None, None) if mix else draws.readable(t, syllables, letters))
-                out = pdf.copy()
-                out["variant"] = name
-                out[["obfuscated", "seen", "changed"]] = pd.DataFrame(rows, index=out.index, columns=["obfuscated", "seen", "changed"])
-                yield out
-
-    return df.mapInPandas(run, f"{made}, variant string, obfuscated string, seen int, changed int")
+                if mix:
+                    found = [(Draws(f"{GLYPH_MIX_SEED}:{k}").mixed(t, syllables, letters), None, None) for t, k in zip(texts, keys)]
+                else:
+                    found = [Draws(f"{READABLE_SEED}:{name}:{k}").readable(t, syllables, letters) for t, k in zip(texts, keys)]
+                columns = [pa.array(c, kind) for c, kind in zip(zip(*found), (pa.string(), pa.int32(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array([name] * len(texts)), *columns], names=[*names, "variant", "obfuscated", "seen", "changed"])
+
+    return df.mapInArrow(run, f"{made}, variant string, obfuscated string, seen int, changed int")
 
 
 def split_summary(rows: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import uniform
 from ..operators.obfuscate import VARIANTS, variants
+from ..operators.spread import spread  # noqa: F401
 
 SYSTEMS = ("alpha_clean", "beta_mix", "gamma_mix", "delta_chat", "epsilon_raw")
 THRESHOLD = 0.4
@@ -16,12 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """For work that is heavy on each row: a table of fewer partitions than there are cores is dealt out to all."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, label): documents with a toxicity label."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
