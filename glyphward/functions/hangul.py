@@ -1,7 +1,15 @@
-"""Hangul romanization and rune substitution: tables and native expressions."""
+"""Hangul romanization and rune substitution: tables and native expressions, and an Arrow function that counts characters
+by kind in one pass."""
 
 from __future__ import annotations
 
+import functools
+import sys
+import unicodedata
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,29 +73,62 @@ def count_of(text: Column, characters: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, f"{characters}+", ""))
 
 
-def visible_in(text: Column) -> Column:
-    """The number of visible characters, null for none. Not inside a branch, so that it is counted once a row."""
-    return F.nullif(F.length(text) - count_of(text, BLANK), F.lit(0))
+#: Kinds of characters; one may be of several. White space is as in BLANK, a word is of letters and numbers in any script.
+KINDS = ("blank", "rune", "runic", "latin", "digit", "jamo", "word")
+
+
+@functools.lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """The kinds of each code point, as bits."""
+    every = [chr(i) for i in range(sys.maxunicode + 1)]
+    categories = [unicodedata.category(c) for c in every]
+    among = lambda characters: np.isin(np.arange(len(every)), [ord(c) for c in characters])
+    between = lambda first, last: (np.arange(len(every)) >= ord(first)) & (np.arange(len(every)) <= ord(last))
+    held = {
+        "blank": np.array([c.isspace() for c in every]), "rune": among(RUNES), "runic": between("ᚠ", "᛿"), "latin": among(LETTERS + LETTERS.upper()),
+        "digit": np.array([k == "Nd" for k in categories]) | among("²³¹") | between("⁴", "⁹") | between("₀", "₉") | between("①", "⑨"),
+        "jamo": between("㄰", "㆏"), "word": np.array([k[0] in "LN" for k in categories]),
+    }
+    return sum(held[name].astype(np.uint8) << k for k, name in enumerate(KINDS)).astype(np.uint8)
+
+
+def _counted(texts: pa.Array) -> pa.Array:
+    kinds, of_bits = _kinds(), np.arange(1 << len(KINDS))
+    within = np.array([np.ones_like(of_bits), *[of_bits >> k & 1 for k in range(len(KINDS))]])
+    out = np.zeros((len(texts), len(within)), np.int64)
+    for i, text in enumerate(texts):
+        if text.is_valid:
+            codes = np.frombuffer(text.as_py().encode("utf-32-le"), np.uint32)
+            out[i] = within @ np.bincount(kinds[codes], minlength=len(of_bits))
+    missing = pa.compute.is_null(texts)
+    return pa.StructArray.from_arrays([pa.array(column) for column in out.T], names=["length", *KINDS], mask=missing)
+
+
+def counts(text: Column) -> Column:
+    """How many characters a text has, and of each kind; null for a null."""
+    return F.arrow_udf(_counted, ", ".join(f"{name} bigint" for name in ["length", *KINDS]))(text)
 
 
-def share_of_visible(text: Column, characters: str) -> Column:
-    return F.coalesce(count_of(text, characters) / visible_in(text), F.lit(0.0))
+def _visible(found: Column) -> Column:
+    """The number of visible characters, null for none."""
+    return F.nullif(found["length"] - found["blank"], F.lit(0))
 
 
 def rune_ratio(text: Column) -> Column:
-    return share_of_visible(text, f"[{RUNES}]")
+    found = counts(text)
+    return F.coalesce(found["rune"] / _visible(found), F.lit(0.0))
 
 
 def latin_ratio(text: Column) -> Column:
-    return share_of_visible(text, "[A-Za-z]")
+    found = counts(text)
+    return F.coalesce(found["latin"] / _visible(found), F.lit(0.0))
 
 
 def obfuscation_score(text: Column) -> Column:
     """Weighted shares of runes, letters, digits, jamo and punctuation among visible characters, at most 1."""
-    visible = visible_in(text)
-    other = visible - count_of(text, r"[\p{L}\p{N}]")
+    found = counts(text)
+    visible = _visible(found)
     weighted = (
-        1.4 * count_of(text, "[ᚠ-᛿]") / visible + 0.25 * count_of(text, "[A-Za-z]") / visible
-        + 0.2 * count_of(text, r"[\p{Nd}²³¹⁰⁴-⁹₀-₉①-⑨]") / visible
-        + 0.35 * count_of(text, "[㄰-㆏]") / visible + 0.1 * other / visible)
+        1.4 * found["runic"] / visible + 0.25 * found["latin"] / visible + 0.2 * found["digit"] / visible
+        + 0.35 * found["jamo"] / visible + 0.1 * (visible - found["word"]) / visible)
     return F.coalesce(F.when(weighted >= 1.0, F.lit(1.0)).otherwise(weighted), F.lit(0.0))

@@ -63,3 +63,13 @@ def test_native_forms_equal_a_plain_version(spark):
             for r in made.collect():
                 assert r.o == (None if r.t is None else plain_native(r.t, r.k, syllables, letters, mix))
             assert "ArrowEvalPython" in plan_of(made) and "transform(" not in plan_of(made)
+
+
+def test_characters_are_counted_in_one_pass(spark):
+    texts = ["Ab1 ᚨᛠ²①ㄱ　\x85é-가\x1c", "", None, "𝒳𝟗"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = [r.c and tuple(r.c) for r in df.select(hangul.counts(F.col("t")).alias("c")).collect()]
+    # length, blank, rune, runic, latin, digit, jamo, word; the second rune stands for no letter
+    assert found == [(15, 4, 1, 2, 2, 3, 1, 10), (0,) * 8, None, (2, 0, 0, 0, 0, 1, 0, 2)]
+    made = df.select(hangul.obfuscation_score(F.col("t")), hangul.rune_ratio(F.col("t")), hangul.latin_ratio(F.col("t")))
+    assert "regexp_replace" not in plan_of(made)
