@@ -8,22 +8,28 @@ gives singular values and components. The driver holds matrices of features x wi
 parameters. Rows never leave their tasks.
 
 The layer is trained by Adam on mini-batches. Rows are dealt into batches and a held-out tenth by hashes of their key,
-with seeds of their own, and written by batch; a step is a job over one batch, in which each task adds up its rows'
+with seeds of their own, and written by batch. A step needs the one before it, so batches of few rows are taken one after
+the other by a task, up to ``CHAIN`` rows in a job; a batch of more rows is a job, in which each task adds up its rows'
 gradients. Training ends when the accuracy on the held-out rows has not grown for ``patience`` epochs, and keeps the
-weights of the best one. Nothing bounds the number of rows; ``batch`` should grow with them, as steps are jobs.
+weights of the best one. Nothing bounds the number of rows; a task sees no more than ``CHAIN`` of them.
 """
 
 from __future__ import annotations
 
+import copy
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.remote import file_system
 from ..sources.scratch import scratch, written
 
 #: Features of a block of a sum; triangles merged at a time.
@@ -244,6 +250,46 @@ def _summed(rows: DataFrame, work) -> np.ndarray:
     return sum(np.frombuffer(r[0]) for r in rows.select("x", "label").mapInArrow(run, "sums binary").collect())
 
 
+#: Rows of the batches that one task takes, one after the other.
+CHAIN = 1 << 16
+
+
+def _chained(spark: SparkSession, files: list[list[str]], weights: Weights, adam: Adam) -> tuple[Weights, Adam, list[float]]:
+    """A step for each batch, given by its files, in one task, which holds a batch at a time. The steps of Adam follow one
+    another, so a job for each would only wait longer."""
+
+    def run(taken: list[list[str]]) -> tuple[Weights, Adam, list[float]]:
+        now, step, losses = *copy.deepcopy(sent.value), []  # a task that is run again starts from the same
+        for paths in taken:
+            sums = 0
+            for path in paths:
+                system, inside = file_system(path)
+                with system.open_input_file(inside) as data:
+                    for batch in pq.ParquetFile(data).iter_batches(columns=["x", "label"]):
+                        sums = sums + gradients(now, _dense(batch.column("x")), batch.column("label").to_numpy(zero_copy_only=False).astype(float))
+            now, loss = step(now, sums)
+            losses.append(loss)
+        return now, step, losses
+
+    sent = spark.sparkContext.broadcast((weights, adam))
+    found = spark.sparkContext.parallelize([files], 1).map(run).collect()[0]
+    sent.unpersist()
+    return found
+
+
+def _chains(order: list[int], sizes: dict[int, int]) -> Iterator[list[int]]:
+    """Batches in their order, cut where a chain would have more than ``CHAIN`` rows."""
+    chain, rows = [], 0
+    for b in order:
+        if chain and rows + sizes[b] > CHAIN:
+            yield chain
+            chain, rows = [], 0
+        chain.append(b)
+        rows += sizes[b]
+    if chain:
+        yield chain
+
+
 #: Rows of the training table that stand aside, as a batch.
 HELD_OUT = -1
 
@@ -269,21 +315,28 @@ def train(rows: DataFrame, inputs: int, *, hidden: int = 96, epochs: int = 18, b
     spark, path = rows.sparkSession, scratch(rows.sparkSession, "batches")
     dealt(rows, "key", batch, seed).repartition("batch").write.partitionBy("batch").parquet(path)
     sizes = {r["batch"]: r["n"] for r in spark.read.parquet(path).groupBy("batch").agg(F.count(F.lit(1)).alias("n")).collect()}
-    tables = {b: spark.read.schema("label int, x array<double>").parquet(f"{path}/batch={b}") for b in sorted(sizes)}
-    aside = tables.pop(HELD_OUT, None)
+    table = lambda b: spark.read.schema("label int, x array<double>").parquet(f"{path}/batch={b}")
+    parts = defaultdict(list)
+    for file in sorted(map(unquote, spark.read.parquet(path).inputFiles())):
+        parts[int(file.rsplit("/batch=", 1)[1].split("/")[0])].append(file)
+    aside, batches = table(HELD_OUT) if HELD_OUT in sizes else None, sorted(b for b in sizes if b != HELD_OUT)
     weights, order = first_weights(inputs, hidden, seed), np.random.default_rng(seed + 1)
     out, adam, best, idle = Trained(weights), Adam(weights, rate, decay), -np.inf, 0
-    for epoch in range(epochs if tables else 0):
+    for epoch in range(epochs if batches else 0):
         total = 0.0
-        for b in order.permutation(sorted(tables)):
-            weights, loss = adam(weights, _summed(tables[b], lambda x, y: gradients(weights, x, y)))  # noqa: B023
-            total += loss * sizes[b]
+        for chain in _chains(order.permutation(batches).tolist(), sizes):
+            if sizes[chain[0]] > CHAIN:  # a batch of that size is a chain of its own, worth many tasks
+                weights, loss = adam(weights, _summed(table(chain[0]), lambda x, y: gradients(weights, x, y)))  # noqa: B023
+                losses = [loss]
+            else:
+                weights, adam, losses = _chained(spark, [parts[b] for b in chain], weights, adam)
+            total += sum(loss * sizes[b] for loss, b in zip(losses, chain))
         score = None
         if aside is not None:
             right = _summed(aside, lambda x, y: np.array([((chances(weights, x) >= 0.5) == y).sum()], float))  # noqa: B023
             score = float(right[0] / sizes[HELD_OUT])
             idle = 0 if score >= best + tolerance else idle + 1
-        out.history.append((epoch, float(total / sum(sizes[b] for b in tables)), score))
+        out.history.append((epoch, float(total / sum(sizes[b] for b in batches)), score))
         if score is None or score > best:
             best, out.weights = best if score is None else score, weights
         if idle > patience:

@@ -3,26 +3,29 @@
 from __future__ import annotations
 
 import bisect
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark import StorageLevel
+import pyarrow as pa
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from ..functions.deobfuscate import deobfuscate
+from ..functions.terms import Terms
 from ..sources.scratch import written
 from .calibrate import best_threshold, sweep
 from .layered import LayeredModel, fit_layers
 from .metrics import auroc, robustness
 from .sampling import PARTS, SEED, grouped_split
+from .spread import pieces, spread
 
 
 def char_grams(text: Column, low: int = 2, high: int = 5) -> Column:
@@ -33,85 +36,137 @@ def char_grams(text: Column, low: int = 2, high: int = 5) -> Column:
     return F.flatten(F.transform(words, lambda w: F.concat(*[of_size(w, n) for n in range(low, high + 1)])))
 
 
-def _char_terms() -> str:
-    return ("flatten(transform(filter(split(lower(text), '\\\\s+'), w -> length(w) > 0), w -> flatten(transform(sequence(2, 5), n ->"
-            " if(length(w) + 2 >= n, transform(sequence(1, length(w) + 3 - n), i -> substring(concat(' ', w, ' '), i, n)), cast(array() as array<string>))))))")
+class TextWeights(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Texts as weights of their terms, (1 + ln count) * idf, scaled to length one. ``kind``: ``char`` n-grams of 2 to 5, or
+    ``word`` n-grams of 1 and 2. ``idf`` is ln((1 + texts) / (1 + texts with the term)) + 1. Texts go from words to numbers
+    in one Arrow function, and no terms are written anywhere."""
 
+    kind = Param(Params._dummy(), "kind", "char or word", TypeConverters.toString)
+    terms = Param(Params._dummy(), "terms", "vocabulary", TypeConverters.toListString)
+    idf = Param(Params._dummy(), "idf", "weight of each term", TypeConverters.toListFloat)
 
-def term_stages(kind: str = "char") -> list:
-    """Column text to terms: ``char`` n-grams of 2 to 5, or ``word`` n-grams of 1 and 2, where a word has
-    two characters or more, of any script."""
-    if kind == "char":
-        # A column that is not deterministic is not merged into later steps: a function in Python takes no lambda as an argument.
-        apart = "if(monotonically_increasing_id() < 0, array(text), cast(array() as array<string>))"
-        return [SQLTransformer(statement=f"SELECT *, concat({_char_terms()}, {apart}) AS terms FROM __THIS__")]
-    return [
-        RegexTokenizer(inputCol="text", outputCol="words", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False, toLowercase=True), NGram(n=2, inputCol="words", outputCol="pairs"),
-        SQLTransformer(statement="SELECT *, concat(words, pairs) AS terms FROM __THIS__"),
-    ]
+    def __init__(self, inputCol: str | None = None, outputCol: str | None = None, kind: str | None = None, terms: list[str] | None = None, idf: list[float] | None = None):
+        super().__init__()
+        given = (("inputCol", inputCol), ("outputCol", outputCol), ("kind", kind), ("terms", terms), ("idf", idf))
+        self._set(**{k: v for k, v in given if v is not None})
 
+    @property
+    def vocabulary(self) -> list[str]:
+        return self.getOrDefault(self.terms)
 
-class SublinearTfIdf(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """Counts of terms as (1 + ln count) * idf, scaled to length one. ``idf`` is ln((1 + texts) / (1 + texts with the
-    term)) + 1."""
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        kind, size = self.getOrDefault(self.kind), len(self.vocabulary)
+        names, column, out = dataset.columns, dataset.columns.index(self.getInputCol()), self.getOutputCol()
+        held = dataset.sparkSession.sparkContext.broadcast((self.vocabulary, np.array(self.getOrDefault(self.idf))))
 
-    idf = Param(Params._dummy(), "idf", "weight of each term", TypeConverters.toListFloat)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            vocabulary, idf = held.value
+            terms = Terms(kind, vocabulary)
+            for piece in (p for batch in batches for p in pieces(batch, batch.schema.names[column])):
+                found = [weighed(*terms.counts(t), idf) for t in piece.column(column).to_pylist()]
+                ends = np.cumsum([0, *[len(n) for n, _ in found]], dtype=np.int32)
+                lists = [pa.ListArray.from_arrays(ends, np.concatenate(part).astype(k)) for part, k in zip(zip(*found), (np.int32, np.float64))]
+                rows = len(found)
+                vectors = pa.StructArray.from_arrays([pa.array(np.zeros(rows, np.int8)), pa.array(np.full(rows, size, np.int32)), *lists], names=["type", "size", "indices", "values"])
+                yield pa.RecordBatch.from_arrays([*piece.columns, vectors], names=[*names, out])
 
-    def __init__(self, inputCol: str | None = None, outputCol: str | None = None, idf: list[float] | None = None):
-        super().__init__()
-        self._set(**{k: v for k, v in (("inputCol", inputCol), ("outputCol", outputCol), ("idf", idf)) if v is not None})
+        return dataset.mapInArrow(run, StructType([*dataset.schema.fields, StructField(out, VectorUDT())]))
 
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        held = dataset.sparkSession.sparkContext.broadcast(np.array(self.getOrDefault(self.idf)))
 
-        # Marked so that no later step is merged with it and runs it again.
-        def weigh(counts: SparseVector) -> SparseVector:
-            weights = (1 + np.log(counts.values)) * held.value[counts.indices]
-            return Vectors.sparse(counts.size, counts.indices, weights / max(np.sqrt((weights * weights).sum()), 1e-300))
+def weighed(numbers: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    weights = (1 + np.log(counts)) * idf[numbers]
+    return numbers, weights / max(np.sqrt((weights * weights).sum()), 1e-300)
+
+
+#: Terms that a task counts before it hands them on.
+HELD = 300_000
+
+
+def _statistics(texts: DataFrame, kind: str) -> DataFrame:
+    """(term, df, total) of a column of texts. A task adds up its rows' terms, so few of them are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, df, total = Terms(kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(list(terms.places), pa.string()), pa.array(df[:len(terms.places)]), pa.array(total[:len(terms.places)])], names=["term", "df", "total"])
+        for piece in (p for batch in batches for p in pieces(batch, batch.schema.names[0])):
+            for text in piece.column(0).to_pylist():
+                numbers, counts = terms.counts(text)
+                if len(terms.places) > len(df):
+                    more = np.zeros(2 * len(terms.places) - len(df), np.int64)
+                    df, total = np.concatenate([df, more]), np.concatenate([total, more])
+                df[numbers] += 1
+                total[numbers] += counts
+                if len(terms.places) > HELD:
+                    yield made()
+                    terms, df, total = Terms(kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        yield made()
+
+    return texts.mapInArrow(run, "term string, df bigint, total bigint")
+
 
-        return dataset.withColumn(self.getOutputCol(), F.udf(weigh, VectorUDT()).asNondeterministic()(self.getInputCol()))
+def _chosen(statistics: DataFrame, rows: int, features: int, least: int, most: float) -> tuple[list[str], np.ndarray]:
+    """The vocabulary and its idf. Of the terms that are in ``least`` texts and at most a share of ``most``, the
+    ``features`` most frequent ones stay, in that order; ties go by term."""
+    stats = statistics.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
+    kept = stats.filter((F.col("df") >= least) & (F.col("df") <= most * rows)).orderBy(F.desc("total"), "term").limit(features).collect()
+    return [r["term"] for r in kept], np.log((1 + rows) / (1 + np.array([r["df"] for r in kept], float))) + 1
 
 
 def weights(docs: DataFrame, kind: str = "char", key: str = "id", *, features: int = 60_000, least: int = 2, most: float = 0.98) -> DataFrame:
-    """(key, term, weight): the same weights as rows, without a driver or a vocabulary in memory. Of the terms that are
-    in ``least`` texts and at most a share of ``most``, the ``features`` most frequent ones stay; ties go by term."""
-    terms = PipelineModel(term_stages(kind)).transform(docs.select(key, "text")).select(key, F.explode("terms").alias("term"))
-    counted = terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
-    stats = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("total"))
-    rows = docs.agg(F.count(F.lit(1)).alias("rows"))
-    kept = stats.crossJoin(F.broadcast(rows)).filter((F.col("df") >= least) & (F.col("df") <= most * F.col("rows")))
-    kept = kept.orderBy(F.desc("total"), "term").limit(features).select("term", (F.log((1 + F.col("rows")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = counted.join(kept, "term").select(key, "term", ((1 + F.log("n")) * F.col("idf")).alias("raw"))
-    length = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
-    return raw.join(length, key).select(key, "term", (F.col("raw") / F.col("length")).alias("weight"))
-
-
-def tfidf(df: DataFrame, kind: str = "char", *, features: int = 60_000, least: int = 2, most: float = 0.98) -> tuple[list, DataFrame, DataFrame]:
-    """The fitted stages from text to weights, the last but one with the vocabulary; the other columns of ``df`` with
-    ``features``; and the persisted terms that these come from, which the caller unpersists."""
-    first = term_stages(kind)
-    termed = PipelineModel(first).transform(df).select(*[F.col(f"`{c}`") for c in df.columns if c != "text"], "terms").persist(StorageLevel.DISK_ONLY)
-    counts = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=features, minDF=least, maxDF=most).fit(termed)
-    idf = IDF(inputCol="tf", outputCol="weighted").fit(counts.transform(termed)).idf.toArray() + 1
-    stages = [*first, counts, SublinearTfIdf("tf", "features", idf.tolist())]
-    return stages, stages[-1].transform(counts.transform(termed)).drop("terms", "tf"), termed
+    """(key, term, weight): the same weights as rows. The driver and each task hold the vocabulary, at most ``features``
+    terms. A key's terms are counted and weighed where its row is; those of keys that several rows have are grouped."""
+    docs = docs.select(key, "text")
+    many = docs.groupBy(key).agg((F.count(F.lit(1)) > 1).alias("again")).filter("again").withColumnRenamed(key, "_key")
+    joined = docs.join(many, F.col(key).eqNullSafe(F.col("_key")), "left").select(key, "text", F.coalesce("again", F.lit(False)).alias("again"))
+    found = written(spread(joined, docs), "texts")
+    alone, again = found.filter(~F.col("again")).select(key, "text"), found.filter("again").select(key, "text")
+    kind_of_key = found.schema[key].dataType
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in (p for batch in batches for p in pieces(batch, "text")):
+            terms = Terms(kind)
+            rows = [terms.counts(t) for t in piece.column(1).to_pylist()]
+            at, (numbers, counts) = np.repeat(np.arange(len(rows)), [len(n) for n, _ in rows]), map(np.concatenate, zip(*rows))
+            yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(at)), pa.array(list(terms.places), pa.string()).take(pa.array(numbers)), pa.array(counts)], names=["key", "term", "n"])
+
+    counted = again.mapInArrow(count, StructType([StructField(key, kind_of_key), StructField("term", StringType()), StructField("n", LongType())])).groupBy(key, "term").agg(F.sum("n").alias("n"))
+    grouped = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("total"))
+    vocabulary, idf = _chosen(_statistics(alone.select("text"), kind).unionByName(grouped), found.count(), features, least, most)
+    held = docs.sparkSession.sparkContext.broadcast((vocabulary, idf))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, idf = held.value
+        terms, words = Terms(kind, vocabulary), pa.array(vocabulary, pa.string())
+        for piece in (p for batch in batches for p in pieces(batch, "text")):
+            rows = [weighed(*terms.counts(t), idf) for t in piece.column(1).to_pylist()]
+            at, (numbers, values) = np.repeat(np.arange(len(rows)), [len(n) for n, _ in rows]), map(np.concatenate, zip(*rows))
+            yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(at)), words.take(pa.array(numbers)), pa.array(values)], names=["key", "term", "weight"])
+
+    of_one = alone.mapInArrow(weigh, StructType([StructField(key, kind_of_key), StructField("term", StringType()), StructField("weight", DoubleType())]))
+    kept = docs.sparkSession.createDataFrame(list(zip(vocabulary, idf.tolist())), "term string, idf double")
+    raw = counted.join(F.broadcast(kept), "term").select(key, "term", ((1 + F.log("n")) * F.col("idf")).alias("raw"))
+    length = raw.groupBy(F.col(key).alias("_key")).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
+    return of_one.unionByName(raw.join(length, F.col(key).eqNullSafe(F.col("_key"))).select(key, "term", (F.col("raw") / F.col("length")).alias("weight")))
+
+
+def tfidf(df: DataFrame, kind: str = "char", *, features: int = 60_000, least: int = 2, most: float = 0.98) -> tuple[list, DataFrame]:
+    """The fitted stages from text to weights, the last one with the vocabulary; and the other columns of ``df`` with
+    ``features``."""
+    vocabulary, idf = _chosen(_statistics(df.select("text"), kind), df.count(), features, least, most)
+    stages = [TextWeights("text", "features", kind, vocabulary, idf.tolist())]
+    return stages, stages[-1].transform(df).drop("text")
 
 
 def fit(df: DataFrame, kind: str = "char", head: str = "logistic", *, features: int = 60_000, least: int = 2, most: float = 0.98, **layers) -> PipelineModel | LayeredModel:
     """A classifier of (text, label). ``head``: logistic, or layers, which is a truncated SVD, scaling and a hidden layer
     (``components``, ``hidden`` and the other options of :mod:`.layered`); their rows are dealt by ``id``, or by text
-    where there is none. Terms and features are kept while it is fitted, so texts are cut into terms once."""
+    where there is none. Features are written while it is fitted, so texts are weighed once."""
     key = F.col("id" if "id" in df.columns else "text").cast("string").alias("key")
-    stages, rows, termed = tfidf(df.select(key, "text", "label"), kind, features=features, least=least, most=most)
+    stages, rows = tfidf(df.select(key, "text", "label"), kind, features=features, least=least, most=most)
     if head == "layers":
-        model = fit_layers(PipelineModel(stages), rows, **layers)
-    else:
-        rows = rows.select("label", "features").persist(StorageLevel.DISK_ONLY)
-        stages.append(LogisticRegression(featuresCol="features", labelCol="label", regParam=1e-4, maxIter=50).fit(rows))
-        model = PipelineModel(stages)
-        rows.unpersist()
-    termed.unpersist()
-    return model
+        return fit_layers(PipelineModel(stages), rows, **layers)
+    stages.append(LogisticRegression(featuresCol="features", labelCol="label", regParam=1e-4, maxIter=50).fit(written(rows.select("label", "features"), "features")))
+    return PipelineModel(stages)
 
 
 def predicted(model: PipelineModel | LayeredModel, df: DataFrame, system: str, threshold: float = 0.5) -> DataFrame:

@@ -1,12 +1,17 @@
 """What a task is given and holds does not grow with a table."""
 
 import hashlib
+import math
+import re
+from collections import Counter
 
+import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from glyphward.functions import hangul
-from glyphward.operators import obfuscate, spread
+from glyphward.operators import layered, models, obfuscate, spread
 
 
 def plan_of(df) -> str:
@@ -73,3 +78,51 @@ def test_characters_are_counted_in_one_pass(spark):
     assert found == [(15, 4, 1, 2, 2, 3, 1, 10), (0,) * 8, None, (2, 0, 0, 0, 0, 1, 0, 2)]
     made = df.select(hangul.obfuscation_score(F.col("t")), hangul.rune_ratio(F.col("t")), hangul.latin_ratio(F.col("t")))
     assert "regexp_replace" not in plan_of(made)
+
+
+def test_steps_of_small_batches_share_jobs(spark, monkeypatch):
+    """The same training whether a batch is a job, or a chain of them is; with fewer jobs."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 5))
+    df = spark.createDataFrame([(str(i), int(a[0] > 0), a.tolist()) for i, a in enumerate(x)], "key string, label int, x array<double>").repartition(3)
+    jobs, found = [], []
+    for chain in (1, 100, 1 << 16):
+        monkeypatch.setattr(layered, "CHAIN", chain)
+        spark.sparkContext.setJobGroup(f"chain {chain}", "")
+        found.append(layered.train(df, 5, hidden=4, epochs=3, batch=20, rate=0.03, seed=7))
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"chain {chain}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    for other in found[1:]:
+        assert np.allclose(np.array(found[0].history, float), np.array(other.history, float))
+        assert all(np.allclose(a, b) for a, b in zip(found[0].weights, other.weights))
+    assert jobs[0] - jobs[2] >= 30 and jobs[1] < jobs[0]
+
+
+def plain_terms(text, kind):
+    if kind == "word":
+        words = re.findall(r"\w{2,}", (text or "").lower())
+        return Counter([*words, *map(" ".join, zip(words, words[1:]))])
+    words = [f" {w} " for w in re.split(r"[ \t\n\x0b\f\r]+", (text or "").lower()) if w]
+    return Counter(w[i:i + n] for w in words for n in range(2, 6) for i in range(len(w) - n + 1))
+
+
+@pytest.mark.parametrize("kind", ["char", "word"])
+def test_weights_of_keys(spark, kind, monkeypatch):
+    """Rows of one key, and of none, are one text; no terms are shuffled for keys that one row has."""
+    monkeypatch.setattr(models, "HELD", 20)
+    rows = [("a", "Ab ab　cd  efg"), ("b", "ab zz_ 가나다"), ("a", "efg ab hi"), (None, "ab cd"), (None, "hi efg"), ("c", None), ("d", ""), ("e", "가나다 efg\x0bab cd")]
+    texts, pieces_of = {}, Counter()
+    for k, t in rows:
+        texts.setdefault(k, Counter()).update(plain_terms(t, kind))
+        pieces_of[k] += 1
+    df = Counter(t for c in texts.values() for t in c)
+    total = sum(texts.values(), Counter())
+    kept = sorted((t for t in df if 2 <= df[t] <= 0.98 * len(rows)), key=lambda t: (-total[t], t.encode()))[:12]
+    want = {}
+    for k, c in texts.items():
+        raw = {t: (1 + math.log(c[t])) * (math.log((1 + len(rows)) / (1 + df[t])) + 1) for t in kept if t in c}
+        want |= {(k, t): w / math.sqrt(sum(v * v for v in raw.values())) for t, w in raw.items()}
+    found = models.weights(spark.createDataFrame(rows, "id string, text string").repartition(3), kind, features=12)
+    assert {(r.id, r.term): r.weight for r in found.collect()} == pytest.approx(want)
+    stages, features = models.tfidf(spark.createDataFrame([(str(i), t) for i, (_, t) in enumerate(rows)], "id string, text string"), kind)
+    assert len(stages) == 1 and "Explode" not in plan_of(features) and "Generate" not in plan_of(features)
