@@ -438,5 +438,6 @@ def fit_layers(stages: PipelineModel, rows: DataFrame, *, components: int = 160,
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["key", "label", "x"])
 
     key = rows.schema["key"].dataType.simpleString()
-    found = train(rows.mapInArrow(project, f"key {key}, label int, x array<double>"), len(values), hidden=hidden, seed=seed, **training)
+    projected = written(rows.mapInArrow(project, f"key {key}, label int, x array<double>"), "projected")  # counted, then dealt
+    found = train(projected, len(values), hidden=hidden, seed=seed, **training)
     return LayeredModel(stages, values, vectors, mean, scale, found.weights, found.history)
