@@ -101,7 +101,7 @@ def _hashed(text: Column, key: Column, change) -> Column:
 def obfuscate(text: Column, key: Column, syllable_share: float, letter_share: float) -> Column:
     """Syllables are romanized with a probability, their letters become runes with another; draws are hashes of
     ``key`` and the character's place, so a result depends on nothing else. An Arrow function: higher-order functions are
-    interpreted for each character and draw, which takes many times longer."""
+    interpreted for each character and draw, which takes more than twice as long."""
     return _hashed(text, key, Hashed(syllable_share, letter_share).readable)
 
 

@@ -22,7 +22,8 @@ def spread(df: DataFrame, of: DataFrame | None = None) -> DataFrame:
     source = df if of is None else of
     sizes = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)).cast("long") for f in source.schema.fields if f.dataType.typeName() == "string"]
     found = source.agg(F.sum(sum(sizes, F.lit(0)))).first()[0] or 0
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-found // TASK)))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores * max(1, -(-found // (TASK * cores))))  # whole rounds: a last one of few tasks takes as long as any
 
 
 def pieces(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
