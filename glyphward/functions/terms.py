@@ -2,26 +2,33 @@
 
 from __future__ import annotations
 
+import functools
 import re
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: White space as Java's \s sees it.
 _BLANKS = re.compile(r"[ \t\n\x0b\f\r]+")
-_WORD = re.compile(r"\w{2,}")
 LOW, HIGH = 2, 5
 #: Numbers of n-grams that are remembered by word.
 REMEMBERED = 1 << 21
 
 
-class Terms:
-    """Counts of terms by number: ``char`` n-grams of 2 to 5 inside words padded with a blank on either side, or ``word``
-    n-grams of 1 and 2, where a word has two characters or more. With a vocabulary a term's number is its place there and
-    other terms are passed over; without one it is the next number."""
+def terms(kind: str, vocabulary: list[str] | None = None) -> Grams | Words:
+    """``char`` n-grams of 2 to 5 inside words padded with a blank on either side, or ``word`` n-grams of 1 and 2, where a
+    word has two characters or more. With a vocabulary a term's number is its place there and other terms are passed over;
+    without one it is a number that ``names`` tells the term of."""
+    return Grams(vocabulary) if kind == "char" else Words(vocabulary)
 
-    def __init__(self, kind: str, vocabulary: list[str] | None = None):
-        self.kind = kind
+
+class Grams:
+    """Character n-grams; those of a word are remembered."""
+
+    def __init__(self, vocabulary: list[str] | None = None):
         if vocabulary is None:
             self.places: dict[str, int] = defaultdict()
             self.places.default_factory = self.places.__len__
@@ -32,13 +39,10 @@ class Terms:
         self.known: dict[str, np.ndarray] = {}
         self.held = 0
 
-    def _numbers(self, terms) -> np.ndarray:
-        return np.array([p for t in terms if (p := self.place(t)) is not None], np.int64)
-
     def _grams(self, word: str) -> np.ndarray:
         if (found := self.known.get(word)) is None:
             w = f" {word} "
-            found = self._numbers(w[i:i + n] for n in range(LOW, HIGH + 1) for i in range(len(w) - n + 1))
+            found = np.array([p for n in range(LOW, HIGH + 1) for i in range(len(w) - n + 1) if (p := self.place(w[i:i + n])) is not None], np.int64)
             if self.held > REMEMBERED:
                 self.known.clear()
                 self.held = 0
@@ -46,17 +50,120 @@ class Terms:
             self.held += len(found) + 16
         return found
 
-    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """(numbers in order, how often)."""
-        text = (text or "").lower()
-        if self.kind == "char":
-            words = Counter(w for w in _BLANKS.split(text) if w)
-            parts = [self._grams(w) for w in words]
-            times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(p) for p in parts])
-            numbers = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        else:
-            words = _WORD.findall(text)
-            numbers = self._numbers([*words, *[f"{a} {b}" for a, b in zip(words, words[1:])]])
-            times = np.ones(len(numbers), np.int64)
-        numbers, at = np.unique(numbers, return_inverse=True)
+    def _counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        words = Counter(w for w in _BLANKS.split((text or "").lower()) if w)
+        parts = [self._grams(w) for w in words]
+        times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(p) for p in parts])
+        numbers, at = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.int64), return_inverse=True)
         return numbers, np.bincount(at, times, len(numbers)).astype(np.int64)
+
+    def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(how many different terms each text has; their numbers, in order within a text; how often each is there)."""
+        found = [self._counts(t) for t in texts]
+        return np.array([len(n) for n, _ in found], np.int64), *map(np.concatenate, zip(*found))
+
+    def statistics(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(numbers, how many of the texts have each, how often each is there)."""
+        _, numbers, counts = self.counts(texts)
+        found, at = np.unique(numbers, return_inverse=True)
+        return found, np.bincount(at, minlength=len(found)), np.bincount(at, counts, len(found)).astype(np.int64)
+
+    def names(self, numbers: np.ndarray) -> pa.Array:
+        return pa.array(list(self.places), pa.string()).take(pa.array(numbers))
+
+
+@functools.cache
+def _of_words() -> np.ndarray:
+    """Whether a code point can be in a word."""
+    found = np.zeros(sys.maxunicode + 1, bool)
+    for first in range(0, len(found), 0x800):  # surrogates are such a range
+        if first != 0xD800:
+            found[[first + m.start() for m in re.finditer(r"\w", "".join(map(chr, range(first, first + 0x800))))]] = True
+    return found
+
+
+class Words:
+    """Words and pairs of neighbours, by arrays: all words of some texts are found and numbered at once, and a pair is two
+    numbers of words. Words are bytes in UTF-32."""
+
+    def __init__(self, vocabulary: list[str] | None = None):
+        self.places: dict[bytes, int] = defaultdict()
+        self.places.default_factory = self.places.__len__
+        self.size = None if vocabulary is None else len(vocabulary)
+        if vocabulary is not None:
+            parts = [[self.places[w.encode("utf-32-le")] for w in t.split(" ")] for t in vocabulary]
+            self.words = pa.array(list(self.places), pa.large_binary())
+            self.of_word = np.full(len(self.places) + 1, -1)  # the last one: of words that are not known
+            for i, p in enumerate(parts):
+                if len(p) == 1:
+                    self.of_word[p[0]] = i
+            pairs = [i for i, p in enumerate(parts) if len(p) == 2]
+            self.of_pair = np.array([*pairs, -1], np.int64)
+            self.pairs = pa.array([_pair(*parts[i]) for i in pairs], pa.int64())
+
+    def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As those of ``Grams``, but without a vocabulary the numbers of a text are in no order."""
+        if self.size is None:
+            numbers, rows, times = self._sorted(texts)
+            order = np.argsort(rows, kind="stable")
+            return np.bincount(rows, minlength=len(texts)), numbers[order], times[order]
+        words, row = _words([(t or "").lower() for t in texts])
+        at = _place(words, self.words)
+        pair = (row[1:] == row[:-1]) & (at[1:] >= 0) & (at[:-1] >= 0)
+        places = self.of_word[at], self.of_pair[_place(pa.array(_pair(at[:-1][pair], at[1:][pair])), self.pairs)]
+        some = [p >= 0 for p in places]
+        numbers, rows = (np.concatenate([x[s] for x, s in zip(parts, some)]) for parts in (places, (row, row[1:][pair])))
+        found, times = np.unique(rows * self.size + numbers, return_counts=True)
+        rows, numbers = np.divmod(found, max(1, self.size))
+        return np.bincount(rows, minlength=len(texts)), numbers, times
+
+    def _sorted(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number, place of the text, how often it is there), in some order of the numbers."""
+        words, row = _words([(t or "").lower() for t in texts])
+        found = words.dictionary_encode()
+        here, size = found.indices.to_numpy().astype(np.int64), len(found.dictionary)
+        pair = row[1:] == row[:-1]
+        keys = np.concatenate([here, (here[:-1][pair] + 1) * size + here[1:][pair]])
+        keys, times = np.unique(keys * len(texts) + np.concatenate([row, row[1:][pair]]), return_counts=True)
+        keys, rows = np.divmod(keys, len(texts))
+        place = np.fromiter(map(self.places.__getitem__, found.dictionary.to_numpy(zero_copy_only=False)), np.int64, size)
+        first, second = np.divmod(keys, max(1, size))
+        return np.where(first == 0, place[second], _pair(place[first - 1], place[second])), rows, times
+
+    def statistics(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As that of ``Grams``."""
+        numbers, _, times = self._sorted(texts)
+        starts = np.flatnonzero(np.diff(numbers, prepend=-1))
+        return numbers[starts], np.diff(starts, append=len(numbers)), np.add.reduceat(times, starts) if len(starts) else times
+
+    def names(self, numbers: np.ndarray) -> pa.Array:
+        """Terms of numbers that were given without a vocabulary."""
+        words, one = pa.array([w.decode("utf-32-le") for w in self.places], pa.string()), numbers < 1 << 32
+        first, second = (words.take(pa.array(n)) for n in (np.where(one, numbers, (numbers >> 32) - 1), numbers & 0xFFFFFFFF))
+        return pc.if_else(pa.array(one), first, pc.binary_join_element_wise(first, second, " "))
+
+
+def _pair(first, second):
+    """The number of a pair of words, greater than any word's."""
+    return (first + 1) << 32 | second
+
+
+def _place(values: pa.Array, known: pa.Array) -> np.ndarray:
+    """Where each value is in ``known``, else -1."""
+    return pc.fill_null(pc.index_in(values, value_set=known), -1).to_numpy().astype(np.int64)
+
+
+def _words(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, ``\\w{2,}``, in order, and the place of each one's text."""
+    points = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le"), np.uint32)
+    inside = np.zeros(len(points) + 2, bool)
+    inside[1:-1] = _of_words()[points]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    first, last = edges[::2], edges[1::2]
+    alone = last - first == 1
+    inside[first[alone] + 1] = False
+    first, last = first[~alone], last[~alone]
+    offsets = np.concatenate([[0], np.cumsum(4 * (last - first))])
+    words = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(points[inside[1:-1]])])
+    until = np.searchsorted(first, np.cumsum([len(t) + 1 for t in texts]))
+    return words, np.repeat(np.arange(len(texts)), np.diff(until, prepend=0))

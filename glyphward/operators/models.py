@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from ..functions.deobfuscate import deobfuscate
-from ..functions.terms import Terms
+from ..functions.terms import terms
 from ..sources.scratch import written
 from .calibrate import best_threshold, sweep
 from .layered import LayeredModel, fit_layers
@@ -55,55 +55,138 @@ class TextWeights(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
         return self.getOrDefault(self.terms)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        kind, size = self.getOrDefault(self.kind), len(self.vocabulary)
-        names, column, out = dataset.columns, dataset.columns.index(self.getInputCol()), self.getOutputCol()
+        return self.vectors(dataset, dataset.columns)
+
+    def vectors(self, dataset: DataFrame, keep: list[str]) -> DataFrame:
+        """The columns ``keep`` and the weights."""
+        size = len(self.vocabulary)
+
+        def vectors(sizes: np.ndarray, numbers: np.ndarray, values: np.ndarray) -> pa.Array:
+            ends, rows = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), len(sizes)
+            lists = [pa.ListArray.from_arrays(ends, part) for part in (numbers.astype(np.int32), values)]
+            return pa.StructArray.from_arrays([pa.array(np.zeros(rows, np.int8)), pa.array(np.full(rows, size, np.int32)), *lists], names=["type", "size", "indices", "values"])
+
+        return self._mapped(dataset, keep, StructField(self.getOutputCol(), VectorUDT()), vectors)
+
+    def chances(self, dataset: DataFrame, keep: list[str], coefficients: np.ndarray, intercept: float) -> DataFrame:
+        """The columns ``keep`` and the probability by a linear model of the weights, which are not handed on."""
+        broadcast = dataset.sparkSession.sparkContext.broadcast(coefficients)
+
+        def chances(sizes: np.ndarray, numbers: np.ndarray, values: np.ndarray) -> pa.Array:
+            margins = intercept + np.bincount(np.repeat(np.arange(len(sizes)), sizes), values * broadcast.value[numbers], len(sizes))
+            return pa.array(np.exp(-np.logaddexp(0, -margins)))
+
+        return self._mapped(dataset, keep, StructField("probability", DoubleType()), chances)
+
+    def _mapped(self, dataset: DataFrame, keep: list[str], field: StructField, made: Callable[[np.ndarray, np.ndarray, np.ndarray], pa.Array]) -> DataFrame:
+        kind, text = self.getOrDefault(self.kind), self.getInputCol()
         held = dataset.sparkSession.sparkContext.broadcast((self.vocabulary, np.array(self.getOrDefault(self.idf))))
+        at = dataset.columns.index(text)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             vocabulary, idf = held.value
-            terms = Terms(kind, vocabulary)
-            for piece in (p for batch in batches for p in pieces(batch, batch.schema.names[column])):
-                found = [weighed(*terms.counts(t), idf) for t in piece.column(column).to_pylist()]
-                ends = np.cumsum([0, *[len(n) for n, _ in found]], dtype=np.int32)
-                lists = [pa.ListArray.from_arrays(ends, np.concatenate(part).astype(k)) for part, k in zip(zip(*found), (np.int32, np.float64))]
-                rows = len(found)
-                vectors = pa.StructArray.from_arrays([pa.array(np.zeros(rows, np.int8)), pa.array(np.full(rows, size, np.int32)), *lists], names=["type", "size", "indices", "values"])
-                yield pa.RecordBatch.from_arrays([*piece.columns, vectors], names=[*names, out])
+            known = terms(kind, vocabulary)
+            for piece in (p for batch in batches for p in pieces(batch, text, 4)):
+                made_of = made(*weighed(*known.counts(piece.column(at).to_pylist()), idf))
+                yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in keep], made_of], names=[*keep, field.name])
 
-        return dataset.mapInArrow(run, StructType([*dataset.schema.fields, StructField(out, VectorUDT())]))
+        return dataset.mapInArrow(run, StructType([*[dataset.schema[c] for c in keep], field]))
 
 
-def weighed(numbers: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def weighed(sizes: np.ndarray, numbers: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The counts of some texts' terms as weights, of length one for each text that has any."""
     weights = (1 + np.log(counts)) * idf[numbers]
-    return numbers, weights / max(np.sqrt((weights * weights).sum()), 1e-300)
+    some = sizes > 0
+    squares = np.add.reduceat(weights * weights, (np.cumsum(sizes) - sizes)[some]) if len(weights) else weights
+    return sizes, numbers, weights / np.repeat(np.maximum(np.sqrt(squares), 1e-300), sizes[some])
 
 
-#: Terms that a task counts before it hands them on.
-HELD = 300_000
+#: Terms that a task counts before it hands them on, and how many times as many where they are held as numbers.
+HELD, WIDER = 300_000, {"char": 1, "word": 8}
 
 
-def _statistics(texts: DataFrame, kind: str) -> DataFrame:
-    """(term, df, total) of a column of texts. A task adds up its rows' terms, so few of them are shuffled."""
+def _summed(keys: np.ndarray, *numbers: np.ndarray) -> list[np.ndarray]:
+    """The different keys, and the sums of the numbers of each."""
+    found = pa.array(keys).dictionary_encode()
+    at, size = found.indices.to_numpy(), len(found.dictionary)
+    return [found.dictionary.to_numpy(), *[np.bincount(at, n, size).astype(np.int64) for n in numbers]]
+
+
+def _statistics(texts: DataFrame, kind: str, features: int | None = None) -> DataFrame:
+    """(term, df, total, passed) of a column of texts. A task adds up its rows' terms, so few of them are shuffled. With
+    ``features`` it also passes over rare ones: those that it has at most ``passed`` times, less than half as often as the
+    last of so many. A row without a term has the number of texts as df, and ``passed``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held, size, texts, most = terms(kind), [], 0, 0, HELD * WIDER[kind]
+
+        def made() -> pa.RecordBatch:
+            keys, df, total = _summed(*map(np.concatenate, zip(*held)))
+            passed = 0 if features is None or len(keys) <= features else (int(np.partition(total, -features)[-features]) - 1) // 2
+            keys, df, total = (x[total > passed] for x in (keys, df, total))
+            of_term = [pa.concat_arrays([found.names(keys), pa.nulls(1, pa.string())]), *[pa.array(np.append(x, last)) for x, last in ((df, texts), (total, 0))]]
+            return pa.RecordBatch.from_arrays([*of_term, pa.array(np.full(len(keys) + 1, passed))], names=["term", "df", "total", "passed"])
+
+        for piece in (p for batch in batches for p in pieces(batch, batch.schema.names[0], 4)):
+            held.append(found.statistics(piece.column(0).to_pylist()))
+            size, texts = size + len(held[-1][0]), texts + piece.num_rows
+            if size > most:
+                held = [_summed(*map(np.concatenate, zip(*held)))]
+                size = len(held[0][0])
+            if size > most // 2 and len(held) == 1:
+                yield made()
+                found, held, size, texts = terms(kind), [], 0, 0
+        if held:
+            yield made()
+
+    return texts.mapInArrow(run, "term string, df bigint, total bigint, passed bigint").groupBy("term").agg(*[F.sum(c).alias(c) for c in ("df", "total", "passed")])
+
+
+def _statistics_of(texts: DataFrame, kind: str, vocabulary: list[str]) -> DataFrame:
+    """(term, df, total) of the listed terms alone."""
+    held = texts.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, df, total = Terms(kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        made = lambda: pa.RecordBatch.from_arrays([pa.array(list(terms.places), pa.string()), pa.array(df[:len(terms.places)]), pa.array(total[:len(terms.places)])], names=["term", "df", "total"])
-        for piece in (p for batch in batches for p in pieces(batch, batch.schema.names[0])):
-            for text in piece.column(0).to_pylist():
-                numbers, counts = terms.counts(text)
-                if len(terms.places) > len(df):
-                    more = np.zeros(2 * len(terms.places) - len(df), np.int64)
-                    df, total = np.concatenate([df, more]), np.concatenate([total, more])
-                df[numbers] += 1
-                total[numbers] += counts
-                if len(terms.places) > HELD:
-                    yield made()
-                    terms, df, total = Terms(kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        yield made()
+        known = terms(kind, held.value)
+        df, total = np.zeros((2, len(held.value)), np.int64)
+        for piece in (p for batch in batches for p in pieces(batch, batch.schema.names[0], 4)):
+            _, numbers, counts = known.counts(piece.column(0).to_pylist())
+            df += np.bincount(numbers, minlength=len(df))
+            total += np.bincount(numbers, counts, len(total)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(held.value, pa.string()), pa.array(df), pa.array(total)], names=["term", "df", "total"])
 
     return texts.mapInArrow(run, "term string, df bigint, total bigint")
 
 
+def _of_use(texts: DataFrame, kind: str, features: int, least: int, most: float) -> tuple[DataFrame, int]:
+    """(term, df, total) with all terms that ``_chosen`` can choose, and the number of texts. Pairs of words are mostly rare,
+    and there are more of them the more texts there are. So tasks first pass over what is rare there: of each term that
+    gives bounds of its counts, ``features`` of which tell a total that the chosen ones reach at least, and only terms that
+    can reach it are counted in full. Where the bounds tell too little, all terms are counted."""
+    every = _statistics(texts, kind, features if kind == "word" else None)
+    if kind != "word":
+        return every.filter(F.col("term").isNotNull()), texts.count()
+    found = written(every, "terms")
+    whole = found.filter(F.col("term").isNull()).first()
+    if whole is None:
+        return found, 0
+    found, rows, unseen = found.filter(F.col("term").isNotNull()), whole["df"], whole["passed"] - F.col("passed")
+    if whole["passed"] == 0:
+        return found, rows
+    sure = found.filter((F.col("df") >= least) & (F.col("df") + unseen <= most * rows)).groupBy("total").agg(F.count(F.lit(1)).alias("n"))
+    reached, last = 0, 0
+    for total, n in sorted(sure.collect(), reverse=True):  # d different totals need d * d / 2 words
+        reached, last = reached + n, total
+        if reached >= features:
+            break
+    if reached >= features and last > whole["passed"]:
+        can = found.filter((F.col("total") + unseen >= last) & (F.col("df") + unseen >= least) & (F.col("df") <= most * rows))
+        names = [r["term"] for r in can.select("term").limit(4 * features + 1).collect()]
+        if len(names) <= 4 * features:
+            return _statistics_of(texts, kind, names), rows
+    return _statistics(texts, kind).filter(F.col("term").isNotNull()), rows
+
+
 def _chosen(statistics: DataFrame, rows: int, features: int, least: int, most: float) -> tuple[list[str], np.ndarray]:
     """The vocabulary and its idf. Of the terms that are in ``least`` texts and at most a share of ``most``, the
     ``features`` most frequent ones stay, in that order; ties go by term."""
@@ -124,23 +207,21 @@ def weights(docs: DataFrame, kind: str = "char", key: str = "id", *, features: i
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in (p for batch in batches for p in pieces(batch, "text")):
-            terms = Terms(kind)
-            rows = [terms.counts(t) for t in piece.column(1).to_pylist()]
-            at, (numbers, counts) = np.repeat(np.arange(len(rows)), [len(n) for n, _ in rows]), map(np.concatenate, zip(*rows))
-            yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(at)), pa.array(list(terms.places), pa.string()).take(pa.array(numbers)), pa.array(counts)], names=["key", "term", "n"])
+            found = terms(kind)
+            sizes, numbers, counts = found.counts(piece.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), found.names(numbers), pa.array(counts)], names=["key", "term", "n"])
 
     counted = again.mapInArrow(count, StructType([StructField(key, kind_of_key), StructField("term", StringType()), StructField("n", LongType())])).groupBy(key, "term").agg(F.sum("n").alias("n"))
     grouped = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("total"))
-    vocabulary, idf = _chosen(_statistics(alone.select("text"), kind).unionByName(grouped), found.count(), features, least, most)
+    vocabulary, idf = _chosen(_statistics(alone.select("text"), kind).filter(F.col("term").isNotNull()).drop("passed").unionByName(grouped), found.count(), features, least, most)
     held = docs.sparkSession.sparkContext.broadcast((vocabulary, idf))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, idf = held.value
-        terms, words = Terms(kind, vocabulary), pa.array(vocabulary, pa.string())
+        known, words = terms(kind, vocabulary), pa.array(vocabulary, pa.string())
         for piece in (p for batch in batches for p in pieces(batch, "text")):
-            rows = [weighed(*terms.counts(t), idf) for t in piece.column(1).to_pylist()]
-            at, (numbers, values) = np.repeat(np.arange(len(rows)), [len(n) for n, _ in rows]), map(np.concatenate, zip(*rows))
-            yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(at)), words.take(pa.array(numbers)), pa.array(values)], names=["key", "term", "weight"])
+            sizes, numbers, values = weighed(*known.counts(piece.column(1).to_pylist()), idf)
+            yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), words.take(pa.array(numbers)), pa.array(values)], names=["key", "term", "weight"])
 
     of_one = alone.mapInArrow(weigh, StructType([StructField(key, kind_of_key), StructField("term", StringType()), StructField("weight", DoubleType())]))
     kept = docs.sparkSession.createDataFrame(list(zip(vocabulary, idf.tolist())), "term string, idf double")
@@ -152,9 +233,9 @@ def weights(docs: DataFrame, kind: str = "char", key: str = "id", *, features: i
 def tfidf(df: DataFrame, kind: str = "char", *, features: int = 60_000, least: int = 2, most: float = 0.98) -> tuple[list, DataFrame]:
     """The fitted stages from text to weights, the last one with the vocabulary; and the other columns of ``df`` with
     ``features``."""
-    vocabulary, idf = _chosen(_statistics(df.select("text"), kind), df.count(), features, least, most)
+    vocabulary, idf = _chosen(*_of_use(df.select("text"), kind, features, least, most), features, least, most)
     stages = [TextWeights("text", "features", kind, vocabulary, idf.tolist())]
-    return stages, stages[-1].transform(df).drop("text")
+    return stages, stages[-1].vectors(df, [c for c in df.columns if c != "text"])
 
 
 def fit(df: DataFrame, kind: str = "char", head: str = "logistic", *, features: int = 60_000, least: int = 2, most: float = 0.98, **layers) -> PipelineModel | LayeredModel:
@@ -198,11 +279,14 @@ def normalization_defence(rows: DataFrame, trained_on: list[str], system: str =
     return model, threshold, report.withColumn("threshold", F.lit(threshold)).crossJoin(F.broadcast(sizes))  # one row
 
 
-def probability(model: PipelineModel | LayeredModel, df: DataFrame) -> DataFrame:
-    """``df`` with the probability of label 1."""
+def probability(model: PipelineModel | LayeredModel, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """``df``, or its columns ``keep``, with the probability of label 1."""
+    columns = keep or df.columns
     if isinstance(model, LayeredModel):
-        return model.probability(df)
-    columns = df.columns
+        return model.probability(df).select(*columns, "probability")
+    weights, head = model.stages[0], model.stages[-1]
+    if len(model.stages) == 2 and isinstance(weights, TextWeights) and isinstance(head, LogisticRegressionModel) and head.numClasses == 2:
+        return weights.chances(df, columns, head.coefficients.toArray(), head.intercept)
     return model.transform(df).select(*columns, vector_to_array("probability")[1].alias("probability"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import uniform
 from ..operators.obfuscate import VARIANTS, variants
-from ..operators.spread import spread  # noqa: F401
+from ..operators.spread import spread, tasks  # noqa: F401
 
 SYSTEMS = ("alpha_clean", "beta_mix", "gamma_mix", "delta_chat", "epsilon_raw")
 THRESHOLD = 0.4

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphward.functions import hangul
+from glyphward.functions.terms import terms
 from glyphward.operators import layered, models, obfuscate, spread
 
 
@@ -126,3 +127,57 @@ def test_weights_of_keys(spark, kind, monkeypatch):
     assert {(r.id, r.term): r.weight for r in found.collect()} == pytest.approx(want)
     stages, features = models.tfidf(spark.createDataFrame([(str(i), t) for i, (_, t) in enumerate(rows)], "id string, text string"), kind)
     assert len(stages) == 1 and "Explode" not in plan_of(features) and "Generate" not in plan_of(features)
+
+
+@pytest.mark.parametrize("way", ["bounds", "parts", "few"])
+def test_rare_terms_are_passed_over(spark, monkeypatch, way):
+    """The vocabulary is that of plain counts where tasks pass over rare terms, where the bounds tell too little, as parts of
+    the table have other words, and where there are fewer terms than are asked for. A word of all texts is none."""
+    monkeypatch.setattr(models, "HELD", 500)
+    rng = np.random.default_rng(5)
+    texts = []
+    for i in range(400):
+        words = rng.integers(60, size=30) + 1000 * (i % 4) if way == "parts" else np.minimum(rng.zipf(1.3, 30), 5000)
+        texts.append(" ".join(["all", *(f"w{w}" for w in words)]))
+    counts, df, total = [plain_terms(t, "word") for t in texts], Counter(), Counter()
+    for c in counts:
+        df.update(c.keys())
+        total.update(c)
+    features = 100_000 if way == "few" else 40
+    want = sorted((t for t in df if 2 <= df[t] <= 0.98 * len(texts)), key=lambda t: (-total[t], t.encode()))[:features]
+    asked, counted = [], models._statistics_of
+    monkeypatch.setattr(models, "_statistics_of", lambda d, k, names: asked.append(names) or counted(d, k, names))
+    rows = spark.sparkContext.parallelize([(str(i), texts[i]) for k in range(4) for i in range(k, 400, 4)], 4).toDF("id string, text string")
+    stages, _ = models.tfidf(rows, "word", features=features)
+    assert stages[0].vocabulary == want and "all" not in want
+    assert stages[0].getOrDefault("idf") == pytest.approx([math.log((1 + len(texts)) / (1 + df[t])) + 1 for t in want])
+    assert [len(names) < len(df) / 10 for names in asked] == ([True] if way == "bounds" else [])
+    if way == "bounds":
+        assert models._statistics(rows.select("text"), "word", features).count() < len(df) / 4
+
+
+def test_chances_take_no_vectors(spark):
+    """Of a text only its chance is handed on, the same as by the model's stages, also for a text without known words."""
+    df = spark.createDataFrame([(i, f"{'good nice' if i % 2 else 'bad vile'} kind {i % 7}", i % 2) for i in range(60)] + [(60, "", 0), (61, None, 1)], "id int, text string, label int")
+    model = models.fit(df, "word", features=50)
+    found = models.probability(model, df, ["id"])
+    assert found.columns == ["id", "probability"] and "vector" not in plan_of(found) and "UDF" not in plan_of(found)
+    want = {r.id: r.probability[1] for r in model.transform(df).collect()}
+    assert {r.id: r.probability for r in found.collect()} == pytest.approx(want, abs=1e-12)
+    assert models.probability(model, df).columns == ["id", "text", "label", "probability"]
+
+
+def test_words_of_many_texts_at_once():
+    """Terms of texts counted together, by number with and without a vocabulary, against plain counts."""
+    texts = ["", None, "a", "Ab ab_ x cd,éß\nAB cd", "ΟΔΟΣ İx 가나 𝒳𝒳२ zz", "  cd cd cd  ", "b"]
+    want = [plain_terms(t, "word") for t in texts]
+    known = [t for t in sorted(set().union(*want)) if t != "cd"]
+    for found, names in ((terms("word"), None), (terms("word", [*known, "no", "no cd"]), [*known, "no", "no cd"])):
+        sizes, numbers, counts = found.counts(texts)
+        of = found.names(numbers).to_pylist() if names is None else [names[n] for n in numbers]
+        got = [Counter(dict(zip(of[end - n:end], counts[end - n:end].tolist()))) for n, end in zip(sizes, np.cumsum(sizes))]
+        assert got == [Counter({t: n for t, n in w.items() if names is None or t in names}) for w in want]
+    every = terms("word")
+    numbers, df, total = every.statistics(texts)
+    got = {t: (int(d), int(n)) for t, d, n in zip(every.names(numbers).to_pylist(), df, total)}
+    assert got == {t: (sum(t in w for w in want), n) for t, n in sum(want, Counter()).items()}
