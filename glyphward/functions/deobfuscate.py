@@ -78,33 +78,39 @@ def read_run(run: str) -> str:
     return low if read / len(low) < LEAST_READ else _PIECE.sub(_spelled, low)
 
 
+def _repaired(text: str, form: str) -> str:
+    """The stages before the runs."""
+    text = text if text.isascii() else unicodedata.normalize(form, text)
+    return text.translate(_FROM_RUNES).replace("0l", "이").replace("0L", "이")
+
+
 def reconstruct(text: str) -> str:
-    text = text if text.isascii() else unicodedata.normalize("NFKC", text)
-    text = text.translate(_FROM_RUNES).replace("0l", "이").replace("0L", "이")
-    return _RUN.sub(lambda m: read_run(m.group()), text)
+    return _RUN.sub(lambda m: read_run(m.group()), _repaired(text, "NFKC"))
 
 
-@F.pandas_udf(StringType())
-def deobfuscate(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """All stages, as an Arrow function; a null stays null. Runs recur, so their readings are remembered."""
-    known: dict[str, str] = {}
-
-    def run(match: re.Match) -> str:
-        key = match.group()
-        if (found := known.get(key)) is None:
-            if len(known) > 200_000:
-                known.clear()
-            found = known[key] = read_run(key)
-        return found
-
-    def whole(text):
-        if text is None:
-            return None
-        text = text if text.isascii() else unicodedata.normalize("NFKC", text)
-        return _RUN.sub(run, text.translate(_FROM_RUNES).replace("0l", "이").replace("0L", "이"))
-
-    for series in texts:
-        yield series.map(whole)
+def _in_bulk(form: str):
+    @F.pandas_udf(StringType())
+    def deobfuscate(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        """All stages, as an Arrow function; a null stays null. Runs recur, so their readings are remembered."""
+        known: dict[str, str] = {}
+
+        def run(match: re.Match) -> str:
+            key = match.group()
+            if (found := known.get(key)) is None:
+                if len(known) > 200_000:
+                    known.clear()
+                found = known[key] = read_run(key)
+            return found
+
+        for series in texts:
+            yield series.map(lambda text: None if text is None else _RUN.sub(run, _repaired(text, form)))
+
+    return deobfuscate
+
+
+deobfuscate = _in_bulk("NFKC")
+#: The same without compatibility forms, as in SQL that has none.
+deobfuscate_nfc = _in_bulk("NFC")
 
 
 @F.pandas_udf(StringType())

@@ -51,3 +51,12 @@ def test_library_does_not_import_the_optional_subpackage():
     for path in root.rglob("*.py"):
         if path.relative_to(root).parts[0] != "llm":
             assert "llm" not in path.read_text()
+
+
+def test_deobfuscate_equals_its_sql_on_odd_texts(spark, tmp_path):
+    """Nulls, texts without a character, compatibility forms, decomposed letters."""
+    texts = ["busanui jarang", None, "", "ﬁrst ½ ① ｆｕｌｌ …", "café é", "ᚨŋ 0L K ſ", "ㄱㅏ", "x\ny\r\n", " ", "가", "𝒳 İ"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert rows(QUERIES["q_deobfuscate"](spark, str(tmp_path)).toPandas()) == rows(c.execute(ORACLE_SQL["q_deobfuscate"]).df())
