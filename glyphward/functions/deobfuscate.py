@@ -7,6 +7,7 @@ higher-order functions are interpreted row by row, and the expression is there w
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -61,12 +62,15 @@ def deobfuscate_expression(text: Column) -> Column:
 
 
 _PIECE = re.compile(SYLLABLE)
+_PLAIN_PIECE = re.compile(f"({_PLAIN})")
 _RUN = re.compile(RUN)
-_FROM_RUNES = str.maketrans(dict(zip(RUNES, LETTERS)) | {"ŋ": "ng"})
+#: In this order; a search for each costs less than a look at every character.
+_FIXES = (*zip(RUNES, LETTERS), ("ŋ", "ng"), ("0l", "이"), ("0L", "이"))
 
 
-def _spelled(match: re.Match) -> str:
-    initial, vowel, final = (g or "" for g in match.groups())
+@functools.lru_cache(maxsize=1 << 14)  # there are fewer pieces
+def _spelled(piece: str) -> str:
+    initial, vowel, final = (g or "" for g in _PIECE.fullmatch(piece).groups())
     return chr(FIRST + (INITIALS.index(initial) * len(VOWELS) + VOWELS.index(vowel)) * len(FINALS) + FINALS.index(final))
 
 
@@ -74,14 +78,20 @@ def read_run(run: str) -> str:
     low = run.lower()
     if len(low) < 2 or low.isdigit():
         return low
-    read = sum(m.end() - m.start() for m in _PIECE.finditer(low))
-    return low if read / len(low) < LEAST_READ else _PIECE.sub(_spelled, low)
+    parts = _PLAIN_PIECE.split(low)  # every other one is a piece
+    read = sum(map(len, parts[1::2]))
+    if read / len(low) < LEAST_READ:
+        return low
+    parts[1::2] = map(_spelled, parts[1::2])
+    return "".join(parts)
 
 
 def _repaired(text: str, form: str) -> str:
     """The stages before the runs."""
     text = text if text.isascii() else unicodedata.normalize(form, text)
-    return text.translate(_FROM_RUNES).replace("0l", "이").replace("0L", "이")
+    for old, new in _FIXES:
+        text = text.replace(old, new)
+    return text
 
 
 def reconstruct(text: str) -> str:

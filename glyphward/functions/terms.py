@@ -14,8 +14,6 @@ import pyarrow.compute as pc
 #: White space as Java's \s sees it.
 _BLANKS = re.compile(r"[ \t\n\x0b\f\r]+")
 LOW, HIGH = 2, 5
-#: Numbers of n-grams that are remembered by word.
-REMEMBERED = 1 << 21
 
 
 def terms(kind: str, vocabulary: list[str] | None = None) -> Grams | Words:
@@ -26,36 +24,77 @@ def terms(kind: str, vocabulary: list[str] | None = None) -> Grams | Words:
 
 
 class Grams:
-    """Character n-grams; those of a word are remembered."""
+    """Character n-grams, by arrays: characters are numbered, and an n-gram is a number whose digits they are. A text with
+    characters beyond the digits there are has its n-grams looked up one by one, under numbers of their own, so sums are by
+    name in the end."""
 
     def __init__(self, vocabulary: list[str] | None = None):
+        self.digit = np.zeros(sys.maxunicode + 1, np.uint16)  # 0: of no number
+        self.digit[ord(" ")] = 1
+        self.characters = [" "]
+        self.size = None if vocabulary is None else len(vocabulary)
         if vocabulary is None:
             self.places: dict[str, int] = defaultdict()
-            self.places.default_factory = self.places.__len__
+            self.places.default_factory = lambda: BEYOND + len(self.places)
             self.place = self.places.__getitem__
         else:
             self.places = {t: i for i, t in enumerate(vocabulary)}
             self.place = self.places.get
-        self.known: dict[str, np.ndarray] = {}
-        self.held = 0
-
-    def _grams(self, word: str) -> np.ndarray:
-        if (found := self.known.get(word)) is None:
-            w = f" {word} "
-            found = np.array([p for n in range(LOW, HIGH + 1) for i in range(len(w) - n + 1) if (p := self.place(w[i:i + n])) is not None], np.int64)
-            if self.held > REMEMBERED:
-                self.known.clear()
-                self.held = 0
-            self.known[word] = found
-            self.held += len(found) + 16
+            codes = _codes("".join(vocabulary))
+            self.numbered = self._digits(np.unique(codes)) is not None
+            sizes, digits = np.fromiter(map(len, vocabulary), np.int64, len(vocabulary)), self.digit[codes].astype(np.int64)
+            starts, keys = np.cumsum(sizes) - sizes, np.zeros(len(sizes), np.int64)
+            for k in range(HIGH):
+                some = sizes > k
+                keys[some] = keys[some] * BASE + digits[starts[some] + k]
+            keys[sizes > HIGH] = -1  # no text has it
+            self.order = np.argsort(keys)
+            self.keys = keys[self.order]
+
+    def _digits(self, codes: np.ndarray) -> np.ndarray | None:
+        """The digits of a text's characters, new ones too; none where there are not as many."""
+        found = self.digit[codes]
+        if not found.all():
+            new = np.unique(codes[found == 0])
+            if len(self.characters) + len(new) >= BASE:
+                return None
+            self.digit[new] = np.arange(len(new)) + len(self.characters) + 1
+            self.characters += map(chr, new.tolist())
+            found = self.digit[codes]
         return found
 
+    def _one_by_one(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        found = Counter(p for w in _BLANKS.split(text) if w for n in range(LOW, HIGH + 1) for i in range(len(w) + 3 - n) if (p := self.place(f" {w} "[i:i + n])) is not None)
+        numbers = sorted(found)
+        return np.array(numbers, np.int64), np.array([found[n] for n in numbers], np.int64)
+
     def _counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        words = Counter(w for w in _BLANKS.split((text or "").lower()) if w)
-        parts = [self._grams(w) for w in words]
-        times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(p) for p in parts])
-        numbers, at = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.int64), return_inverse=True)
-        return numbers, np.bincount(at, times, len(numbers)).astype(np.int64)
+        text = (text or "").lower()
+        codes = _codes(f" {text} ")
+        blank = _BLANK_CODES[np.minimum(codes, 33)]
+        codes[blank] = 32
+        kept = ~blank
+        kept[1:] |= ~blank[:-1]
+        kept[0] = True
+        codes = codes[kept]
+        digits = (self.digit[codes] if self.numbered else None) if self.size is not None else self._digits(codes)
+        if digits is None:
+            return self._one_by_one(text)
+        digits, parts = digits.astype(np.int64), []
+        inside, keys, good = codes != 32, digits, digits > 0
+        for n in range(LOW, HIGH + 1):  # from the n-grams of one character less
+            keys, good = keys[:-1] * BASE + digits[n - 1:], good[:-1] & (digits[n - 1:] > 0)
+            if n > 2:
+                good &= inside[n - 2:-1]
+            parts.append(keys[good])
+        numbers, counts = np.unique(np.concatenate(parts), return_counts=True)
+        if self.size is None:
+            return numbers, counts
+        at = np.minimum(np.searchsorted(self.keys, numbers), max(0, self.size - 1))
+        found = self.keys[at] == numbers if self.size else np.zeros(len(numbers), bool)
+        numbers, counts = self.order[at[found]], counts[found]
+        order = np.argsort(numbers)
+        return numbers[order], counts[order]
 
     def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(how many different terms each text has; their numbers, in order within a text; how often each is there)."""
@@ -69,7 +108,21 @@ class Grams:
         return found, np.bincount(at, minlength=len(found)), np.bincount(at, counts, len(found)).astype(np.int64)
 
     def names(self, numbers: np.ndarray) -> pa.Array:
-        return pa.array(list(self.places), pa.string()).take(pa.array(numbers))
+        """Terms of numbers that were given without a vocabulary."""
+        numbered, characters = numbers < BEYOND, pa.array(["", *self.characters], pa.string())
+        digits = [characters.take(pa.array(np.where(numbered, numbers, 0) // BASE**k % BASE)) for k in range(HIGH - 1, -1, -1)]
+        others = pa.array(["", *self.places], pa.string()).take(pa.array(np.where(numbered, 0, numbers - BEYOND + 1)))
+        return pc.if_else(pa.array(numbered), pc.binary_join_element_wise(*digits, ""), others)
+
+
+#: Digits of a number of five characters, and what is greater than any such number.
+BASE = 6200
+BEYOND = BASE**HIGH
+_BLANK_CODES = np.array([chr(i) in " \t\n\x0b\f\r" for i in range(34)])
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32).copy()
 
 
 @functools.cache

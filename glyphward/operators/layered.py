@@ -18,12 +18,13 @@ from __future__ import annotations
 
 import copy
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -34,8 +35,10 @@ from ..sources.scratch import scratch, written
 
 #: Features of a block of a sum; triangles merged at a time.
 BLOCK, FAN = 1024, 32
-#: Rows and entries that are made dense at a time; a longer row is alone.
-ROWS, ENTRIES = 64, 1 << 17
+#: Rows and entries that are multiplied at a time; a longer row is alone.
+ROWS, ENTRIES = 1024, 1 << 21
+#: Features of a tile, and the share of its cells from which on it is made dense.
+TILE, DENSE = 1024, 1 / 32
 
 
 # Sparse rows in a task ------------------------------------------------------------------------------------------------
@@ -53,35 +56,83 @@ class Sparse:
     def of(cls, vectors: pa.StructArray) -> Sparse:
         """From a column of Spark ML vectors, sparse or dense."""
         _, _, places, values = vectors.flatten()
+        if not places.null_count and not values.null_count:  # all are sparse
+            starts = np.concatenate([[0], np.cumsum(pc.list_value_length(values).to_numpy(zero_copy_only=False), dtype=np.int64)])
+            return cls(starts, places.flatten().to_numpy().astype(np.int64), values.flatten().to_numpy())
         held = values.to_numpy(zero_copy_only=False)
         sizes = np.array([len(v) for v in held], np.int64)
         at = [np.arange(len(v)) if p is None else p for p, v in zip(places.to_numpy(zero_copy_only=False), held)]
         joined = lambda parts, kind: np.concatenate(parts).astype(kind) if len(parts) else np.zeros(0, kind)
         return cls(np.concatenate([[0], np.cumsum(sizes)]), joined(at, np.int64), joined(held, np.float64))
 
-    def blocks(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(first, last, features, matrix): some rows at a time as a small dense matrix of the features they have."""
+    def blocks(self) -> Iterator[Block]:
+        """Some rows at a time, cut into tiles of features that stand next to each other. A vocabulary begins with what is
+        frequent, so entries crowd in the first tiles; these are multiplied as dense matrices, the rest by its entries."""
         first, n = 0, len(self.starts) - 1
         while first < n:
             last = max(first + 1, int(np.searchsorted(self.starts, self.starts[first] + ENTRIES, "right")) - 1)
             last = min(last, first + ROWS)
             a, b = self.starts[first], self.starts[last]
-            features, column = np.unique(self.places[a:b], return_inverse=True)
-            matrix = np.zeros((last - first, len(features)))
-            matrix[np.repeat(np.arange(last - first), np.diff(self.starts[first:last + 1])), column] = self.values[a:b]
-            yield first, last, features, matrix
+            row, tile = np.repeat(np.arange(last - first), np.diff(self.starts[first:last + 1])), self.places[a:b] // TILE
+            crowded = np.bincount(tile) >= DENSE * TILE * (last - first)
+            rest = ~crowded[tile] if len(tile) else np.zeros(0, bool)
+            order = np.argsort(np.where(rest, len(crowded), tile), kind="stable")
+            held = [x[order] for x in (row, self.places[a:b], self.values[a:b])]
+            ends = np.cumsum(np.bincount(tile, minlength=len(crowded))[crowded], dtype=np.int64)
+            parts = [tuple(x[i:j] for x in held) for i, j in zip([0, *ends], [*ends, len(order)])]
+            yield Block(first, last, list(zip((np.flatnonzero(crowded) * TILE).tolist(), parts[:-1])), parts[-1])
             first = last
 
     def times(self, right: np.ndarray) -> np.ndarray:
         out = np.zeros((len(self.starts) - 1, right.shape[1]))
-        for first, last, features, matrix in self.blocks():
-            out[first:last] = matrix @ right[features]
+        for block in self.blocks():
+            out[block.first:block.last] = block.times(right)
         return out
 
     def add_squared_times(self, right: np.ndarray, total: np.ndarray) -> None:
         """Adds these rows' transpose times them times ``right`` to ``total``."""
-        for _, _, features, matrix in self.blocks():
-            total[features] += matrix.T @ (matrix @ right[features])
+        for block in self.blocks():
+            block.add_transpose_times(block.times(right), total)
+
+
+@dataclass
+class Block:
+    """Rows ``first`` to ``last``: (first feature, entries) of each crowded tile, and the rest. Entries are (row here, feature,
+    value), by row."""
+
+    first: int
+    last: int
+    tiles: list[tuple[int, tuple[np.ndarray, np.ndarray, np.ndarray]]]
+    rest: tuple[np.ndarray, np.ndarray, np.ndarray]
+
+    def dense(self, features: int) -> Iterator[tuple[slice, np.ndarray]]:
+        for start, (row, place, value) in self.tiles:
+            matrix = np.zeros((self.last - self.first, min(TILE, features - start)))
+            matrix[row, place - start] = value
+            yield slice(start, start + matrix.shape[1]), matrix
+
+    def times(self, right: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.last - self.first, right.shape[1]))
+        for tile, matrix in self.dense(len(right)):
+            out += matrix @ right[tile]
+        row, place, value = self.rest
+        for i, a, b in _runs(row):
+            out[i] += value[a:b] @ right[place[a:b]]
+        return out
+
+    def add_transpose_times(self, left: np.ndarray, total: np.ndarray) -> None:
+        for tile, matrix in self.dense(len(total)):
+            total[tile] += matrix.T @ left
+        order = np.argsort(self.rest[1], kind="stable")
+        row, place, value = (x[order] for x in self.rest)
+        for i, a, b in _runs(place):
+            total[i] += value[a:b] @ left[row[a:b]]
+
+
+def _runs(numbers: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(number, first, last) of equal numbers that follow each other."""
+    first = np.flatnonzero(np.diff(numbers, prepend=-1))
+    return zip(numbers[first].tolist(), first.tolist(), [*first[1:].tolist(), len(numbers)])
 
 
 # Truncated SVD --------------------------------------------------------------------------------------------------------
@@ -169,6 +220,7 @@ def truncated_svd(rows: DataFrame, column: str, features: int, components: int =
     """(singular values, components as columns) of the vectors in ``column``. Each component's greatest loading is
     positive. ``more`` columns beyond the components and ``iterations`` make the last ones exact. There are as many as the
     rows have, if that is fewer."""
+    rows = rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism)  # a task hands on features x width numbers, however few rows it has
     width = min(features, components + more, max(1, rows.count()))
     basis = orthonormal(np.random.default_rng(seed).normal(size=(features, width)))
     for _ in range(iterations):
@@ -390,20 +442,20 @@ class LayeredModel:
         return cls(PipelineModel.load(f"{path}/stages"), *(arrays[n] for n in ("values", "vectors", "mean", "scale")), tuple(arrays[f"weights{i}"] for i in range(4)))
 
 
-def _moments(rows: DataFrame, column: str, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and standard deviation of the projected rows; merged by task, so that no digits are lost."""
-    sent, width = rows.sparkSession.sparkContext.broadcast(vectors), vectors.shape[1]
+def _moments(rows: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and standard deviation of rows of numbers; merged by task, so that no digits are lost."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, mean, square = 0, np.zeros(width), np.zeros(width)
+        total = 0, 0.0, 0.0
         for batch in batches:
             if batch.num_rows:
-                n, mean, square = _merged((n, mean, square), _of(Sparse.of(batch.column(0)).times(sent.value)))
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([np.concatenate([mean, square]).tolist()])], names=["n", "facts"])
+                total = _merged(total, _of(_dense(batch.column(0))))
+        if total[0]:
+            yield pa.RecordBatch.from_arrays([pa.array([total[0]]), pa.array([np.concatenate(total[1:]).tolist()])], names=["n", "facts"])
 
-    total = 0, np.zeros(width), np.zeros(width)
+    total = 0, 0.0, 0.0
     for n, facts in rows.select(column).mapInArrow(run, "n bigint, facts array<double>").collect():
-        total = _merged(total, (n, np.array(facts[:width]), np.array(facts[width:])))
+        total = _merged(total, (n, *np.split(np.array(facts), 2)))
     sd = np.sqrt(total[2] / max(total[0], 1))
     return total[1], np.where(sd > 0, sd, 1.0)
 
@@ -428,16 +480,20 @@ def fit_layers(stages: PipelineModel, rows: DataFrame, *, components: int = 160,
     values, vectors = truncated_svd(rows, "features", len(features.vocabulary), components, iterations=iterations, seed=seed)
     if not len(values):
         raise ValueError("the texts have no features in common")
-    mean, scale = _moments(rows, "features", vectors)
-    sent = rows.sparkSession.sparkContext.broadcast((vectors, mean, scale))
+    sent = rows.sparkSession.sparkContext.broadcast(vectors)
 
-    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = (Sparse.of(batch.column(2)).times(sent.value[0]) - sent.value[1]) / sent.value[2]
-            lists = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["key", "label", "x"])
+    def mapped(column: int, made) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = made(batch.column(column))
+                lists = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["key", "label", "x"])
+
+        return run
 
-    key = rows.schema["key"].dataType.simpleString()
-    projected = written(rows.mapInArrow(project, f"key {key}, label int, x array<double>"), "projected")  # counted, then dealt
-    found = train(projected, len(values), hidden=hidden, seed=seed, **training)
+    kinds = f"key {rows.schema['key'].dataType.simpleString()}, label int, x array<double>"
+    projected = written(rows.mapInArrow(mapped(2, lambda v: Sparse.of(v).times(sent.value)), kinds), "projected")  # once, as rows are wide
+    mean, scale = _moments(projected, "x")
+    scaled = projected.mapInArrow(mapped(2, lambda x: (_dense(x) - mean) / scale if len(x) else np.zeros((0, len(mean)))), kinds)
+    found = train(scaled, len(values), hidden=hidden, seed=seed, **training)
     return LayeredModel(stages, values, vectors, mean, scale, found.weights, found.history)

@@ -261,12 +261,19 @@ def normalized(df: DataFrame) -> DataFrame:
     return df.withColumn("text", deobfuscate("text"))
 
 
+def used(trained_on: list[str], variant: Column, part: Column) -> Column:
+    """Whether :func:`normalization_defence` looks at a text: the report is of all variants, but a model and its threshold
+    come from those that it is trained on."""
+    return (part == PARTS[-1][0]) | variant.isin(*trained_on)
+
+
 def normalization_defence(rows: DataFrame, trained_on: list[str], system: str = "normalized", *, head: str = "layers", seed: int = SEED, **options) -> tuple[PipelineModel | LayeredModel, float, DataFrame]:
     """Defence by normalization of rows (id, variant, label, text), honestly tested: ids are split in three, with all their
     variants. The model is fitted on the reconstructed texts of the listed variants of the first part, its threshold is
     the best one on the same variants of the second, and the report, by variant, is of the third alone: the robustness
     with the threshold and the numbers of ids in each part. Returns the model, the threshold and the report."""
-    split = written(grouped_split(normalized(rows.select("id", "variant", "label", "text")), seed=seed), "defence")
+    parted = grouped_split(rows.select("id", "variant", "label", "text"), seed=seed)
+    split = written(normalized(parted.withColumn("text", F.when(used(trained_on, F.col("variant"), F.col("part")), F.col("text")))), "defence")
     part = lambda name: split.filter(F.col("part") == name).drop("part")
     listed = F.col("variant").isin(*trained_on)
     model = fit(part("fit").filter(listed), head=head, **options)

@@ -122,12 +122,17 @@ class Draws:
 
     def readable(self, text: str, syllables: float, letters: float) -> tuple[str, int, int]:
         out, draw, seen, changed = list(text), self.next, 0, 0
-        for i, c in enumerate(text):
-            if (roman := ROMAN.get(c)) is not None:
+        for i, roman in enumerate(map(ROMAN.get, text)):
+            if roman is not None:
                 seen += 1
                 if draw() < syllables:
                     changed += 1
-                    out[i] = self.runes(roman, letters)
+                    if letters > 0:
+                        out[i] = self.runes(roman, letters)
+                    else:
+                        out[i] = roman
+                        for _ in roman:
+                            draw()
         return "".join(out), seen, changed
 
     def mixed(self, text: str, syllables: float, letters: float) -> str:
@@ -141,9 +146,10 @@ class Draws:
         return "".join(out)
 
 
-def obfuscate_compatible(df: DataFrame, *, text: str = "text", split: str = "split", index: str = "idx", mix: bool = False) -> DataFrame:
+def obfuscate_compatible(df: DataFrame, *, text: str = "text", split: str = "split", index: str = "idx", mix: bool = False, wanted: str | None = None) -> DataFrame:
     """``df`` times the variants, byte for byte as a per-row Mersenne Twister seeded by seed, variant, split, index and
-    the text's SHA-256 gives them: variant, obfuscated, and (readable variants) seen and changed syllables."""
+    the text's SHA-256 gives them: variant, obfuscated, and (readable variants) seen and changed syllables. ``wanted``: a
+    column with the variants that a row is asked for in, where that is not all of them (null)."""
     table = GLYPH_MIX if mix else READABLE
     names = df.columns
     made = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
@@ -152,13 +158,18 @@ def obfuscate_compatible(df: DataFrame, *, text: str = "text", split: str = "spl
         for piece in (p for batch in batches for p in pieces(batch, text)):
             texts = [t or "" for t in piece.column(text).to_pylist()]
             keys = [f"{s}:{i}:{hashlib.sha256(t.encode()).hexdigest()}" for t, s, i in zip(texts, piece.column(split).to_pylist(), piece.column(index).to_pylist())]
+            asked = piece.column(wanted).to_pylist() if wanted else [None] * len(texts)
             for name, syllables, letters, _ in table:
+                rows = [i for i, a in enumerate(asked) if a is None or name in a]
+                if not rows:
+                    continue
                 if mix:
-                    found = [(Draws(f"{GLYPH_MIX_SEED}:{k}").mixed(t, syllables, letters), None, None) for t, k in zip(texts, keys)]
+                    found = [(Draws(f"{GLYPH_MIX_SEED}:{keys[i]}").mixed(texts[i], syllables, letters), None, None) for i in rows]
                 else:
-                    found = [Draws(f"{READABLE_SEED}:{name}:{k}").readable(t, syllables, letters) for t, k in zip(texts, keys)]
+                    found = [Draws(f"{READABLE_SEED}:{name}:{keys[i]}").readable(texts[i], syllables, letters) for i in rows]
                 columns = [pa.array(c, kind) for c, kind in zip(zip(*found), (pa.string(), pa.int32(), pa.int32()))]
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array([name] * len(texts)), *columns], names=[*names, "variant", "obfuscated", "seen", "changed"])
+                kept = piece if len(rows) == len(texts) else piece.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([name] * len(rows)), *columns], names=[*names, "variant", "obfuscated", "seen", "changed"])
 
     return df.mapInArrow(run, f"{made}, variant string, obfuscated string, seen int, changed int")
 

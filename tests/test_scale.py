@@ -8,9 +8,11 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from glyphward.functions import hangul
+from glyphward.functions import terms as grams
 from glyphward.functions.terms import terms
 from glyphward.operators import layered, models, obfuscate, spread
 
@@ -181,3 +183,62 @@ def test_words_of_many_texts_at_once():
     numbers, df, total = every.statistics(texts)
     got = {t: (int(d), int(n)) for t, d, n in zip(every.names(numbers).to_pylist(), df, total)}
     assert got == {t: (sum(t in w for w in want), n) for t, n in sum(want, Counter()).items()}
+
+
+def test_n_grams_by_arrays(spark, monkeypatch):
+    """Few words recur, so no n-grams are made word by word; where characters are more than digits, a text's are looked up."""
+    texts = [" ".join(f"{chr(0xAC00 + 7 * i + j)}b{i}c{j}" for j in range(20)) + "\x0b é\x1cé　𝒳 \n" for i in range(20)] + [None, ""]
+    want = [plain_terms(t, "char") for t in texts]
+    df, total = Counter(t for c in want for t in c), sum(want, Counter())
+    vocabulary = sorted(total)[::2] + ["zz", "longer than any"]
+    for base in (grams.BASE, 120):
+        monkeypatch.setattr(grams, "BASE", base)
+        monkeypatch.setattr(grams, "BEYOND", base**5)
+        found = terms("char")
+        numbers, rows, times = found.statistics(texts)
+        assert not hasattr(found, "known") and bool(found.places) == (base == 120)
+        summed = Counter(), Counter()  # a gram may have a number of either kind
+        for name, n, k in zip(found.names(numbers).to_pylist(), rows.tolist(), times.tolist()):
+            summed[0][name] += n
+            summed[1][name] += k
+        assert summed == (df, total)
+        sizes, numbers, times = terms("char", vocabulary).counts(texts)
+        ends = np.cumsum(sizes)
+        for c, a, b in zip(want, ends - sizes, ends):
+            assert {vocabulary[n]: k for n, k in zip(numbers[a:b], times[a:b])} == {t: n for t, n in c.items() if t in vocabulary} and (np.diff(numbers[a:b]) > 0).all()
+
+
+def test_products_by_tiles(monkeypatch):
+    """Crowded tiles and the rest, in blocks of several rows and of one; no product holds a row's features apart for each few rows."""
+    monkeypatch.setattr(layered, "TILE", 16)
+    rng = np.random.default_rng(2)
+    dense = np.where(rng.random((70, 90)) < np.r_[np.full(30, 0.5), np.full(60, 0.01)], rng.normal(size=(70, 90)), 0.0)
+    dense[7] = 0
+    rows, places = np.nonzero(dense)
+    sparse = layered.Sparse(np.searchsorted(rows, np.arange(71)), places, dense[rows, places])
+    right = rng.normal(size=(90, 5))
+    for entries, n in ((1 << 20, 1), (100, 70)):
+        monkeypatch.setattr(layered, "ENTRIES", entries)
+        blocks = list(sparse.blocks())
+        assert 1 <= len(blocks) <= n and any(b.tiles for b in blocks) and any(len(b.rest[0]) for b in blocks)
+        total = np.zeros((90, 5))
+        sparse.add_squared_times(right, total)
+        assert np.allclose(sparse.times(right), dense @ right) and np.allclose(total, dense.T @ (dense @ right))
+
+
+def test_a_share_for_each_core(spark, monkeypatch):
+    """However many parts rows lie in, as many shares of features x width numbers are handed on as there are cores."""
+    x = np.random.default_rng(3).normal(size=(40, 6))
+    df = spark.createDataFrame([(Vectors.dense(r),) for r in x], ["v"]).repartition(20)
+    parts, plain = [], layered._squared_times
+    monkeypatch.setattr(layered, "_squared_times", lambda rows, *a: parts.append(rows.rdd.getNumPartitions()) or plain(rows, *a))
+    values, _ = layered.truncated_svd(df, "v", 6, 6)
+    assert np.allclose(values, np.linalg.svd(x)[1]) and set(parts) == {spark.sparkContext.defaultParallelism}
+
+
+def test_texts_that_nothing_looks_at_are_not_made(spark):
+    """Variants that no model is trained on are made of reported texts alone; what is made is as before."""
+    rows = spark.createDataFrame([(i, "test", "가나다라 " * 5, [] if i % 3 == 0 else ["romanized_70"] if i % 3 == 1 else None) for i in range(9)], "idx int, split string, text string, wanted array<string>")
+    every = {(r.idx, r.variant): r for r in obfuscate.obfuscate_compatible(rows.drop("wanted")).collect()}
+    found = obfuscate.obfuscate_compatible(rows, wanted="wanted").drop("wanted").collect()
+    assert Counter(r.idx for r in found) == {i: (1, 4)[i % 3 - 1] for i in range(9) if i % 3} and all(every[r.idx, r.variant] == r for r in found)
